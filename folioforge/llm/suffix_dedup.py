@@ -34,7 +34,7 @@ from ._base import by_batch, id_type, settled, table, text_bytes
 ANCHOR = 50
 BLOCK = 16
 #: Bytes hashed at once; longer texts are cut into overlapping parts.
-PART = 1 << 22
+PART = 1 << 20
 _BITS = 23
 _ODD = 0x9E3779B97F4A7C15
 _TAB = np.random.default_rng(1).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from . import host_rules
+from .host_rules import op3_host_rules
+from .langid import op4_langid
 from .simhash import op8_simhash
 from .suffix_dedup import op1_suffix_dedup
+from .toxicity import op2_toxicity
 
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
+    "op2_toxicity": op2_toxicity,
+    "op3_host_rules": op3_host_rules,
+    "op4_langid": op4_langid,
     "op8_simhash": op8_simhash,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {"op3_host_rules": host_rules.ORACLE}

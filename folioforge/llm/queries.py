@@ -5,6 +5,9 @@ from __future__ import annotations
 from . import host_rules
 from .host_rules import op3_host_rules
 from .langid import op4_langid
+from .mixing import op5_mixing
+from .packing import op6_packing
+from .quality import op10_quality
 from .simhash import op8_simhash
 from .suffix_dedup import op1_suffix_dedup
 from .toxicity import op2_toxicity
@@ -14,7 +17,10 @@ QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_host_rules": op3_host_rules,
     "op4_langid": op4_langid,
+    "op5_mixing": op5_mixing,
+    "op6_packing": op6_packing,
     "op8_simhash": op8_simhash,
+    "op10_quality": op10_quality,
 }
 
 ORACLES = {"op3_host_rules": host_rules.ORACLE}

@@ -106,10 +106,10 @@ class Lexicon:
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_col: str, learn, most: int) -> DataFrame:
     """``(text, y)`` of at most ``most`` labelled rows for which ``learn`` holds: the first by a hash of the id, with the
-    largest label of an id that has several. The ids, at most ``most``, are broadcast; texts are not shuffled."""
+    largest label of an id that has several, and the least text. The ids, at most ``most``, are broadcast; texts are not shuffled."""
     some = labels.where(F.col(id_col).isNotNull() & F.col(label).isNotNull() & learn).groupBy(F.col(id_col).alias("id_")).agg(F.max(label).cast("int").alias("y")).orderBy(F.xxhash64("id_"), "id_").limit(most)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return settled(rows.join(F.broadcast(some), rows.id == F.col("id_")).select("id", "text", "y"), "labelled")
+    return settled(rows.join(F.broadcast(some), rows.id == F.col("id_")).groupBy("id", "y").agg(F.min("text").alias("text")).select("id", "text", "y"), "labelled")
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from . import host_rules
 from .host_rules import op3_host_rules
+from .itq import op9_embeddings
 from .langid import op4_langid
 from .mixing import op5_mixing
 from .packing import op6_packing
@@ -11,6 +12,7 @@ from .quality import op10_quality
 from .simhash import op8_simhash
 from .suffix_dedup import op1_suffix_dedup
 from .toxicity import op2_toxicity
+from .warc import op7_warc
 
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
@@ -19,7 +21,9 @@ QUERIES = {
     "op4_langid": op4_langid,
     "op5_mixing": op5_mixing,
     "op6_packing": op6_packing,
+    "op7_warc": op7_warc,
     "op8_simhash": op8_simhash,
+    "op9_embeddings": op9_embeddings,
     "op10_quality": op10_quality,
 }
 

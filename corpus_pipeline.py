@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioforge.llm import mixing, packing, simhash, suffix_dedup, toxicity
-from folioforge.llm._base import settled, table
+from folioforge.llm._base import give_back, settled, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Documents from this score on go.
@@ -35,6 +35,7 @@ def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
             yield batch.filter(pa.array([lexicon.score(toxicity.fold(t)) < TOXIC for t in texts], pa.bool_()))
+        give_back()
 
     return docs.mapInArrow(clean, docs.schema)
 

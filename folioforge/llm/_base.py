@@ -7,6 +7,8 @@ only a session without that setting, as in tests, gets a folder of its own.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -19,7 +21,13 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Bytes of an Arrow batch: texts of a few megabytes at once are enough for any operator here, and each worker holds
+#: several copies of a batch.
+BATCH = "8m"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -35,6 +43,7 @@ def shared_dir(spark: SparkSession) -> str:
 def settled(df: DataFrame, name: str) -> DataFrame:
     """Write a result to the shared folder and read it back: lineage ends here and an executor may go."""
     spark = df.sparkSession
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
     path = f"{shared_dir(spark)}/folioforge-{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -64,10 +73,18 @@ def by_batch(fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.Record
                 yield out
             else:
                 yield from out
+        give_back()
 
     return run
 
 
+def give_back() -> None:
+    """Return freed memory to the system at the end of a task: Python workers live on and serve other stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not on every platform
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def text_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of each value; null is empty."""
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]

@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._base import id_type, settled, table
+from ._base import give_back, id_type, settled, table
 
 LENGTH = 2048
 #: Rounds of the multiplicative weights, their step, and how near the best a configuration must be.
@@ -106,6 +106,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leng
                         size.append(b - a)
                         body.append(ids[a:b].tobytes())
                 yield pa.record_batch([part.column(0).take(pa.array(of, pa.int64())), pa.array(number, pa.int32()), pa.array(start, pa.int64()), pa.array(size, pa.int64()), pa.array(body, pa.binary())], names=["id", "piece", "start", "length", "ids"])
+        give_back()
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {id_type(docs, id_col)}, piece int, start long, length long, ids binary")
 

@@ -253,7 +253,7 @@ def snippet_udf(plan: list[tuple[int, int, int, str]], stemmed: bool = True):
     """For the few rows that are left after the best are taken."""
 
     @F.pandas_udf("string")
-    def run(body: "pd.Series") -> "pd.Series":
+    def run(body: pd.Series) -> pd.Series:
         return body.map(lambda b: snippet(b or "", plan, stemmed))
 
     return run

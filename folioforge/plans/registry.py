@@ -2,13 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import corpus_queries, search_queries, text_queries
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:  # noqa: N802
-    return next(iter(QUERIES.values()))(spark, sf_dir)
+FLAGSHIP = search_queries.search_bm25
+QUERIES = {**search_queries.QUERIES, **corpus_queries.QUERIES, **text_queries.QUERIES}
+ORACLES = {**search_queries.ORACLES, **corpus_queries.ORACLES, **text_queries.ORACLES}

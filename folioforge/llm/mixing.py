@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from ._base import id_type, n_words, settled, table
 
 #: Documents of a bucket, about, and buckets that meet in a node of the tree.
-BUCKET, FAN = 20_000, 64
+BUCKET, FAN = 4_000, 64
 WEIGHTS = (5, 2, 1)
 
 

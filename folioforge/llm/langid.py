@@ -57,7 +57,7 @@ class Model:
 
     def __init__(self, languages: list[str], counts: np.ndarray):
         self.languages = languages
-        counts = counts.reshape(len(languages), -1)
+        counts = counts.reshape(len(languages), counts.size // len(languages) if languages else BUCKETS)
         total = counts.sum(0, keepdims=True)
         back = (total + 0.5) / (total.sum() + 0.5 * counts.shape[1])
         # each language backs off to the mix of all, with the mass of one trigram a bucket at most
@@ -111,7 +111,7 @@ def fit(docs: DataFrame, learn: Column, text_col: str = "text", lang_col: str =
                     sums[lang] = sums.get(lang, 0) + counts[langs[at : at + BLOCK] == lang].sum(0)
         for lang, c in sums.items():
             hit = np.flatnonzero(c)
-            yield pa.record_batch([pa.array([lang] * len(hit)), pa.array(hit.astype(np.int32)), pa.array(c[hit].astype(np.int64))], names=["lang", "bucket", "n"])
+            yield pa.record_batch([pa.array([lang] * len(hit), pa.string()), pa.array(hit.astype(np.int32)), pa.array(c[hit].astype(np.int64))], names=["lang", "bucket", "n"])
 
     found = rows.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     languages = sorted(set(found["lang"].to_pylist()))

@@ -137,10 +137,12 @@ def _pass(rows: DataFrame, name: str) -> DataFrame:
     """Rows whose digit c occurs twice or more, with ``ok``: their whole content f does too, and ``down``: the next
     pass has to look at it. That is all content met once, and one row of each other content it could share a part with.
     """
+    # counts are written before they are joined: a join of two plain shuffles is one that adaptive execution can split
     stats = rows.groupBy("c").agg(F.sum("r").alias("n"), F.min("f").alias("f0"), F.max("f").alias("f1")).where("n > 1")
-    met = settled(rows.join(stats.select("c", (F.col("f0") == F.col("f1")).alias("one")), "c"), name)
+    stats = settled(stats.select("c", (F.col("f0") == F.col("f1")).alias("one")), f"{name}-met")
+    met = settled(rows.join(stats, "c"), name)
     mixed = met.where(~F.col("one")).withColumn("row", F.xxhash64("id", "th", "lo"))
-    each = mixed.groupBy("c", "f").agg(F.sum("r").alias("n"), F.min("row").alias("least"))
+    each = settled(mixed.groupBy("c", "f").agg(F.sum("r").alias("n"), F.min("row").alias("least")), f"{name}-each")
     mixed = mixed.join(each, ["c", "f"]).withColumn("ok", F.col("n") > 1).withColumn("down", (F.col("n") == 1) | (F.col("row") == F.col("least")))
     same = met.where("one").withColumn("ok", F.lit(True)).withColumn("down", F.lit(False))
     return same.unionByName(mixed.select(same.columns))
@@ -244,7 +246,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return pa.record_batch([batch.column(0).take(at), batch.column(1).take(at), pa.array(start, pa.int64()), pa.array(np.array(key, dtype=np.uint64).view(np.int64))], names=["id", "th", "lo", "w"])
 
     single = deep.mapInArrow(by_batch(windows), f"id {kind}, th long, lo long, w long")
-    equal = single.groupBy("w").agg(F.count("*").alias("n")).where("n > 1").select("w")
+    equal = settled(single.groupBy("w").agg(F.count("*").alias("n")).where("n > 1").select("w"), "windows")
     third = single.join(equal, "w").select("id", "th", "lo", F.lit(1).alias("nw"))
     covered = first.where("ok").select("id", "th", "lo", "nw").unionByName(second.where("ok").select("id", "th", "lo", "nw")).unionByName(third)
     lists = covered.groupBy("id", "th").agg(F.collect_set(F.struct("lo", "nw")).alias("found"))

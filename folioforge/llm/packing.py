@@ -29,7 +29,7 @@ ROUNDS, STEP, NEAR = 60, 0.5, 0.2
 #: Times the program is solved for what rounding has left, and the share of a sequence that a configuration may leave empty.
 AGAIN, SLACK = 3, 0.0
 #: Pieces that are ranked in one group, about.
-GROUP = 50_000
+GROUP = 8_000
 #: Texts of these characters only are split alike by both tokenizer libraries, whatever Unicode version they hold.
 _PLAIN = regex.compile(r"[^\x00-ɏ‐-‧€]")
 SPECIAL = "<|endoftext|>"

@@ -28,6 +28,7 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
+        least = settled(least, "least")  # written, so that the join can be split where a hub is
         large = both.join(least, both.a == least.u).where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         large = settled(large, "large")
         down = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "u")

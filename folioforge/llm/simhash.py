@@ -78,7 +78,7 @@ def filed(distinct: DataFrame) -> DataFrame:
     ring = list(zip(CUTS, CUTS[1:], strict=False))
     keys = F.array(*[F.struct(F.lit(i).alias("t"), _key(list(c), i).alias("key")) for i, c in enumerate(combinations(ring, 3))])
     rows = distinct.select("fp", F.explode(keys).alias("k")).select("k.t", "k.key", "fp")
-    sizes = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    sizes = settled(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "sizes")  # written, so that the join can be split
     rows = settled(rows.join(sizes, "key"), "filed")
     again = None
     for i, triple in enumerate(combinations(range(6), 3)):

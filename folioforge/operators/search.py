@@ -203,50 +203,60 @@ _TOKEN = regex.compile(r"[\p{L}\p{N}\p{Co}\p{M}]+")
 
 
 def snippet(body: str, plan: list[tuple[int, int, int, str]], stemmed: bool = True, size: int = SNIPPET) -> str:
-    """``size`` tokens of a body around what matched, marked. Without a match in the body, its first tokens."""
+    """``size`` tokens of a body around what matched, marked. Without a match in the body, its first tokens.
+
+    Windows are tried at each match, centred on the matches from there on, and at the start of its sentence. A phrase
+    in a window is worth 1000, its repeats 1 each, a start of a sentence 100, the start of the text 120; the first of
+    the best counts.
+    """
     spans = [(m.start(), m.end()) for m in _TOKEN.finditer(body)]
-    words = [porter.stem(t[0]) if stemmed and t else (t[0] if t else "") for t in (tokenize(body[a:b]) for a, b in spans)]
+    if not spans:
+        return body
+    words = [(porter.stem(t[0]) if stemmed else t[0]) if t else "" for t in (tokenize(body[a:b]) for a, b in spans)]
     wanted: dict[int, list[str]] = {}
     for phrase, _, _, t in sorted(plan):
         wanted.setdefault(phrase, []).append(t)
-    hits: list[tuple[int, int, int]] = []  # (first token, last token, phrase)
-    first = {}
+    opening: dict[str, list[tuple[int, list[str]]]] = {}
     for phrase, toks in wanted.items():
-        first.setdefault(toks[0], []).append((phrase, toks))
-    for i, w in enumerate(words):
-        for phrase, toks in first.get(w, ()):
-            if words[i : i + len(toks)] == toks:
-                hits.append((i, i + len(toks) - 1, phrase))
-    starts = {0} | {i for i, (a, _) in enumerate(spans) if i and regex.search(r"[.:]\s*$", body[spans[i - 1][1] : a])}
-
-    def value(at: int) -> int:
-        """Phrases in a window count a thousand each, their repeats one; a start of a sentence or the text some more."""
-        inside = [p for a, b, p in hits if at <= a and b < at + size]
-        return 1000 * len(set(inside)) + len(inside) - len(set(inside))
-
-    best_at, best_value = 0, value(0) + (120 if hits else 0)
-    for a, _, _ in hits:
-        room = min((b for x, b, _ in hits if x == a), default=a)
-        begin = max((s for s in starts if s <= a and room < s + size), default=None)
-        for at, more in ((begin, 120 if begin == 0 else 100), (max(0, min(a - (size - (room - a + 1)) // 2, len(spans) - size)), 0)):
-            if at is not None and value(at) + more > best_value:
-                best_at, best_value = at, value(at) + more
-    end = min(len(spans), best_at + size)
-    if not spans:
-        return body
-    marks = sorted((a, b) for a, b, _ in hits if best_at <= a and b < end)
+        opening.setdefault(toks[0], []).append((phrase, toks))
+    hits = [(i, i + len(toks), phrase) for i, w in enumerate(words) for phrase, toks in opening.get(w, ()) if words[i : i + len(toks)] == toks]
+    sentences = [0] + [i for i, (a, _) in enumerate(spans) if i and regex.search(r"[.:][ \t\r\n]+$", body[spans[i - 1][1] : a])]
+
+    def inside(at: int) -> list[tuple[int, int, int]]:
+        return [h for h in hits if at <= h[0] < at + size]
+
+    def worth(found: list[tuple[int, int, int]]) -> int:
+        kinds = len({h[2] for h in found})
+        return 1000 * kinds + len(found) - kinds
+
+    best_worth, begin = 0, 0
+    for start, _, _ in hits:
+        found = inside(start)
+        if worth(found) > best_worth:
+            first, last = found[0][0], found[-1][1]
+            # half of what is left goes before, rounded towards zero
+            best_worth, begin = worth(found), max(0, min(first - int((size - (last - first)) / 2), len(spans) - size))
+        sentence = max(x for x in sentences if x <= start)
+        if len(spans) > size and sentence < start:
+            value = worth(inside(sentence)) + (100 if sentence else 120)
+            if value > best_worth:
+                best_worth, begin = value, sentence
+    end = min(begin + size, len(spans))
     joined: list[list[int]] = []
-    for a, b in marks:
-        if joined and a <= joined[-1][1]:
+    for a, b, _ in hits:  # phrases that overlap share a mark
+        if joined and a < joined[-1][1]:
             joined[-1][1] = max(joined[-1][1], b)
         else:
             joined.append([a, b])
-    out, at = [], spans[best_at][0] if best_at else 0
+    out, at = [], spans[begin][0] if begin else 0
     for a, b in joined:
-        out += [body[at : spans[a][0]], OPEN, body[spans[a][0] : spans[b][1]], CLOSE]
-        at = spans[b][1]
-    out.append(body[at : spans[end - 1][1]] if end < len(spans) else body[at:])
-    return (CUT if best_at else "") + "".join(out) + (CUT if end < len(spans) else "")
+        a, b = max(a, begin), min(b, end)
+        if a < b:
+            out += [body[at : spans[a][0]], OPEN, body[spans[a][0] : spans[b - 1][1]], CLOSE]
+            at = spans[b - 1][1]
+    whole = begin + size >= len(spans)
+    out.append(body[at:] if whole else body[at : spans[end - 1][1]])
+    return (CUT if begin else "") + "".join(out) + ("" if whole else CUT)
 
 
 def snippet_udf(plan: list[tuple[int, int, int, str]], stemmed: bool = True):

@@ -228,6 +228,8 @@ QUERIES = {
 _HOST = r"lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1))"
 _PATH = r"regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1)"
 _STEM = r"ltrim(regexp_replace(CASE WHEN p LIKE '%/' THEN p || 'index' ELSE p END, '\.html?$', ''), '/')"
+#: Bytes of text of a page's article; a shorter one than 80 is passed over for the whole body.
+_ARTICLE = r"strlen(trim(replace(regexp_replace(regexp_extract(html, '(?s)<article>(.*?)(</article>|$)', 1), '<[^>]*>', '', 'g'), '&amp;', '&')))"
 _TOKENS = r"regexp_extract_all(translate(lower(text), 'äçèéêíñóöü', 'aceeeinoou'), '[\p{L}\p{N}\p{M}]+')"
 _TURNS = """WITH t AS (SELECT conv_id, turn, role, '## ' || role || chr(10) || chr(10) || text AS md, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) - 1 AS nth FROM conversations),
     s AS (SELECT conv_id, 0 AS turn, -1 AS first, '' AS heading, '' AS anchor, '# Conversation ' || conv_id AS body FROM (SELECT DISTINCT conv_id FROM t)
@@ -264,8 +266,9 @@ ORACLES = {
     "nav_links": r"""SELECT DISTINCT page_id, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || l AS link
         FROM (SELECT page_id, url, unnest(regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), 'href="([^"]+)"', 1)) AS l FROM pages)""",
     "markdown_links": "SELECT body, pos::INT AS pos, link FROM " + values("body, pos, link", [(LINK_INDEX[0][0], 0, "https://e.x/intro"), (LINK_INDEX[0][0], 1, "https://e.x/advanced"), (LINK_INDEX[2][0], 0, "https://e.x/docs/b.md"), (LINK_INDEX[2][0], 1, "https://e.x/d"), (LINK_INDEX[2][0], 2, "https://f.x/g")]),
-    "render_status": r"""SELECT CASE WHEN strlen(trim(regexp_replace(regexp_extract(html, '(?s)<article>(.*?)(</article>|$)', 1), '<[^>]*>', '', 'g'))) < 80 THEN 'empty' ELSE 'ok' END AS status, count(*) AS pages FROM pages GROUP BY 1""",
-    "render_title": r"SELECT page_id, trim(replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '&amp;', '&')) AS title, true AS has_h1 FROM pages",
+    "render_status": rf"""SELECT CASE WHEN {_ARTICLE} < 80 AND strlen(trim(regexp_replace(regexp_replace(regexp_extract(html, '(?s)<body[^>]*>(.*)', 1), '(?s)<!--.*?-->|<(script|style)[^>]*>.*?</(script|style)>', '', 'g'), '<[^>]*>', '', 'g'))) < 80
+        THEN 'empty' ELSE 'ok' END AS status, count(*) AS pages FROM pages GROUP BY 1""",
+    "render_title": rf"SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '&amp;?', '&', 'g')) AS title, {_ARTICLE} >= 80 AS has_h1 FROM pages",
     "tokenize_df": f"SELECT term, count(*) AS df FROM (SELECT doc_id, unnest(list_distinct({_TOKENS})) AS term FROM documents) GROUP BY term",
     "corpus_stats": f"SELECT source, count(*) AS n, sum(dl)::BIGINT AS total, round(avg(dl), 6) AS avgdl FROM (SELECT source, len({_TOKENS}) AS dl FROM documents) GROUP BY source",
     "distinct_sources": "SELECT DISTINCT source FROM documents ORDER BY source",

@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
-ENTRY = "name string, kind string, root string, refresh string, max_pages int, headers map<string,string>, cookies map<string,string>, added_at timestamp, last_synced_at timestamp"
+_FIELDS = (("name", "string"), ("kind", "string"), ("root", "string"), ("refresh", "string"), ("max_pages", "int"), ("headers", "map<string,string>"), ("cookies", "map<string,string>"), ("added_at", "timestamp"), ("last_synced_at", "timestamp"))
+ENTRY = ", ".join(f"{n} {t}" for n, t in _FIELDS)
+#: The catalog's file: all entries in one object.
+FILE = f"sources array<struct<{', '.join(f'{n}: {t}' for n, t in _FIELDS)}>>"
 #: Age from which a source is stale, in days.
 STALE_DAYS = 7
 #: How often a source is due that says nothing.

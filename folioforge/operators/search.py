@@ -148,7 +148,7 @@ def scored(counts: DataFrame, lengths_: DataFrame, by: tuple[str, ...] = (), sco
     stats = lengths_.groupBy(*group).agg(F.count("*").alias("n_all"), F.avg("dl").alias("avgdl"))
     df = counts.groupBy(*by, *group, "phrase").agg(F.count("*").alias("n"))
     rows = counts.join(df, [*by, *group, "phrase"]).join(lengths_, list(KEY))
-    rows = rows.join(F.broadcast(stats), "source") if group else rows.crossJoin(F.broadcast(stats))  # one row
+    rows = rows.join(stats, "source") if group else rows.crossJoin(F.broadcast(stats))  # one row
     idf = F.log((F.col("n_all") - F.col("n") + 0.5) / (F.col("n") + 0.5))
     idf = F.when(idf > 0, idf).otherwise(F.lit(LEAST_IDF))
     part = idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
@@ -179,7 +179,11 @@ def search(index: Index, query: str, sources: list[str] | None = None, limit: in
         index = Index(*(df.where(F.col("source").isin(sources)) for df in (index.chunks, index.postings, index.lengths)), index.vocabulary, index.stemmed)
     plan = _plan(query, index.stemmed)
     rows = scored(phrase_counts(index, _plan_frame(spark, plan)), index.lengths, scope=scope)
-    top = best(rows, global_limit or limit, offset, by=("source",)) if global_limit is None else rows.orderBy(F.round("score", 9), "source", "path", "ord").limit(global_limit + offset).offset(offset).withColumn("rank", F.row_number().over(Window.orderBy(F.round("score", 9), "source", "path", "ord")))
+    if global_limit is None:
+        top = best(rows, limit, offset)
+    else:
+        order = [F.round("score", 9), "source", "path", "ord"]
+        top = rows.orderBy(*order).limit(global_limit + offset).withColumn("rank", F.row_number().over(Window.orderBy(*order))).where(F.col("rank") > offset)
     hits = top.join(index.chunks.drop("path", "ord"), list(KEY))
     if with_snippet:
         hits = hits.withColumn("snippet", snippet_udf(plan, index.stemmed)(F.col("body")))

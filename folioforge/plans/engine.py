@@ -35,7 +35,7 @@ class Engine:
         names = [r.name for r in catalog.chosen(self.store.entries(), sources).select("name").collect()]
         hits = search.search(self.store.index(), query, names or [""], limit, global_limit=global_limit)
         fresh = self.store.entries().select(F.col("name").alias("source"), "last_synced_at")
-        out = hits.join(F.broadcast(fresh), "source", "left").withColumn("stale", catalog.stale("last_synced_at", as_of or self.clock()))  # a catalog is small
+        out = hits.join(fresh, "source", "left").withColumn("stale", catalog.stale("last_synced_at", as_of or self.clock()))
         return out.select("source", "url", "path", "heading_path", "anchor", "snippet", "token_count", "last_synced_at", "stale", "score", "rank").orderBy("source", "rank")
 
     def get_page(self, source: str, path: str) -> str | None:

@@ -45,7 +45,7 @@ class Store:
         """Entries of the catalog; none if there is no file."""
         if not self.exists("catalog.json"):
             return self.spark.createDataFrame([], catalog.ENTRY)
-        raw = self.spark.read.option("multiLine", True).schema(f"sources array<struct<{catalog.ENTRY.replace(' map<', ': map<').replace(' string', ': string').replace(' int', ': int').replace(' timestamp', ': timestamp')}>>").json(f"{self.root}/catalog.json")
+        raw = self.spark.read.option("multiLine", True).schema(catalog.FILE).json(f"{self.root}/catalog.json")
         return raw.select(F.explode("sources").alias("s")).select("s.*").orderBy("name")
 
     def save_entries(self, entries: DataFrame) -> None:

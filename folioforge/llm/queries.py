@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import host_rules
+from . import host_rules, itq
 from .host_rules import op3_host_rules
 from .itq import op9_embeddings
 from .langid import op4_langid
@@ -27,4 +27,4 @@ QUERIES = {
     "op10_quality": op10_quality,
 }
 
-ORACLES = {"op3_host_rules": host_rules.ORACLE}
+ORACLES = {"op3_host_rules": host_rules.ORACLE, "op9_embeddings": itq.ORACLE}

@@ -203,3 +203,13 @@ def test_queries_have_one_row_each(spark):
     out = simhash.op8_simhash(spark, SF)
     assert out.count() == n and out.where(~F.col("fingerprint").rlike("^[0-9a-f]{16}$")).isEmpty()
     assert itq.op9_embeddings(spark, SF).count() == spark.read.parquet(f"{SF}/embeddings.parquet").count()
+
+
+def test_op9_against_sql(spark):
+    import duckdb
+
+    from ..conftest import same_rows
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{SF}/embeddings.parquet')")
+    same_rows(itq.op9_embeddings(spark, SF).toPandas(), con.sql(itq.ORACLE).df())

@@ -47,20 +47,21 @@ def chunk_id(*extra: Column | str) -> Column:
     return F.xxhash64("source", "path", "ord", *extra)
 
 
+def tokenized(chunks: DataFrame) -> DataFrame:
+    """Chunks with chunk_id and tokens_, the tokens of title, heading path and body. Written in between, it saves
+    ``build`` from tokenising the same text for postings, lengths and vocabulary."""
+    texts = (F.col("title"), F.array_join("heading_path", SEPARATOR), F.col("body"))
+    return chunks.withColumns({"chunk_id": chunk_id(), "tokens_": F.array(*(tokens(x) for x in texts))})
+
+
 def postings(chunks: DataFrame) -> DataFrame:
-    """A row for each token of title, heading path and body; no shuffle."""
-    cols = F.array(
-        F.struct(F.lit(0).alias("col"), tokens("title").alias("t")),
-        F.struct(F.lit(1).alias("col"), tokens(F.array_join("heading_path", SEPARATOR)).alias("t")),
-        F.struct(F.lit(2).alias("col"), tokens("body").alias("t")),
-    )
-    one = chunks.select(*KEY, F.explode(cols).alias("c")).where(F.size("c.t") > 0)
-    return one.select(*KEY, "c.col", F.posexplode("c.t").alias("pos", "term"))
+    """A row for each token of tokenised chunks; no shuffle."""
+    return chunks.select(*KEY, F.posexplode("tokens_").alias("col", "t")).select(*KEY, "col", F.posexplode("t").alias("pos", "term"))
 
 
 def lengths(chunks: DataFrame) -> DataFrame:
     """Tokens of each chunk over the three columns."""
-    dl = F.size(tokens("title")) + F.size(tokens(F.array_join("heading_path", SEPARATOR))) + F.size(tokens("body"))
+    dl = F.aggregate("tokens_", F.lit(0), lambda n, t: n + F.size(t))
     return chunks.select(*KEY, "path", "ord", dl.cast("long").alias("dl"))
 
 
@@ -77,9 +78,9 @@ def vocabulary(terms: DataFrame, stemmed: bool = True) -> DataFrame:
 
 def build(chunks: DataFrame, stemmed: bool = True) -> Index:
     """An index of chunks(source, url, path, title, heading_path, anchor, body, token_count, ord), lazily."""
-    chunks = chunks.withColumn("chunk_id", chunk_id())
+    chunks = chunks if "tokens_" in chunks.columns else tokenized(chunks)
     posts = postings(chunks)
-    return Index(chunks, posts, lengths(chunks), vocabulary(posts, stemmed), stemmed)
+    return Index(chunks.drop("tokens_"), posts, lengths(chunks), vocabulary(posts, stemmed), stemmed)
 
 
 def save(index: Index, path: str) -> None:

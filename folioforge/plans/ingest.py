@@ -8,7 +8,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import catalog, chunking, render
+from ..operators import catalog, chunking, render, search
 from ..sources import kinds
 from ..sources.shared import settled
 from ..sources.store import Store
@@ -43,7 +43,7 @@ def ingest(store: Store, pages: DataFrame, escalate=None, **how) -> tuple[DataFr
     """Store and index pages of any number of sources at once, each replaced as a whole. -> (documents, chunks)"""
     docs = documents_of(pages, escalate)
     ok = docs.where("status = 'ok'")
-    chunks = settled(chunks_of(docs, **how), "chunks")
+    chunks = settled(search.tokenized(chunks_of(docs, **how)), "chunks")
     store.replace_documents(ok)
     store.replace_index(chunks)
     return docs, chunks
@@ -71,6 +71,6 @@ def rebuilt(store: Store, sources: list[str] | None = None) -> DataFrame:
     """Chunks again from stored documents, and the index from them."""
     docs = store.documents()
     docs = docs.where(F.col("source").isin(sources)) if sources else docs
-    chunks = settled(chunks_of(docs.withColumn("status", F.lit("ok"))), "chunks")
+    chunks = settled(search.tokenized(chunks_of(docs.withColumn("status", F.lit("ok")))), "chunks")
     store.replace_index(chunks)
     return chunks

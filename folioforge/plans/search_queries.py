@@ -18,7 +18,7 @@ COLUMNS = ("source", "path", "score", "rank")
 
 
 def _index(spark, sf, stemmed=True):
-    return search.build(settled(chunking.chunk(corpus(spark, sf)), "chunks"), stemmed)
+    return search.build(settled(search.tokenized(chunking.chunk(corpus(spark, sf))), "chunks"), stemmed)
 
 
 def _out(hits):

@@ -26,8 +26,8 @@ from ._base import give_back, id_type, settled, table
 LENGTH = 2048
 #: Rounds of the multiplicative weights, their step, and how near the best a configuration must be.
 ROUNDS, STEP, NEAR = 60, 0.5, 0.2
-#: Times the program is solved for what rounding has left, and the share of a sequence that a configuration may leave empty.
-AGAIN, SLACK = 3, 0.0
+#: Times the program is solved (again for what rounding has left, if over 1; best fit does better with it), and the share of a sequence that a configuration may leave empty.
+AGAIN, SLACK = 1, 0.0
 #: Pieces that are ranked in one group, about.
 GROUP = 8_000
 #: Texts of these characters only are split alike by both tokenizer libraries, whatever Unicode version they hold.

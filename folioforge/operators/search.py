@@ -5,6 +5,7 @@ Tables of an index (parquet, by source):
   postings   (source, chunk_id, col, pos, term), a row for each token, sorted by term in its files
   lengths    (source, chunk_id, path, ord, dl)
   vocabulary (term, stem), distinct terms only
+  stats      (source, n_all, total), chunks and their tokens by source
 
 Terms are stored unstemmed: a query's stems are looked up in the vocabulary, and the
 few terms that share them select postings, so stemming never touches the postings.
@@ -40,6 +41,7 @@ class Index:
     postings: DataFrame
     lengths: DataFrame
     vocabulary: DataFrame
+    stats: DataFrame
     stemmed: bool = True
 
 
@@ -79,14 +81,15 @@ def vocabulary(terms: DataFrame, stemmed: bool = True) -> DataFrame:
 def build(chunks: DataFrame, stemmed: bool = True) -> Index:
     """An index of chunks(source, url, path, title, heading_path, anchor, body, token_count, ord), lazily."""
     chunks = chunks if "tokens_" in chunks.columns else tokenized(chunks)
-    posts = postings(chunks)
-    return Index(chunks.drop("tokens_"), posts, lengths(chunks), vocabulary(posts, stemmed), stemmed)
+    posts, sizes = postings(chunks), lengths(chunks)
+    stats = sizes.groupBy("source").agg(F.count("*").alias("n_all"), F.sum("dl").alias("total"))
+    return Index(chunks.drop("tokens_"), posts, sizes, vocabulary(posts, stemmed), stats, stemmed)
 
 
 def save(index: Index, path: str) -> None:
     """Write an index, each source replaced as a whole; other sources stay. The vocabulary only grows."""
     spark = index.chunks.sparkSession
-    for name, df in (("chunks", index.chunks), ("lengths", index.lengths), ("postings", index.postings.repartition("source", "term").sortWithinPartitions("source", "term"))):
+    for name, df in (("chunks", index.chunks), ("lengths", index.lengths), ("stats", index.stats), ("postings", index.postings.repartition("source", "term").sortWithinPartitions("source", "term"))):
         df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source").parquet(f"{path}/{name}")
     old = _maybe(spark, f"{path}/vocabulary")
     new = index.vocabulary if old is None else index.vocabulary.join(old.select("term"), "term", "left_anti")
@@ -103,8 +106,8 @@ def _maybe(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def load(spark: SparkSession, path: str, stemmed: bool = True) -> Index:
-    read = lambda name: spark.read.parquet(f"{path}/{name}")
-    return Index(read("chunks").withColumn("source", F.col("source").cast("string")), read("postings").withColumn("source", F.col("source").cast("string")), read("lengths").withColumn("source", F.col("source").cast("string")), read("vocabulary").distinct(), stemmed)
+    read = lambda name: spark.read.parquet(f"{path}/{name}").withColumn("source", F.col("source").cast("string"))
+    return Index(read("chunks"), read("postings"), read("lengths"), spark.read.parquet(f"{path}/vocabulary"), read("stats"), stemmed)
 
 
 def phrases(query: str) -> list[str]:
@@ -132,7 +135,7 @@ def phrase_counts(index: Index, plan: DataFrame, by: tuple[str, ...] = ()) -> Da
     ``plan(*by, phrase, place, size, stem)`` has a row for each token of each query, as large as the queries typed.
     A token of a phrase votes for the position where the phrase would start; starts with all votes count.
     """
-    terms = index.vocabulary.join(F.broadcast(plan.select("stem").distinct()), "stem")
+    terms = index.vocabulary.join(F.broadcast(plan.select("stem").distinct()), "stem").distinct()  # writers at one time may have added a term twice
     wanted = terms.join(F.broadcast(plan), "stem")
     hit = index.postings.join(wanted, "term").withColumn("start", F.col("pos") - F.col("place"))
     single = hit.where("size = 1").groupBy(*by, *KEY, "phrase").agg(F.count("*").alias("f"))
@@ -140,15 +143,16 @@ def phrase_counts(index: Index, plan: DataFrame, by: tuple[str, ...] = ()) -> Da
     return single.unionByName(starts.groupBy(*by, *KEY, "phrase").agg(F.count("*").alias("f")))
 
 
-def scored(counts: DataFrame, lengths_: DataFrame, by: tuple[str, ...] = (), scope: str = "source") -> DataFrame:
+def scored(counts: DataFrame, index: Index, by: tuple[str, ...] = (), scope: str = "source") -> DataFrame:
     """(*by, source, chunk_id, path, ord, score) by BM25, lower is better.
 
     Statistics are those of the chunk's source, or of all chunks with scope "global".
     """
     group = ("source",) if scope == "source" else ()
-    stats = lengths_.groupBy(*group).agg(F.count("*").alias("n_all"), F.avg("dl").alias("avgdl"))
+    stats = index.stats if group else index.stats.agg(F.sum("n_all").alias("n_all"), F.sum("total").alias("total"))
+    stats = stats.select(*group, "n_all", (F.col("total") / F.col("n_all")).alias("avgdl"))
     df = counts.groupBy(*by, *group, "phrase").agg(F.count("*").alias("n"))
-    rows = counts.join(df, [*by, *group, "phrase"]).join(lengths_, list(KEY))
+    rows = counts.join(df, [*by, *group, "phrase"]).join(index.lengths, list(KEY))
     rows = rows.join(stats, "source") if group else rows.crossJoin(F.broadcast(stats))  # one row
     idf = F.log((F.col("n_all") - F.col("n") + 0.5) / (F.col("n") + 0.5))
     idf = F.when(idf > 0, idf).otherwise(F.lit(LEAST_IDF))
@@ -177,9 +181,10 @@ def search(index: Index, query: str, sources: list[str] | None = None, limit: in
     spark = index.chunks.sparkSession
     if sources:
         # a filter on the partition column; statistics by source do not change, global ones are those of the sources given
-        index = Index(*(df.where(F.col("source").isin(sources)) for df in (index.chunks, index.postings, index.lengths)), index.vocabulary, index.stemmed)
+        some = lambda df: df.where(F.col("source").isin(sources))
+        index = Index(some(index.chunks), some(index.postings), some(index.lengths), index.vocabulary, some(index.stats), index.stemmed)
     plan = _plan(query, index.stemmed)
-    rows = scored(phrase_counts(index, _plan_frame(spark, plan)), index.lengths, scope=scope)
+    rows = scored(phrase_counts(index, _plan_frame(spark, plan)), index, scope=scope)
     if global_limit is None:
         top = best(rows, limit, offset)
     else:
@@ -201,7 +206,7 @@ def search_batch(index: Index, queries: DataFrame, limit: int = LIMIT, scope: st
     rows = [(r.query_id, *p) for r in queries.select("query_id", "query").collect() for p in _plan(r.query or "", index.stemmed)]
     kind = queries.schema["query_id"].dataType.simpleString()
     counts = phrase_counts(index, _plan_frame(spark, rows, f"query_id {kind}, "), ("query_id",))
-    return best(scored(counts, index.lengths, ("query_id",), scope), limit, by=("query_id",)).select("query_id", "source", "path", "ord", "score", "rank")
+    return best(scored(counts, index, ("query_id",), scope), limit, by=("query_id",)).select("query_id", "source", "path", "ord", "score", "rank")
 
 
 _TOKEN = regex.compile(r"[\p{L}\p{N}\p{Co}\p{M}]+")

@@ -107,5 +107,5 @@ class Store:
     def remove_source(self, source: str, keep_documents: bool = False) -> None:
         """Chunks and postings of a source, and its documents unless they are kept."""
         name = self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(source)
-        for table in (*(() if keep_documents else ("documents",)), "index/chunks", "index/lengths", "index/postings"):
+        for table in (*(() if keep_documents else ("documents",)), "index/chunks", "index/lengths", "index/postings", "index/stats"):
             self.delete(f"{table}/source={name}")

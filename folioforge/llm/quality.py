@@ -1,12 +1,13 @@
 """Quality classifier on random-indexing word vectors.
 
-Words are reduced to classes: a short word stands for itself, a longer one for its
-shape (runs of small letters, capitals, digits and signs). Each class has a fixed
-sparse random index vector; its word vector is the sum of its neighbours' index
-vectors over the whole corpus. A document pools its words' vectors, and next to
-them how much it repeats itself. A two-layer network in numpy is fitted on a bounded
-sample of labelled rows, and a temperature on a part kept back makes its
-probabilities fit.
+Each word has a fixed sparse random index vector, made from its hash; its word vector
+is the sum of its neighbours' index vectors over the whole corpus. Sums are kept in a
+table dealt by hash, which grows with the vocabulary, and go back to each block of
+documents that has the word. A document pools its words' vectors, and next to them how
+much it repeats itself, in words and in classes of words: a short word stands for
+itself, a longer one for its shape (runs of small letters, capitals, digits and signs).
+A two-layer network in numpy is fitted on a bounded sample of labelled rows, and a
+temperature on a part kept back makes its probabilities fit.
 """
 
 from __future__ import annotations
@@ -16,13 +17,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._base import by_batch, id_type, one_in, table, text_bytes
-from .toxicity import labelled
+from ._base import give_back, id_type, one_in, settled, table, text_bytes
 
-#: Word classes, length of a vector, entries of an index vector that are not zero.
+#: Classes of shapes, length of a vector, entries of an index vector that are not zero.
 CLASSES, DIM, NONZERO = 1024, 48, 4
 #: Words of up to so many bytes stand for themselves.
 SHORT = 3
@@ -30,6 +31,8 @@ SHORT = 3
 FIT_ROWS, HIDDEN = 20_000, 32
 #: Bytes worked on at once.
 PART = 1 << 20
+#: Bytes of text for each part of the table of words.
+SHARE = 4 << 20
 EXTRA = 5
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -138,9 +141,9 @@ def neighbours(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     return (out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)).astype(np.float32)
 
 
-def pooled(texts: list[bytes], vectors: np.ndarray) -> np.ndarray:
-    """Features of texts: the mean of their words' vectors, then log length, share of words equal to the one before,
-    chance that two words are of one class, share of distinct words, and mean letters a word. Zero without a word."""
+def pooled(texts: list[bytes], vectors: np.ndarray, heard: list | None = None) -> np.ndarray:
+    """Features of texts: the mean of their words' shapes' vectors, then log length, share of words equal to the one before,
+    chance that two words are of one class, share of distinct words, and mean letters a word. Zero without a word. ``heard`` gets (owner, hash) of the words."""
     n = len(texts)
     out = np.zeros((n, DIM + EXTRA), np.float32)
     counts, equal, size, bytes_ = np.zeros((n, CLASSES), np.float32), np.zeros(n), np.zeros(n), np.array([len(x) for x in texts])
@@ -149,6 +152,8 @@ def pooled(texts: list[bytes], vectors: np.ndarray) -> np.ndarray:
         owner, token, h = words(pieces)
         if not len(owner):
             continue
+        if heard is not None:
+            heard.append((owner, h))
         low = owner[0]
         counts[low : owner[-1] + 1] += np.bincount((owner - low) * CLASSES + token, minlength=(owner[-1] - low + 1) * CLASSES).reshape(-1, CLASSES)
         same = (owner[1:] == owner[:-1]) & (h[1:] == h[:-1])
@@ -223,23 +228,200 @@ def train(x: np.ndarray, y: np.ndarray, hidden: int = HIDDEN, epochs: int = 40,
     return net
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> tuple[np.ndarray, Network]:
-    """Word vectors from all documents, and a network from at most ``most`` labelled ones, crc32(doc_id) mod 5 = 0 left out."""
-    vectors = neighbours(docs)
-    sample = labelled(docs, labels, "quality", "doc_id", "text", one_in("doc_id", 5) != 0, most)
+def _cells(h: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(place, sign) of each entry of the words' index vectors that is not zero."""
+    step = DIM // NONZERO
+    for k in range(NONZERO):
+        part = _mixed(h + np.uint64((k + 1) * int(_ODD) % (1 << 64)))
+        yield k * step + (part >> np.uint64(33)).astype(np.int64) % step, np.where(part & np.uint64(1), 1, -1)
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        x = pooled(text_bytes(batch.column(1)), vectors)
-        return pa.record_batch([batch.column(0), batch.column(2), pa.array([r.tobytes() for r in x], pa.binary())], names=["id", "y", "x"])
 
-    rows = sample.mapInArrow(by_batch(run), f"id {id_type(sample, 'id')}, y int, x binary").toArrow()
+def contexts(owner: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct words, each word's place among them, their sums): what follows and what precedes count in different places."""
+    found, at = np.unique(h, return_inverse=True)
+    out = np.zeros(len(found) * DIM, np.int32)
+    same = owner[1:] == owner[:-1]
+    left, right = at[:-1][same], at[1:][same]
+    for (place, sign), (before, sign_before) in zip(_cells(h[1:][same]), _cells(h[:-1][same]), strict=True):
+        out += np.bincount(left * DIM + place, sign, len(out)).astype(np.int32)
+        out += np.bincount(right * DIM + (before + 1) % DIM, sign_before, len(out)).astype(np.int32)
+    return found, at, out.reshape(-1, DIM)
+
+
+def _squeezed(raw: bytes) -> bytes:
+    return np.int64(len(raw)).tobytes() + pa.Codec("zstd", 1).compress(raw, asbytes=True)
+
+
+def _restored(data: bytes) -> bytes:
+    return pa.Codec("zstd").decompress(data[8:], int(np.frombuffer(data[:8], np.int64)[0]), asbytes=True)
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """First bytes of all numbers, then second ones, and so on: alike bytes lie together."""
+    return np.ascontiguousarray(x).reshape(-1).view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
+
+
+def _numbers(raw: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).reshape(-1).view(kind)
+
+
+_TRITS = 3 ** np.arange(5)
+_OF_TRITS = (np.arange(243)[:, None] // _TRITS % 3 - 1).astype(np.int8)
+_WIDTH = -(-DIM // 5) * 5
+
+
+def _packed(x: np.ndarray) -> bytes:
+    """Rows of whole numbers, exactly: each in the least of four widths that holds it, compressed."""
+    most = np.abs(x).max(1, initial=0)
+    width = ((most > 1).astype(np.uint8) + (most > 127) + (most > 32767)).astype(np.uint8)
+    least = np.zeros((int((width == 0).sum()), _WIDTH), np.int64)
+    least[:, :DIM] = x[width == 0]
+    trits = ((least + 1).reshape(-1, _WIDTH // 5, 5) @ _TRITS).astype(np.uint8)
+    pieces = [width.tobytes(), trits.tobytes(), x[width == 1].astype(np.int8).tobytes(), _planes(x[width == 2].astype(np.int16)), _planes(x[width == 3].astype(np.int64))]
+    return np.int32(len(x)).tobytes() + _squeezed(b"".join(pieces))
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    n, raw = int(np.frombuffer(data[:4], np.int32)[0]), _restored(data[4:])
+    width = np.frombuffer(raw, np.uint8, n)
+    sizes = np.bincount(width, minlength=4) * (_WIDTH // 5, DIM, 2 * DIM, 8 * DIM)
+    _, trits, bytes_, shorts, longs = (raw[a:b] for a, b in zip(np.r_[0, n + np.r_[0, np.cumsum(sizes)[:-1]]].tolist(), (n + np.r_[0, np.cumsum(sizes)]).tolist(), strict=True))
+    out = np.empty((n, DIM), np.int64)
+    out[width == 0] = _OF_TRITS[np.frombuffer(trits, np.uint8)].reshape(-1, _WIDTH)[:, :DIM]
+    out[width == 1] = np.frombuffer(bytes_, np.int8).reshape(-1, DIM)
+    out[width == 2] = _numbers(shorts, np.int16).reshape(-1, DIM)
+    out[width == 3] = _numbers(longs, np.int64).reshape(-1, DIM)
+    return out
+
+
+def _rising(x: np.ndarray) -> bytes:
+    """Numbers by their steps, which are small where they rise slowly."""
+    return _squeezed(_planes(np.diff(x, prepend=x.dtype.type(0))))
+
+
+def _risen(data: bytes, kind: type) -> np.ndarray:
+    return np.cumsum(_numbers(_restored(data), kind), dtype=kind)
+
+
+def _mark(found: np.ndarray) -> int:
+    """A number for a set of words; that of a union is the exclusive or."""
+    return int(np.bitwise_xor.reduce(found, initial=0).astype(np.uint64).view(np.int64))
+
+
+def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(id, x)``, one row for each row of ``docs``: the mean of the vectors of its words, then the further ones of ``pooled``.
+
+    Documents come in blocks, an Arrow batch each. A block sends its distinct words and their sums to the parts of the
+    table of words; a part adds them up and sends each block the sums over the corpus of the words it asked with. All
+    sums are whole numbers, so any order gives the same.
+    """
+    kind, none = id_type(docs, id_col), np.zeros((CLASSES, DIM), np.float32)
+    read = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    parts = max(16, -(-(read.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // SHARE))
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+        first = TaskContext.get().partitionId() << 32
+        for i, batch in enumerate(b for b in batches if b.num_rows):
+            yield first + i, batch
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, batch in blocks(batches):
+            heard = [words(pieces)[::2] for pieces in _groups(text_bytes(batch.column(1)))]
+            if not sum(len(o) for o, _ in heard):
+                continue
+            found, _, sums = contexts(np.concatenate([o for o, _ in heard]), np.concatenate([h for _, h in heard]))
+            part = ((found >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)  # in order, as the words
+            cut = np.r_[0, np.flatnonzero(np.diff(part)) + 1, len(part)]
+            spans = list(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True))
+            yield pa.record_batch(
+                [pa.array(part[cut[:-1]]), pa.array(np.full(len(spans), block)), pa.array([_rising(found[a:b]) for a, b in spans], pa.binary()), pa.array([_packed(sums[a:b]) for a, b in spans], pa.binary())],
+                names=["part", "block", "words", "sums"],
+            )
+        give_back()
+
+    def answer(group: pa.Table) -> pa.Table:
+        asked, sums = [_risen(x, np.uint64) for x in group["words"].to_pylist()], group["sums"].to_pylist()
+        found, at = np.unique(np.concatenate(asked), return_inverse=True)
+        total, cut = np.zeros((len(found), DIM), np.int64), np.cumsum([0, *(len(x) for x in asked)])
+        for i, x in enumerate(sums):  # a block's words are distinct
+            total[at[cut[i] : cut[i + 1]]] += _unpacked(x)
+        out = [_packed(total[at[a:b]]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        return pa.table({"block": group["block"], "part": group["part"], "mark": pa.array([_mark(x) for x in asked], pa.int64()), "sums": pa.array(out, pa.binary())})
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each block: ids, the further features, and (number of words of each text, their places, how often)."""
+        for block, batch in blocks(batches):
+            texts, measures, owners, hashes = text_bytes(batch.column(1)), [], [], []
+            for low in range(0, len(texts), 1024):
+                heard: list[tuple[np.ndarray, np.ndarray]] = []
+                measures.append(pooled(texts[low : low + 1024], none, heard)[:, DIM:])
+                owners += [o + low for o, _ in heard]
+                hashes += [h for _, h in heard]
+            owner, h = (np.concatenate(owners), np.concatenate(hashes)) if owners else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+            found, at = np.unique(h, return_inverse=True)
+            pair, times = np.unique(owner * max(len(found), 1) + at, return_counts=True)
+            of, place = np.divmod(pair, max(len(found), 1))
+            csr = [_squeezed(_planes(np.bincount(of, minlength=len(texts)).astype(np.int32))), _rising(place.astype(np.int32)), _squeezed(_planes(times.astype(np.int32)))]
+            ids = pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), batch.column(0))
+            yield pa.record_batch([pa.array([block]), ids, pa.array([np.concatenate(measures).tobytes()], pa.binary()), pa.array([csr], pa.list_(pa.binary())), pa.array([_mark(found)], pa.int64())], names=["block", "ids", "measures", "csr", "mark"])
+        give_back()
+
+    def pool(answers: pa.Table, own: pa.Table) -> pa.Table:
+        if own.num_rows != 1 or np.bitwise_xor.reduce(answers["mark"].to_numpy(), initial=0) != own["mark"][0].as_py():
+            raise RuntimeError("the documents changed between two reads")
+        ids = own["ids"].combine_chunks().flatten()
+        n = len(ids)
+        measures = np.frombuffer(own["measures"][0].as_py(), np.float32).reshape(n, EXTRA)
+        size, place, times = own["csr"][0].as_py()
+        size, place, times = _numbers(_restored(size), np.int32), _risen(place, np.int32), _numbers(_restored(times), np.int32)
+        mean = np.zeros((n, DIM), np.float32)
+        if len(place):
+            sums = answers.sort_by("part")["sums"].to_pylist()
+            vec = np.concatenate([_unit(_unpacked(x)) for x in sums])
+            edge = np.r_[0, np.cumsum(size)]
+            for low in range(0, n, 256):
+                here = np.flatnonzero(size[low : low + 256]) + low
+                if len(here):
+                    a, b = edge[low], edge[min(low + 256, n)]
+                    mean[here] = np.add.reduceat(vec[place[a:b]] * times[a:b, None].astype(np.float32), edge[here] - a) / np.add.reduceat(times[a:b], edge[here] - a)[:, None]
+        x = np.concatenate([mean, measures], axis=1)
+        return pa.table({"id": ids, "x": pa.array([r.tobytes() for r in x], pa.binary())})
+
+    asked = read.mapInArrow(ask, "part long, block long, words binary, sums binary")
+    answers = asked.groupBy("part").applyInArrow(answer, "block long, part long, mark long, sums binary")
+    own = read.mapInArrow(held, f"block long, ids array<{kind}>, measures binary, csr array<binary>, mark long")
+    return answers.groupBy("block").cogroup(own.groupBy("block")).applyInArrow(pool, f"id {kind}, x binary")
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    return (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)).astype(np.float32)
+
+
+def fit(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> tuple[DataFrame, Network]:
+    """Features of all documents, and a network from at most ``most`` labelled ones, crc32(doc_id) mod 5 = 0 left out."""
+    found = settled(features(docs), "features")
+    some = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & (one_in("doc_id", 5) != 0)).groupBy(F.col("doc_id").alias("id_")).agg(F.max("quality").cast("int").alias("y")).orderBy(F.xxhash64("id_"), "id_").limit(most)
+    rows = found.join(F.broadcast(some), found.id == F.col("id_")).groupBy("id", "y").agg(F.min("x").alias("x")).select("id", "y", "x").toArrow()
     x = np.frombuffer(b"".join(rows["x"].to_pylist()), np.float32).reshape(-1, DIM + EXTRA)
     order = np.argsort([f"{i}" for i in rows["id"].to_pylist()], kind="stable") if len(x) else np.zeros(0, np.int64)
-    return vectors, train(x[order], rows["y"].to_numpy()[order])
+    return found, train(x[order], rows["y"].to_numpy()[order])
+
+
+def judged(found: DataFrame, network: Network) -> DataFrame:
+    """``(id, score)`` from ``features``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.float32).reshape(batch.num_rows, -1)
+            yield pa.record_batch([batch.column(0), pa.array(network(x))], names=["id", "score"])
+
+    return found.select("id", "x").mapInArrow(run, f"id {id_type(found, 'id')}, score double")
 
 
 def scores(docs: DataFrame, vectors: np.ndarray, network: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, score)``, one row for each row of ``docs``; null and empty texts have the score of zero features."""
+    """``(id, score)`` by a network of shapes alone, for texts outside the corpus; one row for each row of ``docs``. Null
+    and empty texts have the score of zero features."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -253,5 +435,5 @@ def scores(docs: DataFrame, vectors: np.ndarray, network: Network, id_col: str =
 def op10_quality(spark, sf_dir: str) -> DataFrame:
     """Quality of each document: 0 to 1, with a verdict at 0.3."""
     docs = table(spark, sf_dir, "documents")
-    out = scores(docs, *fit(docs, table(spark, sf_dir, "labels")))
+    out = judged(*fit(docs, table(spark, sf_dir, "labels")))
     return out.select(F.col("id").alias("doc_id"), (one_in("id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))

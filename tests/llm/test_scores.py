@@ -174,6 +174,38 @@ def test_quality_edge_rows(spark, edge, edge_rows, empty):
     quality.fit(edge, labels)
 
 
+def test_words_of_one_shape_differ(spark, edge, edge_rows, empty):
+    """Each word has a vector of its own, that of all its neighbours in all blocks; texts of one shape pool differently."""
+    rng = random.Random(12)
+    texts = [" ".join(rng.choice(("alpha", "gamma", "delta", "слово", "книга")) for _ in range(rng.randint(1, 30))) for _ in range(40)] + ["alpha gamma alpha", "delta theta delta"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.id: np.frombuffer(r.x, np.float32)[: quality.DIM] for r in quality.features(docs).collect()}
+    heard = [t.split() for t in texts]
+    _, _, h = quality.words([(0, " ".join(sorted({w for t in heard for w in t})).encode())])
+    h = dict(zip(sorted({w for t in heard for w in t}), h.tolist(), strict=True))
+    index = {w: np.zeros(quality.DIM) for w in h}
+    for w in h:
+        for place, sign in quality._cells(np.array([h[w]], np.uint64)):
+            index[w][place] += sign
+    sums = {w: np.zeros(quality.DIM) for w in h}
+    for t in heard:
+        for a, b in zip(t, t[1:], strict=False):
+            sums[a] += index[b]
+            sums[b] += np.roll(index[a], 1)
+    for i, t in enumerate(heard):
+        want = np.mean([sums[w] / max(np.linalg.norm(sums[w]), 1e-9) for w in t], axis=0)
+        assert np.allclose(got[i], want, atol=1e-5)
+    assert np.abs(got[40] - got[41]).max() > 0.1
+    found = quality.features(edge).collect()
+    assert sorted(str(r.id) for r in found) == sorted(str(r[0]) for r in edge_rows)
+    assert quality.features(empty).count() == 0
+
+
+def test_packed_rows():
+    x = np.array([[0] * quality.DIM, [127] * quality.DIM, [-128] * quality.DIM, [-1, 0, 1] * (quality.DIM // 3), [300] * quality.DIM, [1 << 40] * quality.DIM])
+    assert (quality._unpacked(quality._packed(x)) == x).all() and len(quality._unpacked(quality._packed(x[:0]))) == 0
+
+
 def test_network_learns_and_calibrates():
     """A ring in three of the features, which no linear model finds, and labels with noise."""
     rng = np.random.default_rng(0)

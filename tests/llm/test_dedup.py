@@ -187,6 +187,31 @@ def test_itq_recall_and_blocks(spark, monkeypatch):
     assert (found <= near.sum(1)).all() and found.sum() >= 0.9 * near.sum()
 
 
+def planted(mean, n=1500, d=64, pairs=300):
+    """Vectors that share a direction, and pairs at 0.931 to 0.95 among them."""
+    rng = np.random.default_rng(13)
+    x = rng.normal(size=(n, d)) / d**0.5
+    x[:, 0] += mean / (1 - mean * mean) ** 0.5
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for i, c in enumerate(np.linspace(0.931, 0.95, pairs)):
+        way = rng.normal(size=d)
+        way -= (way @ x[2 * i]) * x[2 * i]
+        x[2 * i + 1] = c * x[2 * i] + (1 - c * c) ** 0.5 * way / np.linalg.norm(way)
+    near = x @ x.T >= 0.93
+    np.fill_diagonal(near, False)
+    return x, near.sum(1)
+
+
+@pytest.mark.parametrize("mean,group,least", [(0.45, 16, 0.98), (0.71, 16, 0.97), (0.83, 1024, 1.0)])
+def test_itq_recall_about_a_mean(spark, monkeypatch, mean, group, least):
+    """As many tables as pairs at the least cosine need; in a label of few blocks all pairs are compared."""
+    monkeypatch.setattr(itq, "GROUP", group)
+    x, near = planted(mean)
+    got = {r.id: r.n_links for r in itq.near_duplicates(spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")).collect()}
+    found = np.array([got[i] for i in range(len(x))])
+    assert (found <= near).all() and found.sum() >= least * near.sum()
+
+
 def test_itq_empty(spark):
     assert itq.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 

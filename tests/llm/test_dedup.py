@@ -212,6 +212,25 @@ def test_itq_recall_about_a_mean(spark, monkeypatch, mean, group, least):
     assert (found <= near).all() and found.sum() >= least * near.sum()
 
 
+def test_itq_stray_dimension(spark, monkeypatch):
+    """A longer vector changes nothing for the others, and two dimensions have rotations of their own."""
+    monkeypatch.setattr(itq, "GROUP", 16)
+    x, near = planted(0.45)
+    y, near_y = planted(0.45, n=900, d=32, pairs=200)
+    fitted, learn = [], itq.learn_tables
+    monkeypatch.setattr(itq, "learn_tables", lambda x, *how: fitted.append(x.shape) or learn(x, *how))
+
+    def links(rows):
+        df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(rows)], "vec_id long, embedding array<double>, label int")
+        got = {r.id: r.n_links for r in itq.near_duplicates(df).collect()}
+        return np.array([got[i] for i in range(len(rows))])
+
+    alone, mixed = links(list(x)), links([*x, *y, np.ones(80)])
+    assert (mixed[: len(x)] == alone).all() and mixed[-1] == 0
+    assert alone.sum() >= 0.98 * near.sum() and mixed[len(x) : -1].sum() >= 0.97 * near_y.sum()
+    assert fitted == [(1500, 64), (900, 32), (1500, 64)]
+
+
 def test_itq_empty(spark):
     assert itq.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 

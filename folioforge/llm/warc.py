@@ -32,6 +32,10 @@ DATE = "1970-01-01T00:00:00Z"
 RECORDS = "type string, record_id string, refers_to string, target_uri string, date string, content_type string, block_digest string, payload_digest string, headers string, block binary"
 
 _HIDDEN = re.compile(r"<!--|<(script|style|noscript|template|svg)\b[^<>]*>", re.I)
+_NESTED = ("svg", "template")
+#: What ends an element that is not shown; in those that nest, also what opens another, and comments.
+_CLOSING = {n: re.compile(rf"</{n}", re.I) for n in ("script", "style", "noscript", "template", "svg")}
+_INNER = {n: re.compile(rf"<!--|</{n}(?=[\s/>])|<{n}\b[^<>]*>", re.I) for n in _NESTED}
 _BREAK = re.compile(r"<(?:/?(?:p|div|br|hr|li|ul|ol|dl|dt|dd|h[1-6]|tr|table|thead|tbody|article|section|header|footer|nav|main|aside|blockquote|pre|figure|form|title|head|body|option)(?=[\s/>]))[^<>]*>", re.I)
 _TAG = re.compile(r"</?[a-zA-Z][^<>]*>|<[!?][^<>]*>")
 _CELL = re.compile(r"<t[dh](?=[\s/>])[^<>]*>", re.I)
@@ -70,18 +74,37 @@ def decoded(body: bytes, content_type: str) -> str:
 
 
 def _shown(text: str) -> str:
-    """HTML without comments and elements that are not shown. An element that is not closed hides the rest of the text."""
-    out, at, lower = [], 0, None
+    """HTML without comments and elements that are not shown. An element that is not closed hides the rest of the text.
+
+    An svg that closes itself is empty, also inside another; svg and template end where as many are closed as opened.
+    The others hold text only, and in them a slash before the end of a tag means nothing, as in browsers.
+    """
+    out, at = [], 0
     for m in iter(lambda: _HIDDEN.search(text, at), None):
         out.append(text[at : m.start()])
         if m[1] is None:
             end = text.find("-->", m.end())
             at = end + 3 if end >= 0 else len(text)
-        else:
-            lower = lower if lower is not None else text.lower() if len(text.lower()) == len(text) else text
-            end = lower.find(f"</{m[1].lower()}", m.end())
-            close = text.find(">", end) if end >= 0 else -1
-            at = close + 1 if close >= 0 else len(text)
+            continue
+        name, at = m[1].lower(), m.end()
+        if name == "svg" and m[0].endswith("/>"):
+            continue
+        depth = 1
+        while depth:
+            tag = (_INNER if name in _NESTED else _CLOSING)[name].search(text, at)
+            if not tag:
+                at = len(text)
+                break
+            at = tag.end()
+            if tag[0].startswith("<!--"):
+                end = text.find("-->", at)
+                at = end + 3 if end >= 0 else len(text)
+            elif tag[0].startswith("</"):
+                depth -= 1
+                close = text.find(">", at)
+                at = close + 1 if close >= 0 else len(text)
+            elif not (name == "svg" and tag[0].endswith("/>")):
+                depth += 1
     out.append(text[at:])
     return " ".join(out) if len(out) > 1 else out[0]
 

@@ -175,6 +175,18 @@ PAGE = """<html><head><title>T &amp; x</title><style>p{}</style></head><body><!-
 <script>var a = "<p>no</p>";</script><p>One<br>two <b>three</b></p><img src='i.png'><a href="https://o.x/z?q=1&amp;r=2">out</a><svg><text>no</text></svg><p>tail &lt;b&gt;</body></html>"""
 
 
+def test_elements_that_are_not_shown():
+    show = lambda page: warc.plain_text(page).split()
+    assert show('<p>a<svg class="i" />b</p><p>c</p>') == ["a", "b", "c"]
+    assert show("a<SVG/>b<svg><svg/><path d='x'/><text>no</text></svg>c<svg />d") == ["a", "b", "c", "d"]
+    assert show("a<svg><svg><text>no</text></svg><text>no</text></svg>b") == ["a", "b"]
+    assert show("a<template><template>no</template>no</TEMPLATE>b") == ["a", "b"]
+    assert show("a<svg><!-- </svg> <svg> -->no</svg>b") == ["a", "b"]
+    assert show("a<svg><svg>no</svg>no") == ["a"] and show("a<template/>no</template>b") == ["a", "b"]
+    assert show("a<svg>" + "</svg" * 50000) == ["a"] and show("a<svg>" * 50000) == ["a"]
+    assert show("a<script/>no</script>b<style>no<style></style>c") == ["a", "b", "c"]
+
+
 def test_plain_text_and_links():
     assert warc.plain_text(PAGE) == "T & x\nA\nOne\ntwo three\nout\ntail <b>"
     assert [x["url"] for x in warc.links(PAGE, "https://h.x/d/")] == ["https://h.x/a", "https://h.x/d/i.png", "https://o.x/z?q=1&r=2"]

@@ -26,7 +26,11 @@ def largest(candidates: DataFrame) -> DataFrame:
     return candidates.join(F.broadcast(best), "strategy")  # one row
 
 
-def reachable(links: DataFrame, start: DataFrame, most_rounds: int = 100) -> DataFrame:
+#: Rounds after which what was visited is written as one table, so that its plan stays short on deep graphs.
+ROUNDS = 16
+
+
+def reachable(links: DataFrame, start: DataFrame) -> DataFrame:
     """links(src, dst), start(node) -> (node, depth): breadth first.
 
     Each round joins the frontier with the links and drops what was visited by an anti join; a round's result is
@@ -34,9 +38,11 @@ def reachable(links: DataFrame, start: DataFrame, most_rounds: int = 100) -> Dat
     """
     frontier = settled(start.select("node").where("node is not null").distinct().withColumn("depth", F.lit(0)), "frontier")
     seen, depth = frontier, 0
-    while depth < most_rounds and not frontier.isEmpty():
+    while not frontier.isEmpty():
         depth += 1
         step = frontier.join(links, frontier.node == links.src).select(F.col("dst").alias("node")).where("node is not null").distinct()
         frontier = settled(step.join(seen, "node", "left_anti").withColumn("depth", F.lit(depth)), "frontier")
         seen = seen.unionByName(frontier)
+        if depth % ROUNDS == 0:
+            seen = settled(seen, "seen")
     return seen

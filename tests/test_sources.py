@@ -154,6 +154,11 @@ def test_catalog(spark):
     assert catalog.manifest_map(spark.createDataFrame([("s", "p", "u", "h", AT, 1), ("s", "p", "u", "old", datetime(2023, 1, 1), 1)], "source string, path string, url string, content_hash string, fetched_at timestamp, token_count int")).first().pages["p"].content_hash == "h"
 
 
+def test_reachable_over_a_hundred_hops(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(104)], "src int, dst int")
+    assert sorted(map(tuple, discover.reachable(links, spark.createDataFrame([(0,)], "node int")).collect())) == [(i, i) for i in range(105)]
+
+
 def test_reachable(spark):
     links = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("x", "y"), ("a", None)], "src string, dst string")
     assert sorted(map(tuple, discover.reachable(links, spark.createDataFrame([("a",)], "node string")).collect())) == [("a", 0), ("b", 1), ("c", 2)]

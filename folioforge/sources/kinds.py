@@ -122,18 +122,20 @@ def tree_files(nodes: DataFrame, subdir: str = "") -> DataFrame:
     return kept.select("pos", F.col("path").alias("file"), F.regexp_replace("path", r"\.[^./]*$", "").alias("path"))
 
 
-def _sitemap_pages(spark: SparkSession, r: Request, sitemaps: list[str], depth: int = 3) -> DataFrame:
-    """(url, pos) of sitemaps, indexes of sitemaps followed to a depth."""
-    found, todo = None, sitemaps
+def _sitemap_pages(spark: SparkSession, r: Request, sitemaps: DataFrame, depth: int = 3) -> DataFrame:
+    """(url, pos) of sitemaps(url), indexes of sitemaps followed to a depth, each sitemap once."""
+    found = spark.createDataFrame([], "url string, pos int")
+    todo = settled(sitemaps.select("url").distinct(), "todo")
+    seen = todo
     for _ in range(depth + 1):
-        if not todo:
+        if todo.isEmpty():
             break
-        got = settled(ok_pages(_get(spark, r, *todo)).select("url", "body"), "sitemaps")
+        got = settled(ok_pages(fetched(todo, r.fetcher, expand_map(r.headers))).select("url", "body"), "sitemaps")
         locs = got.select("url", U.is_sitemap_index("body").alias("index"), F.posexplode(U.sitemap_locs("body")).alias("pos", "loc"))
-        pages = locs.where(~F.col("index")).select(F.col("loc").alias("url"), "pos")
-        found = pages if found is None else found.unionByName(pages)
-        todo = [x.loc for x in locs.where("index").select("loc").distinct().limit(1000).collect()]
-    return found if found is not None else spark.createDataFrame([], "url string, pos int")
+        found = found.unionByName(locs.where(~F.col("index")).select(F.col("loc").alias("url"), "pos"))
+        todo = settled(locs.where("index").select(F.col("loc").alias("url")).distinct().join(seen, "url", "left_anti"), "todo")
+        seen = seen.unionByName(todo)
+    return found
 
 
 def website(spark: SparkSession, r: Request) -> DataFrame:
@@ -145,10 +147,9 @@ def website(spark: SparkSession, r: Request) -> DataFrame:
     if scope.startswith(parts.scope_path0) and parts.scope_path0 != scope:
         scope = parts.scope_path0
     origins = {u.split("/")[0] + "//" + u.split("/")[2] for u in (r.root, first.final_url)}
-    robots = ok_pages(_get(spark, r, *(f"{o}/robots.txt" for o in sorted(origins)))).select(F.explode(U.robots_sitemaps("body")).alias("u"))
-    named = [x.u for x in robots.distinct().limit(100).collect()]
+    robots = ok_pages(_get(spark, r, *(f"{o}/robots.txt" for o in sorted(origins)))).select(F.explode(U.robots_sitemaps("body")).alias("url"))
     usual = [f"{o}{d}{n}" for o in sorted(origins) for d in sorted({parts.parent_dir1, "/"}) for n in U.SITEMAPS]
-    maps = _sitemap_pages(spark, r, list(dict.fromkeys(named + usual)))
+    maps = _sitemap_pages(spark, r, robots.unionByName(spark.createDataFrame([(u,) for u in usual], "url string")))
     pages = settled(discover.filtered(maps, hosts, scope, r.most), "sitemap")
     if pages.isEmpty():
         links = [(u, i) for i, u in enumerate(navigation(first.body))]

@@ -41,6 +41,24 @@ def test_sitemap_site(spark):
     assert [(r.url, r.path) for r in got] == [("https://s.x/docs/a", "docs/a"), ("https://s.x/docs/b.html", "docs/b")]
 
 
+def test_many_sitemaps(spark):
+    """All sitemaps of robots.txt and of an index are read, however many, before the source's limit on pages."""
+    maps = lambda kind, urls: "".join(f"<{kind}><loc>{u}</loc></{kind}>" for u in urls)
+    web = {
+        "https://m.x/docs": (200, "text/html", page("Home")),
+        "https://m.x/robots.txt": (200, "text/plain", "".join(f"Sitemap: https://m.x/r{i}.xml\n" for i in range(120)) + "Sitemap: https://m.x/index.xml\n"),
+        **{f"https://m.x/r{i}.xml": (200, "application/xml", f"<urlset>{maps('url', [f'https://m.x/docs/r{i}'])}</urlset>") for i in range(120)},
+        "https://m.x/index.xml": (200, "application/xml", f"<sitemapindex>{maps('sitemap', ['https://m.x/index.xml', *(f'https://m.x/s{i}.xml' for i in range(1100))])}</sitemapindex>"),
+        **{f"https://m.x/s{i}.xml": (200, "application/xml", f"<urlset>{maps('url', [f'https://m.x/docs/s{i}'])}</urlset>") for i in range(1100)},
+    }
+    web |= {f"https://m.x/docs/{k}": (200, "text/html", page(k)) for k in (*(f"r{i}" for i in range(120)), *(f"s{i}" for i in range(1100)))}
+    r = kinds.Request("name", "website", "https://m.x/docs", AT, fetcher=TableFetcher(web), max_pages=5000)
+    maps_of = kinds._sitemap_pages(spark, r, spark.createDataFrame([("https://m.x/index.xml",)], "url string"))
+    assert {x.url for x in maps_of.collect()} == {f"https://m.x/docs/s{i}" for i in range(1100)}
+    got = kinds.pull(spark, r).collect()
+    assert len(got) == 1220
+
+
 def test_navigation_site(spark):
     assert [r.path for r in pull(spark, "website", "https://n.x/docs")] == ["docs/index", *(f"docs/p{i}" for i in range(6))]
     assert len(pull(spark, "website", "https://n.x/docs", max_pages=3)) == 3

@@ -3,8 +3,8 @@
 Texts are folded first (compatibility forms, case, look-alike letters of other
 scripts, digits and signs used for letters, invisible characters), so one entry
 meets all spellings. The lexicon, its weights and its exception phrases are learned
-from labelled rows: words, and beginnings of words, whose documents are mostly
-toxic; and pairs of words that hold an entry in documents that are not. The weight
+from labelled rows: words, and beginnings that several words share, whose documents
+are mostly toxic; and pairs of words that hold an entry in documents that are not. The weight
 of what matches, and that weight against the length of the text, give the score.
 """
 
@@ -31,8 +31,8 @@ FIT_ROWS = 20_000
 ENTRIES = 2_000
 #: Least labelled documents of an entry, and the least share of them that is toxic.
 SUPPORT, PURITY = 6, 0.9
-#: Lengths of beginnings of words that may be entries.
-STEMS = (4, 5, 6)
+#: Lengths of beginnings of words that may be entries, and how many different words must share one.
+STEMS, KIN = (4, 5, 6), 3
 
 _LOOK = {
     "а": "a", "в": "b", "с": "c", "ԁ": "d", "е": "e", "һ": "h", "і": "i", "ј": "j", "к": "k", "ӏ": "l", "м": "m", "о": "o", "р": "p", "ԛ": "q", "ѕ": "s", "т": "t", "ү": "y", "у": "y", "х": "x",
@@ -140,8 +140,15 @@ def learn(sample: DataFrame, entries: int = ENTRIES, support: int = SUPPORT, pur
         terms = list(n)
         return pa.record_batch([pa.array(terms, pa.string()), pa.array([n[x] for x in terms], pa.int64()), pa.array([t[x] for x in terms], pa.int64())], names=["term", "n", "t"])
 
-    counts = sample.select("text", "y").mapInArrow(by_batch(count), "term string, n long, t long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
-    pure = counts.where((F.col("t") >= support) & (F.col("t") >= purity * F.col("n"))).orderBy(F.desc("t"), "term").limit(4 * entries).collect()
+    counts = settled(sample.select("text", "y").mapInArrow(by_batch(count), "term string, n long, t long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("t").alias("t")), "terms")
+    # the words that begin so, and the most toxic documents of one of them
+    whole = counts.where(F.col("term").endswith(" "))
+    kin = whole.where("t > 0").select("t", F.explode(F.array(*(F.when(F.length("term") >= k + 2, F.substring("term", 1, k + 1)) for k in STEMS))).alias("begin")).where("begin is not null").groupBy("begin").agg(F.count("*").alias("words"), F.max("t").alias("best"))
+    pure = counts.where((F.col("t") >= support) & (F.col("t") >= purity * F.col("n"))).join(kin, F.col("term") == F.col("begin"), "left")
+    pure = pure.where(F.col("term").endswith(" ") | (F.col("words") >= KIN) & (F.col("t") - F.col("best") >= support)).orderBy(F.desc("t"), "term").limit(4 * entries).collect()
+    # of beginnings of the same documents the longest stays
+    longer = {r.term[:k]: r.t for r in sorted(pure, key=lambda r: r.t) if not r.term.endswith(" ") for k in range(2, len(r.term))}
+    pure = [r for r in pure if longer.get(r.term, 0) < r.t]
     weights: dict[str, float] = {}
     for r in sorted(pure, key=lambda r: (len(r.term.strip()), r.term.endswith(" "), r.term)):  # a beginning stands for all that begins with it
         if not any(r.term[:k] in weights for k in range(2, len(r.term))) and len(weights) < entries:

@@ -55,6 +55,15 @@ def test_toxicity_learns_exceptions(spark):
     assert lex.score(toxicity.fold("a trash can")) < 0.5 < 0.7 < lex.score(toxicity.fold("such trash here"))
 
 
+def test_beginnings_need_several_words(spark):
+    """One toxic word stands for itself; a beginning stands for it only where several words share it."""
+    rows = [(i, f"so pathetic a thing {'pathx' if i == 0 else ''}", 1) for i in range(60)] + [(100 + i, f"such idiot{('', 's', 'ic', 'y')[i % 4]} here", 1) for i in range(80)] + [(200 + i, f"word{i} fine text so a thing such here", 0) for i in range(300)]
+    lex = toxicity.learn(spark.createDataFrame(rows, "id long, text string, y int"))
+    assert " pathetic " in lex.weights and " idiot" in lex.weights and not {" path", " pathe", " idio"} & set(lex.weights)
+    hit = lambda text: lex.matched(toxicity.fold(text))[1]
+    assert hit("the path along the pathway, an idiom") == 0 and hit("pathetic") == 1 and hit("idiotics") == 1
+
+
 def test_op2_held_out(spark):
     """Labels of the data are noisy: some toxic rows hold no toxic word at all."""
     out = toxicity.op2_toxicity(spark, MID).toPandas()

@@ -4,9 +4,11 @@ Only the histogram of piece lengths (as many rows as a sequence has tokens) reac
 the driver. There the configurations, ways to fill one sequence, get weights by
 multiplicative updates: each round prices the lengths, a knapsack dynamic program
 finds the best configuration with each length in it, those near the best gain
-weight, and lengths that they serve get cheaper. Weights are rounded down, and what
-is left goes by best fit decreasing, on the histogram too. The plan says which ranks
-of each length go where; pieces get their ranks by counts, in parallel.
+weight, and lengths that they serve get cheaper; prices also bound the number of
+sequences from below. Weights are rounded at several scales, what is left goes by
+best fit decreasing, on the histogram too, and the plan with the fewest sequences is
+taken, best fit alone among them. The plan says which ranks of each length go where;
+pieces get their ranks by counts, in parallel.
 """
 
 from __future__ import annotations
@@ -24,29 +26,38 @@ from pyspark.sql import functions as F
 from ._base import give_back, id_type, settled, table
 
 LENGTH = 2048
-#: Rounds of the multiplicative weights, their step, and how near the best a configuration must be.
-ROUNDS, STEP, NEAR = 60, 0.5, 0.2
-#: Times the program is solved (again for what rounding has left, if over 1; best fit does better with it), and the share of a sequence that a configuration may leave empty.
-AGAIN, SLACK = 1, 0.0
+#: Most rounds of the multiplicative weights, what a round covers of a length at most, and the gap to the lower bound at
+#: which rounds end.
+ROUNDS, STEP, GAP = 150, 0.05, 0.005
+#: How fast prices fall with what is covered, and how near the best a configuration must be; the program runs with each.
+WAYS = ((8.0, 0.1), (20.0, 0.03))
 #: Pieces that are ranked in one group, about.
 GROUP = 8_000
 #: Texts of these characters only are split alike by both tokenizer libraries, whatever Unicode version they hold.
 _PLAIN = regex.compile(r"[^\x00-ɏ‐-‧€]")
 SPECIAL = "<|endoftext|>"
+#: Characters of a text that go to a tokenizer at once, about.
+LONG = 1 << 16
+#: What is a letter, or no white space, in any Unicode version.
+_LETTER = regex.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u0391-\u03a1\u03a3-\u03c9\u0410-\u044f\u4e00-\u9fa5\u3041-\u3094\u30a1-\u30fa\uac00-\ud7a3]")
+_EDGE = regex.compile(r"(?r)(?<=[!-~]|" + _LETTER.pattern + r")[ \n]")
 
 
 class Tokens:
     """Token ids as the tokenizer file gives them (no special tokens added).
 
     Texts of Latin letters go through the same vocabulary in tiktoken, which gives the same ids in a quarter of the
-    time (tests compare them); all others, and those that spell a special token, through the file itself.
+    time (tests compare them); all others, and those that spell a special token, through the file itself. A long text
+    goes in parts, cut where neither the split into words nor a merge can reach across, so that what a library builds
+    for one call stays small; a part without such a place, one endless word, is split by the file's pattern and merged
+    word by word.
     """
 
     def __init__(self, json_name: str = "byte_bpe_50k.json", ranks_name: str | None = "byte_bpe_50k.tiktoken", folder: str | None = None):
-        self.json_name, self.ranks_name, self.folder, self._json, self._ranks = json_name, ranks_name, folder, None, None
+        self.json_name, self.ranks_name, self.folder, self._json, self._ranks, self._joins = json_name, ranks_name, folder, None, None, None
 
     def __getstate__(self):
-        return self.__dict__ | {"_json": None, "_ranks": None}
+        return self.__dict__ | {"_json": None, "_ranks": None, "_joins": None}
 
     def _path(self, name: str) -> str:
         if self.folder:
@@ -72,14 +83,64 @@ class Tokens:
             with open(self._path(self.ranks_name), "rb") as f:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
             self._ranks = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+            self._joins = np.zeros((256, 256), bool)
+            for token in ranks:
+                for pair in zip(token, token[1:], strict=False):
+                    self._joins[pair] = True
         return self._ranks
 
+    def _apart(self, left: str, right: str) -> bool:
+        """Whether no token holds the last byte of ``left`` and the first of ``right`` next to each other."""
+        return not self._joins[left.encode("utf-8", "replace")[-1], right.encode("utf-8", "replace")[0]]
+
+    def _cut(self, text: str, low: int, end: int) -> int | None:
+        """The last place in (low, end) where ``text`` can be cut without a change of ids."""
+        found = _EDGE.search(text, low + 1, end)
+        if found:  # before white space that follows a letter or sign: words never reach from these into white space
+            return found.start()
+        if not self.ranks_name or SPECIAL in text[max(0, low - len(SPECIAL)) : end + len(SPECIAL)]:
+            return None
+        self.quick  # noqa: B018  makes the table of joins
+        for i in range(end - 1, low + 2, -1):
+            a, b = text[i - 1], text[i]
+            if a in " \t\n\r" and b in " \t\n\r":
+                if self._apart(a, b):  # inside one run of white space
+                    return i
+            elif a.isascii() and b.isascii():
+                if a.isalnum() and b.isalnum() and a.isdigit() != b.isdigit():  # between two words
+                    return i
+                if a.isalpha() and b.isalpha() and _LETTER.match(text[i - 2]) and self._apart(a, b):
+                    return i  # inside one word; the letter before keeps 'll and its like whole
+            elif _LETTER.match(a) and _LETTER.match(text[i - 2]) and _LETTER.match(b) and self._apart(a, b):
+                return i
+        return None
+
+    def _parts(self, text: str) -> Iterator[str]:
+        at = 0
+        while len(text) - at > LONG:
+            end, cut = at + LONG, None
+            while cut is None and end < len(text):
+                cut, end = self._cut(text, max(at, end - LONG - 3), end), end + LONG
+            if cut is None:
+                break
+            yield text[at:cut]
+            at = cut
+        yield text[at:]
+
+    def _ids(self, text: str) -> np.ndarray:
+        if self.ranks_name and SPECIAL not in text and not _PLAIN.search(text):
+            if len(text) <= 2 * LONG:
+                return self.quick.encode_to_numpy(text, disallowed_special=()).astype("<u4")
+            import public_tokenizers
+
+            merge, words = self.quick._core_bpe.encode_single_piece, regex.finditer(public_tokenizers.PATTERN, text)
+            return np.fromiter((i for w in words for i in merge(w[0].encode("utf-8"))), "<u4")
+        return np.array(self.exact.encode(text, add_special_tokens=False).ids, dtype="<u4")
+
     def __call__(self, text: str) -> np.ndarray:
         if not text:
             return np.zeros(0, "<u4")
-        if self.ranks_name and SPECIAL not in text and not _PLAIN.search(text):
-            return self.quick.encode_to_numpy(text, disallowed_special=()).astype("<u4")
-        return np.array(self.exact.encode(text, add_special_tokens=False).ids, dtype="<u4")
+        return self._ids(text) if len(text) <= LONG else np.concatenate([self._ids(x) for x in self._parts(text)])
 
 
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, end_id: int = 0, tokens: Tokens | None = None) -> DataFrame:
@@ -111,14 +172,17 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leng
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {id_type(docs, id_col)}, piece int, start long, length long, ids binary")
 
 
-def _fill(prices: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Knapsack: the best value of each capacity up to len(prices) - 1, and the length to take first (0: none)."""
+def _fill(prices: np.ndarray, have: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Knapsack over the lengths ``have``: the best value of each capacity up to len(prices) - 1, and the length to take
+    first (0: none; of equal ones the longest)."""
     n = len(prices)
-    best, take = np.zeros(n), np.zeros(n, np.int64)
-    for c in range(1, n):
-        value = best[:c][::-1] + prices[1 : c + 1]
-        k = int(value.argmax())
-        best[c], take[c] = (value[k], k + 1) if value[k] > best[c - 1] else (best[c - 1], 0)
+    best, take, own = np.zeros(n), np.zeros(n, np.int64), prices[have]
+    fits = np.searchsorted(have, np.arange(n), side="right")
+    for c in range(int(have[0]), n):
+        k = fits[c]
+        value = best[c - have[:k]] + own[:k]
+        i = k - 1 - int(value[::-1].argmax())
+        best[c], take[c] = (value[i], have[i]) if value[i] > best[c - 1] else (best[c - 1], 0)
     return best, take
 
 
@@ -133,36 +197,49 @@ def _pattern(first: int, length: int, take: np.ndarray) -> tuple[int, ...]:
     return tuple(sorted(found, reverse=True))
 
 
-def configurations(counts: np.ndarray, rounds: int = ROUNDS) -> dict[tuple[int, ...], float]:
-    """Weights of configurations that cover about ``counts[l]`` pieces of each length l, by multiplicative weights."""
+def configurations(counts: np.ndarray, rounds: int = ROUNDS, gap: float = GAP, way: tuple[float, float] = WAYS[0]) -> tuple[dict[tuple[int, ...], float], np.ndarray, float]:
+    """The covering program by multiplicative weights: (weights of configurations, how far they cover each length, a lower
+    bound on the number of sequences).
+
+    Each round prices the lengths, those least covered dearest, and the knapsack finds the best configuration with each
+    length in it. Those near the best gain weight, the least covered lengths first, until a length has got its step.
+    What all pieces are worth, over the value of the best configuration, bounds the program from below. Rounds end once
+    the weights, scaled so that they cover, are within ``gap`` of the best bound. A full piece is left out.
+    """
     length, have = len(counts) - 1, np.flatnonzero(counts)
-    covered, price = np.zeros(length + 1), np.zeros(length + 1)
+    have = have[have < length]
+    n, covered, price, mean = (np.zeros(length + 1) for _ in range(4))
+    n[have] = counts[have]
     out: dict[tuple[int, ...], float] = defaultdict(float)
-    have = have[have < length]  # a full piece is a configuration of its own
     if not len(have):
-        return {}
-    weight = np.zeros(length + 1)
-    weight[have] = 1.0
-    for _ in range(rounds):
-        price[have] = have / length * weight[have]
-        best, take = _fill(price)
-        value = price[have] + best[length - have]
-        gain: Counter = Counter()
-        for first in have[value >= (1 - NEAR) * value.max()].tolist():
-            gain[_pattern(first, length, take)] += 1
-        served = np.zeros(length + 1)
-        for p in gain:
+        return out, covered, 0.0
+    bound, start, total = 0.0, np.log(have / length * n[have]), 0.0  # at first a price is a length
+    for t in range(rounds):
+        z = start - way[0] * (covered[have] - covered[have].min())
+        price[have] = np.exp(z - z.max()) / n[have]
+        best, take = _fill(price, have)
+        bound, mean = max(bound, price @ n / best[length]), mean + price / best[length]
+        if t % 10 == 9:
+            bound = max(bound, mean @ n / _fill(mean, have)[0][length])
+        near = have[price[have] + best[length - have] >= (1 - way[1]) * best[length]]
+        left = n * STEP
+        for first in near[np.lexsort((-near, covered[near]))].tolist():
+            if left[first] <= 0:
+                continue
+            p = _pattern(first, length, take)
             use = Counter(p)
-            amount = min(counts[k] / c for k, c in use.items()) / rounds * 4
-            out[p] += amount
-            for k, c in use.items():
-                served[k] += c * amount
-        covered[have] += served[have] / counts[have]
-        weight[have] = np.exp(-STEP * (covered[have] - covered[have].min()) * 4)
-        weight[have] /= weight[have].max()
-        if covered[have].min() >= 1:
+            amount = min(left[k] / c for k, c in use.items())
+            if amount > 0:
+                out[p] += amount
+                total += amount
+                for k, c in use.items():
+                    left[k] -= amount * c
+                    if left[k] < 1e-9 * n[k]:
+                        left[k] = 0.0
+        covered[have] += STEP - left[have] / n[have]
+        if covered[have].min() > 0 and total / covered[have].min() <= (1 + gap) * bound:
             break
-    return out
+    return out, covered, bound
 
 
 def best_fit(counts: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
@@ -191,26 +268,43 @@ def best_fit(counts: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
     return [(p, n) for f in free for p, n in f.items()]
 
 
-def plan(counts: np.ndarray, rounds: int = ROUNDS, again: int = AGAIN) -> list[tuple[tuple[int, ...], int]]:
+def rounded(counts: np.ndarray, weights: dict[tuple[int, ...], float], scale: float) -> tuple[Counter, np.ndarray]:
+    """(times of each configuration, pieces left): weights times ``scale``, the fullest first, whole parts and one more
+    whenever the fractions so far make one, as far as there are pieces."""
+    left, chosen, open_ = counts.copy(), Counter(), 0.0
+    for p, x in sorted(weights.items(), key=lambda i: (-sum(i[0]), -i[1], i[0])):
+        times, use = int(x * scale), Counter(p)
+        open_ += x * scale - times
+        if open_ >= 1:
+            times, open_ = times + 1, open_ - 1
+        times = min(times, *(int(left[k]) // c for k, c in use.items()))
+        if times > 0:
+            chosen[p] += times
+            for k, c in use.items():
+                left[k] -= c * times
+    return chosen, left
+
+
+def plan(counts: np.ndarray, rounds: int = ROUNDS) -> list[tuple[tuple[int, ...], int]]:
     """(configuration, times) for ``counts[l]`` pieces of length l.
 
-    The program's weights are rounded down (full sequences only), it is solved again for what is left, up to ``again``
-    times or until rounding leaves nothing new, and the rest goes by best fit.
+    The program is solved once and rounded at several scales, from where nothing is covered too often to where all is
+    covered; what a rounding leaves goes by best fit. The least number of sequences is taken, best fit alone among
+    them, so the plan is never worse than that.
     """
-    left, chosen, full = counts.copy(), Counter(), len(counts) - 1
-    chosen[(full,)] = int(left[full])
-    left[full] = 0
-    for _ in range(again):
-        before = left.sum()
-        for p, x in sorted(configurations(left, rounds).items(), key=lambda i: (-sum(i[0]), -i[1], i[0])):  # the fullest first
-            times = min(int(x), *(int(left[k]) // c for k, c in Counter(p).items())) if sum(p) >= (1 - SLACK) * full else 0
-            if times > 0:
-                chosen[p] += times
-                for k, c in Counter(p).items():
-                    left[k] -= c * times
-        if left.sum() == before:
-            break
-    return [(p, n) for p, n in chosen.items() if n] + best_fit(left)
+    full, rest = len(counts) - 1, counts.copy()
+    rest[full] = 0
+    plans = [best_fit(rest)]
+    have = np.flatnonzero(rest)
+    if sum(n for _, n in plans[0]) > -(-int(rest @ np.arange(full + 1)) // full):  # else no plan is better
+        for way in WAYS:
+            weights, covered, _ = configurations(rest, rounds, way=way)
+            tokens, some = np.average(covered[have], weights=(rest * np.arange(full + 1))[have]), covered[have].mean()
+            for scale in (0.95 / covered.max(), 1 / covered.max(), 1 / tokens, 1 / some, 1 / max(covered[have].min(), some / 2)):
+                chosen, left = rounded(rest, weights, scale)
+                plans.append([*chosen.items(), *best_fit(left)])
+    best = min(plans, key=lambda p: sum(n for _, n in p))
+    return ([((full,), int(counts[full]))] if counts[full] else []) + best
 
 
 def _ranges(chosen: list[tuple[tuple[int, ...], int]]) -> np.ndarray:

@@ -1,5 +1,6 @@
 import gzip
 import json
+import random
 import zlib
 from collections import Counter
 
@@ -126,6 +127,33 @@ def test_quick_ids_are_the_files_ids(spark):
     assert all(t(x).tolist() == s.ids for x, s in zip(texts, slow, strict=True))
 
 
+LONG_TEXTS = {
+    "spaces": " " * 400_000, "newlines": "\n" * 200_001 + "a", "spaces inside": "word" + " " * 200_000 + "word  x", "one word": "a" * 300_000, "a word in brackets": "(" + "a" * 200_000 + ") b", "dashes": "-" * 300_000,
+    "Cyrillic": "привет мир и так далее " * 12_000, "Cyrillic without spaces": "приветмиритакдалее" * 9_000, "Han": "".join(chr(0x4E00 + i * 7919 % 20000) for i in range(90_000)), "base64": "Abc0123+/xyzQ9" * 15_000,
+    "short forms": "'ll've's" * 20_000, "line ends": "\r\n \t" * 40_000, "signs": "\U0001f600" * 70_000, "special": "ab <|endoftext|>\n\n  " * 8_000, "special without spaces": "ab<|endoftext|>" * 9_000, "no-break spaces": "\u00a0" * 80_000,
+}
+
+
+def test_long_texts_give_the_files_ids():
+    rng = random.Random(4)
+    bits = ["it's ", "we'll", "\n\n", "   ", "1234 ", "x" * 50, "é", "ü ", "'", "''s ", "—", "\t", "слово", "文字 "]
+    t = packing.Tokens()
+    for name, text in {**LONG_TEXTS, "mix": "".join(rng.choice(bits) for _ in range(60_000))}.items():
+        assert len(text) > packing.LONG and "".join(t._parts(text)) == text, name
+        assert t(text).tolist() == t.exact.encode(text, add_special_tokens=False).ids, name
+
+
+def test_parts_are_short():
+    t = packing.Tokens()
+    for name in ("spaces", "spaces inside", "Cyrillic", "Cyrillic without spaces", "Han", "base64", "line ends"):
+        assert max(map(len, t._parts(LONG_TEXTS[name]))) <= packing.LONG, name
+
+
+def test_ten_megabytes_of_one_character():
+    t = packing.Tokens()
+    assert len(t(" " * 10_000_000)) == 10_000_000 and len(t("a" * 10_000_000)) == 2_500_000
+
+
 @pytest.mark.parametrize("length", [64, 2048])
 def test_pack_edge_rows(spark, edge, empty, length):
     from folioforge.llm._base import settled
@@ -152,6 +180,50 @@ def test_plan_covers_the_histogram():
         assert bins <= least * 1.005 + 3
 
 
+def some_histograms(length=2048):
+    rng = np.random.default_rng(1)
+    return {
+        "uniform": np.bincount(rng.integers(1, length + 1, 60_000), minlength=length + 1),
+        "geometric": np.bincount(np.minimum(rng.geometric(3 / length, 60_000), length), minlength=length + 1),
+        "bimodal": np.bincount(np.clip(np.r_[rng.normal(0.34 * length, 60, 60_000), rng.normal(0.7 * length, 120, 40_000)].round().astype(int), 1, length), minlength=length + 1),
+        "few lengths": np.bincount([700, 701, 650, 333, 1111], weights=[10000, 9000, 8000, 7000, 6000], minlength=length + 1).astype(np.int64),
+        "over a third": np.bincount(rng.integers(length // 3 + 1, length // 2, 9_001), minlength=length + 1),
+        "one piece": np.bincount([5], minlength=length + 1),
+    }
+
+
+def test_the_plan_is_never_worse_than_best_fit():
+    better = 0
+    for name, counts in some_histograms().items():
+        total = lambda p: sum(n for _, n in p)
+        chosen, alone = packing.plan(counts), total(packing.best_fit(counts.copy()))
+        used = Counter()
+        for p, times in chosen:
+            assert sum(p) <= 2048 and times > 0
+            for k in p:
+                used[k] += times
+        assert {k: v for k, v in enumerate(counts.tolist()) if v} == dict(used), name
+        assert total(chosen) <= alone, name
+        better += total(chosen) < alone
+    assert better >= 2  # the program finds what best fit does not
+    assert total(packing.plan(some_histograms()["few lengths"])) <= 14_900 < 15_250 == total(packing.best_fit(some_histograms()["few lengths"]))
+
+
+def test_weights_cover_and_prices_bound():
+    counts = np.bincount([7, 7, 7, 7, 5, 5, 5, 5, 3, 3, 3, 3, 3, 3], minlength=16) * 100
+    weights, covered, bound = packing.configurations(counts, rounds=400, gap=0.01)
+    served = np.zeros(16)
+    for p, x in weights.items():
+        assert sum(p) <= 15
+        for k in p:
+            served[k] += x
+    have = np.flatnonzero(counts)
+    assert np.allclose(served[have] / counts[have], covered[have])
+    least = sum(weights.values()) / covered[have].min()
+    assert 400 * 5 / 15 <= bound <= least * (1 + 1e-9) <= 1.01 * bound  # the gap is closed
+    assert bound >= counts @ np.arange(16) / 15 - 1e-6
+
+
 def test_ranks_of_a_hot_size(spark, monkeypatch):
     monkeypatch.setattr(packing, "GROUP", 50)
     rows = spark.range(1000).select(F.col("id"), F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 40 + 1).cast("long").alias("length"))
@@ -166,9 +238,14 @@ def test_op6(spark):
     unpacked(rows, 2048)
     text = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     t = packing.Tokens()
-    for r in rows[:60]:
-        ids = np.append(np.array(t.exact.encode(text[r.doc_id], add_special_tokens=False).ids, "<u4"), np.array([0], "<u4"))
-        assert zlib.crc32(ids[r.start : r.start + r.length].tobytes()) == r.ids_crc32
+    ids = {i: np.append(np.array(t.exact.encode(x or "", add_special_tokens=False).ids, "<u4"), np.array([0], "<u4")) for i, x in text.items()}
+    held = Counter()
+    for r in rows:
+        assert zlib.crc32(ids[r.doc_id][r.start : r.start + r.length].tobytes()) == r.ids_crc32
+        held[r.doc_id] += r.length
+    assert held == {i: len(x) for i, x in ids.items()}
+    sizes = np.bincount([r.length for r in rows], minlength=2049)
+    assert len({r.sequence_id for r in rows}) <= sum(n for _, n in packing.best_fit(sizes))
 
 
 PAGE = """<html><head><title>T &amp; x</title><style>p{}</style></head><body><!-- c > --><nav><a href="/a">A</a></nav>

@@ -1,22 +1,22 @@
 """Shared pieces of the training-data operators.
 
 Everything an operator has to keep between two jobs goes to the folder that the
-session names in ``spark.checkpoint.dir`` (shared by driver and executors);
-only a session without that setting, as in tests, gets a folder of its own.
+session names in ``spark.checkpoint.dir`` (shared by driver and executors).
 """
 
 from __future__ import annotations
 
 import contextlib
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import shared
+from ..sources.shared import in_tasks
+
 #: A word: a run of anything but space, tab, newline, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -28,25 +28,13 @@ BATCH = "8m"
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="folioforge-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    return in_tasks(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def settled(df: DataFrame, name: str) -> DataFrame:
     """Write a result to the shared folder and read it back: lineage ends here and an executor may go."""
-    spark = df.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
-    path = f"{shared_dir(spark)}/folioforge-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
+    return shared.settled(df, name)
 
 
 def one_in(id_col: str, parts: int) -> Column:

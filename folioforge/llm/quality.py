@@ -31,8 +31,12 @@ SHORT = 3
 FIT_ROWS, HIDDEN = 20_000, 32
 #: Bytes worked on at once.
 PART = 1 << 20
-#: Bytes of text for each part of the table of words.
-SHARE = 4 << 20
+#: Bytes of text in a block at most (a longer text is a block of its own), and for each part of the table of words.
+BLOCK, SHARE = 32 << 20, 8 << 20
+#: Least number of parts.
+PARTS = 48
+#: Entries of a word's sums that are over so much of their root mean square count in its vector, by their sign.
+LEVEL = 0.5
 EXTRA = 5
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -236,16 +240,30 @@ def _cells(h: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield k * step + (part >> np.uint64(33)).astype(np.int64) % step, np.where(part & np.uint64(1), 1, -1)
 
 
-def contexts(owner: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(distinct words, each word's place among them, their sums): what follows and what precedes count in different places."""
-    found, at = np.unique(h, return_inverse=True)
-    out = np.zeros(len(found) * DIM, np.int32)
+def keys(h: np.ndarray) -> np.ndarray:
+    """What stands for words in the table: 48 bits of their hashes."""
+    return h >> np.uint64(16)
+
+
+def contexts(owner: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct words' keys, their sums): what follows and what precedes count in different places."""
+    found, at = np.unique(keys(h), return_inverse=True)
+    at = at.astype(np.int32)
     same = owner[1:] == owner[:-1]
-    left, right = at[:-1][same], at[1:][same]
-    for (place, sign), (before, sign_before) in zip(_cells(h[1:][same]), _cells(h[:-1][same]), strict=True):
-        out += np.bincount(left * DIM + place, sign, len(out)).astype(np.int32)
-        out += np.bincount(right * DIM + (before + 1) % DIM, sign_before, len(out)).astype(np.int32)
-    return found, at, out.reshape(-1, DIM)
+    step, n, out = DIM // NONZERO, len(found), []
+    for word, neighbour in ((at[:-1][same], h[1:][same]), (at[1:][same], h[:-1][same])):
+        sums = np.empty((n, DIM), np.int32)
+        for k, (place, sign) in enumerate(_cells(neighbour)):
+            sums[:, k * step : (k + 1) * step] = np.bincount(word * np.int64(step) + (place - k * step), sign, n * step).reshape(n, step)
+        out.append(sums)
+    out[0] += np.roll(out[1], 1, axis=1)
+    return found, out[0]
+
+
+def vectors_of(sums: np.ndarray) -> np.ndarray:
+    """Word vectors of sums: -1, 0 or 1 in each place, by what is over LEVEL of the root mean square."""
+    least = LEVEL * np.sqrt((sums.astype(np.float64) ** 2).mean(1, keepdims=True))
+    return (sums > least).astype(np.int8) - (sums < -least).astype(np.int8)
 
 
 def _squeezed(raw: bytes) -> bytes:
@@ -295,6 +313,17 @@ def _unpacked(data: bytes) -> np.ndarray:
     return out
 
 
+def _trits(x: np.ndarray) -> bytes:
+    """Rows of -1, 0 and 1."""
+    wide = np.ones((len(x), _WIDTH), np.uint8)
+    wide[:, :DIM] = x + 1
+    return _squeezed((wide.reshape(-1, 5) @ _TRITS.astype(np.uint8)).tobytes())
+
+
+def _of(data: bytes) -> np.ndarray:
+    return _OF_TRITS[np.frombuffer(_restored(data), np.uint8)].reshape(-1, _WIDTH)[:, :DIM]
+
+
 def _rising(x: np.ndarray) -> bytes:
     """Numbers by their steps, which are small where they rise slowly."""
     return _squeezed(_planes(np.diff(x, prepend=x.dtype.type(0))))
@@ -310,34 +339,44 @@ def _mark(found: np.ndarray) -> int:
 
 
 def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, x)``, one row for each row of ``docs``: the mean of the vectors of its words, then the further ones of ``pooled``.
+    """``(id, x)``, one row for each row of ``docs``: the mean of the unit vectors of its words, then the further ones of
+    ``pooled``. A null or empty text and one without a word have zeros.
 
-    Documents come in blocks, an Arrow batch each. A block sends its distinct words and their sums to the parts of the
-    table of words; a part adds them up and sends each block the sums over the corpus of the words it asked with. All
-    sums are whole numbers, so any order gives the same.
+    Documents come in blocks of up to BLOCK bytes. A block sends its distinct words and their sums to the parts of the
+    table of words; a part adds them up and sends each block the vectors, over the whole corpus, of the words it asked
+    with. All sums are whole numbers, so any order gives the same.
     """
     kind, none = id_type(docs, id_col), np.zeros((CLASSES, DIM), np.float32)
     read = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    parts = max(16, -(-(read.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // SHARE))
+    parts = max(PARTS, -(-(read.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // SHARE))
 
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
-        first = TaskContext.get().partitionId() << 32
-        for i, batch in enumerate(b for b in batches if b.num_rows):
-            yield first + i, batch
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Array, list[bytes]]]:
+        number, held, size = TaskContext.get().partitionId() << 32, [], 0
+        for batch in batches:
+            if held and size + batch.column(1).nbytes > BLOCK:
+                yield number, pa.concat_arrays([b.column(0) for b in held]), [t for b in held for t in text_bytes(b.column(1))]
+                number, held, size = number + 1, [], 0
+            if batch.num_rows:
+                held.append(batch)
+                size += batch.column(1).nbytes
+        if held:
+            yield number, pa.concat_arrays([b.column(0) for b in held]), [t for b in held for t in text_bytes(b.column(1))]
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, batch in blocks(batches):
-            heard = [words(pieces)[::2] for pieces in _groups(text_bytes(batch.column(1)))]
+        for block, _, texts in blocks(batches):
+            heard = [words(pieces)[::2] for pieces in _groups(texts)]
+            del texts
             if not sum(len(o) for o, _ in heard):
                 continue
-            found, _, sums = contexts(np.concatenate([o for o, _ in heard]), np.concatenate([h for _, h in heard]))
-            part = ((found >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)  # in order, as the words
+            found, sums = contexts(np.concatenate([o.astype(np.int32) for o, _ in heard]), np.concatenate([h for _, h in heard]))
+            part = ((found >> np.uint64(16)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)  # in order, as the words
             cut = np.r_[0, np.flatnonzero(np.diff(part)) + 1, len(part)]
             spans = list(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True))
             yield pa.record_batch(
                 [pa.array(part[cut[:-1]]), pa.array(np.full(len(spans), block)), pa.array([_rising(found[a:b]) for a, b in spans], pa.binary()), pa.array([_packed(sums[a:b]) for a, b in spans], pa.binary())],
                 names=["part", "block", "words", "sums"],
             )
+            del heard, found, sums
         give_back()
 
     def answer(group: pa.Table) -> pa.Table:
@@ -346,25 +385,30 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         total, cut = np.zeros((len(found), DIM), np.int64), np.cumsum([0, *(len(x) for x in asked)])
         for i, x in enumerate(sums):  # a block's words are distinct
             total[at[cut[i] : cut[i + 1]]] += _unpacked(x)
-        out = [_packed(total[at[a:b]]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
-        return pa.table({"block": group["block"], "part": group["part"], "mark": pa.array([_mark(x) for x in asked], pa.int64()), "sums": pa.array(out, pa.binary())})
+        vectors = vectors_of(total)
+        out = [_trits(vectors[at[a:b]]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        return pa.table({"block": group["block"], "part": group["part"], "mark": pa.array([_mark(x) for x in asked], pa.int64()), "vectors": pa.array(out, pa.binary())})
 
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row for each block: ids, the further features, and (number of words of each text, their places, how often)."""
-        for block, batch in blocks(batches):
-            texts, measures, owners, hashes = text_bytes(batch.column(1)), [], [], []
-            for low in range(0, len(texts), 1024):
+        """A row for each block: ids, the further features, and (how often each word, number of words of each text,
+        their ranks by how often, how often in the text)."""
+        for block, ids, texts in blocks(batches):
+            measures, owners, hashes, n = [], [], [], len(texts)
+            for low in range(0, n, 1024):
                 heard: list[tuple[np.ndarray, np.ndarray]] = []
                 measures.append(pooled(texts[low : low + 1024], none, heard)[:, DIM:])
-                owners += [o + low for o, _ in heard]
-                hashes += [h for _, h in heard]
-            owner, h = (np.concatenate(owners), np.concatenate(hashes)) if owners else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
-            found, at = np.unique(h, return_inverse=True)
-            pair, times = np.unique(owner * max(len(found), 1) + at, return_counts=True)
+                owners += [(o + low).astype(np.int32) for o, _ in heard]
+                hashes += [keys(h) for _, h in heard]
+            del texts
+            owner, h = (np.concatenate(owners), np.concatenate(hashes)) if owners else (np.zeros(0, np.int32), np.zeros(0, np.uint64))
+            del owners, hashes
+            found, at, often = np.unique(h, return_inverse=True, return_counts=True)
+            rank = np.empty(len(found), np.int64)
+            rank[np.argsort(-often, kind="stable")] = np.arange(len(found))  # the commonest words get the least numbers
+            pair, times = np.unique(owner * np.int64(max(len(found), 1)) + rank[at], return_counts=True)
             of, place = np.divmod(pair, max(len(found), 1))
-            csr = [_squeezed(_planes(np.bincount(of, minlength=len(texts)).astype(np.int32))), _rising(place.astype(np.int32)), _squeezed(_planes(times.astype(np.int32)))]
-            ids = pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), batch.column(0))
-            yield pa.record_batch([pa.array([block]), ids, pa.array([np.concatenate(measures).tobytes()], pa.binary()), pa.array([csr], pa.list_(pa.binary())), pa.array([_mark(found)], pa.int64())], names=["block", "ids", "measures", "csr", "mark"])
+            csr = [_squeezed(_planes(often.astype(np.int32))), _squeezed(_planes(np.bincount(of, minlength=n).astype(np.int32))), _rising(place.astype(np.int32)), _squeezed(_planes(times.astype(np.int32)))]
+            yield pa.record_batch([pa.array([block]), pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), ids), pa.array([np.concatenate(measures).tobytes()], pa.binary()), pa.array([csr], pa.list_(pa.binary())), pa.array([_mark(found)], pa.int64())], names=["block", "ids", "measures", "csr", "mark"])
         give_back()
 
     def pool(answers: pa.Table, own: pa.Table) -> pa.Table:
@@ -373,12 +417,11 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         ids = own["ids"].combine_chunks().flatten()
         n = len(ids)
         measures = np.frombuffer(own["measures"][0].as_py(), np.float32).reshape(n, EXTRA)
-        size, place, times = own["csr"][0].as_py()
-        size, place, times = _numbers(_restored(size), np.int32), _risen(place, np.int32), _numbers(_restored(times), np.int32)
+        often, size, place, times = own["csr"][0].as_py()
+        often, size, place, times = _numbers(_restored(often), np.int32), _numbers(_restored(size), np.int32), _risen(place, np.int32), _numbers(_restored(times), np.int32)
         mean = np.zeros((n, DIM), np.float32)
         if len(place):
-            sums = answers.sort_by("part")["sums"].to_pylist()
-            vec = np.concatenate([_unit(_unpacked(x)) for x in sums])
+            vec = _unit(np.concatenate([_of(x) for x in answers.sort_by("part")["vectors"].to_pylist()])[np.argsort(-often, kind="stable")])
             edge = np.r_[0, np.cumsum(size)]
             for low in range(0, n, 256):
                 here = np.flatnonzero(size[low : low + 256]) + low
@@ -389,13 +432,14 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         return pa.table({"id": ids, "x": pa.array([r.tobytes() for r in x], pa.binary())})
 
     asked = read.mapInArrow(ask, "part long, block long, words binary, sums binary")
-    answers = asked.groupBy("part").applyInArrow(answer, "block long, part long, mark long, sums binary")
+    answers = asked.groupBy("part").applyInArrow(answer, "block long, part long, mark long, vectors binary")
     own = read.mapInArrow(held, f"block long, ids array<{kind}>, measures binary, csr array<binary>, mark long")
     return answers.groupBy("block").cogroup(own.groupBy("block")).applyInArrow(pool, f"id {kind}, x binary")
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
-    return (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)).astype(np.float32)
+    x = x.astype(np.float32)
+    return x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), np.float32(1e-9))
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> tuple[DataFrame, Network]:

@@ -201,8 +201,13 @@ def test_words_of_one_shape_differ(spark, edge, edge_rows, empty):
         for a, b in zip(t, t[1:], strict=False):
             sums[a] += index[b]
             sums[b] += np.roll(index[a], 1)
+    def vector(x):  # by hand: signs of what is over LEVEL of the root mean square, as a unit vector
+        level = quality.LEVEL * np.sqrt(np.mean(x * x))
+        signs = np.array([(v > level) * 1 - (v < -level) * 1 for v in x])
+        return signs / max(np.linalg.norm(signs), 1e-9)
+
     for i, t in enumerate(heard):
-        want = np.mean([sums[w] / max(np.linalg.norm(sums[w]), 1e-9) for w in t], axis=0)
+        want = np.mean([vector(sums[w]) for w in t], axis=0)
         assert np.allclose(got[i], want, atol=1e-5)
     assert np.abs(got[40] - got[41]).max() > 0.1
     found = quality.features(edge).collect()
@@ -215,6 +220,28 @@ def test_packed_rows():
     assert (quality._unpacked(quality._packed(x)) == x).all() and len(quality._unpacked(quality._packed(x[:0]))) == 0
 
 
+def test_three_levels():
+    rng = np.random.default_rng(3)
+    x = rng.integers(-1, 2, (500, quality.DIM))
+    assert (quality._of(quality._trits(x)) == x).all() and len(quality._of(quality._trits(x[:0]))) == 0
+    assert (quality.vectors_of(np.array([[4, -4, 1, 0]])) == [[1, -1, 0, 0]]).all() and not quality.vectors_of(np.zeros((2, 5))).any()
+
+
+def test_contexts_add_up():
+    rng = np.random.default_rng(4)
+    h = rng.integers(0, 2**63, 30).astype(np.uint64)[rng.integers(0, 30, 400)]
+    owner = np.sort(rng.integers(0, 9, 400))
+    found, sums = quality.contexts(owner, h)
+    want = {int(k): np.zeros(quality.DIM) for k in quality.keys(h)}
+    cells = [(p.tolist(), s.tolist()) for p, s in quality._cells(h)]
+    for i in range(399):
+        if owner[i] == owner[i + 1]:
+            for place, sign in cells:
+                want[int(quality.keys(h)[i])][place[i + 1]] += sign[i + 1]
+                want[int(quality.keys(h)[i + 1])][(place[i] + 1) % quality.DIM] += sign[i]
+    assert len(found) == len(want) and all((sums[i] == want[int(k)]).all() for i, k in enumerate(found))
+
+
 def test_network_learns_and_calibrates():
     """A ring in three of the features, which no linear model finds, and labels with noise."""
     rng = np.random.default_rng(0)

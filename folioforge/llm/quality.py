@@ -245,19 +245,29 @@ def keys(h: np.ndarray) -> np.ndarray:
     return h >> np.uint64(16)
 
 
-def contexts(owner: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(distinct words' keys, their sums): what follows and what precedes count in different places."""
-    found, at = np.unique(keys(h), return_inverse=True)
-    at = at.astype(np.int32)
-    same = owner[1:] == owner[:-1]
-    step, n, out = DIM // NONZERO, len(found), []
-    for word, neighbour in ((at[:-1][same], h[1:][same]), (at[1:][same], h[:-1][same])):
-        sums = np.empty((n, DIM), np.int32)
-        for k, (place, sign) in enumerate(_cells(neighbour)):
-            sums[:, k * step : (k + 1) * step] = np.bincount(word * np.int64(step) + (place - k * step), sign, n * step).reshape(n, step)
-        out.append(sums)
-    out[0] += np.roll(out[1], 1, axis=1)
-    return found, out[0]
+def _numbered(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct values, each value's place among them), with less memory than np.unique takes."""
+    order = np.argsort(x)
+    rising = x[order]
+    new = np.r_[True, rising[1:] != rising[:-1]] if len(x) else np.zeros(0, bool)
+    at = np.empty(len(x), np.int32)
+    at[order] = np.cumsum(new, dtype=np.int32) - 1
+    return rising[new], at
+
+
+def contexts(owner: np.ndarray, h: np.ndarray, some: int = 1 << 21) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct words' keys, their sums): what follows and what precedes count in different places. ``some`` words at once."""
+    found, at = _numbered(keys(h))
+    step, n = DIM // NONZERO, len(found)
+    sums = np.zeros((n, DIM), np.int32)
+    for low in range(0, len(h) - 1, some):
+        part = slice(low, min(low + some, len(h) - 1) + 1)
+        same = np.flatnonzero(owner[part][1:] == owner[part][:-1])
+        for word, neighbour, turn in ((at[part][same], h[part][same + 1], 0), (at[part][same + 1], h[part][same], 1)):
+            word = word * np.int64(step)
+            for k, (place, sign) in enumerate(_cells(neighbour)):
+                sums[:, (k * step + turn + np.arange(step)) % DIM] += np.bincount(word + (place - k * step), sign, n * step).reshape(n, step).astype(np.int32)
+    return found, sums
 
 
 def vectors_of(sums: np.ndarray) -> np.ndarray:
@@ -354,21 +364,31 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         number, held, size = TaskContext.get().partitionId() << 32, [], 0
         for batch in batches:
             if held and size + batch.column(1).nbytes > BLOCK:
-                yield number, pa.concat_arrays([b.column(0) for b in held]), [t for b in held for t in text_bytes(b.column(1))]
+                ids, texts = pa.concat_arrays([b.column(0) for b in held]), [t for b in held for t in text_bytes(b.column(1))]
                 number, held, size = number + 1, [], 0
+                yield number, ids, texts
+                del texts
             if batch.num_rows:
                 held.append(batch)
                 size += batch.column(1).nbytes
         if held:
-            yield number, pa.concat_arrays([b.column(0) for b in held]), [t for b in held for t in text_bytes(b.column(1))]
+            ids, texts = pa.concat_arrays([b.column(0) for b in held]), [t for b in held for t in text_bytes(b.column(1))]
+            held.clear()
+            yield number + 1, ids, texts
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, _, texts in blocks(batches):
-            heard = [words(pieces)[::2] for pieces in _groups(texts)]
-            del texts
-            if not sum(len(o) for o, _ in heard):
+            owner, h = [np.zeros(0, np.int32)], [np.zeros(0, np.uint64)]
+            for pieces in _groups(texts):
+                of, _, x = words(pieces)
+                owner.append(of.astype(np.int32))
+                h.append(x)
+            texts.clear()
+            owner, h = np.concatenate(owner), np.concatenate(h)
+            if not len(h):
                 continue
-            found, sums = contexts(np.concatenate([o.astype(np.int32) for o, _ in heard]), np.concatenate([h for _, h in heard]))
+            found, sums = contexts(owner, h)
+            del owner, h
             part = ((found >> np.uint64(16)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)  # in order, as the words
             cut = np.r_[0, np.flatnonzero(np.diff(part)) + 1, len(part)]
             spans = list(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True))
@@ -376,8 +396,8 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 [pa.array(part[cut[:-1]]), pa.array(np.full(len(spans), block)), pa.array([_rising(found[a:b]) for a, b in spans], pa.binary()), pa.array([_packed(sums[a:b]) for a, b in spans], pa.binary())],
                 names=["part", "block", "words", "sums"],
             )
-            del heard, found, sums
-        give_back()
+            del found, sums
+            give_back()
 
     def answer(group: pa.Table) -> pa.Table:
         asked, sums = [_risen(x, np.uint64) for x in group["words"].to_pylist()], group["sums"].to_pylist()
@@ -399,17 +419,22 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 measures.append(pooled(texts[low : low + 1024], none, heard)[:, DIM:])
                 owners += [(o + low).astype(np.int32) for o, _ in heard]
                 hashes += [keys(h) for _, h in heard]
-            del texts
+            texts.clear()
             owner, h = (np.concatenate(owners), np.concatenate(hashes)) if owners else (np.zeros(0, np.int32), np.zeros(0, np.uint64))
             del owners, hashes
-            found, at, often = np.unique(h, return_inverse=True, return_counts=True)
-            rank = np.empty(len(found), np.int64)
+            found, at = _numbered(h)
+            del h
+            often = np.bincount(at, minlength=len(found))
+            rank = np.empty(len(found), np.int32)
             rank[np.argsort(-often, kind="stable")] = np.arange(len(found))  # the commonest words get the least numbers
-            pair, times = np.unique(owner * np.int64(max(len(found), 1)) + rank[at], return_counts=True)
+            pair = owner * np.int64(max(len(found), 1))
+            pair += rank[at]
+            del owner, at
+            pair, times = np.unique(pair, return_counts=True)
             of, place = np.divmod(pair, max(len(found), 1))
             csr = [_squeezed(_planes(often.astype(np.int32))), _squeezed(_planes(np.bincount(of, minlength=n).astype(np.int32))), _rising(place.astype(np.int32)), _squeezed(_planes(times.astype(np.int32)))]
             yield pa.record_batch([pa.array([block]), pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), ids), pa.array([np.concatenate(measures).tobytes()], pa.binary()), pa.array([csr], pa.list_(pa.binary())), pa.array([_mark(found)], pa.int64())], names=["block", "ids", "measures", "csr", "mark"])
-        give_back()
+            give_back()
 
     def pool(answers: pa.Table, own: pa.Table) -> pa.Table:
         if own.num_rows != 1 or np.bitwise_xor.reduce(answers["mark"].to_numpy(), initial=0) != own["mark"][0].as_py():

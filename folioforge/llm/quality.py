@@ -33,8 +33,8 @@ FIT_ROWS, HIDDEN = 20_000, 32
 PART = 1 << 20
 #: Bytes of text in a block at most (a longer text is a block of its own), and for each part of the table of words.
 BLOCK, SHARE = 32 << 20, 8 << 20
-#: Least number of parts.
-PARTS = 48
+#: Least number of parts, and turns in which a block counts its words' neighbours.
+PARTS, TURNS = 48, 4
 #: Entries of a word's sums that are over so much of their root mean square count in its vector, by their sign.
 LEVEL = 0.5
 EXTRA = 5
@@ -245,28 +245,30 @@ def keys(h: np.ndarray) -> np.ndarray:
     return h >> np.uint64(16)
 
 
-def _numbered(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _numbered(x: np.ndarray, some: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
     """(distinct values, each value's place among them), with less memory than np.unique takes."""
-    order = np.argsort(x)
-    rising = x[order]
-    new = np.r_[True, rising[1:] != rising[:-1]] if len(x) else np.zeros(0, bool)
-    at = np.empty(len(x), np.int32)
-    at[order] = np.cumsum(new, dtype=np.int32) - 1
-    return rising[new], at
-
-
-def contexts(owner: np.ndarray, h: np.ndarray, some: int = 1 << 21) -> tuple[np.ndarray, np.ndarray]:
-    """(distinct words' keys, their sums): what follows and what precedes count in different places. ``some`` words at once."""
-    found, at = _numbered(keys(h))
+    found, at = np.unique(x), np.empty(len(x), np.int32)
+    for low in range(0, len(x), some):
+        at[low : low + some] = np.searchsorted(found, x[low : low + some])
+    return found, at
+
+
+def contexts(owner: np.ndarray, h: np.ndarray, low: int = 0, high: int = 1 << 48) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct words' keys, from ``low`` to below ``high``; their sums): what follows and what precedes count in
+    different places."""
+    key = keys(h)
+    here = np.flatnonzero((key >= np.uint64(low)) & (key < np.uint64(high))).astype(np.int32)
+    found, at = _numbered(key[here])
+    del key
     step, n = DIM // NONZERO, len(found)
     sums = np.zeros((n, DIM), np.int32)
-    for low in range(0, len(h) - 1, some):
-        part = slice(low, min(low + some, len(h) - 1) + 1)
-        same = np.flatnonzero(owner[part][1:] == owner[part][:-1])
-        for word, neighbour, turn in ((at[part][same], h[part][same + 1], 0), (at[part][same + 1], h[part][same], 1)):
-            word = word * np.int64(step)
-            for k, (place, sign) in enumerate(_cells(neighbour)):
-                sums[:, (k * step + turn + np.arange(step)) % DIM] += np.bincount(word + (place - k * step), sign, n * step).reshape(n, step).astype(np.int32)
+    for turn, beside in ((0, 1), (1, -1)):  # what follows, what precedes
+        same = np.flatnonzero((here + beside >= 0) & (here + beside < len(h)))
+        same = same[owner[here[same] + beside] == owner[here[same]]]
+        word, neighbour = at[same] * np.int64(step), h[here[same] + beside]
+        del same
+        for k, (place, sign) in enumerate(_cells(neighbour)):
+            sums[:, (k * step + turn + np.arange(step)) % DIM] += np.bincount(word + (place - k * step), sign, n * step).reshape(n, step).astype(np.int32)
     return found, sums
 
 
@@ -387,16 +389,19 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             owner, h = np.concatenate(owner), np.concatenate(h)
             if not len(h):
                 continue
-            found, sums = contexts(owner, h)
+            for turn in range(TURNS):
+                found, sums = contexts(owner, h, (turn << 48) // TURNS, (turn + 1 << 48) // TURNS)
+                if not len(found):
+                    continue
+                part = ((found >> np.uint64(16)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)  # in order, as the words
+                cut = np.r_[0, np.flatnonzero(np.diff(part)) + 1, len(part)]
+                spans = list(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True))
+                yield pa.record_batch(
+                    [pa.array(part[cut[:-1]]), pa.array(np.full(len(spans), block)), pa.array(np.full(len(spans), turn, np.int32)), pa.array([_rising(found[a:b]) for a, b in spans], pa.binary()), pa.array([_packed(sums[a:b]) for a, b in spans], pa.binary())],
+                    names=["part", "block", "turn", "words", "sums"],
+                )
+                del found, sums
             del owner, h
-            part = ((found >> np.uint64(16)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)  # in order, as the words
-            cut = np.r_[0, np.flatnonzero(np.diff(part)) + 1, len(part)]
-            spans = list(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True))
-            yield pa.record_batch(
-                [pa.array(part[cut[:-1]]), pa.array(np.full(len(spans), block)), pa.array([_rising(found[a:b]) for a, b in spans], pa.binary()), pa.array([_packed(sums[a:b]) for a, b in spans], pa.binary())],
-                names=["part", "block", "words", "sums"],
-            )
-            del found, sums
             give_back()
 
     def answer(group: pa.Table) -> pa.Table:
@@ -407,7 +412,7 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             total[at[cut[i] : cut[i + 1]]] += _unpacked(x)
         vectors = vectors_of(total)
         out = [_trits(vectors[at[a:b]]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
-        return pa.table({"block": group["block"], "part": group["part"], "mark": pa.array([_mark(x) for x in asked], pa.int64()), "vectors": pa.array(out, pa.binary())})
+        return pa.table({"block": group["block"], "part": group["part"], "turn": group["turn"], "mark": pa.array([_mark(x) for x in asked], pa.int64()), "vectors": pa.array(out, pa.binary())})
 
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for each block: ids, the further features, and (how often each word, number of words of each text,
@@ -446,27 +451,23 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         often, size, place, times = _numbers(_restored(often), np.int32), _numbers(_restored(size), np.int32), _risen(place, np.int32), _numbers(_restored(times), np.int32)
         mean = np.zeros((n, DIM), np.float32)
         if len(place):
-            vec = _unit(np.concatenate([_of(x) for x in answers.sort_by("part")["vectors"].to_pylist()])[np.argsort(-often, kind="stable")])
+            vec = np.concatenate([_of(x) for x in answers.sort_by([("part", "ascending"), ("turn", "ascending")])["vectors"].to_pylist()])[np.argsort(-often, kind="stable")]
+            one = (1 / np.sqrt(np.maximum(np.count_nonzero(vec, axis=1), 1))).astype(np.float32)  # to unit length
             edge = np.r_[0, np.cumsum(size)]
             for low in range(0, n, 256):
                 here = np.flatnonzero(size[low : low + 256]) + low
                 if len(here):
                     a, b = edge[low], edge[min(low + 256, n)]
-                    mean[here] = np.add.reduceat(vec[place[a:b]] * times[a:b, None].astype(np.float32), edge[here] - a) / np.add.reduceat(times[a:b], edge[here] - a)[:, None]
+                    mean[here] = np.add.reduceat(vec[place[a:b]] * (times[a:b].astype(np.float32) * one[place[a:b]])[:, None], edge[here] - a) / np.add.reduceat(times[a:b], edge[here] - a)[:, None]
         x = np.concatenate([mean, measures], axis=1)
         return pa.table({"id": ids, "x": pa.array([r.tobytes() for r in x], pa.binary())})
 
-    asked = read.mapInArrow(ask, "part long, block long, words binary, sums binary")
-    answers = asked.groupBy("part").applyInArrow(answer, "block long, part long, mark long, vectors binary")
+    asked = read.mapInArrow(ask, "part long, block long, turn int, words binary, sums binary")
+    answers = asked.groupBy("part").applyInArrow(answer, "block long, part long, turn int, mark long, vectors binary")
     own = read.mapInArrow(held, f"block long, ids array<{kind}>, measures binary, csr array<binary>, mark long")
     return answers.groupBy("block").cogroup(own.groupBy("block")).applyInArrow(pool, f"id {kind}, x binary")
 
 
-def _unit(x: np.ndarray) -> np.ndarray:
-    x = x.astype(np.float32)
-    return x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), np.float32(1e-9))
-
-
 def fit(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> tuple[DataFrame, Network]:
     """Features of all documents, and a network from at most ``most`` labelled ones, crc32(doc_id) mod 5 = 0 left out."""
     found = settled(features(docs), "features")

@@ -240,6 +240,8 @@ def test_contexts_add_up():
                 want[int(quality.keys(h)[i])][place[i + 1]] += sign[i + 1]
                 want[int(quality.keys(h)[i + 1])][(place[i] + 1) % quality.DIM] += sign[i]
     assert len(found) == len(want) and all((sums[i] == want[int(k)]).all() for i, k in enumerate(found))
+    turns = [quality.contexts(owner, h, (i << 48) // 3, (i + 1 << 48) // 3) for i in range(3)]
+    assert (np.concatenate([f for f, _ in turns]) == found).all() and (np.concatenate([x for _, x in turns]) == sums).all()
 
 
 def test_network_learns_and_calibrates():

@@ -14,6 +14,11 @@ PATTERN = r"[\p{L}\p{N}\p{Co}\p{M}]+"
 _RUN = regex.compile(PATTERN)
 
 
+@lru_cache(maxsize=1)
+def _table() -> dict[int, str]:
+    return str.maketrans(*folding())
+
+
 @lru_cache(maxsize=1)
 def folding() -> tuple[str, str]:
     """Letters of one base and one mark -> the base; letters of several marks stay as they are."""
@@ -40,6 +45,5 @@ def tokens(x: Column | str) -> Column:
 
 def tokenize(text: str) -> list[str]:
     """The same for a query."""
-    a, b = folding()
-    found = (regex.sub(r"\p{M}", "", t) for t in _RUN.findall(text.lower().translate(str.maketrans(a, b))))
+    found = (regex.sub(r"\p{M}", "", t) for t in _RUN.findall(text.lower().translate(_table())))
     return [t for t in found if t]

@@ -2,19 +2,22 @@
 
 Tables of an index (parquet, by source):
   chunks     what was indexed, with chunk_id
-  postings   (source, chunk_id, col, pos, term), a row for each token, sorted by term in its files
+  postings   (source, chunk_id, dl, col, pos, term), a row for each token, dealt by ranges of source and term
   lengths    (source, chunk_id, path, ord, dl)
   vocabulary (term, stem), distinct terms only
   stats      (source, n_all, total), chunks and their tokens by source
 
-Terms are stored unstemmed: a query's stems are looked up in the vocabulary, and the
-few terms that share them select postings, so stemming never touches the postings.
+Terms are stored unstemmed: a query's stems are looked up in the vocabulary first, and
+the few terms that share them select postings, as literals that reach the scan. What is
+counted, once for all queries, are units: a phrase's stems, whoever asks for them.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
@@ -24,6 +27,7 @@ from pyspark.sql import functions as F
 
 from ..functions import porter
 from ..functions.tokens import tokenize, tokens
+from ..sources.shared import settled
 
 K1, B = 1.2, 0.75
 #: What an inverse document frequency that is not positive counts as.
@@ -33,6 +37,9 @@ SEPARATOR = " › "
 #: Marks around what matched, what stands for text left out, tokens of a snippet.
 OPEN, CLOSE, CUT, SNIPPET = "[", "]", " ... ", 24
 KEY = ("source", "chunk_id")
+#: Terms that select postings as literals, and hits that are joined to their chunks by a broadcast; more are joined as
+#: tables.
+LITERALS, FEW = 1000, 100_000
 
 
 @dataclass
@@ -43,6 +50,8 @@ class Index:
     vocabulary: DataFrame
     stats: DataFrame
     stemmed: bool = True
+    #: Distinct terms, of an index that is not saved: its vocabulary is stemmed only as far as a query needs it.
+    terms: DataFrame | None = None
 
 
 def chunk_id(*extra: Column | str) -> Column:
@@ -58,13 +67,16 @@ def tokenized(chunks: DataFrame) -> DataFrame:
 
 def postings(chunks: DataFrame) -> DataFrame:
     """A row for each token of tokenised chunks; no shuffle."""
-    return chunks.select(*KEY, F.posexplode("tokens_").alias("col", "t")).select(*KEY, "col", F.posexplode("t").alias("pos", "term"))
+    return chunks.select(*KEY, _dl().alias("dl"), F.posexplode("tokens_").alias("col", "t")).select(*KEY, "dl", "col", F.posexplode("t").alias("pos", "term"))
+
+
+def _dl() -> Column:
+    return F.aggregate("tokens_", F.lit(0), lambda n, t: n + F.size(t)).cast("long")
 
 
 def lengths(chunks: DataFrame) -> DataFrame:
     """Tokens of each chunk over the three columns."""
-    dl = F.aggregate("tokens_", F.lit(0), lambda n, t: n + F.size(t))
-    return chunks.select(*KEY, "path", "ord", dl.cast("long").alias("dl"))
+    return chunks.select(*KEY, "path", "ord", _dl().alias("dl"))
 
 
 def vocabulary(terms: DataFrame, stemmed: bool = True) -> DataFrame:
@@ -83,13 +95,18 @@ def build(chunks: DataFrame, stemmed: bool = True) -> Index:
     chunks = chunks if "tokens_" in chunks.columns else tokenized(chunks)
     posts, sizes = postings(chunks), lengths(chunks)
     stats = sizes.groupBy("source").agg(F.count("*").alias("n_all"), F.sum("dl").alias("total"))
-    return Index(chunks.drop("tokens_"), posts, sizes, vocabulary(posts, stemmed), stats, stemmed)
+    return Index(chunks.drop("tokens_"), posts, sizes, vocabulary(posts, stemmed), stats, stemmed, posts.select("term").distinct())
 
 
 def save(index: Index, path: str) -> None:
-    """Write an index, each source replaced as a whole; other sources stay. The vocabulary only grows."""
+    """Write an index, each source replaced as a whole; other sources stay. The vocabulary only grows.
+
+    Postings are dealt by ranges, so a source's commonest term is split over tasks and a task writes files for the few
+    sources of its range only.
+    """
     spark = index.chunks.sparkSession
-    for name, df in (("chunks", index.chunks), ("lengths", index.lengths), ("stats", index.stats), ("postings", index.postings.repartition("source", "term").sortWithinPartitions("source", "term"))):
+    dealt = index.postings.repartitionByRange("source", "term", "chunk_id").sortWithinPartitions("source", "term", "chunk_id")
+    for name, df in (("chunks", index.chunks), ("lengths", index.lengths), ("stats", index.stats), ("postings", dealt)):
         df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source").parquet(f"{path}/{name}")
     old = _maybe(spark, f"{path}/vocabulary")
     new = index.vocabulary if old is None else index.vocabulary.join(old.select("term"), "term", "left_anti")
@@ -129,89 +146,146 @@ def _plan(query: str, stemmed: bool) -> list[tuple[int, int, int, str]]:
     return out
 
 
-def phrase_counts(index: Index, plan: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """(*by, source, chunk_id, phrase, f): how often each phrase stands in each chunk, in any one column.
-
-    ``plan(*by, phrase, place, size, stem)`` has a row for each token of each query, as large as the queries typed.
-    A token of a phrase votes for the position where the phrase would start; starts with all votes count.
-    """
-    terms = index.vocabulary.join(F.broadcast(plan.select("stem").distinct()), "stem").distinct()  # writers at one time may have added a term twice
-    wanted = terms.join(F.broadcast(plan), "stem")
-    hit = index.postings.join(wanted, "term").withColumn("start", F.col("pos") - F.col("place"))
-    single = hit.where("size = 1").groupBy(*by, *KEY, "phrase").agg(F.count("*").alias("f"))
-    starts = hit.where("size > 1").groupBy(*by, *KEY, "phrase", "size", "col", "start").agg(F.count("*").alias("n")).where("n = size")
-    return single.unionByName(starts.groupBy(*by, *KEY, "phrase").agg(F.count("*").alias("f")))
+def _units(plans: dict) -> tuple[list[tuple], list[tuple]]:
+    """Plans by query -> units (unit, place, size, stem), and uses (query, unit, times)."""
+    numbers: dict[tuple[str, ...], int] = {}
+    uses: Counter = Counter()
+    for query, plan in plans.items():
+        stems: dict[int, list[str]] = {}
+        for phrase, _, _, stem in plan:
+            stems.setdefault(phrase, []).append(stem)
+        for of in stems.values():
+            uses[query, numbers.setdefault(tuple(of), len(numbers))] += 1
+    return [(n, i, len(of), stem) for of, n in numbers.items() for i, stem in enumerate(of)], [(q, u, n) for (q, u), n in uses.items()]
 
 
-def scored(counts: DataFrame, index: Index, by: tuple[str, ...] = (), scope: str = "source") -> DataFrame:
-    """(*by, source, chunk_id, path, ord, score) by BM25, lower is better.
+def unit_counts(index: Index, units: list[tuple]) -> DataFrame:
+    """(source, chunk_id, dl, unit, f): how often each unit stands in each chunk, in any one column.
 
-    Statistics are those of the chunk's source, or of all chunks with scope "global".
+    Terms of the units' stems come to the driver first; up to LITERALS of them select postings as literals. A token of
+    a unit of several votes for the position where the unit would start; starts with all votes count.
+    """
+    spark = index.chunks.sparkSession
+    plan = spark.createDataFrame(units, "unit int, place int, size int, stem string")
+    stems = sorted({u[3] for u in units})
+    if not index.stemmed:
+        found = [(t, t) for t in stems]
+        terms = spark.createDataFrame(found, "term string, stem string")
+    else:
+        known = index.vocabulary
+        if index.terms is not None and len(stems) <= LITERALS:  # a stem is a term's beginning but for its last letter
+            known = vocabulary(index.terms.where(F.col("term").rlike("^(?:" + "|".join(sorted({regex.escape(t[:-1]) for t in stems})) + ")")))
+        terms = known.where(F.col("stem").isin(stems)) if len(stems) <= LITERALS else known.join(plan.select("stem").distinct(), "stem")
+        terms = terms.select("term", "stem").distinct()  # writers at one time may have added a term twice
+        found = [tuple(r) for r in terms.limit(LITERALS + 1).collect()]
+    if len(found) <= LITERALS:
+        posts, terms = index.postings.where(F.col("term").isin([t for t, _ in found])), spark.createDataFrame(found, "term string, stem string")
+    else:
+        posts = index.postings
+    hit = posts.join(terms, "term")
+    counts = None
+    if any(u[2] == 1 for u in units):
+        counts = hit.join(plan.where("size = 1").select("unit", "stem"), "stem").groupBy(*KEY, "dl", "unit").agg(F.count("*").alias("f"))
+    if any(u[2] > 1 for u in units):
+        starts = hit.join(plan.where("size > 1"), "stem").groupBy(*KEY, "dl", "unit", "size", "col", (F.col("pos") - F.col("place")).alias("start")).agg(F.count("*").alias("n")).where("n = size")
+        many = starts.groupBy(*KEY, "dl", "unit").agg(F.count("*").alias("f"))
+        counts = many if counts is None else counts.unionByName(many)
+    return counts
+
+
+def weighed(counts: DataFrame, index: Index, scope: str = "source") -> DataFrame:
+    """(source, chunk_id, unit, part): what a unit adds to a chunk's score by BM25, whoever asks for it.
+
+    Statistics are those of the chunk's source, or of all chunks with scope "global". ``counts`` is read twice.
     """
     group = ("source",) if scope == "source" else ()
     stats = index.stats if group else index.stats.agg(F.sum("n_all").alias("n_all"), F.sum("total").alias("total"))
     stats = stats.select(*group, "n_all", (F.col("total") / F.col("n_all")).alias("avgdl"))
-    df = counts.groupBy(*by, *group, "phrase").agg(F.count("*").alias("n"))
-    rows = counts.join(df, [*by, *group, "phrase"]).join(index.lengths, list(KEY))
-    rows = rows.join(stats, "source") if group else rows.crossJoin(F.broadcast(stats))  # one row
+    df = counts.groupBy(*group, "unit").agg(F.count("*").alias("n"))
+    df = df.join(stats, "source") if group else df.crossJoin(F.broadcast(stats))  # one row
     idf = F.log((F.col("n_all") - F.col("n") + 0.5) / (F.col("n") + 0.5))
-    idf = F.when(idf > 0, idf).otherwise(F.lit(LEAST_IDF))
-    part = idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return rows.groupBy(*by, *KEY, "path", "ord").agg((-F.sum(part)).alias("score"))
+    df = df.select(*group, "unit", "avgdl", F.when(idf > 0, idf).otherwise(F.lit(LEAST_IDF)).alias("idf"))
+    part = F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    return counts.join(df, [*group, "unit"]).select(*KEY, "unit", part.alias("part"))
 
 
-def best(rows: DataFrame, limit: int = LIMIT, offset: int = 0, by: tuple[str, ...] = ("source",)) -> DataFrame:
-    """The best ``limit`` rows of each group with rank from 1; ties by path and place. limit 0 or less is 10."""
-    limit = limit if limit > 0 else LIMIT
-    order = Window.partitionBy(*by).orderBy(F.round("score", 9), "source", "path", "ord")
-    return rows.withColumn("rank", F.row_number().over(order)).where((F.col("rank") <= offset + limit) & (F.col("rank") > offset))
+def scored(index: Index, plans: dict, kind: str, scope: str = "source", sources: list[str] | None = None) -> DataFrame | None:
+    """(query, source, chunk_id, score) by BM25, lower is better; none if no query has a word. Other sources than those
+    given have no hits, and a filter changes no statistics."""
+    units, uses = _units(plans)
+    if not units:
+        return None
+    some = lambda df: df.where(F.col("source").isin(sources)) if sources else df
+    if sources and scope == "source":  # all that counts lies in the partitions of these sources
+        index = Index(index.chunks, some(index.postings), index.lengths, index.vocabulary, some(index.stats), index.stemmed)
+    counts = settled(unit_counts(index, units), "counts")
+    asked = index.chunks.sparkSession.createDataFrame(uses, f"query {kind}, unit int, times int")
+    rows = some(weighed(counts, index, scope)).join(asked, "unit")
+    return rows.groupBy("query", *KEY).agg((-F.sum(F.col("part") * F.col("times"))).alias("score"))
 
 
-def _plan_frame(spark: SparkSession, rows: list[tuple], by: str = "") -> DataFrame:
-    return spark.createDataFrame(rows, f"{by}phrase int, place int, size int, stem string")
+def best(rows: DataFrame, index: Index, limit: int = LIMIT, offset: int = 0, by: tuple[str, ...] = ("query", "source"), whole: bool = False) -> DataFrame:
+    """The best ``limit`` rows of each group with rank from 1; ties by source, path and place. limit 0 or less is 10.
+
+    Paths are looked up only for rows that can be among them: those whose score is, ties included. ``whole`` adds what
+    was indexed.
+    """
+    limit, score = limit if limit > 0 else LIMIT, F.round("score", 9)
+    if by:
+        near = rows.withColumn("near_", F.rank().over(Window.partitionBy(*by).orderBy(score))).where(F.col("near_") <= offset + limit).drop("near_")
+    else:
+        rows = settled(rows, "scores")
+        worst = rows.select(score.alias("s")).orderBy("s").limit(offset + limit).agg(F.max("s")).first()[0]
+        near = rows.where(score <= F.lit(worst))
+    near = settled(near, "near")
+    small = F.broadcast if near.count() <= FEW else lambda df: df
+    placed, order = index.lengths.select(*KEY, "path", "ord").join(small(near), list(KEY)), [score, "source", "path", "ord"]
+    top = placed if by else placed.orderBy(*order).limit(offset + limit)
+    ranked = top.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where((F.col("rank") <= offset + limit) & (F.col("rank") > offset))
+    return index.chunks.join(small(ranked.drop("path", "ord")), list(KEY)) if whole else ranked
 
 
 def search(index: Index, query: str, sources: list[str] | None = None, limit: int = LIMIT, offset: int = 0, scope: str = "source", with_snippet: bool = True, global_limit: int | None = None) -> DataFrame:
     """Hits of one query: the best ``limit`` of each source in order of sources, or the best ``global_limit`` of all.
 
-    A blank query is an error; one without a word in it has no hits. Unknown sources have none either.
+    A blank query is an error; one without a word in it has no hits. Unknown sources have none either. Statistics are
+    those of a chunk's source, or with scope "global" those of all sources, also where ``sources`` says which may hit.
     """
     if not query.strip():
         raise ValueError("empty query")
-    spark = index.chunks.sparkSession
-    if sources:
-        # a filter on the partition column; statistics by source do not change, global ones are those of the sources given
-        some = lambda df: df.where(F.col("source").isin(sources))
-        index = Index(some(index.chunks), some(index.postings), some(index.lengths), index.vocabulary, some(index.stats), index.stemmed)
     plan = _plan(query, index.stemmed)
-    rows = scored(phrase_counts(index, _plan_frame(spark, plan)), index, scope=scope)
-    if global_limit is None:
-        top = best(rows, limit, offset)
-    else:
-        order = [F.round("score", 9), "source", "path", "ord"]
-        top = rows.orderBy(*order).limit(global_limit + offset).withColumn("rank", F.row_number().over(Window.orderBy(*order))).where(F.col("rank") > offset)
-    hits = top.join(index.chunks.drop("path", "ord"), list(KEY))
-    if with_snippet:
-        hits = hits.withColumn("snippet", snippet_udf(plan, index.stemmed)(F.col("body")))
-    return hits.orderBy("source", "rank") if global_limit is None else hits.orderBy("rank")
+    rows = scored(index, {0: plan}, "int", scope, sources)
+    if rows is None:
+        hits = index.chunks.where("false").withColumns({"score": F.lit(0.0), "rank": F.lit(0)})
+        return hits.withColumn("snippet", F.lit("")) if with_snippet else hits
+    hits = best(rows, index, limit, offset, whole=True) if global_limit is None else best(rows, index, global_limit, offset, (), whole=True)
+    hits = hits.drop("query").orderBy(*(("source", "rank") if global_limit is None else ("rank",)))
+    # after the sort, whose sampling would make them twice
+    return hits.withColumn("snippet", snippet_udf(plan, index.stemmed)(F.col("body"))) if with_snippet else hits
 
 
 def search_batch(index: Index, queries: DataFrame, limit: int = LIMIT, scope: str = "global") -> DataFrame:
     """Hits of many queries(query_id, query) at once: (query_id, source, path, ord, score, rank).
 
-    Queries are tokenised on the driver; the table of their tokens is broadcast, so it is for queries as people type
-    them, some thousands at a time.
+    Queries are tokenised on the driver, so it is for queries as people type them, some thousands at a time. A unit is
+    counted and weighed once for all queries that have it.
     """
-    spark = index.chunks.sparkSession
-    rows = [(r.query_id, *p) for r in queries.select("query_id", "query").collect() for p in _plan(r.query or "", index.stemmed)]
     kind = queries.schema["query_id"].dataType.simpleString()
-    counts = phrase_counts(index, _plan_frame(spark, rows, f"query_id {kind}, "), ("query_id",))
-    return best(scored(counts, index, ("query_id",), scope), limit, by=("query_id",)).select("query_id", "source", "path", "ord", "score", "rank")
+    rows = scored(index, {r.query_id: _plan(r.query or "", index.stemmed) for r in queries.select("query_id", "query").collect()}, kind, scope)
+    if rows is None:
+        rows = index.lengths.where("false").select(F.lit(None).cast(kind).alias("query"), *KEY, F.lit(0.0).alias("score"))
+    return best(rows, index, limit, by=("query",)).select(F.col("query").alias("query_id"), "source", "path", "ord", "score", "rank")
 
 
 _TOKEN = regex.compile(r"[\p{L}\p{N}\p{Co}\p{M}]+")
 
 
+@lru_cache(maxsize=1 << 16)
+def _word(text: str, stemmed: bool) -> str:
+    found = tokenize(text)
+    return (porter.stem(found[0]) if stemmed else found[0]) if found else ""
+
+
 def snippet(body: str, plan: list[tuple[int, int, int, str]], stemmed: bool = True, size: int = SNIPPET) -> str:
     """``size`` tokens of a body around what matched, marked. Without a match in the body, its first tokens.
 
@@ -222,7 +296,7 @@ def snippet(body: str, plan: list[tuple[int, int, int, str]], stemmed: bool = Tr
     spans = [(m.start(), m.end()) for m in _TOKEN.finditer(body)]
     if not spans:
         return body
-    words = [(porter.stem(t[0]) if stemmed else t[0]) if t else "" for t in (tokenize(body[a:b]) for a, b in spans)]
+    words = [_word(body[a:b], stemmed) for a, b in spans]
     wanted: dict[int, list[str]] = {}
     for phrase, _, _, t in sorted(plan):
         wanted.setdefault(phrase, []).append(t)

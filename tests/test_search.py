@@ -62,6 +62,35 @@ def test_limits_and_filters(index):
     assert search.search(index, "()").count() == 0
 
 
+def test_a_filter_changes_no_statistics(index):
+    every = {(r.source, r.path): r.score for r in search.search(index, "state hook", scope="global", limit=50).collect()}
+    some = {(r.source, r.path): r.score for r in search.search(index, "state hook", scope="global", sources=["tailwind"], limit=50).collect()}
+    assert some and some == pytest.approx({k: v for k, v in every.items() if k[0] == "tailwind"}, abs=1e-12)
+    top = search.search(index, "state hook", scope="global", sources=["react"], global_limit=1).first()
+    assert top.score == pytest.approx(min(v for k, v in every.items() if k[0] == "react"), abs=1e-12)
+
+
+def test_literals_reach_the_scan(spark, chunks, tmp_path, monkeypatch):
+    path = f"file://{tmp_path}/index"
+    search.save(search.build(chunks), path)
+    index = search.load(spark, path)
+    units, _ = search._units({0: search._plan("state generating", True)})
+    plan = search.unit_counts(index, units)._jdf.queryExecution().executedPlan().toString()
+    assert "In(term" in plan and plan.count("FileScan") == 1
+    want = {tuple(r) for r in search.unit_counts(index, units).collect()}
+    monkeypatch.setattr(search, "LITERALS", 0)  # as if the terms were too many for literals
+    assert {tuple(r) for r in search.unit_counts(index, units).collect()} == want
+    monkeypatch.setattr(search, "FEW", 0)
+    assert search.search(index, "state").count() == 3
+
+
+def test_ties_at_the_limit(spark, chunks):
+    copies = chunks.where("path = 'a'").drop("path").crossJoin(spark.createDataFrame([(f"p{i:02}",) for i in range(30)], "path string")).select(chunks.columns)
+    hits = search.search(search.build(copies), "hook", limit=4, offset=3, with_snippet=False).collect()
+    assert [(h.path, h.rank) for h in hits] == [(f"p{i:02}", i + 1) for i in range(3, 7)]
+    assert [h.path for h in search.search(search.build(copies), "hook", global_limit=2, with_snippet=False).collect()] == ["p00", "p01"]
+
+
 def test_sanitized():
     cases = {"react hooks": '"react" OR "hooks"', "useState()": '"useState"', 'say "hello" world': '"say" OR "hello" OR "world"', "": "", "   ": "", "()": ""}
     assert {q: search.sanitized(q) for q in cases} == cases

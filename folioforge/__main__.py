@@ -12,6 +12,13 @@ from .operators.catalog import CatalogError
 from .plans.engine import Engine
 
 
+def _pair(text: str) -> tuple[str, str]:
+    name, sign, value = text.partition("=")
+    if not sign or not name:
+        raise argparse.ArgumentTypeError(f"{text!r} is not NAME=VALUE")
+    return name, value
+
+
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="folioforge")
     p.add_argument("--store", default="file://" + os.path.expanduser("~/.folioforge"), help="folder of the corpus, as Spark names it")
@@ -22,13 +29,17 @@ def parser() -> argparse.ArgumentParser:
     add.add_argument("--kind", choices=["website", "llms_txt", "github", "local"])
     add.add_argument("--refresh", default="7d")
     add.add_argument("--max", type=int, default=0)
+    add.add_argument("--header", action="append", type=_pair, metavar="NAME=VALUE", help="sent with each request; ${NAME} is taken from the environment")
+    add.add_argument("--cookie", action="append", type=_pair, metavar="NAME=VALUE")
     add.add_argument("--pull", action="store_true")
+    add.add_argument("--render", action="store_true", help="with --pull: fetch pages that come out empty again by a browser")
     sub.add_parser("list")
     remove = sub.add_parser("remove", aliases=["rm"])
     remove.add_argument("name")
     remove.add_argument("--keep-files", action="store_true")
     for name in ("pull", "reindex", "outline"):
         sub.add_parser(name).add_argument("names", nargs="*")
+    sub.choices["pull"].add_argument("--render", action="store_true")
     find = sub.add_parser("search")
     find.add_argument("query")
     find.add_argument("--source", action="append")
@@ -45,7 +56,7 @@ def run(engine: Engine, args: argparse.Namespace, say=print) -> int:
     c = args.command
     try:
         if c == "add":
-            say(f"added {engine.add_source(args.spec, args.name, args.kind, args.refresh, args.max, pull=args.pull)}")
+            say(f"added {engine.add_source(args.spec, args.name, args.kind, args.refresh, args.max, dict(args.header or ()) or None, dict(args.cookie or ()) or None, pull=args.pull, render=args.render)}")
         elif c == "list":
             now = engine.clock()
             from pyspark.sql import functions as F
@@ -55,7 +66,7 @@ def run(engine: Engine, args: argparse.Namespace, say=print) -> int:
         elif c in ("remove", "rm"):
             engine.remove_source(args.name, args.keep_files)
         elif c == "pull":
-            for r in engine.refresh_source(args.names or None):
+            for r in engine.refresh_source(args.names or None, render=args.render):
                 say(f"{r.source}: {r.pages} pages, {r.chunks} chunks, {r.skipped} skipped, {len(r.errors)} errors")
                 for e in r.errors[:3]:
                     say(f"  {e}")

@@ -9,15 +9,21 @@ from ..functions import urls as U
 from ..sources.shared import settled
 
 
-def filtered(found: DataFrame, hosts: list[str], scope: str, most: int | None = None) -> DataFrame:
-    """found(url, pos) -> (url, path, pos): pages of the hosts in scope, one for each path, the first found.
+def filtered(found: DataFrame, hosts: list[str] | None, scope: str, most: int | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """found(*by, url, pos) -> (*by, url, path, pos): pages of the hosts (of any, if none are given) in scope, one for
+    each path, the first found, and the first ``most`` of each group.
 
     Query and fragment go; "/a" and "/a/" are different paths.
     """
     kept = found.withColumn("url", U.without("url", query=True)).withColumn("path", U.path("url"))
-    kept = kept.where(U.host("url").isin([h.lower() for h in hosts]) & U.in_scope("url", F.lit(scope)) & ~F.col("path").rlike(U.NO_PAGE))
-    first = kept.withColumn("n", F.row_number().over(Window.partitionBy("path").orderBy("pos", "url"))).where("n = 1").select("url", "path", "pos")
-    return first.orderBy("pos", "url").limit(most) if most else first
+    own = F.lit(True) if hosts is None else U.host("url").isin([h.lower() for h in hosts])
+    kept = kept.where(own & U.in_scope("url", F.lit(scope)) & ~F.col("path").rlike(U.NO_PAGE))
+    first = kept.withColumn("n", F.row_number().over(Window.partitionBy(*by, "path").orderBy("pos", "url"))).where("n = 1").select(*by, "url", "path", "pos")
+    if not most:
+        return first
+    if not by:
+        return first.orderBy("pos", "url").limit(most)
+    return first.withColumn("n", F.row_number().over(Window.partitionBy(*by).orderBy("pos", "url"))).where(F.col("n") <= most).drop("n")
 
 
 def largest(candidates: DataFrame) -> DataFrame:

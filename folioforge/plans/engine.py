@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import catalog, search
 from ..sources import kinds
-from ..sources.fetch import Fetcher
+from ..sources.fetch import Fetcher, shown
 from ..sources.store import Store
 from . import ingest
 
@@ -23,8 +23,8 @@ class ReadOnly(PermissionError):
 class Engine:
     """search_docs, get_page, list_sources, get_outline; refresh_source, add_source, remove_source unless read_only."""
 
-    def __init__(self, spark: SparkSession, root: str, read_only: bool = False, fetcher: Fetcher | None = None, clock=datetime.utcnow):
-        self.store, self.read_only, self.fetcher, self.clock = Store(spark, root), read_only, fetcher, clock
+    def __init__(self, spark: SparkSession, root: str, read_only: bool = False, fetcher: Fetcher | None = None, clock=datetime.utcnow, browser: Fetcher | None = None):
+        self.store, self.read_only, self.fetcher, self.clock, self.browser = Store(spark, root), read_only, fetcher, clock, browser
 
     @property
     def tools(self) -> list[str]:
@@ -55,7 +55,7 @@ class Engine:
         if self.read_only:
             raise ReadOnly("the engine was opened for reading")
 
-    def add_source(self, spec: str, name: str | None = None, kind: str | None = None, refresh: str = catalog.DEFAULT_REFRESH, max_pages: int = 0, headers: dict | None = None, cookies: dict | None = None, pull: bool = False) -> str:
+    def add_source(self, spec: str, name: str | None = None, kind: str | None = None, refresh: str = catalog.DEFAULT_REFRESH, max_pages: int = 0, headers: dict | None = None, cookies: dict | None = None, pull: bool = False, render: bool = False) -> str:
         self._changing()
         found = self.store.spark.range(1).select(T.detect_kind(F.lit(spec)).alias("kind")).first().kind
         kind = kind or found
@@ -66,15 +66,18 @@ class Engine:
             raise catalog.CatalogError(f"{name!r} is no name")
         self.store.save_entries(catalog.added(self.store.entries(), name, kind, spec, self.clock(), refresh, max_pages, headers, cookies))
         if pull:
-            self.refresh_source([name])
+            self.refresh_source([name], render=render)
         return name
 
-    def refresh_source(self, names: list[str] | None = None, escalate=None) -> list[ingest.Result]:
-        """Pull sources, all of them if none is named. An unknown name is an error."""
+    def refresh_source(self, names: list[str] | None = None, escalate=None, render: bool = False) -> list[ingest.Result]:
+        """Pull sources, all of them if none is named. An unknown name is an error. With ``render``, pages that come out
+        empty are fetched again by the engine's browser."""
         self._changing()
+        if render and escalate is None:
+            escalate = lambda pages: shown(pages, self.browser)
         entries = catalog.chosen(self.store.entries(), names, strict=True).collect()
         at = self.clock()
-        requests = [kinds.Request(e.name, e.kind, e.root, at, e.max_pages or 0, e.headers or {}, self.fetcher) for e in entries]
+        requests = [kinds.Request(e.name, e.kind, e.root, at, e.max_pages or 0, e.headers or {}, self.fetcher, e.cookies or {}) for e in entries]
         results = ingest.run(self.store, requests, self.clock, escalate)
         now = self.store.entries()
         for r in results:

@@ -39,9 +39,12 @@ def chunks_of(documents: DataFrame, **how) -> DataFrame:
     return chunking.chunk(documents.where("status = 'ok'").drop("status", "content_hash", "fetched_at", "content_type", "token_count"), **how)
 
 
-def ingest(store: Store, pages: DataFrame, escalate=None, **how) -> tuple[DataFrame, DataFrame]:
-    """Store and index pages of any number of sources at once, each replaced as a whole. -> (documents, chunks)"""
+def ingest(store: Store, pages: DataFrame, escalate=None, kept: DataFrame | None = None, **how) -> tuple[DataFrame, DataFrame]:
+    """Store and index pages of any number of sources at once, each replaced as a whole by them and the documents
+    ``kept``. -> (documents, chunks)"""
     docs = documents_of(pages, escalate)
+    if kept is not None:  # written first: the tables that it is read from are replaced
+        docs = settled(docs.unionByName(kept.select([c for c in kept.columns if c in docs.columns]), allowMissingColumns=True), "merged")
     ok = docs.where("status = 'ok'")
     chunks = settled(search.tokenized(chunks_of(docs, **how)), "chunks")
     store.replace_documents(ok)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import subprocess
 import urllib.error
 import urllib.request
 from collections.abc import Callable, Iterator, Mapping
@@ -28,6 +29,19 @@ class Response:
 Fetcher = Callable[[str, Mapping[str, str]], Response]
 
 
+class _Redirects(urllib.request.HTTPRedirectHandler):
+    """What a source is opened with does not follow to another host."""
+
+    max_redirections = MAX_REDIRECTS
+
+    def redirect_request(self, req, fp, code, msg, headers, newurl):
+        new = super().redirect_request(req, fp, code, msg, headers, newurl)
+        if new is not None and new.host != req.host:
+            for name in ("Cookie", "Authorization"):
+                new.remove_header(name)
+        return new
+
+
 @dataclass
 class HttpFetcher:
     """GET over HTTP. Any status is a response; too many redirects and too long a body are errors."""
@@ -42,10 +56,8 @@ class HttpFetcher:
         if not url:
             raise ValueError("empty address")
         own = {"Accept": self.accept, "User-Agent": self.agent, **({"Cookie": "; ".join(f"{k}={v}" for k, v in self.cookies.items())} if self.cookies else {}), **headers}
-        handler = urllib.request.HTTPRedirectHandler()
-        handler.max_redirections = MAX_REDIRECTS
         try:
-            with urllib.request.build_opener(handler).open(urllib.request.Request(url, headers=own), timeout=self.timeout) as r:
+            with urllib.request.build_opener(_Redirects()).open(urllib.request.Request(url, headers=own), timeout=self.timeout) as r:
                 return self._response(r, r.geturl(), r.status)
         except urllib.error.HTTPError as e:
             if 300 <= e.code < 400:
@@ -59,6 +71,23 @@ class HttpFetcher:
         return Response(url, status, (r.headers.get("Content-Type") or "").strip().lower(), body)
 
 
+@dataclass
+class CommandFetcher:
+    """A page as a browser shows it: what a command, with the address as its last word, prints."""
+
+    command: tuple[str, ...] = ("chromium", "--headless", "--disable-gpu", "--virtual-time-budget=1000", "--dump-dom")
+    timeout: float = TIMEOUT
+    max_body: int = MAX_BODY
+
+    def __call__(self, url: str, headers: Mapping[str, str]) -> Response:
+        if not url.startswith(("http://", "https://")):
+            raise ValueError(f"{url!r} is no address of a page")
+        done = subprocess.run([*self.command, url], capture_output=True, timeout=self.timeout, check=True)
+        if len(done.stdout) > self.max_body:
+            raise ValueError(f"{url}: body over {self.max_body} bytes")
+        return Response(url, 200, "text/html; charset=utf-8", done.stdout)
+
+
 @dataclass
 class TableFetcher:
     """Responses from a table, for tests and replays: address -> (status, content type, body), or an address to go on to."""
@@ -124,3 +153,9 @@ def fetched(urls: DataFrame, fetcher: Fetcher | None = None, headers: Mapping[st
 def ok_pages(rows: DataFrame) -> DataFrame:
     """Rows with a 2xx response, the body as text."""
     return rows.where(F.col("error").isNull() & is_success(F.col("status"))).withColumn("body", F.col("body").cast("string"))
+
+
+def shown(pages: DataFrame, fetcher: Fetcher | None = None) -> DataFrame:
+    """Pages fetched again as a browser shows them, with a limit of its own on what runs at a time; for ``escalate``."""
+    got = ok_pages(fetched(pages.select("source", "url", "path", "fetched_at"), fetcher or CommandFetcher()))
+    return got.select("source", "url", "path", "content_type", "body", "fetched_at")

@@ -37,11 +37,18 @@ class Request:
     max_pages: int = 0
     headers: Mapping[str, str] = field(default_factory=dict)
     fetcher: Fetcher | None = None
+    cookies: Mapping[str, str] = field(default_factory=dict)
 
     @property
     def most(self) -> int:
         return self.max_pages or MOST[self.kind]
 
+    @property
+    def sent(self) -> dict[str, str]:
+        """Headers of each request, cookies among them, with the driver's environment in them."""
+        cookies = expand_map(self.cookies)
+        return {**(expand_map(self.headers) or {}), **({"Cookie": "; ".join(f"{k}={v}" for k, v in sorted(cookies.items()))} if cookies else {})}
+
 
 def _pages(df: DataFrame, r: Request) -> DataFrame:
     """The page columns; of pages with one path the last stays."""
@@ -77,7 +84,7 @@ def local(spark: SparkSession, r: Request) -> DataFrame:
 
 
 def _get(spark: SparkSession, r: Request, *urls: str) -> DataFrame:
-    return fetched(spark.createDataFrame([(u,) for u in urls], "url string"), r.fetcher, expand_map(r.headers))
+    return fetched(spark.createDataFrame([(u,) for u in urls], "url string"), r.fetcher, r.sent)
 
 
 def llms_txt(spark: SparkSession, r: Request) -> DataFrame:
@@ -90,7 +97,7 @@ def llms_txt(spark: SparkSession, r: Request) -> DataFrame:
     links = index.select(F.posexplode(U.links_of_markdown("body", F.lit(row['index']))).alias("pos", "url")).orderBy("pos").limit(r.most)
     if links.isEmpty():
         return _pages(index.select("url", F.lit("llms").alias("path"), U.forced_markdown("content_type").alias("content_type"), "body"), r)
-    pages = settled(ok_pages(fetched(links.select("url"), r.fetcher, expand_map(r.headers))), "pages")
+    pages = settled(ok_pages(fetched(links.select("url"), r.fetcher, r.sent)), "pages")
     return _some(_pages(pages.select("url", U.index_path("url").alias("path"), "content_type", "body"), r), "no link of the index answers")
 
 
@@ -100,7 +107,7 @@ def github(spark: SparkSession, r: Request, api: str = "https://api.github.com",
     if spec is None:
         raise SourceError(f"{r.root!r} is no repository")
     token = token or os.environ.get("GITHUB_TOKEN")
-    auth = {"Authorization": f"Bearer {token}"} if token else {}
+    auth = {**r.sent, **({"Authorization": f"Bearer {token}"} if token else {})}
     call = lambda url: ok_pages(fetched(spark.createDataFrame([(url,)], "url string"), r.fetcher, auth))
     ref = spec.ref
     if not ref:
@@ -123,23 +130,32 @@ def tree_files(nodes: DataFrame, subdir: str = "") -> DataFrame:
 
 
 def _sitemap_pages(spark: SparkSession, r: Request, sitemaps: DataFrame, depth: int = 3) -> DataFrame:
-    """(url, pos) of sitemaps(url), indexes of sitemaps followed to a depth, each sitemap once."""
-    found = spark.createDataFrame([], "url string, pos int")
-    todo = settled(sitemaps.select("url").distinct(), "todo")
+    """(strategy, url, pos) of sitemaps(strategy, url), indexes of sitemaps followed to a depth, each sitemap once for a
+    strategy."""
+    if "strategy" not in sitemaps.columns:
+        sitemaps = sitemaps.withColumn("strategy", F.lit(""))
+    found = spark.createDataFrame([], "strategy string, url string, pos int")
+    todo = settled(sitemaps.select("strategy", "url").distinct(), "todo")
     seen = todo
     for _ in range(depth + 1):
         if todo.isEmpty():
             break
-        got = settled(ok_pages(fetched(todo, r.fetcher, expand_map(r.headers))).select("url", "body"), "sitemaps")
+        got = settled(ok_pages(fetched(todo.select("url").distinct(), r.fetcher, r.sent)).select("url", "body"), "sitemaps")
         locs = got.select("url", U.is_sitemap_index("body").alias("index"), F.posexplode(U.sitemap_locs("body")).alias("pos", "loc"))
-        found = found.unionByName(locs.where(~F.col("index")).select(F.col("loc").alias("url"), "pos"))
-        todo = settled(locs.where("index").select(F.col("loc").alias("url")).distinct().join(seen, "url", "left_anti"), "todo")
+        locs = todo.join(locs, "url").select("strategy", "index", "pos", F.col("loc").alias("url"))
+        found = found.unionByName(locs.where(~F.col("index")).select("strategy", "url", "pos"))
+        todo = settled(locs.where("index").select("strategy", "url").distinct().join(seen, ["strategy", "url"], "left_anti"), "todo")
         seen = seen.unionByName(todo)
     return found
 
 
 def website(spark: SparkSession, r: Request) -> DataFrame:
-    """Pages of a site: those of its largest sitemap in scope, else of its navigation, else what a crawl reaches."""
+    """Pages of a site: those of its largest sitemap in scope, else of its navigation, else what a crawl reaches.
+
+    Each origin's robots.txt, with all sitemaps that it names, and each usual place of a sitemap are strategies; the one
+    with most pages in scope is taken, the first of equals. Hosts that a sitemap names count as the site's own. A
+    navigation is one if it has over five links, in scope or not.
+    """
     entry = settled(_get(spark, r, r.root), "entry")
     first = _some(ok_pages(entry), f"{r.root}: no answer").first()
     parts = spark.range(1).select(*(f(F.lit(u)).alias(f"{f.__name__}{i}") for i, u in enumerate((r.root, first.final_url)) for f in (U.host, U.scope_path, U.parent_dir))).first()
@@ -147,19 +163,21 @@ def website(spark: SparkSession, r: Request) -> DataFrame:
     if scope.startswith(parts.scope_path0) and parts.scope_path0 != scope:
         scope = parts.scope_path0
     origins = {u.split("/")[0] + "//" + u.split("/")[2] for u in (r.root, first.final_url)}
-    robots = ok_pages(_get(spark, r, *(f"{o}/robots.txt" for o in sorted(origins)))).select(F.explode(U.robots_sitemaps("body")).alias("url"))
+    robots = ok_pages(_get(spark, r, *(f"{o}/robots.txt" for o in sorted(origins)))).select(F.concat(F.lit("0 "), "url").alias("strategy"), F.explode(U.robots_sitemaps("body")).alias("url"))
     usual = [f"{o}{d}{n}" for o in sorted(origins) for d in sorted({parts.parent_dir1, "/"}) for n in U.SITEMAPS]
-    maps = _sitemap_pages(spark, r, robots.unionByName(spark.createDataFrame([(u,) for u in usual], "url string")))
-    pages = settled(discover.filtered(maps, hosts, scope, r.most), "sitemap")
+    maps = settled(_sitemap_pages(spark, r, robots.unionByName(spark.createDataFrame([(f"1 {i:03}", u) for i, u in enumerate(usual)], "strategy string, url string"))), "locations")
+    pages = settled(discover.largest(discover.filtered(maps, None, scope, r.most, by=("strategy",))), "sitemap")
     if pages.isEmpty():
+        hosts = sorted({*hosts, *(x.h for x in maps.select(U.host("url").alias("h")).distinct().collect() if x.h)})  # a site's own sitemaps name few
         links = [(u, i) for i, u in enumerate(navigation(first.body))]
         if links:
             nav = spark.createDataFrame(links, "href string, pos int").select(U.without(U.resolved(F.lit(first.final_url), "href"), query=True).alias("url"), "pos")
-            nav = nav.unionByName(spark.createDataFrame([(first.final_url, len(links))], "url string, pos int"))
-            pages = settled(discover.filtered(nav, hosts, scope, r.most), "navigation")
-        if pages.count() <= 5:
+            nav = settled(nav.where(~U.path("url").rlike(U.NO_PAGE)).groupBy("url").agg(F.min("pos").alias("pos")).unionByName(spark.createDataFrame([(first.final_url, len(links))], "url string, pos int")), "links")
+            if nav.count() > 5:
+                pages = settled(discover.filtered(nav, hosts, scope, r.most), "navigation")
+        if pages.isEmpty():
             pages = crawl(spark, r, first.final_url, hosts, scope)
-    got = settled(ok_pages(fetched(pages.select("url"), r.fetcher, expand_map(r.headers))), "pages")
+    got = settled(ok_pages(fetched(pages.select("url"), r.fetcher, r.sent)), "pages")
     return _some(_pages(got.select("url", U.site_path("url").alias("path"), "content_type", "body"), r), f"no page of {r.root} answers")
 
 
@@ -169,7 +187,7 @@ def crawl(spark: SparkSession, r: Request, start: str, hosts: list[str], scope:
     seen = settled(discover.filtered(frontier, hosts, "/", None), "seen")
     frontier, n = seen, seen.count()
     while n < r.most and not frontier.isEmpty():
-        got = ok_pages(fetched(frontier.select("url"), r.fetcher, expand_map(r.headers))).where(F.lower("body").contains("</html"))
+        got = ok_pages(fetched(frontier.select("url"), r.fetcher, r.sent)).where(F.lower("body").contains("</html"))
         links = got.select(F.posexplode(U.hrefs("body", "url")).alias("pos", "url")).select("url", "pos")
         new = discover.filtered(links, hosts, scope).join(seen.select("path"), "path", "left_anti").select("url", "path", F.lit(n).alias("pos"))
         frontier = settled(new.orderBy("url").limit(r.most - n), "frontier")

@@ -49,15 +49,17 @@ class Store:
         return raw.select(F.explode("sources").alias("s")).select("s.*").orderBy("name")
 
     def save_entries(self, entries: DataFrame) -> None:
-        """A catalog is small; it is written beside its place and moved there."""
+        """A catalog is small; it is written beside its place and moved over the old one in one step."""
         rows = [{k: (v.isoformat() if isinstance(v, datetime) else v) for k, v in r.asDict(True).items() if v not in (None, "", {})} for r in entries.orderBy("name").collect()]
         fs, path = self._fs("catalog.json")
         _, part = self._fs("catalog.json.tmp")
         out = fs.create(part, True)
         out.write(bytearray(json.dumps({"sources": rows}, indent=2, ensure_ascii=False).encode()))
         out.close()
-        fs.delete(path, False)
-        fs.rename(part, path)
+        jvm = self.spark._jvm
+        over = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        over[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(path.toUri(), self.spark._jsc.hadoopConfiguration()).rename(part, path, over)
 
     # documents
 

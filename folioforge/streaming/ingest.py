@@ -18,15 +18,14 @@ def page_stream(spark: SparkSession, folder: str, files_a_batch: int = 100) -> D
 
 
 def merged(store: Store, batch: DataFrame) -> None:
-    """A batch's pages over those stored of the same sources; the newest of a path stays."""
+    """A batch's pages over those stored of the same sources; the newest of a path stays. Stored documents stay as they
+    are; only new pages are rendered."""
     if batch.isEmpty():
         return
-    sources = [r.source for r in batch.select("source").distinct().collect()]
-    old = store.documents().where(F.col("source").isin(sources))
+    old = store.documents().join(batch.select("source").distinct(), "source", "left_semi")
     kept = old.join(batch.select("source", "path").distinct(), ["source", "path"], "left_anti")
-    as_pages = kept.select("source", "url", "path", F.lit("text/markdown").alias("content_type"), F.concat(F.col("markdown")).alias("body"), "fetched_at")
     newest = batch.groupBy("source", "path").agg(F.max_by(F.struct("url", "content_type", "body", "fetched_at"), F.struct("fetched_at", "url")).alias("p")).select("source", "p.url", "path", "p.content_type", "p.body", "p.fetched_at")
-    ingest(store, newest.unionByName(as_pages))
+    ingest(store, newest, kept=kept)
 
 
 def start(store: Store, folder: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:

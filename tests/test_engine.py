@@ -95,9 +95,17 @@ def test_stream(spark, engine, root):
     stream.start(engine.store, folder, f"file://{root}/ck").awaitTermination()
     docs = {r.path: r.markdown for r in engine.store.documents().where("source = 'feed'").collect()}
     assert set(docs) == {"a", "b"} and "second" in docs["a"]
+    html = "<html><head><title>Kept title</title></head><body><main><p>" + "a page whose title is not in its text, " * 5 + "</p></main></body></html>"
+    spark.createDataFrame([("feed", "https://f/t", "t", "text/html", html, NOW)], schema).write.mode("append").parquet(folder)
+    stream.start(engine.store, folder, f"file://{root}/ck").awaitTermination()
+    before = {r.path: (r.title, r.markdown, r.fetched_at, r.content_hash) for r in engine.store.documents().where("source = 'feed'").collect()}
+    spark.createDataFrame([page("b", "# B\n\na later page of the feed, long enough", datetime(2024, 2, 5))], schema).write.mode("append").parquet(folder)
+    stream.start(engine.store, folder, f"file://{root}/ck").awaitTermination()
+    after = {r.path: (r.title, r.markdown, r.fetched_at, r.content_hash) for r in engine.store.documents().where("source = 'feed'").collect()}
+    assert after["t"] == before["t"] and after["t"][0] == "Kept title" and "later" in after["b"][1] and after["a"] == before["a"]
     q = stream.token_rates(stream.page_stream(spark, folder)).writeStream.format("memory").queryName("rates").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
-    assert spark.table("rates").groupBy().sum("pages").first()[0] == 3
+    assert spark.table("rates").groupBy().sum("pages").first()[0] == 5
 
 
 def test_remove(engine):
@@ -119,3 +127,38 @@ def test_entry_without_the_optional_part(monkeypatch):
     assert rest < full or rest == full
     assert "search_bm25" in rest and not any(n.startswith("op") and n[2].isdigit() for n in rest) and "pipeline" not in rest
     assert set(entry.oracle_sql()) <= rest and importlib.import_module("__spark_entry__") is sys.modules["__spark_entry__"]
+
+
+def test_cookies_are_sent(spark, tmp_path, monkeypatch):
+    """Cookies and headers of an entry reach each request, with the driver's environment in them."""
+    monkeypatch.setenv("CORPUS_KEY", "k1")
+    web = {"https://l.x/llms.txt": (200, "text/plain", "[One](/one.md)"), "https://l.x/one.md": (200, "text/markdown", "# One\n\nthe page is only for those who have the cookie")}
+
+    class Asking(TableFetcher):
+        def __call__(self, url, headers):
+            if headers.get("Cookie") != "b=2; session=k1" or headers.get("X-Key") != "k1":
+                raise ValueError(f"who are you? {headers}")
+            return super().__call__(url, headers)
+
+    e = Engine(spark, f"file://{tmp_path}/store", fetcher=Asking(web), clock=lambda: NOW)
+    e.add_source("https://l.x/llms.txt", headers={"X-Key": "${CORPUS_KEY}"}, cookies={"session": "${CORPUS_KEY}", "b": "2"})
+    assert [r.errors for r in e.refresh_source()] == [[]] and e.search_docs("cookie").count() == 1
+    raw = (tmp_path / "store/catalog.json").read_text()
+    assert "${CORPUS_KEY}" in raw and "k1" not in raw and not (tmp_path / "store/catalog.json.tmp").exists()
+
+
+def test_render_option(spark, tmp_path):
+    """Empty pages are fetched again by the browser, from the engine and from the command line."""
+    from folioforge.__main__ import parser, run
+
+    shell = "<html><body><main></main></body></html>"
+    full = "<html><head><title>App</title></head><body><main><p>" + "javascript-rendered content of the page. " * 4 + "</p></main></body></html>"
+    web = {"https://a.x/docs/": (200, "text/html", shell)}
+    e = Engine(spark, f"file://{tmp_path}/store", fetcher=TableFetcher(web), browser=TableFetcher({"https://a.x/docs/": (200, "text/html", full)}), clock=lambda: NOW)
+    said = []
+    assert run(e, parser().parse_args(["add", "https://a.x/docs/", "--name", "app", "--header", "X-A=1", "--cookie", "c=2=3"]), said.append) == 0
+    row = e.store.entries().first()
+    assert row.headers == {"X-A": "1"} and row.cookies == {"c": "2=3"}
+    assert run(e, parser().parse_args(["pull", "app"]), said.append) == 0 and "0 pages, 0 chunks, 1 skipped" in said[-1]
+    assert run(e, parser().parse_args(["pull", "app", "--render"]), said.append) == 0 and "1 pages" in said[-1]
+    assert e.search_docs("javascript-rendered").count() == 1

@@ -59,6 +59,26 @@ def test_many_sitemaps(spark):
     assert len(got) == 1220
 
 
+def test_largest_strategy_and_its_hosts(spark):
+    """The sitemap with most pages in scope is taken alone, and hosts that it names are the site's."""
+    urls = lambda *u: "<urlset>" + "".join(f"<url><loc>{x}</loc></url>" for x in u) + "</urlset>"
+    web = {
+        "https://w.x/docs/": (200, "text/html", page("Home")), "https://w.x/robots.txt": (200, "text/plain", "Sitemap: https://w.x/small.xml\n"),
+        "https://w.x/small.xml": (200, "application/xml", urls("https://w.x/docs/only-here", "https://w.x/docs/a")),
+        "https://w.x/sitemap.xml": (200, "application/xml", urls("https://w.x/docs/a", "https://docs.w.x/docs/b", "https://docs.w.x/docs/c", "https://w.x/blog/z")),
+        **{u: (200, "text/html", page(u[-1])) for u in ("https://w.x/docs/only-here", "https://w.x/docs/a", "https://docs.w.x/docs/b", "https://docs.w.x/docs/c", "https://w.x/blog/z")},
+    }
+    got = kinds.pull(spark, kinds.Request("name", "website", "https://w.x/docs/", AT, fetcher=TableFetcher(web))).collect()
+    assert sorted(r.url for r in got) == ["https://docs.w.x/docs/b", "https://docs.w.x/docs/c", "https://w.x/docs/a"]
+
+
+def test_navigation_counts_links_before_the_scope(spark):
+    nav = "".join(f'<a href="/other/p{i}">p</a>' for i in range(6)) + '<a href="/docs/a">a</a>'
+    web = {"https://v.x/docs/": (200, "text/html", page("Home", nav)), "https://v.x/docs/a": (200, "text/html", page("A"))}
+    got = kinds.pull(spark, kinds.Request("name", "website", "https://v.x/docs/", AT, fetcher=TableFetcher(web))).collect()
+    assert sorted(r.url for r in got) == ["https://v.x/docs/", "https://v.x/docs/a"]
+
+
 def test_navigation_site(spark):
     assert [r.path for r in pull(spark, "website", "https://n.x/docs")] == ["docs/index", *(f"docs/p{i}" for i in range(6))]
     assert len(pull(spark, "website", "https://n.x/docs", max_pages=3)) == 3
@@ -110,6 +130,10 @@ class Handler(http.server.BaseHTTPRequestHandler):
             self.send_response(302)
             self.send_header("Location", "/loop")
             self.end_headers()
+        elif self.path == "/away":
+            self.send_response(302)
+            self.send_header("Location", f"http://127.0.0.1:{self.server.server_port}/page")
+            self.end_headers()
         elif self.path == "/to":
             self.send_response(302)
             self.send_header("Location", "/page")
@@ -130,6 +154,9 @@ def test_http(spark):
     threading.Thread(target=server.serve_forever, daemon=True).start()
     base = f"http://127.0.0.1:{server.server_port}"
     try:
+        assert b"c=1" in HttpFetcher(cookies={"c": "1"})(base + "/to", {}).body  # the same host
+        moved = HttpFetcher(cookies={"c": "1"})(base.replace("127.0.0.1", "localhost") + "/away", {"Authorization": "x"})
+        assert moved.url == base + "/page" and b"c=1" not in moved.body
         urls = spark.createDataFrame([(base + p,) for p in ("/to", "/loop", "/missing", "/big")] + [("",), (None,)], "url string")
         got = {r.url: r for r in fetched(urls, HttpFetcher(max_body=100, cookies={"c": "1"}), {"X-Key": "k"}).collect()}
         ok = got[base + "/to"]

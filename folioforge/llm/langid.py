@@ -72,27 +72,30 @@ class Model:
         return pi, (c * np.log(pi @ self.p)).sum(1)
 
     def mixture(self, counts: np.ndarray) -> np.ndarray:
-        """Proportions of the languages, a row for each row of counts; zero for those not in its set."""
-        c, k = counts.astype(np.float32), len(self.languages)
-        n = c.sum(1)
+        """Proportions of the languages, a row for each row of counts; zero for those not in its set.
+
+        The penalty counts the languages that are in the set, not those that the steps have brought to zero.
+        """
+        c = counts.astype(np.float32)
+        n, k = c.sum(1), len(self.languages)
+        if not n.all():  # without a trigram there is no language
+            out = np.zeros((len(c), k), np.float32)
+            out[n > 0] = self.mixture(counts[n > 0])
+            return out
         pi, like = self._fit(c, np.full((len(c), k), 1 / k, np.float32), STEPS)
-        best, penalty = pi.copy(), 0.5 * np.log(np.maximum(n / OVERLAP, 2))
-        value = like / OVERLAP - penalty * k
-        open_rows = np.arange(len(c))
-        for size in range(k - 1, 0, -1):
-            less = pi[open_rows].copy()
-            alive = np.where(less > 0, less, np.inf)
-            less[np.arange(len(less)), alive.argmin(1)] = 0
-            less /= np.maximum(less.sum(1, keepdims=True), 1e-30)
-            less, like = self._fit(c[open_rows], np.maximum(less, 0), STEPS_LESS if size > 1 else 0)
-            v = like / OVERLAP - penalty[open_rows] * size
-            better = v > value[open_rows]
-            rows = open_rows[better]
-            best[rows], value[rows] = less[better], v[better]
-            pi[open_rows] = less
-            open_rows = rows  # once a smaller set is worse, still smaller ones are not tried
-            if not len(open_rows):
-                break
+        penalty = 0.5 * np.log(np.maximum(n / OVERLAP, 2))
+        best, value = pi.copy(), like / OVERLAP - penalty * (pi > 0).sum(1)
+        rows = np.flatnonzero((pi > 0).sum(1) > 1)
+        while len(rows):  # once a smaller set is worse, still smaller ones are not tried
+            less = pi[rows]
+            less[np.arange(len(rows)), np.where(less > 0, less, np.inf).argmin(1)] = 0
+            less /= less.sum(1, keepdims=True)
+            less, like = self._fit(c[rows], less, STEPS_LESS if (less > 0).sum(1).max() > 1 else 0)
+            v = like / OVERLAP - penalty[rows] * (less > 0).sum(1)
+            better = v > value[rows]
+            pi[rows] = less
+            best[rows[better]], value[rows[better]] = less[better], v[better]
+            rows = rows[better & ((less > 0).sum(1) > 1)]
         return best
 
 
@@ -149,7 +152,8 @@ def mixtures(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 
 def op4_langid(spark, sf_dir: str) -> DataFrame:
-    """The leading language of each document and its share."""
+    """The leading language of each document and its share: one row for each row of documents, ``und`` and 0 for a null
+    text and one without a letter."""
     docs = table(spark, sf_dir, "documents")
     out = mixtures(docs, fit(docs, one_in("doc_id", 4) != 2))
     return out.select(F.col("id").alias("doc_id"), (one_in("id", 4) == 2).alias("held_out"), "lang_pred", "score")

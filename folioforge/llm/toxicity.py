@@ -27,8 +27,6 @@ from ._base import by_batch, id_type, one_in, settled, table
 
 #: Most labelled rows that the lexicon is fitted on (the first by a hash of the id).
 FIT_ROWS = 20_000
-#: Most entries of a lexicon.
-ENTRIES = 2_000
 #: Least labelled documents of an entry, and the least share of them that is toxic.
 SUPPORT, PURITY = 6, 0.9
 #: Lengths of beginnings of words that may be entries, and how many different words must share one.
@@ -125,9 +123,9 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     return w
 
 
-def learn(sample: DataFrame, entries: int = ENTRIES, support: int = SUPPORT, purity: float = PURITY) -> Lexicon:
-    """A lexicon from ``(id, text, y)``. Counts are taken on the executors; the driver gets at most ``entries`` words,
-    as many exceptions, and two numbers for each row of the bounded sample."""
+def learn(sample: DataFrame, support: int = SUPPORT, purity: float = PURITY) -> Lexicon:
+    """A lexicon from ``(id, text, y)``. Counts are taken on the executors; the driver gets every term and exception
+    that qualifies, each of which ``support`` rows of the bounded sample must hold, and two numbers for each row."""
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
         n, t = Counter(), Counter()
@@ -145,13 +143,13 @@ def learn(sample: DataFrame, entries: int = ENTRIES, support: int = SUPPORT, pur
     whole = counts.where(F.col("term").endswith(" "))
     kin = whole.where("t > 0").select("t", F.explode(F.array(*(F.when(F.length("term") >= k + 2, F.substring("term", 1, k + 1)) for k in STEMS))).alias("begin")).where("begin is not null").groupBy("begin").agg(F.count("*").alias("words"), F.max("t").alias("best"))
     pure = counts.where((F.col("t") >= support) & (F.col("t") >= purity * F.col("n"))).join(kin, F.col("term") == F.col("begin"), "left")
-    pure = pure.where(F.col("term").endswith(" ") | (F.col("words") >= KIN) & (F.col("t") - F.col("best") >= support)).orderBy(F.desc("t"), "term").limit(4 * entries).collect()
+    pure = pure.where(F.col("term").endswith(" ") | (F.col("words") >= KIN) & (F.col("t") - F.col("best") >= support)).collect()
     # of beginnings of the same documents the longest stays
-    longer = {r.term[:k]: r.t for r in sorted(pure, key=lambda r: r.t) if not r.term.endswith(" ") for k in range(2, len(r.term))}
+    longer = {r.term[:k]: r.t for r in sorted(pure, key=lambda r: (r.t, r.term)) if not r.term.endswith(" ") for k in range(2, len(r.term))}
     pure = [r for r in pure if longer.get(r.term, 0) < r.t]
     weights: dict[str, float] = {}
     for r in sorted(pure, key=lambda r: (len(r.term.strip()), r.term.endswith(" "), r.term)):  # a beginning stands for all that begins with it
-        if not any(r.term[:k] in weights for k in range(2, len(r.term))) and len(weights) < entries:
+        if not any(r.term[:k] in weights for k in range(2, len(r.term))):
             weights[r.term] = math.log((r.t + 0.5) / (r.n - r.t + 0.5)) / math.log(20)
     plain = Lexicon(weights)
 
@@ -170,8 +168,8 @@ def learn(sample: DataFrame, entries: int = ENTRIES, support: int = SUPPORT, pur
         return pa.record_batch([pa.array(terms, pa.string()), pa.array([n[x] for x in terms], pa.int64()), pa.array([t[x] for x in terms], pa.int64())], names=["term", "n", "t"])
 
     spared = sample.select("text", "y").mapInArrow(by_batch(pairs), "term string, n long, t long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
-    spared = spared.where((F.col("n") >= support) & (F.col("t") <= 0.2 * F.col("n"))).orderBy(F.desc("n"), "term").limit(entries).collect()
-    lexicon = Lexicon(weights, [r.term for r in spared])
+    spared = spared.where((F.col("n") >= support) & (F.col("t") <= 0.2 * F.col("n"))).collect()
+    lexicon = Lexicon(weights, sorted(r.term for r in spared))
 
     def measure(batch: pa.RecordBatch) -> pa.RecordBatch:
         x = [lexicon.features(fold(t)) for t in batch.column(0).to_pylist()]
@@ -216,7 +214,8 @@ def learned(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> Lexicon
 
 
 def op2_toxicity(spark, sf_dir: str) -> DataFrame:
-    """Toxicity of each document: 0 to 1, with a verdict at 0.7."""
+    """Toxicity of each document: 0 to 1, with a verdict at 0.7. One row for each row of documents; null and empty texts
+    have the score of a text without a match, null ids count as held out or not by the empty text."""
     docs = table(spark, sf_dir, "documents")
     out = scores(docs, learned(docs, table(spark, sf_dir, "labels")))
     return out.select(F.col("id").alias("doc_id"), (one_in("id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))

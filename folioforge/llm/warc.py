@@ -1,8 +1,8 @@
 """WARC 1.1 records, and the derivatives of response records.
 
-A response (HTTP headers and body) gives two more records that refer to it: a
-metadata record (JSON: status, HTTP headers, title, links, digests of the source) and
-a conversion record (plain text). Record ids come from the source's id, so a rerun
+A response (HTTP headers and body) gives more records that refer to it: a metadata
+record (JSON: status, HTTP headers, title, links, digests of the source) and, if it is
+text, a conversion record (plain text). Record ids come from the source's id, so a rerun
 gives the same records and a task that runs twice does no harm.
 """
 
@@ -12,7 +12,6 @@ import base64
 import gzip
 import hashlib
 import html
-import io
 import json
 import re
 import uuid
@@ -21,6 +20,7 @@ from collections.abc import Iterator
 from urllib.parse import urljoin
 
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,6 +42,11 @@ _CELL = re.compile(r"<t[dh](?=[\s/>])[^<>]*>", re.I)
 _LINK = re.compile(r"<(a|area|link|img|script|iframe|source|embed|form)\s([^<>]*)>", re.I)
 _WHERE = re.compile(r"(?:^|\s)(href|src|action)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _TITLE = re.compile(r"<title(?=[\s>])[^<>]*>([^<]*)", re.I)
+#: The head of a record, and where the next may begin.
+_HEAD = re.compile(rb"WARC/\d[^\r\n]*\r?\n(?:[^\r\n]+\r?\n)*\r?\n")
+_NEXT = re.compile(rb"\nWARC/\d")
+#: Bytes of blocks that are sent on at once.
+PART = 4 << 20
 _CHARSET = re.compile(rb"charset\s*=\s*[\"']?([A-Za-z0-9_.:-]+)", re.I)
 
 
@@ -73,6 +78,56 @@ def decoded(body: bytes, content_type: str) -> str:
         return body.decode("utf-8", "replace")
 
 
+def _dechunked(body: bytes) -> bytes | None:
+    """A body without the sizes of its chunks; none if they are not right."""
+    out, at = [], 0
+    while True:
+        end = body.find(b"\r\n", at)
+        try:
+            size = int(body[at:end].split(b";")[0], 16) if end >= 0 else -1
+        except ValueError:
+            return None
+        if size < 0 or end + 2 + size > len(body):
+            return None
+        if not size:
+            return b"".join(out)
+        out.append(body[end + 2 : end + 2 + size])
+        at = end + 2 + size + 2
+
+
+def payload(headers: list[tuple[str, str]], body: bytes) -> bytes | None:
+    """A body without its transfer and content encodings; none if one is not known or the body is not in it.
+
+    A body that says it is chunked and is not counts as stored without its chunks, as some tools do.
+    """
+    said = lambda name: [x.strip().lower() for k, v in headers if k.lower() == name for x in v.split(",") if x.strip()]
+    for coding in reversed([*said("content-encoding"), *said("transfer-encoding")]):
+        if coding == "chunked":
+            plain = _dechunked(body)
+            body = body if plain is None else plain
+        elif coding in ("gzip", "x-gzip", "deflate", "zstd"):
+            try:
+                if coding == "zstd":
+                    body = zstandard.ZstdDecompressor().decompressobj().decompress(body)
+                elif coding == "deflate" and body[:1] and (body[0] & 15 != 8 or int.from_bytes(body[:2], "big") % 31):
+                    body = zlib.decompressobj(-15).decompress(body)
+                else:
+                    body = zlib.decompressobj(47).decompress(body)
+            except (zlib.error, zstandard.ZstdError):
+                return None
+        elif coding != "identity":
+            return None
+    return body
+
+
+def is_text(content_type: str, body: bytes) -> bool:
+    """By its media type; without one, by its first bytes."""
+    kind = content_type.partition(";")[0].strip().lower()
+    if not kind:
+        return b"\x00" not in body[:1024]
+    return kind.startswith("text/") or kind.endswith(("+xml", "/xml", "+json", "/json", "/javascript"))
+
+
 def _shown(text: str) -> str:
     """HTML without comments and elements that are not shown. An element that is not closed hides the rest of the text.
 
@@ -153,18 +208,26 @@ def responses(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
 
 
 def derived_records(id_: str, uri: str | None, date: str, block: bytes) -> list[tuple]:
-    """The metadata and the conversion record of one response, as rows of RECORDS."""
+    """The metadata and, for text, the conversion record of one response, as rows of RECORDS.
+
+    Digests are of the bytes as they are stored; text and links are of the body without its encodings. What is no text
+    or can't be decoded has metadata only, without title and links.
+    """
     status, headers, body = http_split(block)
     kind = next((v for k, v in headers if k.lower() == "content-type"), "")
-    page = decoded(body, kind)
-    title, source = _TITLE.search(page), (digest(block), digest(body))
+    plain = payload(headers, body)
+    page = decoded(plain, kind) if plain is not None and is_text(kind, plain) else None
+    title, source = _TITLE.search(page or ""), (digest(block), digest(body))
     envelope = {
         "http": {"status": status, "headers": [[k, v] for k, v in headers]},
         "source": {"record_id": id_, "block_digest": source[0], "payload_digest": source[1], "payload_length": len(body)},
-        "html": {"title": " ".join(html.unescape(title[1]).split()) if title else None, "links": links(page, uri or "")},
+        "html": {"title": " ".join(html.unescape(title[1]).split()) if title else None, "links": links(page or "", uri or "")},
     }
     out = []
-    for type_, content_type, data in (("metadata", "application/json", json.dumps(envelope, ensure_ascii=False, separators=(",", ":")).encode()), ("conversion", "text/plain; charset=utf-8", plain_text(page).encode("utf-8", "replace"))):
+    made = [("metadata", "application/json", json.dumps(envelope, ensure_ascii=False, separators=(",", ":")).encode())]
+    if page is not None:
+        made.append(("conversion", "text/plain; charset=utf-8", plain_text(page).encode("utf-8", "replace")))
+    for type_, content_type, data in made:
         own = digest(data)
         more = [("WARC-Refers-To", id_), *([("WARC-Refers-To-Target-URI", uri)] if uri else []), ("WARC-Refers-To-Date", date), ("WARC-Block-Digest", own), ("WARC-Source-Payload-Digest", source[1])]
         out.append((type_, record_id(id_, type_), id_, uri, date, content_type, own, source[1], json.dumps(more), data))
@@ -172,7 +235,7 @@ def derived_records(id_: str, uri: str | None, date: str, block: bytes) -> list[
 
 
 def derive(records: DataFrame) -> DataFrame:
-    """``(id, *RECORDS)``: two rows, metadata and conversion, for each row of ``records(id, record_id, target_uri, date, block)``.
+    """``(id, *RECORDS)``: metadata and, for text, conversion, for each row of ``records(id, record_id, target_uri, date, block)``.
 
     Null blocks are empty ones. headers is the JSON list of further WARC fields.
     """
@@ -221,40 +284,95 @@ def write_files(records: DataFrame, folder: str) -> None:
     members(records).foreachPartition(run)
 
 
-def parsed(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(fields, block) of each record of a .warc or .warc.gz file. Bytes that are no record end the reading."""
-    stream = io.BytesIO(data)
-    if data[:2] == b"\x1f\x8b":
-        whole, rest = [], data
-        while rest[:2] == b"\x1f\x8b":
-            one = zlib.decompressobj(31)
-            whole.append(one.decompress(rest) + one.flush())
-            rest = one.unused_data
-        stream = io.BytesIO(b"".join(whole))
+def _member(data: memoryview, at: int) -> tuple[bytes, int]:
+    """What the gzip member at a place holds, and where it ends."""
+    one, out = zlib.decompressobj(31), []
+    while at < len(data):
+        some = data[at : at + (1 << 16)]
+        out.append(one.decompress(some))
+        at += len(some)
+        if one.eof:
+            return b"".join(out), at - len(one.unused_data)
+    raise zlib.error("the member does not end")
+
+
+def _inflated(data: bytes) -> Iterator[tuple[bool, bytes]]:
+    """(readable, bytes) of gzip members in a row; after bytes that are none, reading goes on at the next member."""
+    at, good = 0, []
+    while at < len(data):
+        try:
+            piece, at = _member(memoryview(data), at)
+            good.append(piece)
+        except zlib.error:
+            found = data.find(b"\x1f\x8b\x08", at + 1)
+            end = found if found >= 0 else len(data)
+            if good:
+                yield True, b"".join(good)
+            good = []
+            yield False, data[at:end]
+            at = end
+    if good:
+        yield True, b"".join(good)
+
+
+def _records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+    at = 0
     while True:
-        line = stream.readline()
-        while line in (b"\r\n", b"\n"):
-            line = stream.readline()
-        if not line.startswith(b"WARC/"):
+        while data[at : at + 1] in (b"\r", b"\n"):
+            at += 1
+        if at >= len(data):
             return
+        head = _HEAD.match(data, at)
         fields: dict[str, str] = {}
-        for line in iter(stream.readline, b""):
-            if line in (b"\r\n", b"\n"):
-                break
+        for line in head[0].splitlines()[1:] if head else ():
             k, _, v = line.decode("utf-8", "replace").partition(":")
             fields[k.strip().lower()] = v.strip()
-        yield fields, stream.read(int(fields.get("content-length", 0)))
+        size = fields.get("content-length", "")
+        if head and size.isascii() and size.isdigit() and head.end() + int(size) <= len(data):
+            at = head.end() + int(size)
+            yield fields, data[head.end() : at]
+            continue
+        found = _NEXT.search(data, at)
+        end = found.start() + 1 if found else len(data)
+        yield {}, data[at:end]
+        at = end
+
+
+def parsed(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(fields, block) of each record of a .warc or .warc.gz file.
+
+    Bytes that are no whole record come as a block without fields, and reading goes on at the next record or member.
+    """
+    for readable, piece in _inflated(data) if data[:2] == b"\x1f\x8b" else [(True, data)]:
+        if readable:
+            yield from _records(piece)
+        else:
+            yield {}, piece
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """``(type, record_id, refers_to, target_uri, date, content_type, block_digest, block)`` of all records in WARC files."""
+    """``(type, record_id, refers_to, target_uri, date, content_type, block_digest, block)`` of all records in WARC files.
+
+    Bytes that are no record are rows with a null type. A file is read as one value, so it must be under 2 GB.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["warc-type", "warc-record-id", "warc-refers-to", "warc-target-uri", "warc-date", "content-type", "warc-block-digest"]
         for batch in batches:
-            for content in batch.column(0).to_pylist():
-                for fields, block in parsed(content or b""):
-                    yield pa.record_batch([*(pa.array([fields.get(n)], pa.string()) for n in names), pa.array([block], pa.binary())], names=["type", "record_id", "refers_to", "target_uri", "date", "content_type", "block_digest", "block"])
+            for content in batch.column(0):
+                rows, size = [], 0
+                for fields, block in parsed(content.as_py() or b""):
+                    rows.append((*(fields.get(n) for n in names), block))
+                    size += len(block)
+                    if size > PART or len(rows) == 1024:
+                        yield _batch(rows)
+                        rows, size = [], 0
+                if rows:
+                    yield _batch(rows)
+
+    def _batch(rows: list[tuple]) -> pa.RecordBatch:
+        cols = list(zip(*rows, strict=True))
+        return pa.record_batch([*(pa.array(c, pa.string()) for c in cols[:-1]), pa.array(cols[-1], pa.binary())], names=["type", "record_id", "refers_to", "target_uri", "date", "content_type", "block_digest", "block"])
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     return files.select("content").mapInArrow(run, "type string, record_id string, refers_to string, target_uri string, date string, content_type string, block_digest string, block binary")

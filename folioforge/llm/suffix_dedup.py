@@ -13,6 +13,9 @@ Pass 2: runs left over are cut into blocks of ``BLOCK`` windows at fixed offsets
 from the anchor; the digit is what all windows of a block share.
 Pass 3: the windows of the blocks left over, one row each, by all their bytes.
 
+Digits and contents are hashes; content is taken as equal where 128 bits agree: those
+of a digit and of the content in passes 1 and 2, and of the whole window in pass 3.
+
 In passes 1 and 2 whole content that occurs twice settles all windows in it at
 once. Every pass counts by a partially aggregated groupBy and returns the count to
 the rows by a join that adaptive execution can split; no bucket is collected.
@@ -234,7 +237,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     deep = inside.join(left2, inside.id.eqNullSafe(F.col("id_")) & (inside.th == F.col("th_")) & (inside.lo == F.col("run_"))).select("id", "th", "lo", "body", "found")
 
     def windows(batch: pa.RecordBatch) -> pa.RecordBatch:
-        digest = xxhash.xxh64_intdigest
+        digest = xxhash.xxh3_128_digest
         at, start, key = [], [], []
         for i, (lo, body, found) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(2, 5)), strict=True)):
             for x in found:
@@ -243,11 +246,12 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     start.append(lo + s)
                     key.append(digest(body[s : s + window]))
         at = pa.array(at, pa.int64())
-        return pa.record_batch([batch.column(0).take(at), batch.column(1).take(at), pa.array(start, pa.int64()), pa.array(np.array(key, dtype=np.uint64).view(np.int64))], names=["id", "th", "lo", "w"])
+        both = np.frombuffer(b"".join(key), np.int64).reshape(-1, 2)
+        return pa.record_batch([batch.column(0).take(at), batch.column(1).take(at), pa.array(start, pa.int64()), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["id", "th", "lo", "w", "w2"])
 
-    single = deep.mapInArrow(by_batch(windows), f"id {kind}, th long, lo long, w long")
-    equal = settled(single.groupBy("w").agg(F.count("*").alias("n")).where("n > 1").select("w"), "windows")
-    third = single.join(equal, "w").select("id", "th", "lo", F.lit(1).alias("nw"))
+    single = settled(deep.mapInArrow(by_batch(windows), f"id {kind}, th long, lo long, w long, w2 long"), "single")
+    equal = settled(single.groupBy("w", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w", "w2"), "windows")
+    third = single.join(equal, ["w", "w2"]).select("id", "th", "lo", F.lit(1).alias("nw"))
     covered = first.where("ok").select("id", "th", "lo", "nw").unionByName(second.where("ok").select("id", "th", "lo", "nw")).unionByName(third)
     lists = covered.groupBy("id", "th").agg(F.collect_set(F.struct("lo", "nw")).alias("found"))
 

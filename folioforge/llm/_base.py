@@ -42,6 +42,13 @@ def one_in(id_col: str, parts: int) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % parts
 
 
+def row_hashes(*cols: str | Column) -> tuple[Column, Column]:
+    """Two independent hashes of a row, 128 bits together; a null differs from any value, in any column."""
+    cols = [F.col(c) if isinstance(c, str) else c for c in cols]
+    nulls = F.concat(*(F.when(c.isNull(), "1").otherwise("0") for c in cols))
+    return F.xxhash64(F.lit(1), nulls, *cols), F.xxhash64(F.lit(2), nulls, *cols)
+
+
 def n_words(text: str | Column) -> Column:
     """Number of words in a text; null has none."""
     return F.coalesce(F.regexp_count(text if isinstance(text, Column) else F.col(text), F.lit(WORD)), F.lit(0)).cast("long")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._base import id_type, n_words, settled, table
+from ._base import id_type, n_words, row_hashes, settled, table
 
 #: Documents of a bucket, about, and buckets that meet in a node of the tree.
 BUCKET, FAN = 4_000, 64
@@ -72,15 +72,14 @@ def pivot(size: np.ndarray, mass: np.ndarray, rng: np.random.Generator) -> np.nd
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, seed: int = 5) -> DataFrame:
-    """``(id, source, row, size, source_size, target, copies)``, one row for each row of ``docs``.
+    """``(id, source, row, row2, size, source_size, target, copies)``, one row for each row of ``docs``.
 
-    row is a hash of all columns. A null source is a source; null and empty texts have size 0 and no copy. Order and
+    row and row2 are hashes of all columns, 128 bits together. A null source is a source; null and empty texts have size 0 and no copy. Order and
     chance come from the rows' contents, so reruns agree; of repeated rows any may get the copies.
     """
     kind = id_type(docs, id_col)
-    base = settled(
-        docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.xxhash64(*[docs[c] for c in docs.columns]).alias("row"), n_words(docs[text_col]).alias("size")), "sizes"
-    )
+    first, second = row_hashes(*(docs[c] for c in docs.columns))
+    base = settled(docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), first.alias("row"), second.alias("row2"), n_words(docs[text_col]).alias("size")), "sizes")
     sizes = base.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n"))
     goals = targets(sizes, weights, share, most).select(F.col("source").alias("source_"), F.col("size").alias("source_size"), "target", F.greatest(F.lit(1), F.ceil(F.col("n") / BUCKET)).cast("long").alias("parts"))
     due = F.coalesce(F.try_divide(F.col("target"), F.col("source_size").cast("double")), F.lit(0.0))
@@ -89,13 +88,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         .withColumn("whole", F.floor(due).cast("long"))
         .withColumn("mass", (due - F.floor(due)) * F.col("size"))
         .withColumn("part", F.pmod("row", "parts"))
-        .select("id", "source", "row", "size", "source_size", "target", "whole", "mass", "part")
+        .select("id", "source", "row", "row2", "size", "source_size", "target", "whole", "mass", "part")
     )
-    schema = f"id {kind}, source string, row long, size long, source_size long, target double, whole long, mass double, part long"
+    schema = f"id {kind}, source string, row long, row2 long, size long, source_size long, target double, whole long, mass double, part long"
 
     def level(depth: int, last: bool):
         def run(key, group):
-            group = group.sort_by([("row", "ascending"), ("size", "ascending")])
+            group = group.sort_by([("row", "ascending"), ("row2", "ascending")])
             rng = np.random.default_rng([seed, depth, zlib.crc32(repr(key[0].as_py()).encode()), key[1].as_py()])
             size, mass = group["size"].to_numpy().astype(float), group["mass"].to_numpy()
             mass = pivot(size, mass, rng)
@@ -120,17 +119,19 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
-    return out.select("id", "source", "row", "size", "source_size", "target", (F.col("whole") + F.when((F.col("size") > 0) & (F.col("mass") >= F.col("size")), 1).otherwise(0)).cast("long").alias("copies"))
+    return out.select("id", "source", "row", "row2", "size", "source_size", "target", (F.col("whole") + F.when((F.col("size") > 0) & (F.col("mass") >= F.col("size")), 1).otherwise(0)).cast("long").alias("copies"))
 
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it."""
-    counts = mix(docs, **how).groupBy(F.col("row").alias("row_")).agg(F.sum("copies").alias("copies_")).where("copies_ > 0")
-    rows = docs.withColumn("row_", F.xxhash64(*[docs[c] for c in docs.columns])).dropDuplicates(["row_"])
-    return rows.join(counts, "row_").withColumn("copy_", F.explode(F.sequence(F.lit(1), F.col("copies_").cast("int")))).select(docs.columns)
+    counts = mix(docs, **how).groupBy(F.struct(F.col("row").alias("a"), F.col("row2").alias("b")).alias("of_")).agg(F.sum("copies").alias("copies_")).where("copies_ > 0")
+    first, second = row_hashes(*(docs[c] for c in docs.columns))
+    rows = docs.withColumn("row_", F.struct(first.alias("a"), second.alias("b"))).dropDuplicates(["row_"])
+    return rows.join(counts, F.col("row_") == F.col("of_")).withColumn("copy_", F.explode(F.sequence(F.lit(1), F.col("copies_").cast("int")))).select(docs.columns)
 
 
 def op5_mixing(spark, sf_dir: str) -> DataFrame:
-    """Words that the mix takes of each document."""
+    """Words that the mix takes of each document: one row for each row of documents. A null source is a source, the last;
+    null and empty texts have size 0 and nothing taken."""
     out = mix(table(spark, sf_dir, "documents"))
     return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "source")

@@ -360,5 +360,6 @@ def packed(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 
 def op6_packing(spark, sf_dir: str) -> DataFrame:
-    """The place of each piece of each document."""
+    """The place of each piece of each document. A null or empty text is the end id alone; null and repeated ids keep
+    their rows."""
     return packed(table(spark, sf_dir, "documents"))

@@ -503,7 +503,8 @@ def scores(docs: DataFrame, vectors: np.ndarray, network: Network, id_col: str =
 
 
 def op10_quality(spark, sf_dir: str) -> DataFrame:
-    """Quality of each document: 0 to 1, with a verdict at 0.3."""
+    """Quality of each document: 0 to 1, with a verdict at 0.3. One row for each row of documents; null and empty texts
+    have the score of zero features."""
     docs = table(spark, sf_dir, "documents")
     out = judged(*fit(docs, table(spark, sf_dir, "labels")))
     return out.select(F.col("id").alias("doc_id"), (one_in("id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))

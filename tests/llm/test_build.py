@@ -59,6 +59,33 @@ def test_mix_edge_rows(spark, edge, edge_rows, empty):
     assert mixing.mixed(empty).count() == 0
 
 
+def test_op5(spark):
+    """The registered query: whole table, targets as by hand, words taken near them, reruns alike."""
+    out = mixing.op5_mixing(spark, SF)
+    assert {"doc_id", "size", "source_size", "target", "taken"} <= set(out.columns)
+    rows, docs = out.collect(), spark.read.parquet(f"{SF}/documents.parquet").collect()
+    assert Counter((r.doc_id, r.size) for r in rows) == Counter((d.doc_id, len((d.text or "").encode().split())) for d in docs)
+    sizes, taken, largest = Counter(), Counter(), Counter()
+    for r in rows:
+        sizes[r.source] += r.size
+        taken[r.source] += r.taken
+        largest[r.source] = max(largest[r.source], r.size)
+        assert r.taken % max(r.size, 1) == 0 and 0 <= r.taken <= 2 * r.size
+    want = naive_targets(sizes)
+    assert all(r.target == pytest.approx(want[r.source]) and r.source_size == sizes[r.source] for r in rows)
+    assert all(abs(taken[s] - want[s]) <= largest[s] for s in sizes)
+    assert sorted(map(str, mixing.op5_mixing(spark, SF).collect())) == sorted(map(str, rows))
+
+
+def test_rows_are_told_apart(spark):
+    """A null is no value, wherever it stands; rows that differ in one column only stay two."""
+    rows = [(1, "one two", None, "en", 1), (1, "one two", "en", None, 1), (None, "one two", "en", "en", 1), (1, "one two", "en", "en", None), (1, "one two", "en", "en", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert len({(r.row, r.row2) for r in mixing.mix(docs).collect()}) == 5
+    assert len({tuple(r) for r in mixing.mixed(docs, share=2.0).collect()}) == 5
+    assert corpus_pipeline.repeats_out(spark, docs, SF).count() == 5
+
+
 def test_mix_many_buckets(spark, monkeypatch):
     """A hot source over many buckets and levels of the tree, sources at and below their limit."""
     monkeypatch.setattr(mixing, "BUCKET", 20)
@@ -304,7 +331,51 @@ def test_files_round_trip(spark, tmp_path):
     assert key(back) == key(records.collect())
     name = sorted(p for p in (tmp_path / "out").iterdir() if p.suffix == ".gz")[0]
     assert gzip.decompress(name.read_bytes()).startswith(b"WARC/1.1\r\n")
-    assert list(warc.parsed(b"")) == [] and list(warc.parsed(b"junk")) == []
+    assert list(warc.parsed(b"")) == [] and list(warc.parsed(b"junk")) == [({}, b"junk")]
+
+
+def test_reading_goes_on_after_bad_bytes(spark, tmp_path):
+    """What is no record is reported, and no record after it is lost; in plain files and in gzip members."""
+    one, two, three = (warc.serialized("metadata", f"<urn:{i}>", None, warc.DATE, "text/plain", b"block %d\r\nWARC/0" % i) for i in range(3))
+    read = lambda data: [(f.get("warc-record-id"), b) for f, b in warc.parsed(data)]
+    good = [(f"<urn:{i}>", b"block %d\r\nWARC/0" % i) for i in range(3)]
+    assert read(one + two + three) == good
+    assert read(one + b"#### no record\r\n" + two + three) == [good[0], (None, b"#### no record\r\n"), *good[1:]]
+    assert read(one.replace(b"Content-Length: 16", b"Content-Length: x") + two)[-1] == good[1]
+    cut = read(one + two[:-10])
+    assert cut[0] == good[0] and cut[1][0] is None and cut[1][1].startswith(b"WARC/1.1")
+    zipped = [gzip.compress(x) for x in (one, two, three)]
+    assert read(b"".join(zipped)) == good
+    broken = zipped[0] + zipped[1][:20] + zipped[2]
+    assert [r for r in read(broken) if r[0]] == [good[0], good[2]] and any(r[0] is None for r in read(broken))
+    (tmp_path / "a.warc.gz").write_bytes(broken)
+    assert sorted(r.record_id or "" for r in warc.read_files(spark, str(tmp_path)).collect())[-2:] == ["<urn:0>", "<urn:2>"]
+
+
+def test_encoded_bodies():
+    """Text comes from the body as it was meant, digests from the bytes as they are stored."""
+    import zlib as z
+
+    import zstandard
+
+    page = "<html><head><title>Ü</title></head><body><p>première page</p><a href='/x'>x</a></body></html>".encode()
+    chunked = b"5\r\n" + page[:5] + b"\r\n" + f"{len(page) - 5:X};x=y\r\n".encode() + page[5:] + b"\r\n0\r\n\r\n"
+    deflated = z.compressobj(wbits=-15)
+    cases = {
+        "": page, "Transfer-Encoding: chunked": chunked, "Content-Encoding: gzip": gzip.compress(page), "Content-Encoding: deflate": z.compress(page), "content-encoding: DEFLATE": deflated.compress(page) + deflated.flush(),
+        "Content-Encoding: zstd": zstandard.ZstdCompressor().compress(page), "Content-Encoding: gzip, identity": gzip.compress(page), "Transfer-Encoding:  chunked": page,
+    }
+    for header, body in cases.items():
+        block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n" + (header.encode() + b"\r\n" if header else b"") + b"\r\n" + body
+        meta, text = warc.derived_records("<urn:1>", "https://h.x/", warc.DATE, block)
+        assert text[-1].decode() == "Ü\npremière page\nx" and meta[7] == text[7] == warc.digest(body), header
+        assert json.loads(meta[-1])["html"] == {"title": "Ü", "links": [{"path": "a@href", "url": "https://h.x/x"}]}
+    both = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\nContent-Encoding: gzip\r\nTransfer-Encoding: chunked\r\n\r\n"
+    packed = gzip.compress(page)
+    assert warc.derived_records("i", None, warc.DATE, both + b"%x\r\n" % len(packed) + packed + b"\r\n0\r\n\r\n")[1][-1].decode().startswith("Ü")
+    for kind, body in (("image/png", b"\x89PNG\r\n\x1a\n"), ("", b"\x00\x01"), ("text/html\r\nContent-Encoding: br", b"?"), ("text/html\r\nContent-Encoding: gzip", b"no gzip")):
+        got = warc.derived_records("i", None, warc.DATE, f"HTTP/1.1 200 OK\r\nContent-Type: {kind}\r\n\r\n".encode() + body)
+        assert [r[0] for r in got] == ["metadata"] and got[0][7] == warc.digest(body), kind
 
 
 def test_op7(spark):

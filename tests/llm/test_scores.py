@@ -36,6 +36,42 @@ def test_lexicon_exceptions_and_length():
     assert toxicity.Lexicon({}).matched(" a ") == (0, 0, [])
 
 
+def test_automaton_against_a_plain_scan():
+    """Entries, beginnings and exceptions as by hand: each word by its heaviest entry, unless a phrase spares it."""
+    rng = random.Random(7)
+    for _ in range(60):
+        word = lambda: "".join(rng.choice("ab") for _ in range(rng.randint(1, 4)))
+        weights = {(f" {w} " if rng.random() < 0.6 else f" {w}"): rng.choice((0.5, 1.0, 2.0)) for w in {word() for _ in range(6)}}
+        spared = [f" {word()} {word()} " for _ in range(4)]
+        lex = toxicity.Lexicon(weights, spared)
+        text = toxicity.fold(" ".join(word() for _ in range(rng.randint(0, 40))))
+        total, hit = 0.0, []
+        for s in range(len(text)):
+            found = [(w, s + len(k)) for k, w in weights.items() if text.startswith(k, s)]
+            if found:
+                top = max(w for w, _ in found)
+                ends = {e for w, e in found if w == top}
+                inside = [any(a <= s and e <= a + len(p) for p in spared for a in range(len(text)) if text.startswith(p, a)) for e in ends]
+                assert len(set(inside)) <= 1 or len(ends) > 1
+                kept = [e for e in sorted(ends) if not any(a <= s and e <= a + len(p) for p in spared for a in range(len(text)) if text.startswith(p, a))]
+                if len(ends) > 1 and 0 < len(kept) < len(ends):
+                    break  # which of two entries of one weight stands for the word is open
+                if kept:
+                    total += top
+                    hit.append(s)
+        else:
+            got = lex.matched(text)
+            assert got[0] == pytest.approx(total) and got[1] == len(hit) and [a for a, _ in got[2]] == hit
+
+
+def test_no_term_is_left_out(spark):
+    """As many terms as qualify, however many they are."""
+    words_ = [f"bad{''.join(chr(97 + int(d)) for d in str(i))}q" for i in range(2600)]
+    rows = [(i, " ".join(words_[i % 13 :: 13]), 1) for i in range(13 * 6)] + [(10_000 + i, "fine text", 0) for i in range(100)]
+    lex = toxicity.learn(spark.createDataFrame(rows, "id long, text string, y int"))
+    assert all(lex.matched(toxicity.fold(w))[1] == 1 for w in words_)
+
+
 def test_toxicity_edge_rows(spark, edge, edge_rows, empty):
     lex = toxicity.Lexicon({" text ": 1.0})
     got = toxicity.scores(edge, lex).collect()
@@ -143,6 +179,45 @@ def test_mixture_proportions():
     assert pi[1].tolist() == [0, 1, 0]
 
 
+def test_mixture_against_plain_steps():
+    """The same by loops in double precision: steps of expectation-maximisation, the weakest language dropped while the
+    penalised likelihood gets better."""
+    model, texts = toy_model()
+    rng = random.Random(3)
+    pieces = [" ".join(rng.sample(texts[rng.choice("aa mm zz".split())].split(), 20)) + " " + " ".join(rng.sample(texts[rng.choice("aa mm zz".split())].split(), 8)) for _ in range(12)]
+    counts = langid.trigram_counts([p.encode() for p in pieces])
+
+    def steps(c, pi, n):
+        p = model.p.astype(float)
+        for _ in range(n):
+            pi = [pi[j] * sum(c[b] * p[j, b] / sum(pi[i] * p[i, b] for i in range(3)) for b in np.flatnonzero(c)) for j in range(3)]
+            pi = [x / sum(pi) for x in pi]
+        return pi, sum(c[b] * np.log(sum(pi[i] * p[i, b] for i in range(3))) for b in np.flatnonzero(c))
+
+    for c, got in zip(counts, model.mixture(counts), strict=True):
+        penalty = 0.5 * np.log(max(c.sum() / langid.OVERLAP, 2))
+        pi, like = steps(c, [1 / 3] * 3, langid.STEPS)
+        best, value = pi, like / langid.OVERLAP - penalty * 3
+        for size in (2, 1):
+            weakest = min((x, i) for i, x in enumerate(pi) if x > 0)[1]
+            pi = [0 if i == weakest else x for i, x in enumerate(pi)]
+            pi, like = steps(c, [x / sum(pi) for x in pi], langid.STEPS_LESS if size > 1 else 0)
+            v = like / langid.OVERLAP - penalty * size
+            if v <= value:
+                break
+            best, value = pi, v
+        assert np.allclose(got, best, atol=1e-3)
+
+
+def test_languages_that_vanish_are_not_counted(recwarn):
+    """Long texts bring the share of other languages to zero; the last one is never dropped, and nothing is undefined."""
+    model, texts = toy_model()
+    counts = np.concatenate([langid.trigram_counts([texts[k].encode() * 400 for k in ("aa", "mm", "zz")]), np.zeros((1, langid.BUCKETS))])
+    pi = model.mixture(counts * 50)
+    assert np.isfinite(pi).all() and (pi[:3].argmax(1) == [0, 1, 2]).all() and np.allclose(pi[:3].sum(1), 1)
+    assert not [w for w in recwarn if issubclass(w.category, RuntimeWarning)]
+
+
 def test_langid_edge_rows(spark, edge, edge_rows, empty):
     model, _ = toy_model()
     got = langid.mixtures(edge, model).collect()

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioforge.llm import mixing, packing, simhash, suffix_dedup, toxicity
-from folioforge.llm._base import give_back, settled, table
+from folioforge.llm._base import give_back, in_tasks, row_hashes, settled, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Documents from this score on go.
@@ -22,13 +22,14 @@ TOXIC = 0.7
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    """The columns of documents and row_, a hash of them."""
-    return docs.select(*COLUMNS, F.xxhash64(*COLUMNS).alias("row_"))
+    """The columns of documents and row_, 128 bits of hashes of them."""
+    first, second = row_hashes(*COLUMNS)
+    return docs.select(*COLUMNS, F.struct(first.alias("a"), second.alias("b")).alias("row_"))
 
 
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Toxic documents go. The lexicon is learned from the labels of the documents given."""
-    docs = docs.select(*COLUMNS)
+    docs = in_tasks(docs.select(*COLUMNS))
     lexicon = toxicity.learned(docs, table(spark, sf_dir, "labels"))
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -42,7 +43,7 @@ def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class stays: that of the least doc_id."""
-    rows = _numbered(docs)
+    rows = _numbered(in_tasks(docs))
     named = simhash.near_duplicates(rows.select(F.struct("doc_id", "row_").alias("id"), "text"), "id")
     stay = named.where("id.row_ = component_id.row_").select(F.col("id.row_").alias("row_"))
     return rows.join(stay, "row_", "left_semi").dropDuplicates(["row_"]).select(*COLUMNS)
@@ -50,14 +51,14 @@ def near_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeats_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bytes of repeated 200-byte strings go; what is left of a character goes with it, and a document without a word left."""
-    rows = _numbered(docs)
+    rows = _numbered(in_tasks(docs))
     kept = suffix_dedup.repeated_spans(rows, "row_").select(F.col("id").alias("row_"), "kept")
 
     def text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.record_batch([batch.column(0), pa.array([b.decode("utf-8", "ignore") for b in batch.column(1).to_pylist()], pa.string())], names=["row_", "text"])
 
-    left = kept.mapInArrow(text, "row_ long, text string").where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    left = kept.mapInArrow(text, "row_ struct<a: long, b: long>, text string").where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     # repeated rows come out of `left` as often as they went in
     about = rows.select("row_", "doc_id", "lang", "source").dropDuplicates(["row_"])
     return left.join(about, "row_").select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
@@ -65,12 +66,12 @@ def repeats_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources brought to their target weights: each document as often as the mix takes it."""
-    return mixing.mixed(docs.select(*COLUMNS))
+    return mixing.mixed(in_tasks(docs.select(*COLUMNS)))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents cut and packed into sequences of 2,048 tokens."""
-    return packing.packed(docs.select(*COLUMNS))
+    return packing.packed(in_tasks(docs.select(*COLUMNS)))
 
 
 STAGES = [("toxicity", toxic_out), ("simhash", near_copies_out), ("suffix_dedup", repeats_out), ("mixing", mixed), ("packing", packed)]

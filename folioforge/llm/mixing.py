@@ -124,10 +124,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it."""
-    counts = mix(docs, **how).groupBy(F.struct(F.col("row").alias("a"), F.col("row2").alias("b")).alias("of_")).agg(F.sum("copies").alias("copies_")).where("copies_ > 0")
-    first, second = row_hashes(*(docs[c] for c in docs.columns))
-    rows = docs.withColumn("row_", F.struct(first.alias("a"), second.alias("b"))).dropDuplicates(["row_"])
-    return rows.join(counts, F.col("row_") == F.col("of_")).withColumn("copy_", F.explode(F.sequence(F.lit(1), F.col("copies_").cast("int")))).select(docs.columns)
+    key = ["row_a_", "row_b_"]
+    counts = mix(docs, **how).groupBy(F.col("row").alias(key[0]), F.col("row2").alias(key[1])).agg(F.sum("copies").alias("copies_")).where("copies_ > 0")
+    rows = docs.withColumns(dict(zip(key, row_hashes(*(docs[c] for c in docs.columns)), strict=True))).dropDuplicates(key)
+    return rows.join(counts, key).withColumn("copy_", F.explode(F.sequence(F.lit(1), F.col("copies_").cast("int")))).select(docs.columns)
 
 
 def op5_mixing(spark, sf_dir: str) -> DataFrame:

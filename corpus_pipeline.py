@@ -17,14 +17,15 @@ from folioforge.llm import mixing, packing, simhash, suffix_dedup, toxicity
 from folioforge.llm._base import give_back, in_tasks, row_hashes, settled, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: What tells rows apart.
+ROW = ["row_a", "row_b"]
 #: Documents from this score on go.
 TOXIC = 0.7
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    """The columns of documents and row_, 128 bits of hashes of them."""
-    first, second = row_hashes(*COLUMNS)
-    return docs.select(*COLUMNS, F.struct(first.alias("a"), second.alias("b")).alias("row_"))
+    """The columns of documents and ROW, 128 bits of hashes of them."""
+    return docs.select(*COLUMNS, *(h.alias(n) for h, n in zip(row_hashes(*COLUMNS), ROW, strict=True)))
 
 
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,24 +45,24 @@ def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class stays: that of the least doc_id."""
     rows = _numbered(in_tasks(docs))
-    named = simhash.near_duplicates(rows.select(F.struct("doc_id", "row_").alias("id"), "text"), "id")
-    stay = named.where("id.row_ = component_id.row_").select(F.col("id.row_").alias("row_"))
-    return rows.join(stay, "row_", "left_semi").dropDuplicates(["row_"]).select(*COLUMNS)
+    named = simhash.near_duplicates(rows.select(F.struct("doc_id", *ROW).alias("id"), "text"), "id")
+    stay = named.where("id.row_a = component_id.row_a AND id.row_b = component_id.row_b").select("id.row_a", "id.row_b")
+    return rows.join(stay, ROW, "left_semi").dropDuplicates(ROW).select(*COLUMNS)
 
 
 def repeats_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bytes of repeated 200-byte strings go; what is left of a character goes with it, and a document without a word left."""
     rows = _numbered(in_tasks(docs))
-    kept = suffix_dedup.repeated_spans(rows, "row_").select(F.col("id").alias("row_"), "kept")
+    kept = suffix_dedup.repeated_spans(rows.select(F.struct(*ROW).alias("id"), "text"), "id").select("id.row_a", "id.row_b", "kept")
 
     def text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.record_batch([batch.column(0), pa.array([b.decode("utf-8", "ignore") for b in batch.column(1).to_pylist()], pa.string())], names=["row_", "text"])
+            yield pa.record_batch([*batch.columns[:2], pa.array([b.decode("utf-8", "ignore") for b in batch.column(2).to_pylist()], pa.string())], names=[*ROW, "text"])
 
-    left = kept.mapInArrow(text, "row_ struct<a: long, b: long>, text string").where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    left = kept.mapInArrow(text, "row_a long, row_b long, text string").where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     # repeated rows come out of `left` as often as they went in
-    about = rows.select("row_", "doc_id", "lang", "source").dropDuplicates(["row_"])
-    return left.join(about, "row_").select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
+    about = rows.select(*ROW, "doc_id", "lang", "source").dropDuplicates(ROW)
+    return left.join(about, ROW).select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -55,10 +55,9 @@ def scope_path(spark, sf):
 
 
 def url_filter_dedupe(spark, sf):
-    pages = table(spark, sf, "pages").select("url", F.col("page_id").alias("pos"))
-    hosts = pages.select(U.host("url").alias("h")).groupBy("h").count().orderBy(F.desc("count"), "h").limit(5)
-    names = [r.h for r in hosts.collect()]
-    return discover.filtered(pages, names, "/").select("url", "path", "pos")
+    """Pages in scope, one for each host and path: every host is a site of its own."""
+    pages = table(spark, sf, "pages").select(U.host("url").alias("host"), "url", F.col("page_id").alias("pos"))
+    return discover.filtered(pages, None, "/", by=("host",)).select("host", "url", "path", "pos")
 
 
 def index_urls(spark, sf):
@@ -211,7 +210,7 @@ def crawl_reachable(spark, sf):
     """Hosts reached from the first page's host, each page a link from its host to the host of the next page by number."""
     p = table(spark, sf, "pages").select("page_id", U.host("url").alias("host"))
     nxt = p.select((F.col("page_id") - 1).alias("page_id"), F.col("host").alias("dst"))
-    links = p.where("page_id % 3 <> 0").join(nxt, "page_id").select(F.col("host").alias("src"), "dst").distinct()
+    links = p.join(nxt, "page_id").select(F.col("host").alias("src"), "dst").distinct()
     start = p.where("page_id = 1").select(F.col("host").alias("node"))
     return discover.reachable(links, start).select("node", F.col("depth").cast("int").alias("depth"))
 
@@ -256,9 +255,8 @@ ORACLES = {
     "scope_path": rf"""SELECT page_id, CASE WHEN p LIKE '%/' THEN p WHEN regexp_matches(p, '\.\w+$') OR len(string_split(trim(p, '/'), '/')) > 1 THEN regexp_replace(p, '[^/]*$', '') ELSE p END AS scope,
         CASE WHEN p LIKE '%/' THEN p ELSE regexp_replace(p, '[^/]*$', '') END AS parent FROM (SELECT page_id, CASE WHEN {_PATH} = '' THEN '/' ELSE {_PATH} END AS p FROM pages)""",
     "url_filter_dedupe": rf"""WITH p AS (SELECT page_id AS pos, regexp_replace(url, '[?#].*$', '') AS url, {_PATH} AS path, {_HOST} AS host FROM pages),
-        h AS (SELECT host FROM p GROUP BY host ORDER BY count(*) DESC, host LIMIT 5)
-        SELECT url, path, pos FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY pos, url) AS n FROM p WHERE host IN (SELECT host FROM h)
-          AND NOT regexp_matches(path, '(?i)\.(png|jpe?g|gif|svg|webp|ico|pdf|zip|tar|gz|mp4|mp3|woff2?|ttf|eot|css|js|json|xml|rss|atom)$')) WHERE n = 1""",
+        k AS (SELECT * FROM p WHERE path LIKE '/%' OR path = '')
+        SELECT host, url, path, pos FROM (SELECT *, row_number() OVER (PARTITION BY host, path ORDER BY pos, url) AS n FROM k WHERE NOT regexp_matches(path, '(?i)\.(png|jpe?g|gif|svg|webp|ico|pdf|zip|tar|gz|mp4|mp3|woff2?|ttf|eot|css|js|json|xml|rss|atom)$')) WHERE n = 1""",
     "index_urls": r"SELECT root, b || '/llms-full.txt' AS full_url, b || '/llms.txt' AS index_url FROM (SELECT root, rtrim(regexp_replace(root, '/llms(-full)?\.txt$', ''), '/') AS b FROM " + values("root", ROOTS) + ")",
     "html_title": r"SELECT page_id, trim(regexp_extract(html, '(?s)<title>(.*?)</title>', 1)) AS title FROM pages",
     "html_links": r"""SELECT DISTINCT page_id, CASE WHEN l LIKE 'http%' THEN l ELSE regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || l END AS link
@@ -291,7 +289,8 @@ ORACLES = {
     "robots_sitemaps": r"SELECT DISTINCT unnest(regexp_extract_all(body, '(?im)^Sitemap:\s*(\S+)\s*$', 1)) AS sitemap FROM " + values("body", ROBOTS),
     "largest_strategy": "SELECT strategy, url FROM " + values("strategy, url", STRATEGIES) + " WHERE strategy = 'nav'",
     "errors_sample": "SELECT source, count(*) AS n_errors, min_by(error, url) AS first_error, array_to_string(list(error ORDER BY url)[1:3], ';') AS sample FROM " + values("source, url, error", FAILED) + " WHERE error IS NOT NULL GROUP BY source",
-    "crawl_reachable": rf"""WITH RECURSIVE p AS (SELECT page_id, {_HOST} AS host FROM pages), l AS (SELECT DISTINCT a.host AS src, b.host AS dst FROM p a JOIN p b ON b.page_id = a.page_id + 1 WHERE a.page_id % 3 <> 0),
-        r AS (SELECT host AS node, 0 AS depth FROM p WHERE page_id = 1 UNION SELECT l.dst, r.depth + 1 FROM r JOIN l ON l.src = r.node WHERE r.depth < 60)
+    "crawl_reachable": rf"""WITH RECURSIVE p AS (SELECT page_id, {_HOST} AS host FROM pages), l AS (SELECT DISTINCT a.host AS src, b.host AS dst FROM p a JOIN p b ON b.page_id = a.page_id + 1),
+        n AS (SELECT count(DISTINCT host) AS hosts FROM p),
+        r AS (SELECT host AS node, 0 AS depth FROM p WHERE page_id = 1 UNION SELECT l.dst, r.depth + 1 FROM r JOIN l ON l.src = r.node, n WHERE r.depth < hosts)
         SELECT node, min(depth)::INT AS depth FROM r GROUP BY node""",
 }

@@ -126,5 +126,6 @@ ORACLES = {
     "search_batch": f"""WITH {_bm25(_BATCH, "global", "query_id")} SELECT query_id, source, path, round(score, 6) AS score, rank
       FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9), source, path)::INT AS rank FROM r) WHERE rank <= 5""",
     "search_printed": _ranked(_forms({0: ["moron"]}), 1).replace("SELECT source, path, round(score, 6) AS score, rank FROM", "SELECT source, rank || '. ' || source || ' › (intro)' || chr(10) || '   file:///' || path || chr(10) || '   -' AS line FROM"),
-    "sanitize_query": "SELECT query, sanitized FROM " + values("query, sanitized", [("react hooks", '"react" OR "hooks"'), ("useState()", '"useState"'), ('say "hello" world', '"say" OR "hello" OR "world"'), ("", ""), ("   ", ""), ("(a) b: *c*", '"a" OR "b" OR "c"')]),
+    "sanitize_query": r"""SELECT query, array_to_string(list_transform(list_filter(list_transform(string_split_regex(replace(query, '"', ''), '\s+'), lambda w: trim(w, '():*"' || chr(39))), lambda w: w <> ''), lambda w: '"' || w || '"'), ' OR ') AS sanitized
+      FROM """ + values("query", [(q,) for q in SANITIZE]),
 }

@@ -13,7 +13,7 @@ from .base import AS_OF, conversations, literal, table, values
 _TRIM = r"'^\s+|\s+$'"
 
 MARKDOWN = [("a  \r\nb\t\n\n\n\nc",), ("# T \n\n\n\nx\n",), ("no change\n",), ("\n\n lead",), ("a\n\n\nb\n \nc",)]
-SELF_LINKS = [("## [Toggling dark mode](#toggling-dark-mode)",), ("text [a](#b)",), ("# [x](http://y)\n### [z](#z) tail",), ("plain",), ("  ## [in](#in)",)]
+SELF_LINKS = [("## [How a chunk is cut](#how-a-chunk-is-cut)",), ("text [a](#b)",), ("# [x](http://y)\n### [z](#z) tail",), ("plain",), ("  ## [in](#in)",)]
 NAMES = [("Owner/Repo",), ("a  b__c",), ("..",), ("x.y-Z",), ("éé",), ("docs / API v2",), ("",)]
 SPECS = [("./x",), ("../up/docs",), ("/abs/path",), ("~/d",), ("https://a.b/llms.txt",), ("https://a.b/docs/",), ("HTTP://A.b",), ("o/r",), ("o/r@v1/docs",), ("foo",), ("http://x/llms-full.txt",)]
 KINDS = [("/a/b/docs", "local"), ("/a/b/docs/", "local"), ("o/r@v1", "github"), ("o/r/sub/x", "github"), ("https://docs.h.x:80/p", "website"), ("https://h.y/llms.txt", "llms_txt")]
@@ -157,7 +157,11 @@ ORACLES = {
           len(list_distinct(list_filter(regexp_extract_all(fm, '(?m)^([^#:\n][^:\n]*):', 1), lambda y: y <> '')))::INT AS n FROM r""",
     "front_matter_write": r"""SELECT doc_id, '---' || chr(10) || 'title: "A \"b\""' || chr(10) || 'url: "u' || doc_id || '"' || chr(10) || 'source: "' || source || '"' || chr(10) || 'fetched_at: "2024-02-03T00:00:00Z"' || chr(10)
         || 'content_hash: "' || sha256(text) || '"' || chr(10) || '---' || chr(10) || chr(10) AS front FROM documents""",
-    "normalize_path": "SELECT x, path FROM " + values("x, path", [("a/b", "a/b.md"), ("/a//b/../c.md", "a/c.md"), ("..", ""), ("../x", ""), ("\\w\\z", "w/z.md"), ("", ""), ("./", ""), ("a/./b/", "a/b.md"), ("a/../..", "")]),
+    # segments are folded one after the other: "." and empty ones go, ".." takes its parent, one without a parent rejects
+    "normalize_path": f"""WITH RECURSIVE s AS (SELECT x, list_filter(string_split(replace(x, chr(92), '/'), '/'), lambda p: p NOT IN ('', '.')) AS p FROM {values("x", PATHS)}),
+        f AS (SELECT x, p, 1 AS i, []::VARCHAR[] AS done, false AS out FROM s
+          UNION ALL SELECT x, p, i + 1, CASE WHEN p[i] = '..' THEN done[1:greatest(len(done) - 1, 0)] ELSE list_append(done, p[i]) END, out OR (p[i] = '..' AND len(done) = 0) FROM f WHERE i <= len(p))
+        SELECT x, CASE WHEN out OR len(done) = 0 THEN '' ELSE regexp_replace(array_to_string(done, '/'), '\\.md$', '') || '.md' END AS path FROM f WHERE i > len(p)""",
     "markdown_title": "SELECT DISTINCT conv_id, 'Conversation ' || conv_id AS title FROM conversations",
     "is_markdown": r"""SELECT ct, body, contains(lower(ct), 'text/markdown') OR contains(lower(ct), 'text/x-markdown') OR (ct <> '' AND NOT contains(lower(ct), 'text/html') AND
         regexp_matches(body, '(?m)^(#{1,6}\s|[-*]\s|\d+\.\s|```|>\s|\[.+\]\(.+\))')) AS md FROM """ + values("ct, body", BODIES),
@@ -166,7 +170,7 @@ ORACLES = {
         SELECT doc_id, CASE WHEN strlen(s) <= 240 THEN s ELSE s[1:n] || '...' END AS snippet FROM g""",
     "human_ago": """SELECT event_id, CASE WHEN s < 60 THEN 'just now' WHEN s < 3600 THEN (s // 60) || 'm ago' WHEN s < 86400 THEN (s // 3600) || 'h ago' WHEN s < 14 * 86400 THEN (s // 86400) || 'd ago'
         ELSE strftime(ts, '%Y-%m-%d') END AS ago FROM (SELECT event_id, ts, epoch(TIMESTAMP '2024-02-03')::BIGINT - floor(epoch(ts))::BIGINT AS s FROM events)""",
-    "parse_refresh": "SELECT x, seconds::BIGINT AS seconds FROM " + values("x, seconds", [("", 0), ("manual", 0), ("never", 0), ("7d", 604800), ("30d", 2592000), ("1h", 3600), ("45m", 2700), ("garbage", 0), ("90s", 90)]),
+    "parse_refresh": r"""SELECT x, coalesce(try_cast(regexp_extract(x, '^([0-9]+)[smhd]$', 1) AS BIGINT) * CASE right(x, 1) WHEN 's' THEN 1 WHEN 'm' THEN 60 WHEN 'h' THEN 3600 WHEN 'd' THEN 86400 END, 0)::BIGINT AS seconds FROM """ + values("x", REFRESH),
     "entry_validate": """SELECT name, kind, root, CASE WHEN trim(name) = '' THEN 'name required' WHEN trim(kind) = '' THEN 'kind required' WHEN trim(root) = '' THEN 'root required'
         WHEN kind NOT IN ('website', 'llms_txt', 'github', 'local') THEN 'unknown kind' ELSE 'ok' END AS verdict FROM """ + values("name, kind, root", ENTRIES),
     "env_expand": r"SELECT x, regexp_replace(replace(x, '${A}', '1'), '\$\{[^}]*\}', '', 'g') AS y FROM " + values("x", EXPAND),

@@ -50,15 +50,6 @@ _KIND[48:58] = 48
 _HASH = np.random.default_rng(10).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 
 
-def index_vectors() -> np.ndarray:
-    """Fixed sparse vectors of -1, 0 and 1, one for each class."""
-    rng = np.random.default_rng(100)
-    out = np.zeros((CLASSES, DIM), np.int64)
-    for row in out:
-        row[rng.choice(DIM, NONZERO, replace=False)] = rng.choice((-1, 1), NONZERO)
-    return out
-
-
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
     return x ^ (x >> np.uint64(29))
@@ -118,39 +109,11 @@ def words(pieces: list[tuple[int, bytes]]) -> tuple[np.ndarray, np.ndarray, np.n
     return owner, (token % np.uint64(CLASSES)).astype(np.int64), h
 
 
-def neighbours(docs: DataFrame, text_col: str = "text") -> np.ndarray:
-    """Word vectors, a row for each class: counts of neighbouring classes over all texts, times their index vectors.
-
-    Sums are whole numbers, so any order gives the same. A task sends CLASSES * DIM numbers at most.
-    """
-    index = index_vectors()
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs = np.zeros(CLASSES * CLASSES, np.int64)
-        for batch in batches:
-            for pieces in _groups(text_bytes(batch.column(0))):
-                owner, token, _ = words(pieces)
-                same = owner[1:] == owner[:-1]
-                pairs += np.bincount(token[:-1][same] * CLASSES + token[1:][same], minlength=len(pairs))
-        after = pairs.reshape(CLASSES, CLASSES)
-        # what follows and what precedes count in different places
-        vectors = (after @ index + after.T @ np.roll(index, 1, axis=1)).ravel()
-        hit = np.flatnonzero(vectors)
-        yield pa.record_batch([pa.array(hit.astype(np.int32)), pa.array(vectors[hit])], names=["cell", "n"])
-
-    sums = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(CLASSES * DIM)
-    out[sums["cell"].to_numpy()] = sums["n"].to_numpy()
-    out = out.reshape(CLASSES, DIM)
-    return (out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)).astype(np.float32)
-
-
-def pooled(texts: list[bytes], vectors: np.ndarray, heard: list | None = None) -> np.ndarray:
-    """Features of texts: the mean of their words' shapes' vectors, then log length, share of words equal to the one before,
-    chance that two words are of one class, share of distinct words, and mean letters a word. Zero without a word. ``heard`` gets (owner, hash) of the words."""
+def measures(texts: list[bytes], heard: list | None = None) -> np.ndarray:
+    """How texts repeat themselves: log length, share of words equal to the one before, chance that two words are of one
+    class, share of distinct words, and mean letters a word. Zero without a word. ``heard`` gets (owner, hash) of the words."""
     n = len(texts)
-    out = np.zeros((n, DIM + EXTRA), np.float32)
-    counts, equal, size, bytes_ = np.zeros((n, CLASSES), np.float32), np.zeros(n), np.zeros(n), np.array([len(x) for x in texts])
+    counts, equal, bytes_ = np.zeros((n, CLASSES), np.float32), np.zeros(n), np.array([len(x) for x in texts])
     seen: list[np.ndarray] = []
     for pieces in _groups(texts):
         owner, token, h = words(pieces)
@@ -168,9 +131,7 @@ def pooled(texts: list[bytes], vectors: np.ndarray, heard: list | None = None) -
     size = counts.sum(1)
     least = np.maximum(size, 1)
     share = counts / least[:, None]
-    out[:, :DIM] = share @ vectors
-    out[:, DIM:] = np.c_[np.log1p(size) / 5, equal / least, (share * share).sum(1), distinct / least, np.minimum(bytes_ / least, 50) / 10] * (size > 0)[:, None]
-    return out
+    return (np.c_[np.log1p(size) / 5, equal / least, (share * share).sum(1), distinct / least, np.minimum(bytes_ / least, 50) / 10] * (size > 0)[:, None]).astype(np.float32)
 
 
 @dataclass
@@ -351,14 +312,14 @@ def _mark(found: np.ndarray) -> int:
 
 
 def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, x)``, one row for each row of ``docs``: the mean of the unit vectors of its words, then the further ones of
-    ``pooled``. A null or empty text and one without a word have zeros.
+    """``(id, x)``, one row for each row of ``docs``: the mean of the unit vectors of its words, then its
+    ``measures``. A null or empty text and one without a word have zeros.
 
     Documents come in blocks of up to BLOCK bytes. A block sends its distinct words and their sums to the parts of the
     table of words; a part adds them up and sends each block the vectors, over the whole corpus, of the words it asked
     with. All sums are whole numbers, so any order gives the same.
     """
-    kind, none = id_type(docs, id_col), np.zeros((CLASSES, DIM), np.float32)
+    kind = id_type(docs, id_col)
     read = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     parts = max(PARTS, -(-(read.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // SHARE))
 
@@ -418,10 +379,10 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         """A row for each block: ids, the further features, and (how often each word, number of words of each text,
         their ranks by how often, how often in the text)."""
         for block, ids, texts in blocks(batches):
-            measures, owners, hashes, n = [], [], [], len(texts)
+            about, owners, hashes, n = [], [], [], len(texts)
             for low in range(0, n, 1024):
                 heard: list[tuple[np.ndarray, np.ndarray]] = []
-                measures.append(pooled(texts[low : low + 1024], none, heard)[:, DIM:])
+                about.append(measures(texts[low : low + 1024], heard))
                 owners += [(o + low).astype(np.int32) for o, _ in heard]
                 hashes += [keys(h) for _, h in heard]
             texts.clear()
@@ -438,7 +399,7 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             pair, times = np.unique(pair, return_counts=True)
             of, place = np.divmod(pair, max(len(found), 1))
             csr = [_squeezed(_planes(often.astype(np.int32))), _squeezed(_planes(np.bincount(of, minlength=n).astype(np.int32))), _rising(place.astype(np.int32)), _squeezed(_planes(times.astype(np.int32)))]
-            yield pa.record_batch([pa.array([block]), pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), ids), pa.array([np.concatenate(measures).tobytes()], pa.binary()), pa.array([csr], pa.list_(pa.binary())), pa.array([_mark(found)], pa.int64())], names=["block", "ids", "measures", "csr", "mark"])
+            yield pa.record_batch([pa.array([block]), pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), ids), pa.array([np.concatenate(about).tobytes()], pa.binary()), pa.array([csr], pa.list_(pa.binary())), pa.array([_mark(found)], pa.int64())], names=["block", "ids", "measures", "csr", "mark"])
             give_back()
 
     def pool(answers: pa.Table, own: pa.Table) -> pa.Table:
@@ -446,7 +407,7 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             raise RuntimeError("the documents changed between two reads")
         ids = own["ids"].combine_chunks().flatten()
         n = len(ids)
-        measures = np.frombuffer(own["measures"][0].as_py(), np.float32).reshape(n, EXTRA)
+        about = np.frombuffer(own["measures"][0].as_py(), np.float32).reshape(n, EXTRA)
         often, size, place, times = own["csr"][0].as_py()
         often, size, place, times = _numbers(_restored(often), np.int32), _numbers(_restored(size), np.int32), _risen(place, np.int32), _numbers(_restored(times), np.int32)
         mean = np.zeros((n, DIM), np.float32)
@@ -459,7 +420,7 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 if len(here):
                     a, b = edge[low], edge[min(low + 256, n)]
                     mean[here] = np.add.reduceat(vec[place[a:b]] * (times[a:b].astype(np.float32) * one[place[a:b]])[:, None], edge[here] - a) / np.add.reduceat(times[a:b], edge[here] - a)[:, None]
-        x = np.concatenate([mean, measures], axis=1)
+        x = np.concatenate([mean, about], axis=1)
         return pa.table({"id": ids, "x": pa.array([r.tobytes() for r in x], pa.binary())})
 
     asked = read.mapInArrow(ask, "part long, block long, turn int, words binary, sums binary")
@@ -489,19 +450,6 @@ def judged(found: DataFrame, network: Network) -> DataFrame:
     return found.select("id", "x").mapInArrow(run, f"id {id_type(found, 'id')}, score double")
 
 
-def scores(docs: DataFrame, vectors: np.ndarray, network: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, score)`` by a network of shapes alone, for texts outside the corpus; one row for each row of ``docs``. Null
-    and empty texts have the score of zero features."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                yield pa.record_batch([part.column(0), pa.array(network(pooled(text_bytes(part.column(1)), vectors)))], names=["id", "score"])
-
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {id_type(docs, id_col)}, score double")
-
-
 def op10_quality(spark, sf_dir: str) -> DataFrame:
     """Quality of each document: 0 to 1, with a verdict at 0.3. One row for each row of documents; null and empty texts
     have the score of zero features."""

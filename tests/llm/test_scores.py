@@ -247,15 +247,26 @@ def test_words_as_split():
 
 
 def test_quality_edge_rows(spark, edge, edge_rows, empty):
-    vectors = quality.neighbours(edge)
-    assert vectors.shape == (quality.CLASSES, quality.DIM) and np.isfinite(vectors).all()
-    assert (quality.neighbours(edge) == vectors).all()
-    net = quality.train(np.zeros((0, quality.DIM + quality.EXTRA)), np.zeros(0))
-    got = quality.scores(edge, vectors, net).collect()
-    assert len(got) == len(edge_rows) and all(0 <= r.score <= 1 for r in got)
-    assert quality.scores(empty, vectors, net).count() == 0 and not quality.neighbours(empty).any()
     labels = spark.createDataFrame([(5, 1), (None, 0), (6, None)], "doc_id long, quality int")
-    quality.fit(edge, labels)
+    found, net = quality.fit(edge, labels)
+    got = quality.judged(found, net).collect()
+    assert sorted(str(r.id) for r in got) == sorted(str(r[0]) for r in edge_rows) and all(0 <= r.score <= 1 for r in got)
+    blank = {r.score for r in got if r.id in (1, 2, 3)}  # null, empty, white space
+    assert len(blank) == 1
+    assert quality.judged(*quality.fit(empty, labels)).count() == 0
+
+
+def test_measures():
+    """By hand: length, words equal to the one before, distinct words, letters a word; chance of one class for short words."""
+    texts = ["a b a a", "", " \n", "x " * 50, "ab cd ef gh"]
+    got = quality.measures([t.encode() for t in texts])
+    assert not got[1].any() and not got[2].any()
+    for t, x in zip(texts, got, strict=True):
+        w = t.split()
+        if w:
+            share = [w.count(k) / len(w) for k in set(w)]
+            want = [np.log1p(len(w)) / 5, sum(a == b for a, b in zip(w, w[1:], strict=False)) / len(w), sum(s * s for s in share), len(set(w)) / len(w), min(len(t) / len(w), 50) / 10]
+            assert np.allclose(x, want, atol=1e-6)
 
 
 def test_words_of_one_shape_differ(spark, edge, edge_rows, empty):

@@ -122,9 +122,24 @@ def _maybe(spark: SparkSession, path: str) -> DataFrame | None:
         return None
 
 
+#: Tables of an index without a source.
+_EMPTY = {
+    "chunks": "url string, path string, title string, heading_path array<string>, anchor string, body string, token_count int, ord int, chunk_id long, source string",
+    "postings": "chunk_id long, dl long, col int, pos int, term string, source string", "lengths": "chunk_id long, path string, ord int, dl long, source string",
+    "stats": "n_all long, total long, source string", "vocabulary": "term string, stem string",
+}
+
+
 def load(spark: SparkSession, path: str, stemmed: bool = True) -> Index:
-    read = lambda name: spark.read.parquet(f"{path}/{name}").withColumn("source", F.col("source").cast("string"))
-    return Index(read("chunks"), read("postings"), read("lengths"), spark.read.parquet(f"{path}/vocabulary"), read("stats"), stemmed)
+    """A saved index; one whose sources are all gone, or that is not there yet, has no rows."""
+
+    def read(name: str) -> DataFrame:
+        df = _maybe(spark, f"{path}/{name}")
+        if df is None:
+            return spark.createDataFrame([], _EMPTY[name])
+        return df.withColumn("source", F.col("source").cast("string")) if "source" in df.columns else df
+
+    return Index(read("chunks"), read("postings"), read("lengths"), read("vocabulary"), read("stats"), stemmed)
 
 
 def phrases(query: str) -> list[str]:

@@ -30,16 +30,20 @@ class Engine:
     def tools(self) -> list[str]:
         return ["search_docs", "get_page", "list_sources", "get_outline", *([] if self.read_only else ["refresh_source", "add_source", "remove_source"])]
 
-    def search_docs(self, query: str, sources: list[str] | None = None, limit: int = search.LIMIT, as_of: datetime | None = None, global_limit: int | None = None) -> DataFrame:
-        """Hits with freshness, the best of each source in order of sources."""
-        names = [r.name for r in catalog.chosen(self.store.entries(), sources).select("name").collect()]
+    def search_docs(self, query: str, sources: list[str] | None = None, limit: int = search.LIMIT, as_of: datetime | None = None, global_limit: int | None = None, kind: str | None = None) -> DataFrame:
+        """Hits with freshness, the best of each source, of those of one kind if it is given, in order of sources."""
+        entries = catalog.chosen(self.store.entries(), sources)
+        names = [r.name for r in (entries.where(F.col("kind") == kind) if kind else entries).select("name").collect()]
         hits = search.search(self.store.index(), query, names or [""], limit, global_limit=global_limit)
         fresh = self.store.entries().select(F.col("name").alias("source"), "last_synced_at")
         out = hits.join(fresh, "source", "left").withColumn("stale", catalog.stale("last_synced_at", as_of or self.clock()))
         return out.select("source", "url", "path", "heading_path", "anchor", "snippet", "token_count", "last_synced_at", "stale", "score", "rank").orderBy("source", "rank")
 
-    def get_page(self, source: str, path: str) -> str | None:
-        row = self.store.page(source, path.removesuffix(".md")).first()
+    def get_page(self, source: str, path: str | None = None, url: str | None = None) -> str | None:
+        """A page by its path, or by its address; none if there is no such page."""
+        if (path is None) == (url is None):
+            raise ValueError("a page has a path or an address")
+        row = (self.store.page(source, path.removesuffix(".md")) if url is None else self.store.page(source, url=url)).first()
         return row.content if row else None
 
     def list_sources(self, as_of: datetime | None = None) -> DataFrame:

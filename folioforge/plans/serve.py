@@ -17,8 +17,8 @@ PROTOCOL = "2024-11-05"
 _TEXT, _LIST, _INT = {"type": "string"}, {"type": "array", "items": {"type": "string"}}, {"type": "integer"}
 #: Tool -> (what it does, its arguments, those that must be given).
 TOOLS: dict[str, tuple[str, dict[str, Any], list[str]]] = {
-    "search_docs": ("Ranked search over the sources, the best of each", {"query": _TEXT, "sources": _LIST, "limit": _INT}, ["query"]),
-    "get_page": ("A page as markdown", {"source": _TEXT, "path": _TEXT}, ["source", "path"]),
+    "search_docs": ("Ranked search over the sources, the best of each", {"query": _TEXT, "sources": _LIST, "limit": _INT, "kind": _TEXT}, ["query"]),
+    "get_page": ("A page as markdown, by its path or its address", {"source": _TEXT, "path": _TEXT, "url": _TEXT}, ["source"]),
     "list_sources": ("Sources with page counts and freshness", {}, []),
     "get_outline": ("Headings of sources, with anchors", {"sources": _LIST}, []),
     "refresh_source": ("Pull sources again", {"names": _LIST}, []),

@@ -73,9 +73,9 @@ class Store:
         names = [x.split()[0] for x in DOCUMENT.split(", ")]
         documents.select(*names).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source").parquet(f"{self.root}/documents")
 
-    def page(self, source: str, path: str) -> DataFrame:
-        """The page of one path, as stored: front matter and markdown."""
-        found = self.documents().where((F.col("source") == source) & (F.col("path") == path))
+    def page(self, source: str, path: str | None = None, url: str | None = None) -> DataFrame:
+        """The page of one path, or of one address, as stored: front matter and markdown."""
+        found = self.documents().where((F.col("source") == source) & (F.col("path") == path if url is None else F.col("url") == url)).orderBy("path")
         return found.select("source", "path", F.concat(T.front_matter("title", "url", "source", "fetched_at", "content_hash"), "markdown").alias("content"))
 
     def paths(self, source: str) -> DataFrame:

@@ -48,6 +48,16 @@ def test_search_and_page(engine):
     assert text.startswith('---\ntitle: "Intro"\n') and text.endswith("described here.\n") and engine.get_page("docs", "none") is None
 
 
+def test_page_by_address_and_hits_by_kind(engine):
+    url = engine.store.documents().where("source = 's.x' AND path = 'docs/a'").first().url
+    assert engine.get_page("s.x", url=url) == engine.get_page("s.x", "docs/a") is not None and engine.get_page("s.x", url="https://none.x/") is None
+    for wrong in ({}, {"path": "a", "url": url}):
+        with pytest.raises(ValueError):
+            engine.get_page("s.x", **wrong)
+    assert {h.source for h in engine.search_docs("content OR advanced", kind="website").collect()} == {"s.x"}
+    assert {h.source for h in engine.search_docs("content OR advanced", kind="local").collect()} == {"docs"} and engine.search_docs("content", kind="github").count() == 0
+
+
 def test_listing_and_outline(engine):
     assert [(r.name, r.page_count, r.stale) for r in engine.list_sources().collect()] == [("docs", 2, False), ("none.x", 0, False), ("s.x", 2, False)]
     assert [(r.path, r.anchor, r.ord) for r in engine.get_outline(["docs"]).collect()] == [("a", "", 0), ("a", "advanced-topics", 1), ("b", "", 0)]

@@ -13,7 +13,9 @@ class Fake:
     read_only = False
     tools = ["search_docs", "get_page", "list_sources", "add_source"]
 
-    def get_page(self, source, path):
+    def get_page(self, source, path=None, url=None):
+        if path is None and url is None:
+            raise ValueError("which?")
         return f"{source}/{path}"
 
     def list_sources(self, as_of=None):

@@ -213,6 +213,20 @@ def test_itq_recall_about_a_mean(spark, monkeypatch, mean, group, least):
     assert (found <= near).all() and found.sum() >= least * near.sum()
 
 
+def test_itq_width_of_large_labels(spark, monkeypatch):
+    """A label of more blocks than buckets gets longer codes, and more tables find its pairs."""
+    assert [itq.width_of(n, 4) for n in (1, 16, 17, 94, 128, 129)] == [4, 4, 5, 7, 7, 8]
+    assert itq.width_of(4096) == itq.WIDTH and itq.width_of(10**6) == 20
+    monkeypatch.setattr(itq, "GROUP", 16)
+    widths, learn = [], itq.learn_tables
+    monkeypatch.setattr(itq, "learn_tables", lambda x, least, tables, width, most: widths.append(width) or learn(x, least, tables, width, most))
+    x, near = planted(0.45)
+    v = spark.createDataFrame([(i, y.tolist(), 0) for i, y in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {r.id: r.n_links for r in itq.near_duplicates(v, width=4).collect()}
+    found = np.array([got[i] for i in range(len(x))])
+    assert widths == [7] and (found <= near).all() and found.sum() >= 0.97 * near.sum()
+
+
 def test_itq_stray_dimension(spark, monkeypatch):
     """A longer vector changes nothing for the others, and two dimensions have rotations of their own."""
     monkeypatch.setattr(itq, "GROUP", 16)

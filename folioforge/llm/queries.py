@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import host_rules, itq
+from . import centroids, host_rules, itq
+from .centroids import op12_centroids
 from .host_rules import op3_host_rules
 from .itq import op9_embeddings
 from .langid import op4_langid
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_embeddings": op9_embeddings,
     "op10_quality": op10_quality,
+    "op12_centroids": op12_centroids,
 }
 
-ORACLES = {"op3_host_rules": host_rules.ORACLE, "op9_embeddings": itq.ORACLE}
+ORACLES = {"op3_host_rules": host_rules.ORACLE, "op9_embeddings": itq.ORACLE, "op12_centroids": centroids.ORACLE}

@@ -7,6 +7,7 @@ from .centroids import op12_centroids
 from .host_rules import op3_host_rules
 from .itq import op9_embeddings
 from .langid import op4_langid
+from .lm import op11_lm
 from .mixing import op5_mixing
 from .packing import op6_packing
 from .quality import op10_quality
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_embeddings": op9_embeddings,
     "op10_quality": op10_quality,
+    "op11_lm": op11_lm,
     "op12_centroids": op12_centroids,
 }
 

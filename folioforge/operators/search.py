@@ -1,6 +1,6 @@
 """Ranked full-text search over chunks: an index of plain tables, and BM25 on it.
 
-Tables of an index (parquet, by source):
+Tables of an index (parquet, by source; ``segments`` keeps them):
   chunks     what was indexed, with chunk_id
   postings   (source, chunk_id, dl, col, pos, term), a row for each token, dealt by ranges of source and term
   lengths    (source, chunk_id, path, ord, dl)
@@ -99,47 +99,17 @@ def build(chunks: DataFrame, stemmed: bool = True) -> Index:
 
 
 def save(index: Index, path: str) -> None:
-    """Write an index, each source replaced as a whole; other sources stay. The vocabulary only grows.
-
-    Postings are dealt by ranges, so a source's commonest term is split over tasks and a task writes files for the few
-    sources of its range only.
-    """
-    spark = index.chunks.sparkSession
-    dealt = index.postings.repartitionByRange("source", "term", "chunk_id").sortWithinPartitions("source", "term", "chunk_id")
-    for name, df in (("chunks", index.chunks), ("lengths", index.lengths), ("stats", index.stats), ("postings", dealt)):
-        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source").parquet(f"{path}/{name}")
-    old = _maybe(spark, f"{path}/vocabulary")
-    new = index.vocabulary if old is None else index.vocabulary.join(old.select("term"), "term", "left_anti")
-    new.sortWithinPartitions("stem").write.mode("append").parquet(f"{path}/vocabulary")
+    """Write an index, each source replaced as a whole, in one step; other sources stay."""
+    from . import segments
 
-
-def _maybe(spark: SparkSession, path: str) -> DataFrame | None:
-    from pyspark.errors import AnalysisException
-
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        return None
-
-
-#: Tables of an index without a source.
-_EMPTY = {
-    "chunks": "url string, path string, title string, heading_path array<string>, anchor string, body string, token_count int, ord int, chunk_id long, source string",
-    "postings": "chunk_id long, dl long, col int, pos int, term string, source string", "lengths": "chunk_id long, path string, ord int, dl long, source string",
-    "stats": "n_all long, total long, source string", "vocabulary": "term string, stem string",
-}
+    segments.save(index, path)
 
 
 def load(spark: SparkSession, path: str, stemmed: bool = True) -> Index:
     """A saved index; one whose sources are all gone, or that is not there yet, has no rows."""
+    from . import segments
 
-    def read(name: str) -> DataFrame:
-        df = _maybe(spark, f"{path}/{name}")
-        if df is None:
-            return spark.createDataFrame([], _EMPTY[name])
-        return df.withColumn("source", F.col("source").cast("string")) if "source" in df.columns else df
-
-    return Index(read("chunks"), read("postings"), read("lengths"), read("vocabulary"), read("stats"), stemmed)
+    return segments.load(spark, path, stemmed)
 
 
 def phrases(query: str) -> list[str]:

@@ -39,17 +39,34 @@ def chunks_of(documents: DataFrame, **how) -> DataFrame:
     return chunking.chunk(documents.where("status = 'ok'").drop("status", "content_hash", "fetched_at", "content_type", "token_count"), **how)
 
 
+def _indexed(documents: DataFrame) -> DataFrame:
+    """(source, path, content_hash) for ``catalog.changes``: what of a document is in its chunks."""
+    return documents.select("source", "path", F.sha2(F.concat_ws("\0", F.coalesce("url", F.lit("")), F.coalesce("title", F.lit("")), "content_hash"), 256).alias("content_hash"))
+
+
 def ingest(store: Store, pages: DataFrame, escalate=None, kept: DataFrame | None = None, **how) -> tuple[DataFrame, DataFrame]:
     """Store and index pages of any number of sources at once, each replaced as a whole by them and the documents
-    ``kept``. -> (documents, chunks)"""
+    ``kept``. -> (documents, chunks)
+
+    Only documents that are new or changed since they were stored are chunked and indexed; pages that are gone leave the
+    index. The index comes first: if the run ends in between, the next one finds the same changes. With settings of its
+    own (``how``) all documents are chunked again.
+    """
     docs = documents_of(pages, escalate)
     if kept is not None:  # written first: the tables that it is read from are replaced
         docs = settled(docs.unionByName(kept.select([c for c in kept.columns if c in docs.columns]), allowMissingColumns=True), "merged")
     ok = docs.where("status = 'ok'")
-    chunks = settled(search.tokenized(chunks_of(docs, **how)), "chunks")
+    if how:
+        chunks = settled(search.tokenized(chunks_of(docs, **how)), "chunks")
+        store.replace_index(chunks)
+        store.replace_documents(ok)
+        return docs, chunks
+    sources = docs.select("source").distinct()
+    changes = settled(catalog.changes(_indexed(store.documents().join(sources, "source", "left_semi")), _indexed(ok)), "changes")
+    new = docs.join(changes.where("change != 'removed'"), ["source", "path"], "left_semi")
+    store.update_index(settled(search.tokenized(chunks_of(new)), "chunks"), changes.where("change != 'added'"))
     store.replace_documents(ok)
-    store.replace_index(chunks)
-    return docs, chunks
+    return docs, store.index().chunks.join(sources, "source", "left_semi")
 
 
 def run(store: Store, requests: list[kinds.Request], clock=datetime.utcnow, escalate=None) -> list[Result]:

@@ -2,7 +2,7 @@
 
 <root>/catalog.json           entries
 <root>/documents/source=.../  documents, replaced by source
-<root>/index/...              the tables of operators.search
+<root>/index/...              the tables of operators.search, in segments
 <root>/pages/<slug>/**.md     optional export, with front matter
 """
 
@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import catalog, search
+from ..operators import catalog, search, segments
 
 DOCUMENT = "source string, url string, path string, title string, markdown string, token_count int, content_hash string, fetched_at timestamp, status string"
 
@@ -106,8 +106,13 @@ class Store:
     def replace_index(self, chunks: DataFrame) -> None:
         search.save(search.build(chunks), f"{self.root}/index")
 
+    def update_index(self, chunks: DataFrame, gone: DataFrame) -> None:
+        """Chunks of added and changed pages; those that pages of ``gone(source, path)`` had go."""
+        segments.update(search.build(chunks), gone, f"{self.root}/index")
+
     def remove_source(self, source: str, keep_documents: bool = False) -> None:
         """Chunks and postings of a source, and its documents unless they are kept."""
-        name = self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(source)
-        for table in (*(() if keep_documents else ("documents",)), "index/chunks", "index/lengths", "index/postings", "index/stats"):
-            self.delete(f"{table}/source={name}")
+        segments.remove(self.spark, f"{self.root}/index", [source])
+        if not keep_documents:
+            name = self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(source)
+            self.delete(f"documents/source={name}")

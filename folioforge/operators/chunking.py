@@ -1,7 +1,8 @@
 """Outlines and chunks of markdown, as array expressions on each row.
 
 Nothing is shuffled and no row leaves the JVM: a document's lines are an array, its
-headings and fences a short array of places, and sections are slices between them.
+headings and fences an array of places, and sections are slices between them. Each step
+goes over an array once, or sorts it, so time grows with the document's length.
 """
 
 from __future__ import annotations
@@ -13,6 +14,26 @@ from ..functions import text as T
 from ..functions.text import let
 
 MAX_TOKENS, SPLIT_LEVEL, MIN_BODY = 800, 2, 24
+#: Entries of an array that a scan takes at once: what a step adds to is no longer than this.
+SCAN = 128
+
+
+def _inside(xs: Column, fence) -> Column:
+    """For each entry whether the number of fences before it is odd."""
+    codes = F.array_join(F.transform(xs, lambda x: F.when(fence(x), F.lit("F")).otherwise(F.lit("x"))), "")
+    return F.flatten(F.transform(F.split(codes, "F", -1), lambda run, k: F.array_repeat(k % 2 == 1, F.length(run) + 1)))
+
+
+def _scanned(xs: Column, zero: Column, step, kind: str) -> Column:
+    """The states of a fold after each entry, in blocks: an array that grows by one is copied each time."""
+    state = lambda of, last: F.struct(F.array().cast(f"array<{of}>").alias("out"), last.alias("last"))
+    grown = lambda s, x, last: F.struct(F.concat(s["out"], F.array(x)).alias("out"), last.alias("last"))
+
+    def over(blocks: Column) -> Column:
+        inner = lambda start, block: F.aggregate(block, state(kind, start), lambda s, x: let(step(s["last"], x), lambda v: grown(s, v, v)))
+        return F.aggregate(blocks, state(f"array<{kind}>", zero), lambda s, block: let(inner(s["last"], block), lambda r: grown(s, r["out"], r["last"])), lambda s: F.flatten(s["out"]))
+
+    return let(xs, lambda a: over(F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / SCAN).cast("int")), lambda b: F.slice(a, b * SCAN + 1, SCAN))))
 
 
 def _marks(lines: Column, level, text) -> Column:
@@ -24,19 +45,27 @@ def _marks(lines: Column, level, text) -> Column:
         ),
     )
     seen = F.filter(seen, lambda x: x["level"] != 0)
-    return let(seen, lambda s: F.when(F.exists(s, lambda x: x["level"] == -1), F.filter(s, lambda x, k: (x["level"] > 0) & (F.size(F.filter(F.slice(s, 1, k + 1), lambda y: y["level"] == -1)) % 2 == 0))).otherwise(s))
+    outside = lambda s: let(_inside(s, lambda x: x["level"] == -1), lambda inside: F.filter(s, lambda x, k: (x["level"] > 0) & ~F.get(inside, k)))
+    return let(seen, lambda s: F.when(F.exists(s, lambda x: x["level"] == -1), outside(s)).otherwise(s))
 
 
 def _anchored(heads: Column) -> Column:
     """Headings with anchors: the slug, or "section"; the n-th repeat of one gets "-n"."""
     based = F.transform(heads, lambda h: F.struct(h["i"].alias("i"), h["level"].alias("level"), h["text"].alias("text"), F.coalesce(F.nullif(T.slugify(h["text"]), F.lit("")), F.lit("section")).alias("base")))
 
+    def nth(sorted_: Column) -> Column:
+        # runs of equal slugs: the first of each is N, so what lies between two N is a run's rest
+        codes = F.array_join(F.transform(sorted_, lambda x, i: F.when((i == 0) | (F.get(sorted_, i - 1)["base"] != x["base"]), F.lit("N")).otherwise(F.lit("r"))), "")
+        runs = F.split(codes, "N", -1)
+        counts = F.flatten(F.transform(F.slice(runs, 2, F.size(runs)), lambda run: F.sequence(F.lit(0), F.length(run))))
+        return let(counts, lambda n: F.sort_array(F.transform(sorted_, lambda x, i: F.struct(x["k"].alias("k"), F.get(n, i).alias("n")))))
+
     def numbered(b: Column) -> Column:
-        def one(h: Column, k: Column) -> Column:
-            n = F.size(F.filter(F.slice(b, 1, k), lambda y: y["base"] == h["base"]))
+        def one(h: Column, n: Column) -> Column:
             return F.struct(h["i"].alias("i"), h["level"].alias("level"), h["text"].alias("text"), F.when(n == 0, h["base"]).otherwise(F.concat(h["base"], F.lit("-"), n.cast("string"))).alias("anchor"))
 
-        return F.transform(b, one)
+        by_slug = F.sort_array(F.transform(b, lambda h, k: F.struct(h["base"].alias("base"), k.alias("k"))))
+        return let(let(by_slug, nth), lambda places: F.transform(b, lambda h, k: one(h, F.get(places, k)["n"])))
 
     return let(based, numbered)
 
@@ -51,7 +80,8 @@ def outline(markdown: Column | str) -> Column:
                 since = F.when(k == 0, F.lit(0)).otherwise(F.get(heads, k - 1)["i"])
                 return F.when(h["i"] == 0, F.lit(0)).otherwise(F.octet_length(F.array_join(F.slice(lines, since + 1, h["i"] - since), "\n")) + F.when(h["i"] > since, 1).otherwise(0))
 
-            return let(F.transform(heads, span), lambda s: F.transform(heads, lambda h, k: F.struct(h["level"].alias("level"), h["text"].alias("text"), h["anchor"].alias("anchor"), F.aggregate(F.slice(s, 1, k + 1), F.lit(0), lambda a, b: a + b).alias("offset"))))
+            offsets = _scanned(F.transform(heads, span), F.lit(0), lambda a, b: a + b, "int")
+            return let(offsets, lambda at: F.transform(heads, lambda h, k: F.struct(h["level"].alias("level"), h["text"].alias("text"), h["anchor"].alias("anchor"), F.get(at, k).alias("offset"))))
 
         return let(_anchored(_marks(lines, T.outline_level, T.outline_text)), placed)
 
@@ -62,19 +92,14 @@ def paragraphs(body: Column | str) -> Column:
     """Trimmed, non-empty paragraphs; blank lines inside fences do not end one."""
     body = F.col(body) if isinstance(body, str) else body
     plain = F.split(body, r"(?U)\n(?:[^\S\n]*\n)+", -1)
-    state = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("cur"), F.lit(False).alias("inside"))
 
-    def step(s: Column, line: Column) -> Column:
-        fence, blank = T.trim_space(line).startswith("```"), T.trim_space(line) == ""
-        ends = blank & ~s["inside"] & ~fence
-        return F.struct(
-            F.when(ends, F.concat(s["done"], F.array(s["cur"]))).otherwise(s["done"]).alias("done"),
-            F.when(ends, F.lit("")).otherwise(F.concat(s["cur"], line, F.lit("\n"))).alias("cur"),
-            F.when(fence, ~s["inside"]).otherwise(s["inside"]).alias("inside"),
-        )
+    def fenced(lines: Column) -> Column:
+        is_fence = lambda line: T.trim_space(line).startswith("```")
+        ends = let(_inside(lines, is_fence), lambda inside: F.filter(F.transform(lines, lambda line, i: F.when((T.trim_space(line) == "") & ~F.get(inside, i), i)), lambda i: i.isNotNull()))
+        edges = F.concat(F.array(F.lit(-1)), ends, F.array(F.size(lines)))
+        return let(edges, lambda e: F.transform(F.slice(e, 1, F.size(e) - 1), lambda a, k: F.array_join(F.slice(lines, a + 2, F.get(e, k + 1) - a - 1), "\n")))
 
-    fenced = F.aggregate(F.split(body, "\n", -1), state, step, lambda s: F.concat(s["done"], F.array(s["cur"])))
-    parts = F.when(body.contains("```"), fenced).otherwise(plain)
+    parts = F.when(body.contains("```"), let(F.split(body, "\n", -1), fenced)).otherwise(plain)
     return F.filter(F.transform(parts, T.trim_space), lambda p: p != "")
 
 
@@ -108,20 +133,17 @@ def sections(markdown: Column | str, split_level: int = SPLIT_LEVEL, min_body: i
         def cut(heads: Column) -> Column:
             at = F.filter(F.transform(heads, lambda h, k: F.struct(h["i"].alias("i"), h["level"].alias("level"), h["text"].alias("text"), h["anchor"].alias("anchor"), k.alias("k"))), lambda h: h["level"] <= split_level)
 
-            def path(h: Column) -> Column:
-                if split_level <= 2:
-                    return F.array(h["text"])
-                # the stack above a heading: walking back, each shallower one than the last taken
-                state = F.struct(F.array(h["text"]).alias("path"), h["level"].alias("level"))
-                up = lambda s, g: F.when(g["level"] < s["level"], F.struct(F.concat(F.array(g["text"]), s["path"]).alias("path"), g["level"].alias("level"))).otherwise(s)
-                return F.aggregate(F.reverse(F.slice(heads, 1, h["k"])), state, up, lambda s: s["path"])
+            # the headings above each one: those that are not shallower than the next go
+            stack = lambda s, h: F.concat(F.filter(s, lambda g: g["level"] < h["level"]), F.array(F.struct(h["level"].alias("level"), h["text"].alias("text"))))
+            above = _scanned(heads, F.array().cast("array<struct<level:int,text:string>>"), stack, "array<struct<level:int,text:string>>") if split_level > 2 else F.lit(None)
 
-            def parts(a: Column) -> Column:
+            def parts(a: Column, above: Column) -> Column:
+                path = lambda h: F.array(h["text"]) if split_level <= 2 else F.transform(F.get(above, h["k"]), lambda g: g["text"])
                 head = F.struct(F.array().cast("array<string>").alias("heading_path"), F.lit("").alias("anchor"), body_of(lines, F.lit(0), F.coalesce(F.get(a, 0)["i"], F.size(lines))).alias("body"))
                 rest = F.transform(a, lambda h, k: F.struct(path(h).alias("heading_path"), h["anchor"].alias("anchor"), body_of(lines, h["i"], F.coalesce(F.get(a, k + 1)["i"], F.size(lines))).alias("body")))
                 return F.concat(F.array(head), rest)
 
-            return let(at, parts)
+            return let(above, lambda up: let(at, lambda a: parts(a, up)))
 
         heads = F.filter(_marks(lines, T.heading_level, T.heading_text), lambda h: h["level"] >= 2)
         return let(_anchored(heads), cut)

@@ -133,3 +133,61 @@ def test_selectors():
     assert [n.tag for n in html.select(root, ".doc-content")] == ["div"] and next(html.select(root, "#x")).text() == "t"
     assert len(list(html.select(root, "[role=main]"))) == 1 and [n.text() for n in html.select(root, "#__next main")] == ["u"]
     assert html.navigation('<aside><a href="/1">x</a></aside><div class="my-sidebar"><p><a href="/2">y</a></p></div>') == ["/1", "/2"]
+
+
+def plain_sections(md, split_level, min_body):
+    """Outline and sections as loops over lines."""
+    import re
+
+    slug = lambda t: re.sub(r"[ \t_-]+", "-", re.sub(r"[^\w \t_-]", "", t.lower())).strip("-") or "section"
+    seen, inside, stack, out, cur, where = {}, False, [], [], [], ([], "")
+    for line in md.split("\n"):
+        if line.strip().startswith("```"):
+            inside = not inside
+        m = None if inside else re.match(r"^(#{1,6})[ \t](.*)$", line)
+        level, text = (len(m[1]), m[2].rstrip("#").strip()) if m else (0, "")
+        if text and level >= 2:
+            n = seen.get(slug(text), 0)
+            seen[slug(text)] = n + 1
+            stack = [g for g in stack if g[0] < level] + [(level, text)]
+            if level <= split_level:
+                out.append((*where, "\n".join(cur).strip()))
+                cur, where = [], ([t for _, t in stack] if split_level > 2 else [text], slug(text) + (f"-{n}" if n else ""))
+        cur.append(line)
+    out.append((*where, "\n".join(cur).strip()))
+    return [(p, a, b) for p, a, b in out if len(b.encode()) >= min_body]
+
+
+@pytest.mark.parametrize("split_level", [2, 3, 6])
+def test_sections_against_loops(spark, split_level):
+    """Random headings, fences and repeats, many of them: more than a scan takes at once."""
+    rng = random.Random(split_level)
+    line = lambda: rng.choice(["", "text of a line", "```", "#" * rng.randint(1, 7) + " " + rng.choice(["A", "B b", "a", "C"]), "##x", "## ", "\t```x"])
+    docs = [(i, "\n".join(line() for _ in range(n))) for i, n in enumerate([0, 1, 5, 40, 200, 1500, 3000] + [30] * 40)]
+    df = spark.createDataFrame(docs, "id int, markdown string")
+    got = {r.id: [(s.heading_path, s.anchor, s.body) for s in r.s] for r in df.select("id", chunking.sections("markdown", split_level, 1).alias("s")).collect()}
+    for i, md in docs:
+        assert got[i] == plain_sections(md, split_level, 1)
+
+
+def test_outline_offsets_of_many_headings(spark):
+    md = "".join(f"# h{i % 7} é\n{'x' * (i % 5)}\n" for i in range(1000))
+    got = spark.createDataFrame([(md,)], "markdown string").select(chunking.outline("markdown").alias("o")).first().o
+    raw, at = md.encode(), []
+    for i, b in enumerate(raw):
+        if b == 35 and (i == 0 or raw[i - 1] == 10):
+            at.append(i)
+    assert [h.offset for h in got] == at and [h.anchor for h in got] == [f"h{i % 7}-é" + (f"-{i // 7}" if i // 7 else "") for i in range(1000)]
+
+
+def test_time_grows_with_length(spark):
+    """32,000 headings in one document, in seconds; fences and fenced paragraphs too."""
+    import time
+
+    chunking.chunk(spark.createDataFrame([(1, "## a\ntext that is long enough\n")], "id int, markdown string")).count()
+    for md in ("".join(f"## Heading {i % 1000}\n" + "body of this one is long enough\n" for i in range(32_000)), "## A\n" + "```\nx y z\n\n```\nsome words of text\n\n" * 16_000, "```\n" + "line of a fence\n\n" * 32_000):
+        df = spark.createDataFrame([(1, md)], "id int, markdown string")
+        began = time.time()
+        n = chunking.chunk(df).agg(F.count("*"), F.max("anchor")).first()[0]
+        flat = chunking.flat_outline(df).count()
+        assert time.time() - began < 20 and (n, flat)[0] > 0

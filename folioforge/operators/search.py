@@ -122,6 +122,17 @@ def sanitized(query: str) -> str:
     return " OR ".join(f'"{p}"' for p in phrases(query))
 
 
+def phrases_column(query: Column | str) -> Column:
+    """The phrases of queries in a column."""
+    query = F.col(query) if isinstance(query, str) else query
+    words = F.split(F.replace(F.coalesce(query, F.lit("")), F.lit('"'), F.lit("")), r"(?U)\s+", -1)
+    return F.filter(F.transform(words, lambda w: F.regexp_replace(w, r"""^[():*"']+|[():*"']+$""", "")), lambda w: w != "")
+
+
+def sanitized_column(query: Column | str) -> Column:
+    return F.array_join(F.transform(phrases_column(query), lambda p: F.concat(F.lit('"'), p, F.lit('"'))), " OR ")
+
+
 def _plan(query: str, stemmed: bool) -> list[tuple[int, int, int, str]]:
     """(phrase, place in it, its length, stem); a phrase without tokens matches nothing and is left out."""
     out = []

@@ -2,28 +2,78 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime
 
 import pandas as pd
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..functions import urls as U
 from ..functions.tokens import tokens
-from ..operators import catalog, chunking, discover, html, render
+from ..operators import catalog, chunking, discover, html, render, search, segments
 from ..sources import kinds
+from ..sources.shared import settled, shared_dir
+from ..sources.store import Store
 from . import ingest
-from .base import AS_OF, conversations, corpus, entries, literal, site_pages, table, values
+from .base import AS_OF, conversations, corpus, entries, site_pages, table
+from .search_queries import ORACLES as SEARCH
 
 CAP = 200
 
-LINK_INDEX = [("- [Intro](https://e.x/intro): a\n- [Adv](/advanced \"t\")\n[m](mailto:a@b) [s](#s) [Dup](https://e.x/intro#q)",), ("no link",), ("[a](b.md) [c](../d) [e](//f.x/g)",)]
-SITEMAP = [("<urlset><url><loc> https://a/1 </loc></url><url><LOC>https://a/2</LOC></url></urlset>",), ("<sitemapindex><sitemap><loc>https://a/s.xml</loc></sitemap></sitemapindex>",), ("nothing",)]
-ROBOTS = [("User-agent: *\nSitemap: https://a/s.xml\nsitemap:  https://a/t.xml \n",), ("User-agent: *",)]
-REPOSITORIES = [("o/r",), ("o/r@v1",), ("o/r@v1/docs/x",), ("o/r/sub",), ("github.com/o/r",), ("nothing",)]
-TREE = [(0, "README.md", "blob"), (1, "docs", "tree"), (2, "docs/a.md", "blob"), (3, "docs/b.MDX", "blob"), (4, "src/x.go", "blob"), (5, "docs2/c.md", "blob")]
-STRATEGIES = [("crawl", "u1"), ("nav", "u1"), ("nav", "u2"), ("sitemap", "u2"), ("sitemap", "u3")]
-FAILED = [("a", "u1", "E: 1"), ("a", "u2", None), ("a", "u3", "E: 3"), ("a", "u4", "E: 4"), ("a", "u5", "E: 5"), ("b", "u1", None), ("c", "u9", "E: 9")]
-ROOTS = [("https://e.x",), ("https://e.x/",), ("https://e.x/llms.txt",), ("https://e.x/llms-full.txt",)]
+# Inputs, in the words of both dialects, each made from every row of a given table.
+
+_NL, _AT = "chr(10)", "split_part(url, '/', 3)"
+LINK_INDEX = f"""'- [Intro](' || split_part(split_part(url, '#', 1), '?', 1) || '): a' || {_NL} || '- [Adv](/advanced' || page_id || ' "t")' || {_NL} || '[m](mailto:a@b) [s](#s) [Dup](' || split_part(split_part(url, '#', 1), '?', 1) || '#q)'
+    || CASE page_id % 3 WHEN 0 THEN ' [b](b' || page_id || '.md) [d](../d)' WHEN 1 THEN ' [e](//' || {_AT} || '/g?x=' || page_id || ')' ELSE '' END"""
+SITEMAP = f"""CASE page_id % 4 WHEN 0 THEN '<sitemapindex><sitemap><loc>https://' || {_AT} || '/s.xml</loc></sitemap></sitemapindex>' WHEN 1 THEN '<sitemap><LOC>https://' || {_AT} || '/t.xml</LOC></sitemap>'
+    WHEN 2 THEN '<urlset><url><loc> ' || url || ' </loc></url><url><LOC>https://' || {_AT} || '/' || page_id || '</LOC></url></urlset>' ELSE 'nothing' END"""
+ROBOTS = f"CASE page_id % 3 WHEN 0 THEN 'User-agent: *' || {_NL} || 'Sitemap: https://' || {_AT} || '/s.xml' || {_NL} || 'sitemap:  https://' || {_AT} || '/' || page_id || '.xml ' || {_NL} WHEN 1 THEN 'User-agent: ' || {_AT} ELSE 'x Sitemap: ' || url END"
+REPOSITORIES = f"""CASE page_id % 6 WHEN 0 THEN {_AT} || '/r' || page_id WHEN 1 THEN {_AT} || '/r@v' || page_id WHEN 2 THEN {_AT} || '/r@v1/docs/' || page_id WHEN 3 THEN {_AT} || '/r/sub' || page_id
+    WHEN 4 THEN 'github.com/' || {_AT} || '/r' || page_id ELSE 'nothing' END"""
+TREE = {"path": "CASE page_id % 5 WHEN 0 THEN 'README' || page_id || '.md' WHEN 1 THEN 'docs/' || page_id || '.md' WHEN 2 THEN 'docs/b' || page_id || '.MDX' WHEN 3 THEN 'docs/x' || page_id || '.go' ELSE 'docs2/' || page_id || '.md' END", "type": "CASE WHEN page_id % 7 = 0 THEN 'tree' ELSE 'blob' END"}
+STRATEGIES = "CASE WHEN url LIKE '%?%' THEN 'crawl' WHEN url LIKE '%#%' THEN 'nav' ELSE 'sitemap' END"
+FAILED = {"source": _AT, "error": "CASE WHEN page_id % 4 = 0 THEN NULL ELSE 'E: ' || page_id END"}
+ROOTS = f"'https://' || {_AT} || CASE page_id % 4 WHEN 0 THEN '' WHEN 1 THEN '/' WHEN 2 THEN '/llms.txt' ELSE '/llms-full.txt' END"
+
+
+def _store(spark, sf) -> Store:
+    """documents, kept in a new store."""
+    store = Store(spark, f"{shared_dir(spark)}/folioforge-store-{uuid.uuid4().hex}")
+    docs = corpus(spark, sf).withColumns({"token_count": T.estimate_tokens("markdown"), "content_hash": T.content_hash("markdown"), "fetched_at": F.lit(AS_OF).cast("timestamp"), "status": F.lit("ok")})
+    store.replace_documents(docs)
+    return store
+
+
+def saved(spark, sf) -> str:
+    """Where a new index of documents is saved."""
+    path = f"{shared_dir(spark)}/folioforge-index-{uuid.uuid4().hex}"
+    search.save(search.build(settled(search.tokenized(chunking.chunk(corpus(spark, sf))), "chunks")), path)
+    return path
+
+
+def versions(spark, sf):
+    """(an older version of documents, documents): German texts are new, French ones have
+    changed, Spanish ones had other paths."""
+    new = corpus(spark, sf)
+    old = new.where("path NOT LIKE 'de/%'").withColumns({"markdown": F.when(F.col("path").startswith("fr/"), F.upper("markdown")).otherwise(F.col("markdown")), "path": F.when(F.col("path").startswith("es/"), F.concat("path", F.lit("-old"))).otherwise(F.col("path"))})
+    return old, new
+
+
+def _hashed(docs):
+    return docs.select("source", "path", F.sha2("markdown", 256).alias("content_hash"))
+
+
+def index_update(spark, sf):
+    """A saved index of the older version, brought up to date by what changed: the best chunks of each source."""
+    old, new = versions(spark, sf)
+    path = f"{shared_dir(spark)}/folioforge-index-{uuid.uuid4().hex}"
+    search.save(search.build(settled(search.tokenized(chunking.chunk(old)), "chunks")), path)
+    changes = settled(catalog.changes(_hashed(old), _hashed(new)), "changes")
+    fresh = new.join(changes.where("change <> 'removed'"), ["source", "path"], "left_semi")
+    segments.update(search.build(settled(search.tokenized(chunking.chunk(fresh)), "chunks")), changes.where("change <> 'added'"), path)
+    hits = search.search(search.load(spark, path), "pathetic worthless (idiot)", with_snippet=False)
+    return hits.select("source", "path", F.round("score", 6).alias("score"), F.col("rank").cast("int").alias("rank"))
 
 
 def _lines(spark, sf):
@@ -62,11 +112,15 @@ def url_filter_dedupe(spark, sf):
 
 def index_urls(spark, sf):
     full, index = U.index_urls("root")
-    return literal(spark, "root", ROOTS).select("root", full.alias("full_url"), index.alias("index_url"))
+    return table(spark, sf, "pages").select("page_id", F.expr(ROOTS).alias("root")).select("page_id", full.alias("full_url"), index.alias("index_url"))
 
 
 def html_title(spark, sf):
-    return table(spark, sf, "pages").select("page_id", F.trim(F.regexp_extract("html", r"(?s)<title>(.*?)</title>", 1)).alias("title"))
+    @F.pandas_udf("string")
+    def title(page: pd.Series) -> pd.Series:
+        return page.map(lambda p: html.title(html.parse(p or "")))
+
+    return table(spark, sf, "pages").select("page_id", title("html").alias("title"))
 
 
 def html_links(spark, sf):
@@ -83,7 +137,8 @@ def nav_links(spark, sf):
 
 
 def markdown_links(spark, sf):
-    return literal(spark, "body", LINK_INDEX).select("body", F.posexplode(U.links_of_markdown("body", F.lit("https://e.x/docs/llms.txt"))).alias("pos", "link"))
+    body = table(spark, sf, "pages").select("page_id", F.expr(LINK_INDEX).alias("body"))
+    return body.select("page_id", F.posexplode(U.links_of_markdown("body", F.lit("https://e.x/docs/llms.txt"))).alias("pos", "link"))
 
 
 def render_status(spark, sf):
@@ -112,7 +167,8 @@ def corpus_stats(spark, sf):
 
 
 def distinct_sources(spark, sf):
-    return table(spark, sf, "documents").select("source").distinct().orderBy("source")
+    """Sources of a saved index."""
+    return search.load(spark, saved(spark, sf)).stats.select("source").orderBy("source")
 
 
 def list_sources(spark, sf):
@@ -153,7 +209,9 @@ def run_summary(spark, sf):
 
 
 def get_page(spark, sf):
-    return corpus(spark, sf).where((F.col("source") == "src7") & (F.col("path") == "en/7")).select("path", F.sha2("markdown", 256).alias("page_hash"))
+    """One page through the store, as it is kept."""
+    found = _store(spark, sf).page("src7", "en/7")
+    return found.select("path", F.sha2(T.split_front_matter("content")[0], 256).alias("page_hash"))
 
 
 def get_outline(spark, sf):
@@ -162,48 +220,49 @@ def get_outline(spark, sf):
 
 
 def page_paths(spark, sf):
-    return corpus(spark, sf).where("source = 'src1'").select("path").orderBy("path")
+    return _store(spark, sf).paths("src1")
 
 
 def reindex_replace(spark, sf):
-    """Chunks after src1 was replaced by its shorter half and src2 removed."""
-    chunks = chunking.chunk(corpus(spark, sf))
-    new = chunks.where("source = 'src1' and octet_length(body) < 1500")
-    kept = chunks.where(~F.col("source").isin("src1", "src2"))
-    return kept.unionByName(new).groupBy("source").agg(F.count("*").alias("chunks"))
+    """A saved index after src1 was replaced by its shorter chunks and src2 removed."""
+    path, chunks = saved(spark, sf), chunking.chunk(corpus(spark, sf))
+    search.save(search.build(chunks.where("source = 'src1' and octet_length(body) < 1500")), path)
+    segments.remove(spark, path, ["src2"])
+    return search.load(spark, path).chunks.groupBy("source").agg(F.count("*").alias("chunks"))
 
 
 def incremental_changes(spark, sf):
-    docs = corpus(spark, sf).select("source", "path", F.sha2("markdown", 256).alias("content_hash"), F.octet_length("markdown").alias("n"))
-    old = docs.where("n % 7 <> 0").drop("n")
-    new = docs.where("n % 5 <> 0").select("source", "path", F.when(F.col("n") % 3 == 0, F.lit("new")).otherwise(F.col("content_hash")).alias("content_hash"))
-    return catalog.changes(old, new)
+    old, new = versions(spark, sf)
+    return catalog.changes(_hashed(old), _hashed(new))
 
 
 def github_spec(spark, sf):
-    return literal(spark, "spec", REPOSITORIES).withColumn("s", U.repository("spec")).select("spec", "s.owner", "s.repo", "s.ref", "s.subdir")
+    specs = table(spark, sf, "pages").select("page_id", F.expr(REPOSITORIES).alias("spec"))
+    return specs.withColumn("s", U.repository("spec")).select("page_id", "s.owner", "s.repo", "s.ref", "s.subdir").where("owner is not null")
 
 
 def tree_filter(spark, sf):
-    return kinds.tree_files(literal(spark, "pos int, path, type", TREE), "docs").select("pos", "file", "path")
+    nodes = table(spark, sf, "pages").select(F.col("page_id").alias("pos"), *(F.expr(x).alias(n) for n, x in TREE.items()))
+    return kinds.tree_files(nodes, "docs").select("pos", "file", "path")
 
 
 def sitemap_locs(spark, sf):
-    return literal(spark, "body", SITEMAP).select("body", U.is_sitemap_index("body").alias("is_index"), F.explode_outer(U.sitemap_locs("body")).alias("loc"))
+    bodies = table(spark, sf, "pages").select("page_id", F.expr(SITEMAP).alias("body"))
+    return bodies.select("page_id", U.is_sitemap_index("body").alias("is_index"), F.explode_outer(U.sitemap_locs("body")).alias("loc")).withColumn("loc", F.coalesce("loc", F.lit("")))
 
 
 def robots_sitemaps(spark, sf):
-    return literal(spark, "body", ROBOTS).select(F.explode(U.robots_sitemaps("body")).alias("sitemap"))
+    return table(spark, sf, "pages").select("page_id", F.expr(ROBOTS).alias("body")).select("page_id", F.explode(U.robots_sitemaps("body")).alias("sitemap"))
 
 
 def largest_strategy(spark, sf):
-    c = literal(spark, "strategy, url", STRATEGIES).select("strategy", "url", F.col("url").alias("path"), F.lit(0).alias("pos"))
-    return discover.largest(c).select("strategy", "url")
+    c = table(spark, sf, "pages").select(F.expr(STRATEGIES).alias("strategy"), "url", U.path("url").alias("path"), F.col("page_id").alias("pos"))
+    return discover.largest(c).select("strategy", "url", "pos")
 
 
 def errors_sample(spark, sf):
-    out = catalog.errors_sample(literal(spark, "source, url, error", FAILED))
-    return out.select("source", "n_errors", "first_error", F.array_join("sample", ";").alias("sample"))
+    fetched = table(spark, sf, "pages").select("url", *(F.expr(x).alias(n) for n, x in FAILED.items()))
+    return catalog.errors_sample(fetched).select("source", "n_errors", "first_error", F.array_join("sample", ";").alias("sample"))
 
 
 def crawl_reachable(spark, sf):
@@ -220,7 +279,7 @@ QUERIES = {
     for f in (
         chunk_by_heading, chunk_by_paragraph, chunk_stats, url_to_path, scope_path, url_filter_dedupe, index_urls, html_title, html_links, nav_links, markdown_links, render_status, render_html, render_title,
         tokenize_df, corpus_stats, distinct_sources, list_sources, stale_sources, due_sources, catalog_update, manifest, run_summary, get_page, get_outline, page_paths, reindex_replace,
-        incremental_changes, github_spec, tree_filter, sitemap_locs, robots_sitemaps, largest_strategy, errors_sample, crawl_reachable,
+        incremental_changes, github_spec, tree_filter, sitemap_locs, robots_sitemaps, largest_strategy, errors_sample, crawl_reachable, index_update,
     )
 }
 
@@ -257,13 +316,17 @@ ORACLES = {
     "url_filter_dedupe": rf"""WITH p AS (SELECT page_id AS pos, regexp_replace(url, '[?#].*$', '') AS url, {_PATH} AS path, {_HOST} AS host FROM pages),
         k AS (SELECT * FROM p WHERE path LIKE '/%' OR path = '')
         SELECT host, url, path, pos FROM (SELECT *, row_number() OVER (PARTITION BY host, path ORDER BY pos, url) AS n FROM k WHERE NOT regexp_matches(path, '(?i)\.(png|jpe?g|gif|svg|webp|ico|pdf|zip|tar|gz|mp4|mp3|woff2?|ttf|eot|css|js|json|xml|rss|atom)$')) WHERE n = 1""",
-    "index_urls": r"SELECT root, b || '/llms-full.txt' AS full_url, b || '/llms.txt' AS index_url FROM (SELECT root, rtrim(regexp_replace(root, '/llms(-full)?\.txt$', ''), '/') AS b FROM " + values("root", ROOTS) + ")",
-    "html_title": r"SELECT page_id, trim(regexp_extract(html, '(?s)<title>(.*?)</title>', 1)) AS title FROM pages",
+    "index_urls": r"SELECT page_id, b || '/llms-full.txt' AS full_url, b || '/llms.txt' AS index_url FROM (SELECT page_id, rtrim(regexp_replace(root, '/llms(-full)?\.txt$', ''), '/') AS b FROM (SELECT page_id, " + ROOTS + " AS root FROM pages))",
+    "html_title": r"SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '&amp;?', '&', 'g')) AS title FROM pages",
     "html_links": r"""SELECT DISTINCT page_id, CASE WHEN l LIKE 'http%' THEN l ELSE regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || l END AS link
         FROM (SELECT page_id, url, regexp_replace(unnest(regexp_extract_all(html, '(?i)href=["'']([^"'']+)["'']', 1)), '[?#].*$', '') AS l FROM pages)""",
     "nav_links": r"""SELECT DISTINCT page_id, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || l AS link
         FROM (SELECT page_id, url, unnest(regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), 'href="([^"]+)"', 1)) AS l FROM pages)""",
-    "markdown_links": "SELECT body, pos::INT AS pos, link FROM " + values("body, pos, link", [(LINK_INDEX[0][0], 0, "https://e.x/intro"), (LINK_INDEX[0][0], 1, "https://e.x/advanced"), (LINK_INDEX[2][0], 0, "https://e.x/docs/b.md"), (LINK_INDEX[2][0], 1, "https://e.x/d"), (LINK_INDEX[2][0], 2, "https://f.x/g")]),
+    "markdown_links": rf"""WITH b AS (SELECT page_id, {LINK_INDEX} AS body, {_AT} AS host FROM pages),
+        l AS (SELECT page_id, unnest(x) AS l, unnest(range(len(x))) AS i FROM (SELECT page_id, list_filter(regexp_extract_all(body, '\[[^\]]*\]\(([^)\s]+)(?:\s+"[^"]*")?\)', 1), lambda y: y NOT LIKE '#%' AND y NOT LIKE 'mailto:%') AS x FROM b)),
+        r AS (SELECT page_id, i, regexp_replace(CASE WHEN l LIKE 'http%' THEN l WHEN l LIKE '//%' THEN 'https:' || l WHEN l LIKE '/%' THEN 'https://e.x' || l WHEN l LIKE '../%' THEN 'https://e.x/' || l[4:] ELSE 'https://e.x/docs/' || l END, '#.*$', '') AS link FROM l),
+        f AS (SELECT page_id, link, min(i) AS i FROM r GROUP BY page_id, link)
+        SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY i) - 1)::INT AS pos, link FROM f""",
     "render_status": rf"""SELECT CASE WHEN {_ARTICLE} < 80 AND strlen(trim(regexp_replace(regexp_replace(regexp_extract(html, '(?s)<body[^>]*>(.*)', 1), '(?s)<!--.*?-->|<(script|style)[^>]*>.*?</(script|style)>', '', 'g'), '<[^>]*>', '', 'g'))) < 80
         THEN 'empty' ELSE 'ok' END AS status, count(*) AS pages FROM pages GROUP BY 1""",
     "render_title": rf"SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '&amp;?', '&', 'g')) AS title, {_ARTICLE} >= 80 AS has_h1 FROM pages",
@@ -280,15 +343,17 @@ ORACLES = {
     "get_page": "SELECT lang || '/' || doc_id AS path, sha256(text) AS page_hash FROM documents WHERE source = 'src7' AND lang = 'en' AND doc_id = 7",
     "page_paths": "SELECT lang || '/' || doc_id AS path FROM documents WHERE source = 'src1' ORDER BY path",
     "reindex_replace": r"""SELECT source, count(*) AS chunks FROM (SELECT source, strlen(regexp_replace(text, '^\s+|\s+$', '', 'g')) AS n FROM documents) WHERE n >= 24 AND source <> 'src2' AND (source <> 'src1' OR n < 1500) GROUP BY source""",
-    "incremental_changes": """SELECT source, lang || '/' || doc_id AS path, CASE WHEN n % 7 = 0 THEN 'added' WHEN n % 5 = 0 THEN 'removed' ELSE 'changed' END AS change
-        FROM (SELECT source, lang, doc_id, strlen(text) AS n FROM documents) WHERE (n % 7 = 0 AND n % 5 <> 0) OR (n % 7 <> 0 AND n % 5 = 0) OR (n % 7 <> 0 AND n % 5 <> 0 AND n % 3 = 0)""",
-    "github_spec": "SELECT * FROM " + values("spec, owner, repo, ref, subdir", [("o/r", "o", "r", "", ""), ("o/r@v1", "o", "r", "v1", ""), ("o/r@v1/docs/x", "o", "r", "v1", "docs/x"), ("o/r/sub", "o", "r", "", "sub"), ("github.com/o/r", "o", "r", "", ""), ("nothing", None, None, None, None)]),
-    "tree_filter": r"SELECT pos::INT AS pos, path AS file, regexp_replace(path, '\.[^./]*$', '') AS path FROM " + values("pos, path, type", TREE) + r" WHERE type = 'blob' AND regexp_matches(lower(path), '\.(md|markdown|mdx)$') AND path LIKE 'docs/%'",
-    "sitemap_locs": r"""SELECT body, contains(lower(body), '<sitemapindex') OR (contains(lower(body), '<sitemap>') AND NOT contains(lower(body), '<urlset')) AS is_index, l AS loc
-        FROM """ + values("body", SITEMAP) + r""" LEFT JOIN LATERAL (SELECT unnest(regexp_extract_all(body, '(?is)<loc>\s*(.*?)\s*</loc>', 1)) AS l) ON true""",
-    "robots_sitemaps": r"SELECT DISTINCT unnest(regexp_extract_all(body, '(?im)^Sitemap:\s*(\S+)\s*$', 1)) AS sitemap FROM " + values("body", ROBOTS),
-    "largest_strategy": "SELECT strategy, url FROM " + values("strategy, url", STRATEGIES) + " WHERE strategy = 'nav'",
-    "errors_sample": "SELECT source, count(*) AS n_errors, min_by(error, url) AS first_error, array_to_string(list(error ORDER BY url)[1:3], ';') AS sample FROM " + values("source, url, error", FAILED) + " WHERE error IS NOT NULL GROUP BY source",
+    "incremental_changes": """WITH d AS (SELECT source, lang, lang || '/' || doc_id AS path, text FROM documents)
+        SELECT source, path, CASE WHEN lang IN ('de', 'es') THEN 'added' ELSE 'changed' END AS change FROM d WHERE lang IN ('de', 'es') OR (lang = 'fr' AND upper(text) <> text)
+        UNION ALL SELECT source, path || '-old', 'removed' FROM d WHERE lang = 'es'""",
+    "index_update": SEARCH["search_bm25"],
+    "github_spec": "SELECT page_id, " + ", ".join(rf"regexp_extract(spec, '^(?:github\.com/)?([^/@]+)/([^/@]+)(?:@([^/]+))?(?:/(.*))?$', {i}) AS {n}" for i, n in enumerate(("owner", "repo", "ref", "subdir"), 1)) + f" FROM (SELECT page_id, {REPOSITORIES} AS spec FROM pages) WHERE spec LIKE '%/%'",
+    "tree_filter": r"SELECT page_id AS pos, path AS file, regexp_replace(path, '\.[^./]*$', '') AS path FROM (SELECT page_id, " + ", ".join(f"{x} AS {n}" for n, x in TREE.items()) + r" FROM pages) WHERE type = 'blob' AND regexp_matches(lower(path), '\.(md|markdown|mdx)$') AND path LIKE 'docs/%'",
+    "sitemap_locs": r"""SELECT page_id, contains(lower(body), '<sitemapindex') OR (contains(lower(body), '<sitemap>') AND NOT contains(lower(body), '<urlset')) AS is_index, coalesce(l, '') AS loc
+        FROM (SELECT page_id, """ + SITEMAP + r""" AS body FROM pages) LEFT JOIN LATERAL (SELECT unnest(regexp_extract_all(body, '(?is)<loc>\s*(.*?)\s*</loc>', 1)) AS l) ON true""",
+    "robots_sitemaps": r"SELECT DISTINCT page_id, unnest(regexp_extract_all(body, '(?im)^Sitemap:\s*(\S+)\s*$', 1)) AS sitemap FROM (SELECT page_id, " + ROBOTS + " AS body FROM pages)",
+    "largest_strategy": f"WITH c AS (SELECT {STRATEGIES} AS strategy, url, page_id AS pos FROM pages) SELECT strategy, url, pos FROM c WHERE strategy = (SELECT strategy FROM c GROUP BY strategy ORDER BY count(*) DESC, strategy LIMIT 1)",
+    "errors_sample": "SELECT source, count(*) AS n_errors, min_by(error, url) AS first_error, array_to_string(list(error ORDER BY url)[1:3], ';') AS sample FROM (SELECT url, " + ", ".join(f"{x} AS {n}" for n, x in FAILED.items()) + " FROM pages) WHERE error IS NOT NULL GROUP BY source",
     "crawl_reachable": rf"""WITH RECURSIVE p AS (SELECT page_id, {_HOST} AS host FROM pages), l AS (SELECT DISTINCT a.host AS src, b.host AS dst FROM p a JOIN p b ON b.page_id = a.page_id + 1),
         n AS (SELECT count(DISTINCT host) AS hosts FROM p),
         r AS (SELECT host AS node, 0 AS depth FROM p WHERE page_id = 1 UNION SELECT l.dst, r.depth + 1 FROM r JOIN l ON l.src = r.node, n WHERE r.depth < hosts)

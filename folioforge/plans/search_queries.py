@@ -68,11 +68,12 @@ def search_printed(spark, sf):
 
 
 def sanitize_query(spark, sf):
-    rows = [(q, search.sanitized(q)) for q in SANITIZE]
-    return spark.createDataFrame(rows, "query string, sanitized string")
+    """Every benchmark text with marks that queries may have, as a query for full-text tables."""
+    return table(spark, sf, "benchmark").select("item_id", F.expr(MARKED).alias("query")).select("item_id", search.sanitized_column("query").alias("sanitized"))
 
 
-SANITIZE = ["react hooks", "useState()", 'say "hello" world', "", "   ", "(a) b: *c*"]
+#: In the words of both dialects.
+MARKED = """'(' || replace(text, ', ', '): *') || CASE item_id % 3 WHEN 0 THEN ' "' || text || '" ()' WHEN 1 THEN '  ' || chr(10) || ' useState()' ELSE '"' END"""
 
 QUERIES = {f.__name__: f for f in (search_bm25, search_single_term, search_or_terms, search_phrase, search_source_filter, search_global, search_batch, search_snippet, search_printed, sanitize_query)}
 
@@ -126,6 +127,6 @@ ORACLES = {
     "search_batch": f"""WITH {_bm25(_BATCH, "global", "query_id")} SELECT query_id, source, path, round(score, 6) AS score, rank
       FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9), source, path)::INT AS rank FROM r) WHERE rank <= 5""",
     "search_printed": _ranked(_forms({0: ["moron"]}), 1).replace("SELECT source, path, round(score, 6) AS score, rank FROM", "SELECT source, rank || '. ' || source || ' › (intro)' || chr(10) || '   file:///' || path || chr(10) || '   -' AS line FROM"),
-    "sanitize_query": r"""SELECT query, array_to_string(list_transform(list_filter(list_transform(string_split_regex(replace(query, '"', ''), '\s+'), lambda w: trim(w, '():*"' || chr(39))), lambda w: w <> ''), lambda w: '"' || w || '"'), ' OR ') AS sanitized
-      FROM """ + values("query", [(q,) for q in SANITIZE]),
+    "sanitize_query": r"""SELECT item_id, array_to_string(list_transform(list_filter(list_transform(string_split_regex(replace(query, '"', ''), '\s+'), lambda w: trim(w, '():*"' || chr(39))), lambda w: w <> ''), lambda w: '"' || w || '"'), ' OR ') AS sanitized
+      FROM (SELECT item_id, """ + MARKED + " AS query FROM benchmark)",
 }

@@ -7,24 +7,40 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import urls as U
 from ..operators import chunking
-from .base import AS_OF, conversations, literal, table, values
+from .base import AS_OF, conversations, table
 
 #: White space that is trimmed from ends, for SQL.
 _TRIM = r"'^\s+|\s+$'"
 
-MARKDOWN = [("a  \r\nb\t\n\n\n\nc",), ("# T \n\n\n\nx\n",), ("no change\n",), ("\n\n lead",), ("a\n\n\nb\n \nc",)]
-SELF_LINKS = [("## [How a chunk is cut](#how-a-chunk-is-cut)",), ("text [a](#b)",), ("# [x](http://y)\n### [z](#z) tail",), ("plain",), ("  ## [in](#in)",)]
-NAMES = [("Owner/Repo",), ("a  b__c",), ("..",), ("x.y-Z",), ("éé",), ("docs / API v2",), ("",)]
-SPECS = [("./x",), ("../up/docs",), ("/abs/path",), ("~/d",), ("https://a.b/llms.txt",), ("https://a.b/docs/",), ("HTTP://A.b",), ("o/r",), ("o/r@v1/docs",), ("foo",), ("http://x/llms-full.txt",)]
-KINDS = [("/a/b/docs", "local"), ("/a/b/docs/", "local"), ("o/r@v1", "github"), ("o/r/sub/x", "github"), ("https://docs.h.x:80/p", "website"), ("https://h.y/llms.txt", "llms_txt")]
-LINES = [("# Title",), ("## Foo ##",), ("###### six",), ("####### seven",), ("#none",), ("##",), ("## ",), ("##\ttab",), ("### [T](#t)",), ("# [e](http://x)",), (" # led",), ("text",)]
-FRONT = [('---\ntitle: "A: b"\n# note\n\nurl: "u"\n---\n\nBody\n',), ("no front matter",), ("---\nopen: 1\n",), ("---\nk: v\nk: w\n---\nrest",)]
-PATHS = [("a/b",), ("/a//b/../c.md",), ("..",), ("../x",), ("\\w\\z",), ("",), ("./",), ("a/./b/",), ("a/../..",)]
-BODIES = [("text/html; charset=utf-8", "# md"), ("text/markdown", "x"), ("text/plain", "- item\nx"), ("text/plain", "word"), ("", "# md"), ("application/octet-stream", "```\nx"), ("text/plain", "see [a](b)"), ("text/x-markdown; q", "y")]
-REFRESH = [("",), ("manual",), ("never",), ("7d",), ("30d",), ("1h",), ("45m",), ("garbage",), ("90s",)]
-ENTRIES = [("a", "local", "/x"), ("", "local", "/x"), ("  ", "local", "/x"), ("a", "", "/x"), ("a", "local", ""), ("a", "ftp", "/x"), ("b", "github", "o/r")]
-EXPAND = [("x${A}y",), ("${B}z",), ("${open",), ("$A ${A}${A}",), ("plain",)]
-FILES = [("a.md",), ("b.MDX",), ("c.markdown",), ("d.txt",), ("e.png",), ("noext",)]
+# Inputs, in the words of both dialects, each made from every row of a given table.
+
+_NL = "chr(10)"
+_HOST = "split_part(url, '/', 3)"
+#: Markdown with line ends of several kinds, blanks before them and runs of empty lines.
+MARKDOWN = f"replace(text, {_NL}, CASE doc_id % 3 WHEN 0 THEN chr(13) || {_NL} WHEN 1 THEN ' ' || chr(9) || {_NL} || {_NL} || {_NL} || {_NL} ELSE {_NL} || ' ' || {_NL} END)"
+SELF_LINKS = f"CASE turn % 2 WHEN 0 THEN '## ' ELSE '  # ' END || '[' || role || '](#' || role || ') and [' || conv_id || '](http://y)' || {_NL} || 'see [' || role || '](#x)' || {_NL} || coalesce(text, '')"
+SPECS = f"""CASE page_id % 7 WHEN 0 THEN url WHEN 1 THEN 'https://' || {_HOST} || '/llms.txt' WHEN 2 THEN './docs/' || page_id || '/' WHEN 3 THEN {_HOST} || '/' || page_id
+    WHEN 4 THEN {_HOST} || '/repo@v' || page_id || '/docs' WHEN 5 THEN 'HTTP://' || {_HOST} || '/llms-full.txt' ELSE 'page ' || page_id END"""
+LINES = f"""CASE (conv_id + turn) % 8 WHEN 0 THEN '# ' || role WHEN 1 THEN '## ' || role || ' ##' WHEN 2 THEN '####### ' || role WHEN 3 THEN '###' || role WHEN 4 THEN '##' || chr(9) || '[' || role || '](#' || role || ')'
+    WHEN 5 THEN '###### ' || split_part(coalesce(text, ''), {_NL}, 1) WHEN 6 THEN '## ' ELSE split_part(coalesce(text, ''), {_NL}, 1) END"""
+FRONT = f"""CASE doc_id % 4 WHEN 0 THEN '---' || {_NL} || 'title: "' || source || ': b"' || {_NL} || '# note' || {_NL} || {_NL} || 'k: ' || lang || {_NL} || 'k: w' || doc_id || {_NL} || '---' || {_NL} || {_NL} || text
+    WHEN 1 THEN text WHEN 2 THEN '---' || {_NL} || 'open: 1' || {_NL} || text ELSE '---' || {_NL} || 'k: v' || doc_id || {_NL} || '---' || {_NL} || text END"""
+PATHS = """CASE page_id % 8 WHEN 0 THEN '/' || split_part(url, '/', 4) || '//' || split_part(url, '/', 5) WHEN 1 THEN '../' || page_id WHEN 2 THEN 'a/./' || split_part(url, '/', 5) || '/' WHEN 3 THEN 'w' || chr(92) || page_id || '.md'
+    WHEN 4 THEN 'a/../..' WHEN 5 THEN 'docs/../' || page_id || '/b' WHEN 6 THEN './' ELSE 'a/b/../' || split_part(url, '/', 4) END"""
+CONTENT_TYPES = "CASE doc_id % 5 WHEN 0 THEN 'text/html; charset=utf-8' WHEN 1 THEN 'text/markdown' WHEN 2 THEN 'text/plain' WHEN 3 THEN '' ELSE 'text/x-markdown; q' END"
+BODIES = f"CASE doc_id % 3 WHEN 0 THEN '# ' || text WHEN 1 THEN text ELSE text || {_NL} || '- ' || source END"
+REFRESH = "CASE event_id % 8 WHEN 0 THEN '' WHEN 1 THEN 'manual' WHEN 2 THEN event_id || 'd' WHEN 3 THEN user_id || 'h' WHEN 4 THEN user_id || 'm' WHEN 5 THEN event_type WHEN 6 THEN user_id || 's' ELSE 'never' END"
+ENTRY = {
+    "name": "CASE WHEN user_id % 7 = 0 THEN ' ' ELSE 'user' || user_id END", "kind": "CASE user_id % 5 WHEN 0 THEN '' WHEN 1 THEN event_type WHEN 2 THEN 'local' WHEN 3 THEN 'github' ELSE 'website' END",
+    "root": "CASE WHEN event_id % 11 = 0 THEN '' ELSE 'https://u' || user_id END",
+}
+EXPAND = "CASE doc_id % 5 WHEN 0 THEN 'x$' || '{A}' || source WHEN 1 THEN '$' || '{B}' || source WHEN 2 THEN '$' || '{open' || source WHEN 3 THEN '$A $' || '{A}$' || '{A}' || lang ELSE source END"
+FILES = "'f' || page_id || CASE page_id % 6 WHEN 0 THEN '.md' WHEN 1 THEN '.MDX' WHEN 2 THEN '.markdown' WHEN 3 THEN '.txt' WHEN 4 THEN '.png' ELSE '' END"
+
+
+def _with(spark, sf, name, keys, /, **made):
+    """A table's keys and what is made of its columns."""
+    return table(spark, sf, name).select(*keys, *(F.expr(x).alias(n) for n, x in made.items()))
 
 
 def token_estimate(spark, sf):
@@ -36,11 +52,13 @@ def content_hash(spark, sf):
 
 
 def normalize_markdown(spark, sf):
-    return literal(spark, "x", MARKDOWN).select("x", T.normalize_markdown("x").alias("y"))
+    return _with(spark, sf, "documents", ["doc_id"], x=MARKDOWN).select("doc_id", F.sha2(T.normalize_markdown("x"), 256).alias("hash"))
+
 
 
 def strip_self_links(spark, sf):
-    return literal(spark, "x", SELF_LINKS).select("x", T.strip_self_links("x").alias("y"))
+    return _with(spark, sf, "conversations", ["conv_id", "turn"], x=SELF_LINKS).select("conv_id", "turn", F.sha2(T.strip_self_links("x"), 256).alias("hash"))
+
 
 
 def slugify(spark, sf):
@@ -58,24 +76,30 @@ def outline(spark, sf):
 
 
 def source_slug(spark, sf):
-    return literal(spark, "x", NAMES).select("x", T.source_slug("x").alias("slug"))
+    return table(spark, sf, "pages").select("page_id", T.source_slug("url").alias("slug"))
+
 
 
 def detect_kind(spark, sf):
-    return literal(spark, "spec", SPECS).select("spec", T.detect_kind("spec").alias("kind"))
+    return _with(spark, sf, "pages", ["page_id"], spec=SPECS).select("page_id", "spec", T.detect_kind("spec").alias("kind"))
+
 
 
 def derive_name(spark, sf):
-    return literal(spark, "spec, kind", KINDS).select("spec", "kind", T.derive_name("spec", "kind").alias("name"))
+    return _with(spark, sf, "pages", ["page_id"], spec=SPECS).select("page_id", T.derive_name("spec", T.detect_kind("spec")).alias("name"))
+
 
 
 def parse_headings(spark, sf):
-    return literal(spark, "line", LINES).select("line", T.heading_level("line").alias("level"), F.when(T.heading_level("line") > 0, T.heading_text("line")).otherwise("").alias("text"))
+    lines = _with(spark, sf, "conversations", ["conv_id", "turn"], line=LINES)
+    return lines.select("conv_id", "turn", T.heading_level("line").alias("level"), F.when(T.heading_level("line") > 0, T.heading_text("line")).otherwise("").alias("text"))
+
 
 
 def front_matter_split(spark, sf):
     body, fields = T.split_front_matter("raw")
-    return literal(spark, "raw", FRONT).select("raw", body.alias("body"), F.coalesce(F.try_element_at(fields, F.lit("title")), F.lit("")).alias("title"), F.coalesce(F.try_element_at(fields, F.lit("k")), F.lit("")).alias("k"), F.size(fields).alias("n"))
+    return _with(spark, sf, "documents", ["doc_id"], raw=FRONT).select("doc_id", F.sha2(body, 256).alias("body_hash"), F.coalesce(F.try_element_at(fields, F.lit("title")), F.lit("")).alias("title"), F.coalesce(F.try_element_at(fields, F.lit("k")), F.lit("")).alias("k"), F.size(fields).alias("n"))
+
 
 
 def front_matter_write(spark, sf):
@@ -84,7 +108,8 @@ def front_matter_write(spark, sf):
 
 
 def normalize_path(spark, sf):
-    return literal(spark, "x", PATHS).select("x", T.normalize_path("x").alias("path"))
+    return _with(spark, sf, "pages", ["page_id"], x=PATHS).select("page_id", T.normalize_path("x").alias("path"))
+
 
 
 def markdown_title(spark, sf):
@@ -92,7 +117,8 @@ def markdown_title(spark, sf):
 
 
 def is_markdown(spark, sf):
-    return literal(spark, "ct, body", BODIES).select("ct", "body", T.is_markdown("ct", "body").alias("md"))
+    return _with(spark, sf, "documents", ["doc_id"], ct=CONTENT_TYPES, body=BODIES).select("doc_id", T.is_markdown("ct", "body").alias("md"))
+
 
 
 def trim_snippet(spark, sf):
@@ -105,19 +131,23 @@ def human_ago(spark, sf):
 
 
 def parse_refresh(spark, sf):
-    return literal(spark, "x", REFRESH).select("x", T.parse_refresh("x").alias("seconds"))
+    return _with(spark, sf, "events", ["event_id"], x=REFRESH).select("event_id", T.parse_refresh("x").alias("seconds"))
+
 
 
 def entry_validate(spark, sf):
-    return literal(spark, "name, kind, root", ENTRIES).select("name", "kind", "root", F.coalesce(T.entry_error("name", "kind", "root"), F.lit("ok")).alias("verdict"))
+    return _with(spark, sf, "events", ["event_id"], **ENTRY).select("event_id", F.coalesce(T.entry_error("name", "kind", "root"), F.lit("ok")).alias("verdict"))
+
 
 
 def env_expand(spark, sf):
-    return literal(spark, "x", EXPAND).select("x", U.expanded("x", {"A": "1"}).alias("y"))
+    return _with(spark, sf, "documents", ["doc_id"], x=EXPAND).select("doc_id", U.expanded("x", {"A": "1"}).alias("y"))
+
 
 
 def content_type_map(spark, sf):
-    return literal(spark, "name", FILES).select("name", U.content_type_of("name").alias("ct"))
+    return _with(spark, sf, "pages", ["page_id"], name=FILES).select("page_id", U.content_type_of("name").alias("ct"))
+
 
 
 QUERIES = {
@@ -130,12 +160,15 @@ QUERIES = {
 
 _NORM = r"regexp_replace(regexp_replace(regexp_replace(replace({x}, chr(13) || chr(10), chr(10)), '(?m)[ \t]+$', '', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') || chr(10)"
 
+_KINDS = rf"""(SELECT page_id, spec, CASE WHEN regexp_matches(spec, '^(\.{{1,2}}/|/|~)') THEN 'local' WHEN regexp_matches(spec, '(?i)^https?://') THEN CASE WHEN regexp_matches(spec, '/llms(-full)?\.txt$') THEN 'llms_txt' ELSE 'website' END
+        WHEN regexp_matches(spec, '^[A-Za-z0-9._-]+/[A-Za-z0-9._-]+(@[A-Za-z0-9._/-]+)?(/[A-Za-z0-9._/-]+)?$') THEN 'github' ELSE '' END AS kind FROM (SELECT page_id, {SPECS} AS spec FROM pages))"""
+
 ORACLES = {
     "token_estimate": "SELECT doc_id, CASE WHEN strlen(text) = 0 THEN 0 ELSE greatest(strlen(text) // 4, 1) END::INT AS tokens FROM documents",
     "content_hash": f"SELECT doc_id, sha256({_NORM.format(x='text')}) AS hash FROM documents",
-    "normalize_markdown": f"SELECT x, {_NORM.format(x='x')} AS y FROM {values('x', MARKDOWN)}",
-    "strip_self_links": r"""SELECT x, array_to_string(list_transform(string_split(x, chr(10)), lambda l:
-        CASE WHEN regexp_matches(l, '^[ \t]*#') THEN regexp_replace(l, '\[([^\]]+)\]\(#[^)]*\)', '\1', 'g') ELSE l END), chr(10)) AS y FROM """ + values("x", SELF_LINKS),
+    "normalize_markdown": f"SELECT doc_id, sha256({_NORM.format(x='x')}) AS hash FROM (SELECT doc_id, {MARKDOWN} AS x FROM documents)",
+    "strip_self_links": r"""SELECT conv_id, turn, sha256(array_to_string(list_transform(string_split(x, chr(10)), lambda l:
+        CASE WHEN regexp_matches(l, '^[ \t]*#') THEN regexp_replace(l, '\[([^\]]+)\]\(#[^)]*\)', '\1', 'g') ELSE l END), chr(10))) AS hash FROM (SELECT conv_id, turn, """ + SELF_LINKS + " AS x FROM conversations)",
     "slugify": r"""SELECT page_id, trim(regexp_replace(regexp_replace(lower(regexp_extract(html, '(?s)<title>(.*?)</title>', 1)), '[^\p{L}\p{Nd} \t_-]', '', 'g'), '[ \t_-]+', '-', 'g'), '-') AS slug FROM pages""",
     "unique_slugs": """SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn)::INT AS pos,
         role || CASE WHEN row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) = 1 THEN '' ELSE '-' || (row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) - 1)::VARCHAR END AS anchor
@@ -144,36 +177,35 @@ ORACLES = {
           strlen('## ' || role || chr(10) || chr(10) || coalesce(text, '')) + 2 AS n FROM conversations)
         SELECT conv_id, 0 AS pos, 1 AS level, 'Conversation ' || conv_id AS text, 0 AS offset FROM (SELECT DISTINCT conv_id FROM t)
         UNION ALL SELECT conv_id, pos::INT, 2, role, (strlen('# Conversation ' || conv_id) + 2 + coalesce(sum(n) OVER (PARTITION BY conv_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::INT FROM t""",
-    "source_slug": r"""SELECT x, CASE WHEN s IN ('', '.', '..') THEN 'source' ELSE s END AS slug FROM (SELECT x, trim(regexp_replace(lower(regexp_replace(x, '[^A-Za-z0-9.\-_ /]', '', 'g')), '[-_ /]+', '-', 'g'), '-') AS s FROM """ + values("x", NAMES) + ")",
-    "detect_kind": r"""SELECT spec, CASE WHEN regexp_matches(spec, '^(\.{1,2}/|/|~)') THEN 'local' WHEN regexp_matches(spec, '(?i)^https?://') THEN CASE WHEN regexp_matches(spec, '/llms(-full)?\.txt$') THEN 'llms_txt' ELSE 'website' END
-        WHEN regexp_matches(spec, '^[A-Za-z0-9._-]+/[A-Za-z0-9._-]+(@[A-Za-z0-9._/-]+)?(/[A-Za-z0-9._/-]+)?$') THEN 'github' ELSE '' END AS kind FROM """ + values("spec", SPECS),
-    "derive_name": r"""SELECT spec, kind, CASE kind WHEN 'local' THEN regexp_extract(rtrim(spec, '/'), '([^/]*)$', 1) WHEN 'github' THEN regexp_extract(regexp_replace(spec, '@[^/]*', ''), '^([^/]+/[^/]+)', 1)
-        ELSE regexp_extract(spec, '^[a-z]+://([^/:]+)', 1) END AS name FROM """ + values("spec, kind", KINDS),
-    "parse_headings": r"""SELECT line, CASE WHEN t <> '' THEN length(regexp_extract(line, '^(#{1,6})[ \t]', 1)) ELSE 0 END::INT AS level, t AS text FROM (
-        SELECT line, trim(regexp_replace(trim(regexp_replace(regexp_extract(line, '^#{1,6}[ \t](.*)$', 1), '#+$', '')), '\[([^\]]+)\]\(#[^)]*\)', '\1', 'g')) AS t FROM """ + values("line", LINES) + ")",
-    "front_matter_split": r"""WITH r AS (SELECT raw, regexp_matches(raw, '(?s)^---\n.*?\n---\n') AS has, regexp_extract(raw, '(?s)^---\n(.*?)\n---\n', 1) AS fm, regexp_replace(raw, '(?s)^---\n.*?\n---\n', '') AS rest FROM """ + values("raw", FRONT) + r""")
-        SELECT raw, CASE WHEN has THEN ltrim(rest, chr(10)) ELSE raw END AS body, trim(regexp_extract(fm, '(?m)^title: (.*)$', 1), '"') AS title,
+    "source_slug": r"""SELECT page_id, CASE WHEN s IN ('', '.', '..') THEN 'source' ELSE s END AS slug FROM (SELECT page_id, trim(regexp_replace(lower(regexp_replace(url, '[^A-Za-z0-9.\-_ /]', '', 'g')), '[-_ /]+', '-', 'g'), '-') AS s FROM pages)""",
+    "detect_kind": f"SELECT page_id, spec, kind FROM {_KINDS}",
+    "derive_name": rf"""SELECT page_id, CASE WHEN kind = 'local' THEN regexp_extract(rtrim(spec, '/'), '([^/]*)$', 1) WHEN kind = 'github' THEN regexp_extract(regexp_replace(spec, '@[^/]*', ''), '^([^/]+/[^/]+)', 1)
+        WHEN kind = '' THEN spec ELSE regexp_extract(spec, '(?i)^[a-z]+://([^/:?#]+)', 1) END AS name FROM {_KINDS}""",
+    "parse_headings": r"""SELECT conv_id, turn, CASE WHEN t <> '' THEN length(regexp_extract(line, '^(#{1,6})[ \t]', 1)) ELSE 0 END::INT AS level, t AS text FROM (
+        SELECT conv_id, turn, line, trim(regexp_replace(trim(regexp_replace(regexp_extract(line, '^#{1,6}[ \t](.*)$', 1), '#+$', '')), '\[([^\]]+)\]\(#[^)]*\)', '\1', 'g')) AS t FROM (SELECT conv_id, turn, """ + LINES + " AS line FROM conversations))",
+    "front_matter_split": r"""WITH r AS (SELECT doc_id, raw, regexp_matches(raw, '(?s)^---\n.*?\n---\n') AS has, regexp_extract(raw, '(?s)^---\n(.*?)\n---\n', 1) AS fm, regexp_replace(raw, '(?s)^---\n.*?\n---\n', '') AS rest FROM (SELECT doc_id, """ + FRONT + r""" AS raw FROM documents))
+        SELECT doc_id, sha256(CASE WHEN has THEN ltrim(rest, chr(10)) ELSE raw END) AS body_hash, trim(regexp_extract(fm, '(?m)^title: (.*)$', 1), '"') AS title,
           coalesce(regexp_extract_all(fm, '(?m)^k: (.*)$', 1)[-1], '') AS k,
           len(list_distinct(list_filter(regexp_extract_all(fm, '(?m)^([^#:\n][^:\n]*):', 1), lambda y: y <> '')))::INT AS n FROM r""",
     "front_matter_write": r"""SELECT doc_id, '---' || chr(10) || 'title: "A \"b\""' || chr(10) || 'url: "u' || doc_id || '"' || chr(10) || 'source: "' || source || '"' || chr(10) || 'fetched_at: "2024-02-03T00:00:00Z"' || chr(10)
         || 'content_hash: "' || sha256(text) || '"' || chr(10) || '---' || chr(10) || chr(10) AS front FROM documents""",
     # segments are folded one after the other: "." and empty ones go, ".." takes its parent, one without a parent rejects
-    "normalize_path": f"""WITH RECURSIVE s AS (SELECT x, list_filter(string_split(replace(x, chr(92), '/'), '/'), lambda p: p NOT IN ('', '.')) AS p FROM {values("x", PATHS)}),
-        f AS (SELECT x, p, 1 AS i, []::VARCHAR[] AS done, false AS out FROM s
-          UNION ALL SELECT x, p, i + 1, CASE WHEN p[i] = '..' THEN done[1:greatest(len(done) - 1, 0)] ELSE list_append(done, p[i]) END, out OR (p[i] = '..' AND len(done) = 0) FROM f WHERE i <= len(p))
-        SELECT x, CASE WHEN out OR len(done) = 0 THEN '' ELSE regexp_replace(array_to_string(done, '/'), '\\.md$', '') || '.md' END AS path FROM f WHERE i > len(p)""",
+    "normalize_path": f"""WITH RECURSIVE s AS (SELECT page_id, list_filter(string_split(replace(x, chr(92), '/'), '/'), lambda p: p NOT IN ('', '.')) AS p FROM (SELECT page_id, {PATHS} AS x FROM pages)),
+        f AS (SELECT page_id, p, 1 AS i, []::VARCHAR[] AS done, false AS out FROM s
+          UNION ALL SELECT page_id, p, i + 1, CASE WHEN p[i] = '..' THEN done[1:greatest(len(done) - 1, 0)] ELSE list_append(done, p[i]) END, out OR (p[i] = '..' AND len(done) = 0) FROM f WHERE i <= len(p))
+        SELECT page_id, CASE WHEN out OR len(done) = 0 THEN '' ELSE regexp_replace(array_to_string(done, '/'), '\\.md$', '') || '.md' END AS path FROM f WHERE i > len(p)""",
     "markdown_title": "SELECT DISTINCT conv_id, 'Conversation ' || conv_id AS title FROM conversations",
-    "is_markdown": r"""SELECT ct, body, contains(lower(ct), 'text/markdown') OR contains(lower(ct), 'text/x-markdown') OR (ct <> '' AND NOT contains(lower(ct), 'text/html') AND
-        regexp_matches(body, '(?m)^(#{1,6}\s|[-*]\s|\d+\.\s|```|>\s|\[.+\]\(.+\))')) AS md FROM """ + values("ct, body", BODIES),
+    "is_markdown": r"""SELECT doc_id, contains(lower(ct), 'text/markdown') OR contains(lower(ct), 'text/x-markdown') OR (ct <> '' AND NOT contains(lower(ct), 'text/html') AND
+        regexp_matches(body, '(?m)^(#{1,6}\s|[-*]\s|\d+\.\s|```|>\s|\[.+\]\(.+\))')) AS md FROM (SELECT doc_id, """ + CONTENT_TYPES + " AS ct, " + BODIES + " AS body FROM documents)",
     "trim_snippet": """WITH f AS (SELECT doc_id, replace(text, chr(10), ' ') AS s FROM documents),
         g AS (SELECT doc_id, s, CASE WHEN strlen(s) <= 240 THEN length(s) ELSE list_max(list_filter(range(0, 238), lambda k: strlen(s[1:k]) <= 237)) END AS n FROM f)
         SELECT doc_id, CASE WHEN strlen(s) <= 240 THEN s ELSE s[1:n] || '...' END AS snippet FROM g""",
     "human_ago": """SELECT event_id, CASE WHEN s < 60 THEN 'just now' WHEN s < 3600 THEN (s // 60) || 'm ago' WHEN s < 86400 THEN (s // 3600) || 'h ago' WHEN s < 14 * 86400 THEN (s // 86400) || 'd ago'
         ELSE strftime(ts, '%Y-%m-%d') END AS ago FROM (SELECT event_id, ts, epoch(TIMESTAMP '2024-02-03')::BIGINT - floor(epoch(ts))::BIGINT AS s FROM events)""",
-    "parse_refresh": r"""SELECT x, coalesce(try_cast(regexp_extract(x, '^([0-9]+)[smhd]$', 1) AS BIGINT) * CASE right(x, 1) WHEN 's' THEN 1 WHEN 'm' THEN 60 WHEN 'h' THEN 3600 WHEN 'd' THEN 86400 END, 0)::BIGINT AS seconds FROM """ + values("x", REFRESH),
-    "entry_validate": """SELECT name, kind, root, CASE WHEN trim(name) = '' THEN 'name required' WHEN trim(kind) = '' THEN 'kind required' WHEN trim(root) = '' THEN 'root required'
-        WHEN kind NOT IN ('website', 'llms_txt', 'github', 'local') THEN 'unknown kind' ELSE 'ok' END AS verdict FROM """ + values("name, kind, root", ENTRIES),
-    "env_expand": r"SELECT x, regexp_replace(replace(x, '${A}', '1'), '\$\{[^}]*\}', '', 'g') AS y FROM " + values("x", EXPAND),
-    "content_type_map": r"""SELECT name, CASE WHEN regexp_matches(lower(name), '\.(md|markdown|mdx)$') THEN 'text/markdown; charset=utf-8' WHEN regexp_matches(lower(name), '\.txt$') THEN 'text/plain; charset=utf-8'
-        ELSE 'application/octet-stream' END AS ct FROM """ + values("name", FILES),
+    "parse_refresh": r"""SELECT event_id, coalesce(try_cast(regexp_extract(x, '^([0-9]+)[smhd]$', 1) AS BIGINT) * CASE right(x, 1) WHEN 's' THEN 1 WHEN 'm' THEN 60 WHEN 'h' THEN 3600 WHEN 'd' THEN 86400 END, 0)::BIGINT AS seconds FROM (SELECT event_id, """ + REFRESH + " AS x FROM events)",
+    "entry_validate": f"""SELECT event_id, CASE WHEN trim(name) = '' THEN 'name required' WHEN trim(kind) = '' THEN 'kind required' WHEN trim(root) = '' THEN 'root required'
+        WHEN kind NOT IN ('website', 'llms_txt', 'github', 'local') THEN 'unknown kind' ELSE 'ok' END AS verdict FROM (SELECT event_id, {', '.join(f'{x} AS {n}' for n, x in ENTRY.items())} FROM events)""",
+    "env_expand": r"SELECT doc_id, regexp_replace(replace(x, '${A}', '1'), '\$\{[^}]*\}', '', 'g') AS y FROM (SELECT doc_id, " + EXPAND + " AS x FROM documents)",
+    "content_type_map": r"""SELECT page_id, CASE WHEN regexp_matches(lower(name), '\.(md|markdown|mdx)$') THEN 'text/markdown; charset=utf-8' WHEN regexp_matches(lower(name), '\.txt$') THEN 'text/plain; charset=utf-8'
+        ELSE 'application/octet-stream' END AS ct FROM (SELECT page_id, """ + FILES + " AS name FROM pages)",
 }

@@ -120,6 +120,10 @@ def payload(headers: list[tuple[str, str]], body: bytes) -> bytes | None:
     return body
 
 
+#: How a page of HTML begins: a doctype or one of the elements that open it, after space and comments.
+_PAGE = re.compile(r"(?is)\ufeff?(?:\s|<!--.*?-->|<\?xml[^>]*>)*<(?:!doctype\s+html|html|head|body|title|meta|div|p|h1|table|a)\b")
+
+
 def is_text(content_type: str, body: bytes) -> bool:
     """By its media type; without one, by its first bytes."""
     kind = content_type.partition(";")[0].strip().lower()
@@ -128,6 +132,12 @@ def is_text(content_type: str, body: bytes) -> bool:
     return kind.startswith("text/") or kind.endswith(("+xml", "/xml", "+json", "/json", "/javascript"))
 
 
+def is_html(content_type: str, text: str) -> bool:
+    """HTML or XHTML by its media type; without one, by how the text begins."""
+    kind = content_type.partition(";")[0].strip().lower()
+    return kind in ("text/html", "application/xhtml+xml") or (not kind and bool(_PAGE.match(text)))
+
+
 def _shown(text: str) -> str:
     """HTML without comments and elements that are not shown. An element that is not closed hides the rest of the text.
 
@@ -211,22 +221,24 @@ def derived_records(id_: str, uri: str | None, date: str, block: bytes) -> list[
     """The metadata and, for text, the conversion record of one response, as rows of RECORDS.
 
     Digests are of the bytes as they are stored; text and links are of the body without its encodings. What is no text
-    or can't be decoded has metadata only, without title and links.
+    or can't be decoded has metadata only, without title and links. Only HTML is read as such: the conversion of plain
+    text, JSON, XML or scripts is all of their text as it is, and they have no title or links.
     """
     status, headers, body = http_split(block)
     kind = next((v for k, v in headers if k.lower() == "content-type"), "")
     plain = payload(headers, body)
-    page = decoded(plain, kind) if plain is not None and is_text(kind, plain) else None
-    title, source = _TITLE.search(page or ""), (digest(block), digest(body))
+    text = decoded(plain, kind) if plain is not None and is_text(kind, plain) else None
+    page = text if text is not None and is_html(kind, text) else ""
+    title, source = _TITLE.search(page), (digest(block), digest(body))
     envelope = {
         "http": {"status": status, "headers": [[k, v] for k, v in headers]},
         "source": {"record_id": id_, "block_digest": source[0], "payload_digest": source[1], "payload_length": len(body)},
-        "html": {"title": " ".join(html.unescape(title[1]).split()) if title else None, "links": links(page or "", uri or "")},
+        "html": {"title": " ".join(html.unescape(title[1]).split()) if title else None, "links": links(page, uri or "")},
     }
     out = []
     made = [("metadata", "application/json", json.dumps(envelope, ensure_ascii=False, separators=(",", ":")).encode())]
-    if page is not None:
-        made.append(("conversion", "text/plain; charset=utf-8", plain_text(page).encode("utf-8", "replace")))
+    if text is not None:
+        made.append(("conversion", "text/plain; charset=utf-8", (plain_text(page) if page else text).encode("utf-8", "replace")))
     for type_, content_type, data in made:
         own = digest(data)
         more = [("WARC-Refers-To", id_), *([("WARC-Refers-To-Target-URI", uri)] if uri else []), ("WARC-Refers-To-Date", date), ("WARC-Block-Digest", own), ("WARC-Source-Payload-Digest", source[1])]

@@ -464,3 +464,22 @@ def test_run(spark):
     assert {r.doc_id for r in mixed.collect()} == {r.doc_id for r in rows}
     again = sorted(map(tuple, corpus_pipeline.run(spark, SF).select("doc_id", "piece", "length", "ids_crc32").collect()))
     assert again == sorted((r.doc_id, r.piece, r.length, r.ids_crc32) for r in rows)
+
+
+@pytest.mark.parametrize("kind", ["text/plain", "application/json", "text/xml; charset=utf-8", "application/atom+xml", "text/javascript", "application/javascript", "text/css", ""])
+@pytest.mark.parametrize("text", ["std::vector<int> a; if x<y and y>z &amp; ok\n<script> rest of file", '{"a":"<svg>","b":"tail"}', "<?xml version='1.0'?><feed><title>t &lt; u</title><svg>kept</feed>", "  two  blanks\r\n\tand a tab\x00\n", "Ünï <!-- no comment"])
+def test_other_text_stays_whole(kind, text):
+    """Only HTML is read as HTML: all other text is converted byte by byte, and has no title or links."""
+    made = warc.derived_records("i", "https://h.x/", warc.DATE, f"HTTP/1.1 200 OK\r\nContent-Type: {kind}\r\n\r\n".encode() + text.encode())
+    if not kind and "\x00" in text:  # without a type this is no text
+        assert [r[0] for r in made] == ["metadata"]
+        return
+    assert [r[0] for r in made] == ["metadata", "conversion"] and made[1][-1] == text.encode()
+    assert json.loads(made[0][-1])["html"] == {"title": None, "links": []}
+
+
+@pytest.mark.parametrize("kind", ["text/html", "TEXT/HTML; charset=utf-8", "application/xhtml+xml", ""])
+def test_html_by_type_or_by_its_beginning(kind):
+    page = "<!-- c -->\n<!DOCTYPE html><title>T</title><p>a &amp; b<a href=/x>l</a><script>no</script>"
+    made = warc.derived_records("i", "https://h.x/", warc.DATE, f"HTTP/1.1 200 OK\r\nContent-Type: {kind}\r\n\r\n".encode() + page.encode())
+    assert json.loads(made[0][-1])["html"]["title"] == "T" and made[1][-1] == warc.plain_text(page).encode() and b"a & b" in made[1][-1]

@@ -37,8 +37,8 @@ SEPARATOR = " › "
 #: Marks around what matched, what stands for text left out, tokens of a snippet.
 OPEN, CLOSE, CUT, SNIPPET = "[", "]", " ... ", 24
 KEY = ("source", "chunk_id")
-#: Terms that select postings as literals, and hits that are joined to their chunks by a broadcast; more are joined as
-#: tables.
+#: Terms that select postings, and hits that select chunks, as literals that reach the scan; hits that are joined to their
+#: chunks by a broadcast. More are joined as tables.
 LITERALS, FEW = 1000, 100_000
 
 
@@ -192,12 +192,13 @@ def unit_counts(index: Index, units: list[tuple]) -> DataFrame:
 def weighed(counts: DataFrame, index: Index, scope: str = "source") -> DataFrame:
     """(source, chunk_id, unit, part): what a unit adds to a chunk's score by BM25, whoever asks for it.
 
-    Statistics are those of the chunk's source, or of all chunks with scope "global". ``counts`` is read twice.
+    Statistics are those of the chunk's source, or of all chunks with scope "global". ``counts`` is used twice with all its
+    columns, so that both uses share its shuffle.
     """
     group = ("source",) if scope == "source" else ()
     stats = index.stats if group else index.stats.agg(F.sum("n_all").alias("n_all"), F.sum("total").alias("total"))
     stats = stats.select(*group, "n_all", (F.col("total") / F.col("n_all")).alias("avgdl"))
-    df = counts.groupBy(*group, "unit").agg(F.count("*").alias("n"))
+    df = counts.groupBy(*group, "unit").agg(F.count_if(F.col("f") > 0).alias("n"))
     df = df.join(stats, "source") if group else df.crossJoin(F.broadcast(stats))  # one row
     idf = F.log((F.col("n_all") - F.col("n") + 0.5) / (F.col("n") + 0.5))
     df = df.select(*group, "unit", "avgdl", F.when(idf > 0, idf).otherwise(F.lit(LEAST_IDF)).alias("idf"))
@@ -214,7 +215,7 @@ def scored(index: Index, plans: dict, kind: str, scope: str = "source", sources:
     some = lambda df: df.where(F.col("source").isin(sources)) if sources else df
     if sources and scope == "source":  # all that counts lies in the partitions of these sources
         index = Index(index.chunks, some(index.postings), index.lengths, index.vocabulary, some(index.stats), index.stemmed)
-    counts = settled(unit_counts(index, units), "counts")
+    counts = unit_counts(index, units)
     asked = index.chunks.sparkSession.createDataFrame(uses, f"query {kind}, unit int, times int")
     rows = some(weighed(counts, index, scope)).join(asked, "unit")
     return rows.groupBy("query", *KEY).agg((-F.sum(F.col("part") * F.col("times"))).alias("score"))
@@ -233,12 +234,17 @@ def best(rows: DataFrame, index: Index, limit: int = LIMIT, offset: int = 0, by:
         rows = settled(rows, "scores")
         worst = rows.select(score.alias("s")).orderBy("s").limit(offset + limit).agg(F.max("s")).first()[0]
         near = rows.where(score <= F.lit(worst))
-    near = settled(near, "near")
-    small = F.broadcast if near.count() <= FEW else lambda df: df
-    placed, order = index.lengths.select(*KEY, "path", "ord").join(small(near), list(KEY)), [score, "source", "path", "ord"]
+    found = near.limit(LITERALS + 1).collect()
+    if len(found) <= LITERALS:  # they are looked up as literals; nothing is written
+        near, ids, small = near.sparkSession.createDataFrame(found, near.schema), sorted({r.chunk_id for r in found}), F.broadcast
+        picked = lambda df: df.where(F.col("chunk_id").isin(ids))
+    else:
+        near, picked = settled(near, "near"), lambda df: df
+        small = F.broadcast if near.count() <= FEW else lambda df: df
+    placed, order = picked(index.lengths).select(*KEY, "path", "ord").join(small(near), list(KEY)), [score, "source", "path", "ord"]
     top = placed if by else placed.orderBy(*order).limit(offset + limit)
     ranked = top.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where((F.col("rank") <= offset + limit) & (F.col("rank") > offset))
-    return index.chunks.join(small(ranked.drop("path", "ord")), list(KEY)) if whole else ranked
+    return picked(index.chunks).join(small(ranked.drop("path", "ord")), list(KEY)) if whole else ranked
 
 
 def search(index: Index, query: str, sources: list[str] | None = None, limit: int = LIMIT, offset: int = 0, scope: str = "source", with_snippet: bool = True, global_limit: int | None = None) -> DataFrame:

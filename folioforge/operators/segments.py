@@ -126,14 +126,14 @@ def load(spark: SparkSession, path: str, stemmed: bool = True) -> search.Index:
 
 def _write(index: search.Index, path: str, name: str, table: str) -> None:
     """One table of a segment. Postings are dealt by ranges, so a source's commonest term is split over tasks and a task
-    writes files for the few sources of its range only."""
+    writes files for the few sources of its range only. Chunks are sorted by their ids, so that few row groups of a file
+    are read for the best hits."""
     df = {"chunks": index.chunks, "lengths": index.lengths, "postings": index.postings, "stats": index.stats, "words": index.vocabulary}[table]
     if table == "postings":
-        df = df.repartitionByRange("source", "term", "chunk_id").sortWithinPartitions("source", "term", "chunk_id")
-    if table == "words":
-        df = df.sortWithinPartitions("stem")
-    by = ["segment"] if table == "words" else ["segment", "source"]
-    df.withColumn("segment", F.lit(name)).write.mode("append").partitionBy(*by).parquet(f"{path}/{table}")
+        df = df.repartitionByRange("source", "term", "chunk_id")
+    df = df.sortWithinPartitions(*{"chunks": ["source", "chunk_id"], "lengths": ["source", "chunk_id"], "postings": ["source", "term", "chunk_id"], "stats": ["source"], "words": ["stem"]}[table])
+    out = df.write.mode("overwrite")
+    (out if table == "words" else out.partitionBy("source")).parquet(f"{path}/{table}/segment={name}")
 
 
 def _segment(index: search.Index, path: str, state: State) -> tuple[str, State]:
@@ -143,17 +143,12 @@ def _segment(index: search.Index, path: str, state: State) -> tuple[str, State]:
     index = replace(index, vocabulary=index.vocabulary.join(old.select("term"), "term", "left_anti") if state.tables.get("words") else index.vocabulary)
     for table in SCHEMAS:
         _write(index, path, name, table)
-    tables = {t: [*state.tables.get(t, []), *([name] if _fs_exists(spark, f"{path}/{t}/segment={name}") else [])] for t in SCHEMAS}
+    tables = {t: [*state.tables.get(t, []), name] for t in SCHEMAS}
     new = replace(state, tables=tables, segments=dict(state.segments))
     new.segments[name] = _read(spark, path, new, "lengths", [name]).count()
     return name, new
 
 
-def _fs_exists(spark: SparkSession, path: str) -> bool:
-    fs, p = _fs(spark, path)
-    return fs.exists(p)
-
-
 def _buried(spark: SparkSession, path: str, state: State, dead: DataFrame) -> State:
     """A state with more dead rows. Segments of which nothing is left, and what was dead in them, go."""
     name = uuid.uuid4().hex

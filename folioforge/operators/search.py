@@ -6,6 +6,7 @@ Tables of an index (parquet, by source; ``segments`` keeps them):
   lengths    (source, chunk_id, path, ord, dl)
   vocabulary (term, stem), distinct terms only
   stats      (source, n_all, total), chunks and their tokens by source
+  stems      (source, stem, df), chunks that have a stem, of saved indexes: rows add up over segments and sources
 
 Terms are stored unstemmed: a query's stems are looked up in the vocabulary first, and
 the few terms that share them select postings, as literals that reach the scan. What is
@@ -16,7 +17,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import lru_cache
 
 import pandas as pd
@@ -52,6 +53,9 @@ class Index:
     stemmed: bool = True
     #: Distinct terms, of an index that is not saved: its vocabulary is stemmed only as far as a query needs it.
     terms: DataFrame | None = None
+    #: (source, chunk_id, term), each once, of an index that is not saved; (source, stem, df) of a saved one.
+    pairs: DataFrame | None = None
+    stems: DataFrame | None = None
 
 
 def chunk_id(*extra: Column | str) -> Column:
@@ -95,7 +99,13 @@ def build(chunks: DataFrame, stemmed: bool = True) -> Index:
     chunks = chunks if "tokens_" in chunks.columns else tokenized(chunks)
     posts, sizes = postings(chunks), lengths(chunks)
     stats = sizes.groupBy("source").agg(F.count("*").alias("n_all"), F.sum("dl").alias("total"))
-    return Index(chunks.drop("tokens_"), posts, sizes, vocabulary(posts, stemmed), stats, stemmed, posts.select("term").distinct())
+    pairs = chunks.select(*KEY, F.explode(F.array_distinct(F.flatten("tokens_"))).alias("term"))
+    return Index(chunks.drop("tokens_"), posts, sizes, vocabulary(posts, stemmed), stats, stemmed, posts.select("term").distinct(), pairs)
+
+
+def stem_counts(pairs: DataFrame, words: DataFrame) -> DataFrame:
+    """(source, stem, df): chunks with any form of a stem, from the distinct terms of each chunk."""
+    return pairs.join(words, "term").select(*KEY, "stem").distinct().groupBy("source", "stem").agg(F.count("*").alias("df"))
 
 
 def save(index: Index, path: str) -> None:
@@ -155,6 +165,12 @@ def _units(plans: dict) -> tuple[list[tuple], list[tuple]]:
     return [(n, i, len(of), stem) for of, n in numbers.items() for i, stem in enumerate(of)], [(q, u, n) for (q, u), n in uses.items()]
 
 
+def _rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """Rows of the driver's; joined by a broadcast up to FEW."""
+    df = spark.createDataFrame(rows, schema)
+    return F.broadcast(df) if len(rows) <= FEW else df
+
+
 def unit_counts(index: Index, units: list[tuple]) -> DataFrame:
     """(source, chunk_id, dl, unit, f): how often each unit stands in each chunk, in any one column.
 
@@ -162,43 +178,51 @@ def unit_counts(index: Index, units: list[tuple]) -> DataFrame:
     a unit of several votes for the position where the unit would start; starts with all votes count.
     """
     spark = index.chunks.sparkSession
-    plan = spark.createDataFrame(units, "unit int, place int, size int, stem string")
     stems = sorted({u[3] for u in units})
     if not index.stemmed:
         found = [(t, t) for t in stems]
-        terms = spark.createDataFrame(found, "term string, stem string")
+        terms = _rows(spark, found, "term string, stem string")
     else:
         known = index.vocabulary
         if index.terms is not None and len(stems) <= LITERALS:  # a stem is a term's beginning but for its last letter
             known = vocabulary(index.terms.where(F.col("term").rlike("^(?:" + "|".join(sorted({regex.escape(t[:-1]) for t in stems})) + ")")))
-        terms = known.where(F.col("stem").isin(stems)) if len(stems) <= LITERALS else known.join(plan.select("stem").distinct(), "stem")
+        terms = known.where(F.col("stem").isin(stems)) if len(stems) <= LITERALS else known.join(spark.createDataFrame([(t,) for t in stems], "stem string"), "stem")
         terms = terms.select("term", "stem").distinct()  # writers at one time may have added a term twice
         found = [tuple(r) for r in terms.limit(LITERALS + 1).collect()]
     if len(found) <= LITERALS:
-        posts, terms = index.postings.where(F.col("term").isin([t for t, _ in found])), spark.createDataFrame(found, "term string, stem string")
+        posts, terms = index.postings.where(F.col("term").isin([t for t, _ in found])), _rows(spark, found, "term string, stem string")
     else:
         posts = index.postings
     hit = posts.join(terms, "term")
     counts = None
     if any(u[2] == 1 for u in units):
-        counts = hit.join(plan.where("size = 1").select("unit", "stem"), "stem").groupBy(*KEY, "dl", "unit").agg(F.count("*").alias("f"))
+        counts = hit.join(_rows(spark, [(u[0], u[3]) for u in units if u[2] == 1], "unit int, stem string"), "stem").groupBy(*KEY, "dl", "unit").agg(F.count("*").alias("f"))
     if any(u[2] > 1 for u in units):
-        starts = hit.join(plan.where("size > 1"), "stem").groupBy(*KEY, "dl", "unit", "size", "col", (F.col("pos") - F.col("place")).alias("start")).agg(F.count("*").alias("n")).where("n = size")
+        starts = hit.join(_rows(spark, [u for u in units if u[2] > 1], "unit int, place int, size int, stem string"), "stem").groupBy(*KEY, "dl", "unit", "size", "col", (F.col("pos") - F.col("place")).alias("start")).agg(F.count("*").alias("n")).where("n = size")
         many = starts.groupBy(*KEY, "dl", "unit").agg(F.count("*").alias("f"))
         counts = many if counts is None else counts.unionByName(many)
     return counts
 
 
-def weighed(counts: DataFrame, index: Index, scope: str = "source") -> DataFrame:
+def weighed(counts: DataFrame, index: Index, units: list[tuple], scope: str = "source") -> DataFrame:
     """(source, chunk_id, unit, part): what a unit adds to a chunk's score by BM25, whoever asks for it.
 
     Statistics are those of the chunk's source, or of all chunks with scope "global". ``counts`` is used twice with all its
-    columns, so that both uses share its shuffle.
+    columns, so that both uses share its shuffle; a saved index has the number of chunks with a single word stored, so only
+    phrases of several are counted.
     """
     group = ("source",) if scope == "source" else ()
     stats = index.stats if group else index.stats.agg(F.sum("n_all").alias("n_all"), F.sum("total").alias("total"))
     stats = stats.select(*group, "n_all", (F.col("total") / F.col("n_all")).alias("avgdl"))
-    df = counts.groupBy(*group, "unit").agg(F.count_if(F.col("f") > 0).alias("n"))
+    df, stored = None, index.stems is not None and index.stemmed
+    if stored and any(u[2] == 1 for u in units):
+        single = [(u[0], u[3]) for u in units if u[2] == 1]
+        known = index.stems.where(F.col("stem").isin(sorted({t for _, t in single}))) if len(single) <= LITERALS else index.stems
+        df = known.groupBy(*group, "stem").agg(F.sum("df").alias("n")).join(_rows(counts.sparkSession, single, "unit int, stem string"), "stem").select(*group, "unit", "n")
+    if not stored or any(u[2] > 1 for u in units):
+        counted = counts.join(_rows(counts.sparkSession, sorted({(u[0],) for u in units if u[2] > 1}), "unit int"), "unit", "left_semi") if stored else counts
+        counted = counted.groupBy(*group, "unit").agg(F.count_if(F.col("f") > 0).alias("n"))
+        df = counted if df is None else df.unionByName(counted)
     df = df.join(stats, "source") if group else df.crossJoin(F.broadcast(stats))  # one row
     idf = F.log((F.col("n_all") - F.col("n") + 0.5) / (F.col("n") + 0.5))
     df = df.select(*group, "unit", "avgdl", F.when(idf > 0, idf).otherwise(F.lit(LEAST_IDF)).alias("idf"))
@@ -214,10 +238,10 @@ def scored(index: Index, plans: dict, kind: str, scope: str = "source", sources:
         return None
     some = lambda df: df.where(F.col("source").isin(sources)) if sources else df
     if sources and scope == "source":  # all that counts lies in the partitions of these sources
-        index = Index(index.chunks, some(index.postings), index.lengths, index.vocabulary, some(index.stats), index.stemmed)
+        index = replace(index, postings=some(index.postings), stats=some(index.stats), stems=some(index.stems) if index.stems is not None else None, terms=None)
     counts = unit_counts(index, units)
-    asked = index.chunks.sparkSession.createDataFrame(uses, f"query {kind}, unit int, times int")
-    rows = some(weighed(counts, index, scope)).join(asked, "unit")
+    asked = _rows(index.chunks.sparkSession, uses, f"query {kind}, unit int, times int")
+    rows = some(weighed(counts, index, units, scope)).join(asked, "unit")
     return rows.groupBy("query", *KEY).agg((-F.sum(F.col("part") * F.col("times"))).alias("score"))
 
 

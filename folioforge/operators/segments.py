@@ -1,7 +1,7 @@
 """A saved index as generations: segments that are written once, and a small file that says which of them count.
 
 <path>/generations/N.json        segments and words of generation N; the highest N is the index
-<path>/<table>/segment=S/source=X/   chunks, lengths, postings, stats of a segment
+<path>/<table>/segment=S/source=X/   chunks, lengths, postings, stats, stems of a segment
 <path>/words/segment=S/          terms that no segment before had, with their stems
 <path>/dead/segment=G/           (of, source, chunk_id): rows of older segments that no longer count
 
@@ -31,6 +31,7 @@ SCHEMAS = {
     "lengths": f"chunk_id long, path string, ord int, dl long, {_SEGMENT}",
     "postings": f"chunk_id long, dl long, col int, pos int, term string, {_SEGMENT}",
     "stats": f"n_all long, total long, {_SEGMENT}",
+    "stems": f"stem string, df long, {_SEGMENT}",
     "words": "term string, stem string, segment string",
 }
 DEAD = "of string, source string, chunk_id long"
@@ -114,33 +115,37 @@ def _live(df: DataFrame, path: str, state: State) -> DataFrame:
 
 def _tables(spark: SparkSession, path: str, state: State, segments: list[str] | None = None) -> dict[str, DataFrame]:
     """The rows that count, with their segments."""
-    return {t: _live(_read(spark, path, state, t, segments), path, state) for t in ("chunks", "lengths", "postings", "stats")} | {"words": _read(spark, path, state, "words", segments)}
+    return {t: _live(_read(spark, path, state, t, segments), path, state) for t in ("chunks", "lengths", "postings", "stats", "stems")} | {"words": _read(spark, path, state, "words", segments)}
 
 
 def load(spark: SparkSession, path: str, stemmed: bool = True) -> search.Index:
     """The index as it is now; one that is not there yet, or whose sources are all gone, has no rows."""
     t = _tables(spark, path, current(spark, path))
     stats = t["stats"].groupBy("source").agg(F.sum("n_all").alias("n_all"), F.sum("total").alias("total")).where("n_all > 0")
-    return search.Index(*(t[x].drop("segment") for x in ("chunks", "postings", "lengths", "words")), stats, stemmed)
+    return search.Index(*(t[x].drop("segment") for x in ("chunks", "postings", "lengths", "words")), stats, stemmed, stems=t["stems"].drop("segment"))
 
 
 def _write(index: search.Index, path: str, name: str, table: str) -> None:
     """One table of a segment. Postings are dealt by ranges, so a source's commonest term is split over tasks and a task
     writes files for the few sources of its range only. Chunks are sorted by their ids, so that few row groups of a file
     are read for the best hits."""
-    df = {"chunks": index.chunks, "lengths": index.lengths, "postings": index.postings, "stats": index.stats, "words": index.vocabulary}[table]
+    df = {"chunks": index.chunks, "lengths": index.lengths, "postings": index.postings, "stats": index.stats, "stems": index.stems, "words": index.vocabulary}[table]
     if table == "postings":
         df = df.repartitionByRange("source", "term", "chunk_id")
-    df = df.sortWithinPartitions(*{"chunks": ["source", "chunk_id"], "lengths": ["source", "chunk_id"], "postings": ["source", "term", "chunk_id"], "stats": ["source"], "words": ["stem"]}[table])
+    df = df.sortWithinPartitions(*{"chunks": ["source", "chunk_id"], "lengths": ["source", "chunk_id"], "postings": ["source", "term", "chunk_id"], "stats": ["source"], "stems": ["source", "stem"], "words": ["stem"]}[table])
     out = df.write.mode("overwrite")
     (out if table == "words" else out.partitionBy("source")).parquet(f"{path}/{table}/segment={name}")
 
 
-def _segment(index: search.Index, path: str, state: State) -> tuple[str, State]:
-    """Write a segment and its new words; the state that has it too."""
+def _segment(index: search.Index, path: str, state: State, less: search.Index | None = None) -> tuple[str, State]:
+    """Write a segment and its new words, its stems' counts less those of ``less``; the state that has it too."""
     spark, name = index.chunks.sparkSession, uuid.uuid4().hex
+    words = settled(index.vocabulary, "words")
     old = _read(spark, path, state, "words")
-    index = replace(index, vocabulary=index.vocabulary.join(old.select("term"), "term", "left_anti") if state.tables.get("words") else index.vocabulary)
+    stems = index.stems if index.stems is not None else search.stem_counts(index.pairs, words)
+    if less is not None:
+        stems = stems.unionByName(search.stem_counts(less.pairs, less.vocabulary).withColumn("df", -F.col("df"))).groupBy("source", "stem").agg(F.sum("df").alias("df")).where("df != 0")
+    index = replace(index, stems=stems, vocabulary=words.join(old.select("term"), "term", "left_anti") if state.tables.get("words") else words)
     for table in SCHEMAS:
         _write(index, path, name, table)
     tables = {t: [*state.tables.get(t, []), name] for t in SCHEMAS}
@@ -197,7 +202,9 @@ def update(index: search.Index, gone: DataFrame, path: str) -> None:
     dead = settled(lengths.join(gone.select("source", "path").distinct(), ["source", "path"], "left_semi").select("segment", "source", "chunk_id", "dl"), "dead")
     less = dead.groupBy("source").agg((-F.count("*")).alias("n_all"), (-F.sum("dl")).alias("total"))
     stats = index.stats.unionByName(less).groupBy("source").agg(F.sum("n_all").alias("n_all"), F.sum("total").alias("total"))
-    _, new = _segment(replace(index, stats=stats), path, state)
+    # texts of the chunks that go are few; their postings lie among all the others
+    chunks = _read(spark, path, state, "chunks").join(dead.select("segment", "source", "chunk_id"), ["segment", "source", "chunk_id"], "left_semi").drop("segment")
+    _, new = _segment(replace(index, stats=stats), path, state, search.build(settled(search.tokenized(chunks), "less"), index.stemmed))
     if not dead.isEmpty():
         new = _buried(spark, path, new, dead.select(F.col("segment").alias("of"), "source", "chunk_id"))
     new = _commit(spark, path, new)
@@ -214,7 +221,8 @@ def merge(spark: SparkSession, path: str, whole: bool = False) -> None:
         return
     t = _tables(spark, path, state, small)
     stats = t["stats"].groupBy("source").agg(F.sum("n_all").alias("n_all"), F.sum("total").alias("total"))
-    index = search.Index(*(t[x].drop("segment") for x in ("chunks", "postings", "lengths")), _read(spark, path, state, "words").drop("segment"), stats)
+    stems = t["stems"].groupBy("source", "stem").agg(F.sum("df").alias("df")).where("df != 0")
+    index = search.Index(*(t[x].drop("segment") for x in ("chunks", "postings", "lengths")), _read(spark, path, state, "words").drop("segment"), stats, stems=stems)
     kept = {k: [s for s in ss if s not in small] for k, ss in state.tables.items()} | {"words": []}  # words are written anew
     _, new = _segment(index, path, replace(state, tables=kept, segments={s: n for s, n in state.segments.items() if s not in small}))
     dead = _dead(spark, path, state).where(~F.col("of").isin(small))

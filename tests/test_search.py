@@ -1,6 +1,7 @@
 import sqlite3
 
 import pytest
+from pyspark.sql import functions as F
 
 from folioforge.operators import search
 
@@ -120,3 +121,16 @@ def test_snippet_edges():
     plan = [(0, 0, 1, "x")]
     assert search.snippet("", plan) == "" and search.snippet("...", plan) == "..." and search.snippet("a x", plan) == "a [x]"
     assert search.snippet("w " * 40, plan) == ("w " * 24).strip() + " ... "
+
+
+def test_stored_statistics_are_those_counted(spark, chunks, tmp_path):
+    """A saved index weighs by stored counts of stems, several forms of one in a chunk counted once, phrases as before."""
+    path = f"file://{tmp_path}/index"
+    more = chunks.withColumn("body", F.concat("body", F.lit(" hook hooks hooked hooking"))).where("path = 'a'").withColumn("path", F.lit("z"))
+    index = search.build(chunks.unionByName(more))
+    search.save(index, path)
+    saved = search.load(spark, path)
+    for scope in ("source", "global"):
+        for q in ("state hook", "javascript-rendered", "hook hooking", "use-state hook"):
+            key = lambda i: sorted((h.source, h.path, round(h.score, 9)) for h in search.search(i, q, scope=scope, limit=50, with_snippet=False).collect())  # noqa: B023, E731
+            assert key(saved) == key(index)

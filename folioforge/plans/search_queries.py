@@ -117,6 +117,27 @@ _BATCH = r"""q AS (SELECT item_id AS query_id, unnest(p) AS w, unnest(range(len(
     start AS (SELECT query_id, source, path, phrase, pos - place AS at FROM many JOIN p USING (term) GROUP BY query_id, source, path, phrase, size, pos - place HAVING count(*) = size),
     c AS (SELECT * FROM one UNION ALL SELECT query_id, source, path, phrase, count(*) FROM start GROUP BY ALL)"""
 
+#: Words of the query of search_snippet, and forms that share their stems.
+_TRASH = {0: ["trash", "trashed", "trashes", "trashing"], 1: ["clown", "clowned", "clowning", "clowns"]}
+_WORD, _FOLDED = r"'[\p{L}\p{N}\p{M}]+'", "translate(lower(x), 'äçèéêíñóöü', 'aceeeinoou')"
+_IN = {p: "(" + ", ".join(f"'{x}'" for x in words) + ")" for p, words in _TRASH.items()}
+#: Tokens and what lies between them; windows at each hit (h) and at the start of its sentence (s) are weighed as c, the best
+#: becomes the snippet.
+_SNIPPET = rf"""WITH top AS ({_ranked(_forms(_TRASH), 2)}),
+    b AS (SELECT source, path, rank, regexp_replace(text, '^\s+|\s+$', '', 'g') AS body FROM top JOIN (SELECT source, lang || '/' || doc_id AS path, text FROM documents) USING (source, path)),
+    t AS (SELECT source, path, rank, regexp_extract_all(body, {_WORD}) AS toks, string_split_regex(body, {_WORD}) AS seps FROM b),
+    w AS (SELECT *, len(toks) AS n, list_transform(toks, lambda x: CASE WHEN {_FOLDED} IN {_IN[0]} THEN 0 WHEN {_FOLDED} IN {_IN[1]} THEN 1 ELSE -1 END) AS ph FROM t),
+    i AS (SELECT source, path, n, unnest(ph) AS ph, unnest(range(n)) AS i, unnest(seps[1:n]) AS sep FROM w),
+    h AS (SELECT source, path, n, ph, i FROM i WHERE ph >= 0),
+    s AS (SELECT source, path, i AS s FROM i WHERE i = 0 OR regexp_matches(sep, '[.:][ \t\r\n]+$')),
+    c AS (SELECT h.source, h.path, h.i, h.n, 0 AS kind, h.i AS low FROM h UNION ALL SELECT h.source, h.path, h.i, h.n, 1, max(s.s) FROM h JOIN s ON s.source = h.source AND s.path = h.path AND s.s <= h.i GROUP BY ALL HAVING max(s.s) < h.i AND h.n > 24),
+    v AS (SELECT c.source, c.path, c.i, c.n, c.kind, c.low, 999 * count(DISTINCT x.ph) + count(*) AS worth, max(x.i) + 1 - min(x.i) AS wide
+      FROM c JOIN h x ON x.source = c.source AND x.path = c.path AND x.i >= c.low AND x.i < c.low + 24 GROUP BY ALL),
+    o AS (SELECT source, path, CASE WHEN kind = 1 THEN low ELSE greatest(0, least(i - (24 - wide) // 2, n - 24)) END AS begin FROM v QUALIFY row_number() OVER (PARTITION BY source, path ORDER BY worth + CASE WHEN kind = 0 THEN 0 WHEN low = 0 THEN 120 ELSE 100 END DESC, i, kind) = 1),
+    f AS (SELECT w.*, coalesce(begin, 0) AS begin FROM w LEFT JOIN o USING (source, path))
+    SELECT source, path, CASE WHEN begin > 0 THEN ' ... ' ELSE '' END || array_to_string(list_transform(range(begin, least(begin + 24, n)), lambda k: CASE WHEN k = begin AND begin > 0 THEN '' ELSE seps[k + 1] END
+      || CASE WHEN ph[k + 1] >= 0 THEN '[' || toks[k + 1] || ']' ELSE toks[k + 1] END), '') || CASE WHEN begin + 24 >= n THEN seps[n + 1] ELSE ' ... ' END AS snippet, rank FROM f"""
+
 ORACLES = {
     "search_bm25": _ranked(_forms({0: ["pathetic"], 1: ["worthless"], 2: ["idiot"]}), 10),
     "search_single_term": _ranked(_forms({0: ["pathetic"]}), 5),
@@ -126,6 +147,7 @@ ORACLES = {
     "search_global": _ranked(_forms({0: ["scum"], 1: ["moron"]}), 10, scope="global", partition=""),
     "search_batch": f"""WITH {_bm25(_BATCH, "global", "query_id")} SELECT query_id, source, path, round(score, 6) AS score, rank
       FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9), source, path)::INT AS rank FROM r) WHERE rank <= 5""",
+    "search_snippet": _SNIPPET,
     "search_printed": _ranked(_forms({0: ["moron"]}), 1).replace("SELECT source, path, round(score, 6) AS score, rank FROM", "SELECT source, rank || '. ' || source || ' › (intro)' || chr(10) || '   file:///' || path || chr(10) || '   -' AS line FROM"),
     "sanitize_query": r"""SELECT item_id, array_to_string(list_transform(list_filter(list_transform(string_split_regex(replace(query, '"', ''), '\s+'), lambda w: trim(w, '():*"' || chr(39))), lambda w: w <> ''), lambda w: '"' || w || '"'), ' OR ') AS sanitized
       FROM (SELECT item_id, """ + MARKED + " AS query FROM benchmark)",

@@ -6,15 +6,22 @@ import os
 import subprocess
 import urllib.error
 import urllib.request
+from collections import defaultdict
 from collections.abc import Callable, Iterator, Mapping
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from threading import Semaphore
+from urllib.parse import urlsplit
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import urls as U
+
 TIMEOUT, MAX_BODY, MAX_REDIRECTS, THREADS = 30, 10 << 20, 10, 20
+#: Requests to one host at a time, wherever its addresses stand.
+A_HOST = 8
 
 
 @dataclass
@@ -103,6 +110,14 @@ class TableFetcher:
         raise ValueError(f"{url}: over {MAX_REDIRECTS} redirects")
 
 
+def host_of(url: str | None) -> str:
+    """Host of an address as ``urls.host`` has it: in lower case, without user and port."""
+    try:
+        return (urlsplit(url or "").hostname or "").lower()
+    except ValueError:
+        return ""
+
+
 def is_success(status: Column) -> Column:
     return (status >= 200) & (status < 300)
 
@@ -120,11 +135,12 @@ def expand_map(values: Mapping[str, str] | None, lookup: Callable[[str], str | N
     return {k: expand(v, lookup) for k, v in values.items()} if values else None
 
 
-def fetched(urls: DataFrame, fetcher: Fetcher | None = None, headers: Mapping[str, str] | None = None, partitions: int | None = None) -> DataFrame:
+def fetched(urls: DataFrame, fetcher: Fetcher | None = None, headers: Mapping[str, str] | None = None, partitions: int | None = None, a_host: int = A_HOST) -> DataFrame:
     """All columns of urls(url, ...) with final_url, status, content_type, body and error; one row for each.
 
-    Requests run THREADS at a time in each task; addresses are spread over tasks first. Headers travel in the task's
-    closure, not in the plan.
+    Addresses are dealt to tasks by host, so a host's are all in one task; there THREADS requests run at a time, and
+    ``a_host`` of them to one host. Hosts take turns inside a task, so that one with many addresses does not hold up the
+    others. Headers travel in the task's closure, not in the plan.
     """
     get, headers = fetcher or HttpFetcher(), dict(headers or {})
     names = urls.columns
@@ -137,16 +153,32 @@ def fetched(urls: DataFrame, fetcher: Fetcher | None = None, headers: Mapping[st
             return None, None, None, None, f"{type(e).__name__}: {e}"[:500]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slots: dict[str, Semaphore] = defaultdict(lambda: Semaphore(a_host))
+
+        def in_turn(url: str | None) -> tuple:
+            with slots[host_of(url)]:
+                return one(url)
+
         with ThreadPoolExecutor(THREADS) as pool:
             for batch in batches:
                 for at in range(0, batch.num_rows, 4 * THREADS):
                     part = batch.slice(at, 4 * THREADS)
-                    rows = list(pool.map(one, part.column(part.schema.get_field_index("url")).to_pylist()))
+                    hosts = [host_of(u) for u in part.column(part.schema.get_field_index("url")).to_pylist()]
+                    for h in hosts:
+                        slots[h]  # made here, in one thread
+                    turn: dict[str, int] = defaultdict(int)
+                    place = []
+                    for i, h in enumerate(hosts):
+                        place.append((turn[h], i))
+                        turn[h] += 1
+                    part = part.take(pa.array([i for _, i in sorted(place)], pa.int64()))
+                    rows = list(pool.map(in_turn, part.column(part.schema.get_field_index("url")).to_pylist()))
                     cols = list(zip(*rows, strict=True))
                     yield pa.record_batch([*part.columns, *(pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.string(), pa.binary(), pa.string()), strict=True))], names=[*names, "final_url", "status", "content_type", "body", "error"])
 
     kinds = ", ".join(f"`{n}` {urls.schema[n].dataType.simpleString()}" for n in names)
-    spread = urls.repartition(partitions, "url") if partitions else urls.repartition("url")
+    host = U.host(F.coalesce("url", F.lit("")))
+    spread = urls.repartition(partitions, host) if partitions else urls.repartition(host)
     return spread.mapInArrow(run, f"{kinds}, final_url string, status int, content_type string, body binary, error string")
 
 

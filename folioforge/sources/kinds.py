@@ -182,16 +182,20 @@ def website(spark: SparkSession, r: Request) -> DataFrame:
 
 
 def crawl(spark: SparkSession, r: Request, start: str, hosts: list[str], scope: str) -> DataFrame:
-    """(url, path, pos) reached from a page over links of pages, in scope, breadth first, up to the source's limit."""
+    """(url, path, pos) reached from a page over links of pages, in scope, breadth first, up to the source's limit.
+
+    What was visited is written as one table every few rounds, so the plan of a long crawl stays short."""
     frontier = spark.createDataFrame([(start, 0)], "url string, pos int")
     seen = settled(discover.filtered(frontier, hosts, "/", None), "seen")
-    frontier, n = seen, seen.count()
+    frontier, n, rounds = seen, seen.count(), 0
     while n < r.most and not frontier.isEmpty():
         got = ok_pages(fetched(frontier.select("url"), r.fetcher, r.sent)).where(F.lower("body").contains("</html"))
         links = got.select(F.posexplode(U.hrefs("body", "url")).alias("pos", "url")).select("url", "pos")
         new = discover.filtered(links, hosts, scope).join(seen.select("path"), "path", "left_anti").select("url", "path", F.lit(n).alias("pos"))
         frontier = settled(new.orderBy("url").limit(r.most - n), "frontier")
-        seen, n = seen.unionByName(frontier), n + frontier.count()
+        seen, n, rounds = seen.unionByName(frontier), n + frontier.count(), rounds + 1
+        if rounds % discover.ROUNDS == 0:
+            seen = settled(seen, "seen")
     return seen
 
 

@@ -165,6 +165,26 @@ def _units(plans: dict) -> tuple[list[tuple], list[tuple]]:
     return [(n, i, len(of), stem) for of, n in numbers.items() for i, stem in enumerate(of)], [(q, u, n) for (q, u), n in uses.items()]
 
 
+def planned(queries: DataFrame, stemmed: bool = True) -> DataFrame:
+    """queries(query_id, query) -> (query, unit, times, stems): the phrases of any number of queries, each once a query.
+
+    A unit is a phrase's stems; its number is a hash of them. Words are stemmed as the vocabulary is, each once. Phrases
+    without tokens are left out, and so are queries without phrases; rows with one id are one query.
+    """
+    found = queries.select(F.col("query_id").alias("query"), F.monotonically_increasing_id().alias("row"), F.posexplode(phrases_column("query")).alias("phrase", "p")).select("query", "row", "phrase", F.posexplode(tokens("p")).alias("place", "term"))
+    stems = found.join(vocabulary(found, stemmed), "term")
+    units = stems.groupBy("query", "row", "phrase").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "stem"))), lambda x: x["stem"]).alias("stems"))
+    return units.groupBy("query", F.xxhash64("stems").alias("unit"), "stems").agg(F.count("*").cast("int").alias("times"))
+
+
+def _counts(posts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``unit_counts`` for units in a table (term, unit, place, size), which may be many."""
+    one = posts.join(wanted.where("size = 1").select("term", "unit"), "term").groupBy(*KEY, "dl", "unit").agg(F.count("*").alias("f"))
+    hit = posts.join(wanted.where("size > 1"), "term")
+    starts = hit.groupBy(*KEY, "dl", "unit", "size", "col", (F.col("pos") - F.col("place")).alias("start")).agg(F.count("*").alias("n")).where("n = size")
+    return one.unionByName(starts.groupBy(*KEY, "dl", "unit").agg(F.count("*").alias("f")))
+
+
 def _rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """Rows of the driver's; joined by a broadcast up to FEW."""
     df = spark.createDataFrame(rows, schema)
@@ -291,15 +311,31 @@ def search(index: Index, query: str, sources: list[str] | None = None, limit: in
 
 
 def search_batch(index: Index, queries: DataFrame, limit: int = LIMIT, scope: str = "global") -> DataFrame:
-    """Hits of many queries(query_id, query) at once: (query_id, source, path, ord, score, rank).
+    """Hits of any number of queries(query_id, query) at once: (query_id, source, path, ord, score, rank).
 
-    Queries are tokenised on the driver, so it is for queries as people type them, some thousands at a time. A unit is
-    counted and weighed once for all queries that have it.
+    A unit is counted and weighed once for all queries that have it. Up to LITERALS queries are planned on the driver, more
+    stay a table whose phrases and stems are columns. Rows with one id are one query, null ids too; blank and null queries
+    have no hits.
     """
     kind = queries.schema["query_id"].dataType.simpleString()
-    rows = scored(index, {r.query_id: _plan(r.query or "", index.stemmed) for r in queries.select("query_id", "query").collect()}, kind, scope)
-    if rows is None:
-        rows = index.lengths.where("false").select(F.lit(None).cast(kind).alias("query"), *KEY, F.lit(0.0).alias("score"))
+    few = queries.select("query_id", "query").limit(LITERALS + 1).collect()
+    if len(few) <= LITERALS:
+        plans: dict = {}
+        for n, r in enumerate(few):
+            plans.setdefault(r.query_id, []).extend(((n, phrase), *rest) for phrase, *rest in _plan(r.query or "", index.stemmed))
+        rows = scored(index, plans, kind, scope)
+        if rows is None:
+            rows = index.lengths.where("false").select(F.lit(None).cast(kind).alias("query"), *KEY, F.lit(0.0).alias("score"))
+    else:
+        plan = settled(planned(queries, index.stemmed), "plan")
+        units = plan.select("unit", F.posexplode("stems").alias("place", "stem"), F.size("stems").alias("size")).distinct()
+        stems = units.select("stem").distinct()
+        terms = stems.select("stem", F.col("stem").alias("term")) if not index.stemmed else index.vocabulary.join(stems, "stem").select("term", "stem").distinct()
+        wanted = settled(terms.join(units, "stem").select("term", "unit", "place", "size"), "wanted")  # its size decides how it is joined
+        counts = settled(_counts(index.postings, wanted), "counts")
+        # units are many and their chunks are counted already, so that is what weighs them
+        parts = weighed(counts, replace(index, stems=None), [], scope)
+        rows = parts.join(plan.select("query", "unit", "times"), "unit").groupBy("query", *KEY).agg((-F.sum(F.col("part") * F.col("times"))).alias("score"))
     return best(rows, index, limit, by=("query",)).select(F.col("query").alias("query_id"), "source", "path", "ord", "score", "rank")
 
 

@@ -134,3 +134,18 @@ def test_stored_statistics_are_those_counted(spark, chunks, tmp_path):
         for q in ("state hook", "javascript-rendered", "hook hooking", "use-state hook"):
             key = lambda i: sorted((h.source, h.path, round(h.score, 9)) for h in search.search(i, q, scope=scope, limit=50, with_snippet=False).collect())  # noqa: B023, E731
             assert key(saved) == key(index)
+
+
+@pytest.mark.parametrize("most", [1000, 2])
+def test_batch_of_few_and_of_many(spark, chunks, monkeypatch, most):
+    """Planned on the driver or as a table: repeated words, rows with one id, null ids, blanks, clashing columns."""
+    monkeypatch.setattr(search, "LITERALS", most)
+    index = search.build(chunks)
+    rows = [(1, "state state hook"), (1, "state"), (None, "hook"), (2, None), (3, " () "), (4, "javascript-rendered state")]
+    queries = spark.createDataFrame([(*r, "x", 0.5) for r in rows], "query_id int, query string, source string, score double")
+    plan = {(r.query, tuple(r.stems)): r.times for r in search.planned(queries).collect()}
+    assert plan == {(1, ("state",)): 3, (1, ("hook",)): 1, (None, ("hook",)): 1, (4, ("javascript", "render")): 1, (4, ("state",)): 1}
+    got = {(r.query_id, r.path): r.score for r in search.search_batch(index, queries, limit=100).collect()}
+    want = {(q, p): s for q, text in ((4, rows[5][1]), (1, "state state hook state"), (None, "hook")) for p, s, _ in gold(DOCS, text)}
+    assert got == pytest.approx(want, abs=1e-9)
+    assert search.search_batch(index, queries.limit(0)).collect() == []

@@ -31,19 +31,38 @@ BLOCK, BLOCK_BYTES = 256, 1 << 22
 _LETTER = regex.compile(r"\p{L}")
 
 
-def trigram_counts(texts: list[bytes], buckets: int = BUCKETS) -> np.ndarray:
-    """Counts of hashed trigrams (after lower-casing A-Z), a row for each text."""
+def has_letter(text: bytes, piece: int = BLOCK_BYTES) -> bool:
+    """Whether a text has a letter, looked for in pieces; one that begins inside a character has no letter there."""
+    return any(_LETTER.search(text[at : at + piece + 3].decode("utf-8", "replace")) for at in range(0, len(text), piece))
+
+
+def _keys(b: np.ndarray, buckets: int) -> np.ndarray:
+    """Buckets of the trigrams of some bytes."""
+    b = b.astype(np.uint32)
+    return (((b[:-2] << 16 | b[1:-1] << 8 | b[2:]) * np.uint32(0x9E3779B1)) >> np.uint32(32 - buckets.bit_length() + 1)).astype(np.int64)
+
+
+def trigram_counts(texts: list[bytes], buckets: int = BUCKETS, piece: int = BLOCK_BYTES) -> np.ndarray:
+    """Counts of hashed trigrams (after lower-casing A-Z), a row for each text; a text over ``piece`` bytes is counted in
+    pieces that share two bytes."""
     out = np.zeros((len(texts), buckets))
     at = 0
     while at < len(texts):
+        if len(texts[at]) > piece:
+            n = len(texts[at])
+            for low in range(-1, n - 1, piece):  # the text stands between two spaces
+                part = b" " * (low < 0) + texts[at][max(low, 0) : low + piece + 2].lower() + b" " * (low + piece + 2 > n)
+                out[at] += np.bincount(_keys(np.frombuffer(part, np.uint8), buckets), minlength=buckets)
+            at += 1
+            continue
         end, size = at, 0
-        while end < len(texts) and (end == at or size + len(texts[end]) <= BLOCK_BYTES):
+        while end < len(texts) and (end == at or size + len(texts[end]) <= piece):
             size += len(texts[end]) + 2
             end += 1
         # a text stands between two spaces; trigrams that reach into the next text are left out
-        b = np.frombuffer(b"".join(b" " + x.lower() + b" " for x in texts[at:end]), np.uint8).astype(np.uint32)
+        b = np.frombuffer(b"".join(b" " + x.lower() + b" " for x in texts[at:end]), np.uint8)
         if len(b) >= 3:
-            key = (((b[:-2] << 16 | b[1:-1] << 8 | b[2:]) * np.uint32(0x9E3779B1)) >> np.uint32(32 - buckets.bit_length() + 1)).astype(np.int64)
+            key = _keys(b, buckets)
             ends = np.cumsum([len(x) + 2 for x in texts[at:end]])
             owner = np.repeat(np.arange(end - at), np.diff(np.r_[0, ends]))[: len(key)]
             inside = np.arange(len(key)) + 3 <= ends[owner]
@@ -137,7 +156,7 @@ def mixtures(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
             for at in range(0, batch.num_rows, BLOCK):
                 part = batch.slice(at, BLOCK)
                 texts = text_bytes(part.column(1))
-                known = np.array([bool(names) and _LETTER.search(x.decode("utf-8", "replace")) is not None for x in texts])
+                known = np.array([bool(names) and has_letter(x) for x in texts])
                 pred, score, mix = [UNKNOWN] * len(texts), np.zeros(len(texts)), [[] for _ in texts]
                 rows = np.flatnonzero(known)
                 if len(rows):

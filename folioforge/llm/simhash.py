@@ -14,6 +14,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -31,25 +32,40 @@ SEED = 42
 CUTS = (0, 11, 22, 32, 43, 54, 64)
 #: Groups up to this size are compared pair by pair; larger ones are filed again.
 GROUP = 2048
+#: Bytes of a text whose words are held at once.
+PIECE = 1 << 22
+_GAP = re.compile(rb"[\x20\x09-\x0D]")
 
 
-def fingerprint(text: bytes, words: int = 3) -> int:
-    """The fingerprint of UTF-8 bytes, unsigned; 0 without a word."""
-    found = text.lower().split()  # of bytes: A-Z only, and exactly the six separators
-    if not found:
-        return 0
+def _shingle_bits(found: list[bytes], words: int) -> tuple[np.ndarray, int]:
+    """(how often each bit is set in the hashes of the shingles of some words, number of shingles)."""
+    counts, n = np.zeros(64, np.int64), max(len(found) - words + 1, 0)
+    if not n:
+        return counts, 0
     joined = b" ".join(found)
     size = np.fromiter(map(len, found), np.int64, len(found))
     end = np.cumsum(size + 1) - 1
-    if len(found) < words:
-        starts, ends = [0], [len(joined)]
-    else:
-        starts, ends = (end - size)[: len(found) - words + 1].tolist(), end[words - 1 :].tolist()
-    digest, counts = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
-    for at in range(0, len(starts), 1 << 16):
+    starts, ends, digest = (end - size)[:n].tolist(), end[words - 1 :].tolist(), xxhash.xxh64_intdigest
+    for at in range(0, n, 1 << 16):
         part = np.array([digest(joined[a:b], SEED) for a, b in zip(starts[at : at + (1 << 16)], ends[at : at + (1 << 16)], strict=True)], dtype=np.uint64)
         counts += np.unpackbits(part.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * counts > len(starts)).tobytes(), "big")
+    return counts, n
+
+
+def fingerprint(text: bytes, words: int = 3, piece: int = PIECE) -> int:
+    """The fingerprint of UTF-8 bytes, unsigned; 0 without a word. A text over ``piece`` bytes is read in pieces, cut at
+    separators, that take the last words along."""
+    counts, n, found, at = np.zeros(64, np.int64), 0, [], 0
+    while at < len(text):
+        gap = _GAP.search(text, at + piece) if len(text) - at > piece else None
+        end = gap.start() if gap else len(text)
+        found = found[-(words - 1) :] if words > 1 and n else found if not n else []
+        found += text[at:end].lower().split()  # of bytes: A-Z only, and exactly the six separators
+        more, k = _shingle_bits(found, words)
+        counts, n, at = counts + more, n + k, max(end, at + 1)
+    if not n and found:  # fewer words than a shingle has
+        counts, n = _shingle_bits([b" ".join(found)], 1)
+    return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big") if n else 0
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:

@@ -1,4 +1,5 @@
 import hashlib
+import re
 from collections import Counter
 
 import numpy as np
@@ -286,3 +287,31 @@ def test_op9_sql_with_repeated_and_null_ids(spark):
     con.execute("CREATE TABLE embeddings (vec_id BIGINT, embedding DOUBLE[], label INT)")
     con.executemany("INSERT INTO embeddings VALUES (?, ?, ?)", rows)
     assert sorted(map(str, (tuple(r) for r in got))) == sorted(map(str, con.sql(itq.ORACLE).fetchall()))
+
+
+def _plain_fingerprint(text, words=3):
+    found = [w for w in re.split(rb"[\x20\x09-\x0D]+", bytes(c + 32 if 65 <= c <= 90 else c for c in text)) if w]
+    shingles = [b" ".join(found[i : i + words]) for i in range(len(found) - words + 1)] or ([b" ".join(found)] if found else [])
+    bits = [sum(xxhash.xxh64_intdigest(s, seed=42) >> i & 1 for s in shingles) for i in range(64)]
+    return sum(1 << i for i in range(64) if 2 * bits[i] > len(shingles))
+
+
+@pytest.mark.parametrize("piece", [1, 5, 64, 10_000])
+def test_fingerprints_in_pieces(piece):
+    rng = np.random.default_rng(piece)
+    texts = [b"", b"  \n", b"One", b"one two", b"a b c", b" a\tb\x0bC d ", b"x" * 300, b"x" * 300 + b" y " + b"Z" * 99, "Привет мир é".encode() * 20, *(bytes(rng.choice(list(b"abC \n\t"), 400).tolist()) for _ in range(20))]
+    for t in texts:
+        for words in (1, 3, 5):
+            assert simhash.fingerprint(t, words, piece) == _plain_fingerprint(t, words)
+
+
+def test_memory_of_a_long_text():
+    """A text of 24 MB takes a few times its size, not 25 times."""
+    import tracemalloc
+
+    text = b"several words of a text " * 1_000_000
+    tracemalloc.start()
+    simhash.fingerprint(text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 6 * len(text)

@@ -359,3 +359,24 @@ def test_held_out_by_crc(spark, parts):
 
     got = spark.createDataFrame([(i,) for i in (0, 7, 123456789, None)], "doc_id long").select("doc_id", one_in("doc_id", parts).alias("m")).collect()
     assert all(r.m == zlib.crc32(b"" if r.doc_id is None else str(r.doc_id).encode()) % parts for r in got)
+
+
+@pytest.mark.parametrize("piece", [1, 2, 3, 7, 50])
+def test_trigrams_in_pieces(piece):
+    rng = np.random.default_rng(piece)
+    texts = [b"", b"a", b"ab", b"abc", b"ABCD", *(bytes(rng.integers(32, 127, n).tolist()) for n in (piece, piece + 1, piece + 2, 2 * piece, 40, 333)), "Привет".encode()]
+    assert (langid.trigram_counts(texts, piece=piece) == langid.trigram_counts(texts)).all()
+    for t in (b"12 3", b"12 a", "12 ж".encode(), "½".encode(), "1\U00010400".encode(), b"\xff\xfea", b""):
+        assert langid.has_letter(t, piece) == langid.has_letter(t)
+
+
+def test_memory_of_a_long_text():
+    """A text of 32 MB takes a block's memory and a few times a piece, not 38 times its size."""
+    import tracemalloc
+
+    text = b"several words of a text in one language " * 800_000
+    tracemalloc.start()
+    counts, letter = langid.trigram_counts([text]), langid.has_letter(text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert counts.sum() == len(text) and letter and peak < 6 * len(text)

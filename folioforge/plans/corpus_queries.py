@@ -296,6 +296,28 @@ _TURNS = """WITH t AS (SELECT conv_id, turn, role, '## ' || role || chr(10) || c
 _ENTRIES = """WITH e AS (SELECT 'user' || user_id AS name, 'website' AS kind, 'https://u' || user_id || '.example/' AS root, list_value('7d', 'manual', '12h', '30d', '')[user_id % 5 + 1] AS refresh,
     max(ts) AS last_synced_at, count(*) AS page_count FROM events GROUP BY user_id)"""
 
+
+
+def _flat(x: str) -> str:
+    """SQL for an element's text in markdown: no tags, entities of these pages resolved, white space collapsed, marks escaped."""
+    text = rf"trim(regexp_replace(regexp_replace(regexp_replace(replace({x}, '&quot;', chr(34)), '<[^>]*>', '', 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))"
+    return rf"regexp_replace({text}, '([\\`*_\[\]])', '\\\1', 'g')"
+
+
+#: The pages of the given tables have an article with a heading and paragraphs, some of them bold up to a break; where it is
+#: short, the whole body is shown: a list of links, a line, the article and a footer.
+_RENDERED = rf"""WITH p AS (SELECT page_id, url, {_HOST} AS source, {_PATH} AS p, html, regexp_extract(html, '(?s)<article>(.*?)</article>', 1) AS a, {_ARTICLE} < 80 AS short, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS origin,
+      regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1) AS nav FROM pages),
+    s AS (SELECT page_id, regexp_extract(a, '(?s)<h1>(.*?)</h1>', 1) AS h, string_split(regexp_replace(a, '(?s)^.*</h1>', ''), '<p>')[2:] AS parts FROM p),
+    t AS (SELECT page_id, '# ' || {_flat("h")} || coalesce((SELECT string_agg(chr(10) || chr(10) || CASE WHEN x LIKE '<b>%' THEN '**' || {_flat("x")} || '**' ELSE {_flat("x")} END, '' ORDER BY i)
+      FROM (SELECT unnest(parts) AS x, unnest(range(len(parts))) AS i) WHERE {_flat("x")} <> ''), '') AS article FROM s),
+    n AS (SELECT page_id, coalesce((SELECT string_agg('- [' || {_flat("x")} || '](' || origin || u || ')', chr(10) ORDER BY i) FROM (SELECT unnest(regexp_extract_all(nav, '<a href="([^"]*)">(.*?)</a>', 2)) AS x,
+      unnest(regexp_extract_all(nav, '<a href="([^"]*)">(.*?)</a>', 1)) AS u, unnest(range(1000)) AS i) WHERE x IS NOT NULL), '') AS links, {_flat("regexp_extract(html, '(?s)<div class=\"ad\">(.*?)</div>', 1)")} AS ad,
+      {_flat("replace(replace(regexp_extract(html, '(?s)<footer>(.*?)</footer>', 1), '&copy;', '©'), '&middot;', '·')")} AS foot FROM p),
+    m AS (SELECT page_id, CASE WHEN short THEN array_to_string(list_filter([links, ad, article, foot], lambda b: b <> ''), chr(10) || chr(10)) ELSE article END || chr(10) AS markdown FROM p JOIN t USING (page_id) JOIN n USING (page_id))
+    SELECT source, CASE WHEN p IN ('', '/') THEN 'index' ELSE {_STEM} END || '-' || page_id AS path, trim(regexp_replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '&amp;?', '&', 'g')) AS title, 'ok' AS status,
+      greatest(strlen(markdown) // 4, 1)::INT AS token_count, sha256(markdown) AS content_hash, markdown FROM p JOIN m USING (page_id)"""
+
 ORACLES = {
     "chunk_by_heading": _TURNS + " SELECT conv_id, heading, anchor, sha256(body) AS body_hash, greatest(strlen(body) // 4, 1)::INT AS token_count, ord FROM c",
     "get_outline": _TURNS + " SELECT conv_id::VARCHAR AS path, heading, anchor, ord FROM c",
@@ -329,6 +351,7 @@ ORACLES = {
         SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY i) - 1)::INT AS pos, link FROM f""",
     "render_status": rf"""SELECT CASE WHEN {_ARTICLE} < 80 AND strlen(trim(regexp_replace(regexp_replace(regexp_extract(html, '(?s)<body[^>]*>(.*)', 1), '(?s)<!--.*?-->|<(script|style)[^>]*>.*?</(script|style)>', '', 'g'), '<[^>]*>', '', 'g'))) < 80
         THEN 'empty' ELSE 'ok' END AS status, count(*) AS pages FROM pages GROUP BY 1""",
+    "render_html": _RENDERED,
     "render_title": rf"SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '&amp;?', '&', 'g')) AS title, {_ARTICLE} >= 80 AS has_h1 FROM pages",
     "tokenize_df": f"SELECT term, count(*) AS df FROM (SELECT doc_id, unnest(list_distinct({_TOKENS})) AS term FROM documents) GROUP BY term",
     "corpus_stats": f"SELECT source, count(*) AS n, sum(dl)::BIGINT AS total, round(avg(dl), 6) AS avgdl FROM (SELECT source, len({_TOKENS}) AS dl FROM documents) GROUP BY source",

@@ -47,6 +47,7 @@ def parser() -> argparse.ArgumentParser:
     page = sub.add_parser("page")
     page.add_argument("source")
     page.add_argument("path")
+    sub.add_parser("compact")
     sub.add_parser("serve").add_argument("--read-only", action="store_true")
     return p
 
@@ -84,6 +85,8 @@ def run(engine: Engine, args: argparse.Namespace, say=print) -> int:
             say(text)
         elif c == "reindex":
             say(f"{engine.reindex(args.names or None)} chunks")
+        elif c == "compact":
+            say(f"{engine.compact()} folders deleted")
         else:
             from .plans.serve import serve
 

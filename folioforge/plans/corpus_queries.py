@@ -266,11 +266,10 @@ def errors_sample(spark, sf):
 
 
 def crawl_reachable(spark, sf):
-    """Hosts reached from the first page's host, each page a link from its host to the host of the next page by number."""
-    p = table(spark, sf, "pages").select("page_id", U.host("url").alias("host"))
-    nxt = p.select((F.col("page_id") - 1).alias("page_id"), F.col("host").alias("dst"))
-    links = p.join(nxt, "page_id").select(F.col("host").alias("src"), "dst").distinct()
-    start = p.where("page_id = 1").select(F.col("host").alias("node"))
+    """Addresses reached over the links of pages, from the first page of each host."""
+    p = table(spark, sf, "pages").select("page_id", U.host("url").alias("host"), U.without("url", query=True).alias("url"), U.hrefs("html", "url").alias("links"))
+    links = p.select(F.col("url").alias("src"), F.explode("links").alias("dst")).distinct()
+    start = p.groupBy("host").agg(F.min_by("url", "page_id").alias("node"))
     return discover.reachable(links, start).select("node", F.col("depth").cast("int").alias("depth"))
 
 
@@ -377,8 +376,10 @@ ORACLES = {
     "robots_sitemaps": r"SELECT DISTINCT page_id, unnest(regexp_extract_all(body, '(?im)^Sitemap:\s*(\S+)\s*$', 1)) AS sitemap FROM (SELECT page_id, " + ROBOTS + " AS body FROM pages)",
     "largest_strategy": f"WITH c AS (SELECT {STRATEGIES} AS strategy, url, page_id AS pos FROM pages) SELECT strategy, url, pos FROM c WHERE strategy = (SELECT strategy FROM c GROUP BY strategy ORDER BY count(*) DESC, strategy LIMIT 1)",
     "errors_sample": "SELECT source, count(*) AS n_errors, min_by(error, url) AS first_error, array_to_string(list(error ORDER BY url)[1:3], ';') AS sample FROM (SELECT url, " + ", ".join(f"{x} AS {n}" for n, x in FAILED.items()) + " FROM pages) WHERE error IS NOT NULL GROUP BY source",
-    "crawl_reachable": rf"""WITH RECURSIVE p AS (SELECT page_id, {_HOST} AS host FROM pages), l AS (SELECT DISTINCT a.host AS src, b.host AS dst FROM p a JOIN p b ON b.page_id = a.page_id + 1),
-        n AS (SELECT count(DISTINCT host) AS hosts FROM p),
-        r AS (SELECT host AS node, 0 AS depth FROM p WHERE page_id = 1 UNION SELECT l.dst, r.depth + 1 FROM r JOIN l ON l.src = r.node, n WHERE r.depth < hosts)
+    "crawl_reachable": rf"""WITH RECURSIVE p AS (SELECT page_id, {_HOST} AS host, regexp_replace(url, '[?#].*$', '') AS url, html FROM pages),
+        h AS (SELECT url, regexp_replace(unnest(regexp_extract_all(html, '(?i)href=["'']([^"'']+)["'']', 1)), '[?#].*$', '') AS l FROM p),
+        l AS (SELECT DISTINCT url AS src, CASE WHEN l LIKE 'http%' THEN l ELSE regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || l END AS dst FROM h),
+        n AS (SELECT count(*) AS pages FROM p),
+        r AS (SELECT min_by(url, page_id) AS node, 0 AS depth FROM p GROUP BY host UNION SELECT l.dst, r.depth + 1 FROM r JOIN l ON l.src = r.node, n WHERE r.depth < pages)
         SELECT node, min(depth)::INT AS depth FROM r GROUP BY node""",
 }

@@ -101,6 +101,11 @@ class Engine:
         self.store.save_entries(catalog.removed(self.store.entries(), name))
         self.store.remove_source(name, keep_pages)
 
+    def compact(self) -> int:
+        """Merge what updates have left of the index and delete what no search needs any more."""
+        self._changing()
+        return self.store.compact_index()
+
     def reindex(self, sources: list[str] | None = None) -> int:
         self._changing()
         return ingest.rebuilt(self.store, sources).count()

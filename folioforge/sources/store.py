@@ -110,6 +110,11 @@ class Store:
         """Chunks of added and changed pages; those that pages of ``gone(source, path)`` had go."""
         segments.update(search.build(chunks), gone, f"{self.root}/index")
 
+    def compact_index(self) -> int:
+        """One segment, and nothing left that it does not need; readers must be done. -> folders deleted."""
+        segments.merge(self.spark, f"{self.root}/index", whole=True)
+        return len(segments.vacuum(self.spark, f"{self.root}/index"))
+
     def remove_source(self, source: str, keep_documents: bool = False) -> None:
         """Chunks and postings of a source, and its documents unless they are kept."""
         segments.remove(self.spark, f"{self.root}/index", [source])

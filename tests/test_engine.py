@@ -76,7 +76,7 @@ def test_names(engine):
 def test_read_only(spark, root):
     e = Engine(spark, f"file://{root}/store", read_only=True)
     assert e.tools == ["search_docs", "get_page", "list_sources", "get_outline"] and len(Engine(spark, "x").tools) == 7
-    for f in (lambda: e.add_source("o/r"), e.refresh_source, lambda: e.remove_source("docs"), e.reindex):
+    for f in (lambda: e.add_source("o/r"), e.refresh_source, lambda: e.remove_source("docs"), e.reindex, e.compact):
         with pytest.raises(ReadOnly):
             f()
     assert e.list_sources(NOW).count() == 3
@@ -118,6 +118,17 @@ def test_stream(spark, engine, root):
     assert spark.table("rates").groupBy().sum("pages").first()[0] == 5
 
 
+def test_compact(engine):
+    """Updates leave segments; one is left of them, and searches find the same."""
+    from folioforge.operators import segments
+
+    hits = lambda: [(h.source, h.path, round(h.score, 9)) for h in engine.search_docs("page advanced content").collect()]
+    before, path = hits(), f"{engine.store.root}/index"
+    assert len(segments.current(engine.store.spark, path).segments) > 1 and before
+    assert engine.compact() > 0 and len(segments.current(engine.store.spark, path).segments) == 1 and hits() == before
+    assert engine.compact() >= 0 and hits() == before
+
+
 def test_remove(engine):
     engine.remove_source("docs", keep_pages=True)
     assert engine.store.documents().where("source = 'docs'").count() == 1 and engine.store.index().chunks.where("source = 'docs'").count() == 0

@@ -149,3 +149,9 @@ def test_batch_of_few_and_of_many(spark, chunks, monkeypatch, most):
     want = {(q, p): s for q, text in ((4, rows[5][1]), (1, "state state hook state"), (None, "hook")) for p, s, _ in gold(DOCS, text)}
     assert got == pytest.approx(want, abs=1e-9)
     assert search.search_batch(index, queries.limit(0)).collect() == []
+
+
+def test_sanitized_column_is_the_function(spark):
+    cases = ["react hooks", "useState()", 'say "hello" world', "", "   ", "()", "(a) b: *c*", "'x' \"y", "a b c", "don't (stop)", "\t*\n:", "é:é", '""', "a\"b"]
+    df = spark.createDataFrame([(c,) for c in cases] + [(None,)], "q string").select("q", search.sanitized_column("q").alias("s"), search.phrases_column("q").alias("p"))
+    assert {r.q: (r.s, r.p) for r in df.collect()} == {c: (search.sanitized(c), search.phrases(c)) for c in cases} | {None: ("", [])}

@@ -20,6 +20,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, replace
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
@@ -29,6 +30,7 @@ from pyspark.sql import functions as F
 from ..functions import porter
 from ..functions.tokens import tokenize, tokens
 from ..sources.shared import settled
+from . import tallies
 
 K1, B = 1.2, 0.75
 #: What an inverse document frequency that is not positive counts as.
@@ -56,6 +58,8 @@ class Index:
     #: (source, chunk_id, term), each once, of an index that is not saved; (source, stem, df) of a saved one.
     pairs: DataFrame | None = None
     stems: DataFrame | None = None
+    #: The chunks with their tokens, of an index that is not saved.
+    tokenised: DataFrame | None = None
 
 
 def chunk_id(*extra: Column | str) -> Column:
@@ -100,7 +104,7 @@ def build(chunks: DataFrame, stemmed: bool = True) -> Index:
     posts, sizes = postings(chunks), lengths(chunks)
     stats = sizes.groupBy("source").agg(F.count("*").alias("n_all"), F.sum("dl").alias("total"))
     pairs = chunks.select(*KEY, F.explode(F.array_distinct(F.flatten("tokens_"))).alias("term"))
-    return Index(chunks.drop("tokens_"), posts, sizes, vocabulary(posts, stemmed), stats, stemmed, posts.select("term").distinct(), pairs)
+    return Index(chunks.drop("tokens_"), posts, sizes, vocabulary(posts, stemmed), stats, stemmed, posts.select("term").distinct(), pairs, tokenised=chunks)
 
 
 def stem_counts(pairs: DataFrame, words: DataFrame) -> DataFrame:
@@ -258,13 +262,35 @@ def scored(index: Index, plans: dict, kind: str, scope: str = "source", sources:
         return None
     some = lambda df: df.where(F.col("source").isin(sources)) if sources else df
     if sources and scope == "source":  # all that counts lies in the partitions of these sources
-        index = replace(index, postings=some(index.postings), stats=some(index.stats), stems=some(index.stems) if index.stems is not None else None, terms=None)
+        index = replace(index, postings=some(index.postings), stats=some(index.stats), stems=some(index.stems) if index.stems is not None else None, terms=None, tokenised=None)
     counts = unit_counts(index, units)
     asked = _rows(index.chunks.sparkSession, uses, f"query {kind}, unit int, times int")
-    rows = some(weighed(counts, index, units, scope)).join(asked, "unit")
+    rows = some(weighed(counts, index, units, scope))
+    if len(uses) > len(units):  # many queries share units: a chunk's parts are dealt, not what each query makes of them
+        rows = rows.repartition(*KEY)
+    rows = rows.join(asked, "unit")
     return rows.groupBy("query", *KEY).agg((-F.sum(F.col("part") * F.col("times"))).alias("score"))
 
 
+def _near(index: Index, plans: dict, kind: str, limit: int) -> DataFrame | None:
+    """(query, source, chunk_id, score) of whatever can be among the best of each query, by statistics of all chunks, from
+    the tokens of an index that is not saved. No pair of query and chunk is shuffled but the best of each task."""
+    units, uses = _units(plans)
+    if not units:
+        return None
+    spark, asked = index.chunks.sparkSession, tallies.Asked(units, index.stemmed)
+    all_ = index.stats.agg(F.sum("n_all").alias("n"), F.sum("total").alias("total")).first()
+    if not all_.n:
+        return None
+    n = np.zeros(asked.n)
+    for r in tallies.unit_df(index.tokenised, asked).collect():
+        n[r.unit] = r.n
+    idf = np.log((all_.n - n + 0.5) / (n + 0.5))
+    number = {q: i for i, q in enumerate(plans)}
+    rows = tallies.best_of(index.tokenised, asked, [(number[q], u, t) for q, u, t in uses], np.where(idf > 0, idf, LEAST_IDF), all_.total / all_.n, K1, B, limit)
+    return settled(rows, "scores").join(_rows(spark, [(i, q) for q, i in number.items()], f"n long, query {kind}"), "n").select("query", *KEY, "score")
+
+
 def best(rows: DataFrame, index: Index, limit: int = LIMIT, offset: int = 0, by: tuple[str, ...] = ("query", "source"), whole: bool = False) -> DataFrame:
     """The best ``limit`` rows of each group with rank from 1; ties by source, path and place. limit 0 or less is 10.
 
@@ -313,7 +339,8 @@ def search(index: Index, query: str, sources: list[str] | None = None, limit: in
 def search_batch(index: Index, queries: DataFrame, limit: int = LIMIT, scope: str = "global") -> DataFrame:
     """Hits of any number of queries(query_id, query) at once: (query_id, source, path, ord, score, rank).
 
-    A unit is counted and weighed once for all queries that have it. Up to LITERALS queries are planned on the driver, more
+    A unit is counted and weighed once for all queries that have it; an index that is not saved is scored by slices of its
+    chunks, each of which gives its best. Up to LITERALS queries are planned on the driver, more
     stay a table whose phrases and stems are columns. Rows with one id are one query, null ids too; blank and null queries
     have no hits.
     """
@@ -323,7 +350,7 @@ def search_batch(index: Index, queries: DataFrame, limit: int = LIMIT, scope: st
         plans: dict = {}
         for n, r in enumerate(few):
             plans.setdefault(r.query_id, []).extend(((n, phrase), *rest) for phrase, *rest in _plan(r.query or "", index.stemmed))
-        rows = scored(index, plans, kind, scope)
+        rows = _near(index, plans, kind, limit if limit > 0 else LIMIT) if index.tokenised is not None and scope == "global" else scored(index, plans, kind, scope)
         if rows is None:
             rows = index.lengths.where("false").select(F.lit(None).cast(kind).alias("query"), *KEY, F.lit(0.0).alias("score"))
     else:

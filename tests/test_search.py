@@ -155,3 +155,42 @@ def test_sanitized_column_is_the_function(spark):
     cases = ["react hooks", "useState()", 'say "hello" world', "", "   ", "()", "(a) b: *c*", "'x' \"y", "a b c", "don't (stop)", "\t*\n:", "é:é", '""', "a\"b"]
     df = spark.createDataFrame([(c,) for c in cases] + [(None,)], "q string").select("q", search.sanitized_column("q").alias("s"), search.phrases_column("q").alias("p"))
     assert {r.q: (r.s, r.p) for r in df.collect()} == {c: (search.sanitized(c), search.phrases(c)) for c in cases} | {None: ("", [])}
+
+
+def test_batch_sends_only_the_best(spark, chunks, monkeypatch, tmp_path):
+    """Pairs of query and chunk stay in their task but for its best; what comes out is as from a saved index, phrases and ties too."""
+    many = chunks.crossJoin(spark.range(40).withColumnRenamed("id", "copy")).withColumns({"path": F.concat("path", F.col("copy").cast("string")), "body": F.concat("body", F.repeat(F.lit(" padding"), (F.col("copy") % 7).cast("int")))}).drop("copy").repartition(2)
+    index, sent, settled = search.build(many), [], search.settled
+    queries = spark.createDataFrame([(i, q) for i, q in enumerate(QUERIES)] * 2 + [(50 + i, "state effects theme") for i in range(20)] + [(None, "rendered")], "query_id int, query string")
+
+    def spied(df, name):
+        out = settled(df, name)
+        if name == "scores":
+            sent.append(out.count())
+        return out
+
+    monkeypatch.setattr(search, "settled", spied)
+    key = lambda i: sorted((repr(r.query_id), r.path, round(r.score, 9), r["rank"]) for r in search.search_batch(i, queries, limit=3).collect())
+    got = key(index)
+    pairs = search.scored(index, {i: search._plan(q, True) for i, q in enumerate(QUERIES)}, "int", "global").count()
+    assert len(sent) == 1 and sent[0] < pairs
+    search.save(index, f"file://{tmp_path}/index")
+    assert got == key(search.load(spark, f"file://{tmp_path}/index"))
+
+
+def test_tallies_in_small_slices(spark, chunks, monkeypatch):
+    """Runs and counts of stems do not depend on how tokens are cut; a phrase does not go on in the next text."""
+    from folioforge.operators import tallies
+
+    index = search.build(chunks.unionByName(chunks.limit(1).withColumns({"body": F.lit(""), "title": F.lit(""), "path": F.lit("none"), "heading_path": F.array().cast("array<string>")})))
+    batch = index.tokenised.toArrow().to_batches()
+    for size in (1, 7, 1 << 20):
+        monkeypatch.setattr(tallies, "SLICE", size)
+        pieces = [p for b in batch for p in tallies._pieces(iter([b]))]
+        assert sum(len(p.rows) for p in pieces) == index.chunks.count() and sum(len(p.term) for p in pieces) == index.postings.count()
+    monkeypatch.undo()
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(tallies.runs(index.tokenised).select("source", "term", F.inline("run")).select("source", "chunk_id", "dl", "col", "pos", "term")) == rows(index.postings.select("source", "chunk_id", "dl", "col", "pos", "term"))
+    told = tallies.told(index.tokenised)
+    assert rows(told.where("term is null").groupBy("source", "stem").agg(F.sum("df"))) == rows(search.stem_counts(index.pairs, index.vocabulary))
+    assert rows(told.where("term is not null").select("term", "stem").distinct()) == rows(index.vocabulary)

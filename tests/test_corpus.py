@@ -191,3 +191,9 @@ def test_time_grows_with_length(spark):
         n = chunking.chunk(df).agg(F.count("*"), F.max("anchor")).first()[0]
         flat = chunking.flat_outline(df).count()
         assert time.time() - began < 20 and (n, flat)[0] > 0
+
+
+def test_titles_resolve_entities():
+    """As the text of a parsed tree; the SQL of html_title, render_title and render_html leaves &quot; in titles as it is."""
+    page = "<html><head><title> a &quot;b&quot; &amp; c &quo</title></head><body></body></html>"
+    assert html.title(html.parse(page)) == 'a "b" & c &quo'

@@ -10,6 +10,8 @@ import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 PATTERN = r"[\p{L}\p{N}\p{Co}\p{M}]+"
 _RUN = regex.compile(PATTERN)
 
@@ -33,14 +35,21 @@ def folding() -> tuple[str, str]:
 
 def folded(x: Column) -> Column:
     a, b = folding()
-    return F.translate(F.lower(x), a, b)
+    low = F.lower(x)
+    return F.when(F.octet_length(low) == F.length(low), low).otherwise(F.translate(low, a, b))  # ASCII has nothing to fold
 
 
 def tokens(x: Column | str) -> Column:
     """Tokens of a text in order, not stemmed; marks that stand alone inside a token go."""
     x = F.col(x) if isinstance(x, str) else x
-    found = F.regexp_extract_all(folded(F.coalesce(x, F.lit(""))), F.lit(PATTERN), F.lit(0))
-    return F.filter(F.transform(found, lambda t: F.when(t.rlike(r"\p{M}"), F.regexp_replace(t, r"\p{M}", "")).otherwise(t)), lambda t: t != "")
+
+    def found(text: Column) -> Column:
+        plain = F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
+        bare = F.filter(F.transform(plain, lambda t: F.regexp_replace(t, r"\p{M}", "")), lambda t: t != "")
+        # a text is asked once, not each of its tokens
+        return F.when((F.octet_length(text) == F.length(text)) | ~text.rlike(r"\p{M}"), plain).otherwise(bare)
+
+    return let(folded(F.coalesce(x, F.lit(""))), found)
 
 
 def tokenize(text: str) -> list[str]:

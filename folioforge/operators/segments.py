@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.shared import settled
-from . import search
+from . import search, tallies
 
 _SEGMENT = "segment string, source string"
 SCHEMAS = {
@@ -130,6 +130,10 @@ def _write(index: search.Index, path: str, name: str, table: str) -> None:
     writes files for the few sources of its range only. Chunks are sorted by their ids, so that few row groups of a file
     are read for the best hits."""
     df = {"chunks": index.chunks, "lengths": index.lengths, "postings": index.postings, "stats": index.stats, "stems": index.stems, "words": index.vocabulary}[table]
+    if table == "postings" and index.tokenised is not None:  # runs are dealt and sorted, which are far fewer than tokens
+        dealt = tallies.runs(index.tokenised).repartitionByRange("source", "term", "first").sortWithinPartitions("source", "term")
+        dealt.select("source", "term", F.inline("run")).select("chunk_id", "dl", "col", "pos", "term", "source").write.mode("overwrite").partitionBy("source").parquet(f"{path}/{table}/segment={name}")
+        return
     if table == "postings":
         df = df.repartitionByRange("source", "term", "chunk_id")
     df = df.sortWithinPartitions(*{"chunks": ["source", "chunk_id"], "lengths": ["source", "chunk_id"], "postings": ["source", "term", "chunk_id"], "stats": ["source"], "stems": ["source", "stem"], "words": ["stem"]}[table])
@@ -140,11 +144,15 @@ def _write(index: search.Index, path: str, name: str, table: str) -> None:
 def _segment(index: search.Index, path: str, state: State, less: search.Index | None = None) -> tuple[str, State]:
     """Write a segment and its new words, its stems' counts less those of ``less``; the state that has it too."""
     spark, name = index.chunks.sparkSession, uuid.uuid4().hex
-    words = settled(index.vocabulary, "words")
+    counted = lambda t: t.where("term is null").groupBy("source", "stem").agg(F.sum("df").alias("df"))
+    if index.tokenised is not None:
+        told = settled(tallies.told(index.tokenised, index.stemmed), "told")
+        words, stems = settled(told.where("term is not null").select("term", "stem").distinct(), "words"), counted(told)
+    else:
+        words, stems = settled(index.vocabulary, "words"), index.stems
     old = _read(spark, path, state, "words")
-    stems = index.stems if index.stems is not None else search.stem_counts(index.pairs, words)
     if less is not None:
-        stems = stems.unionByName(search.stem_counts(less.pairs, less.vocabulary).withColumn("df", -F.col("df"))).groupBy("source", "stem").agg(F.sum("df").alias("df")).where("df != 0")
+        stems = stems.unionByName(counted(tallies.told(less.tokenised, less.stemmed)).withColumn("df", -F.col("df"))).groupBy("source", "stem").agg(F.sum("df").alias("df")).where("df != 0")
     index = replace(index, stems=stems, vocabulary=words.join(old.select("term"), "term", "left_anti") if state.tables.get("words") else words)
     for table in SCHEMAS:
         _write(index, path, name, table)

@@ -173,3 +173,12 @@ def test_documents_through_the_store(spark, tmp_path):
     segments.update(search.build(chunking.chunk(new.join(changes.where("change != 'removed'"), ["source", "path"], "left_semi"))), changes, path)
     a, b = (sorted((h.source, h.path, round(h.score, 9)) for h in search.search(i, "pathetic worthless (idiot)", with_snippet=False).collect()) for i in (segments.load(spark, path), search.build(chunking.chunk(new))))
     assert a == b and a
+
+
+def test_a_save_takes_runs_and_sums(spark, path):
+    """Neither a row for each token nor each chunk's terms are dealt: runs of postings and sums of stems are."""
+    from dataclasses import replace
+
+    rows = [("a", "p", "alpha beta alpha betas"), ("b", "q", "gamma delta alpha"), ("a", "r", "beta")]
+    search.save(replace(search.build(chunks(spark, rows)), postings=None, pairs=None, vocabulary=None, terms=None), path)
+    same_as_rebuilt(spark, path, rows, hits=False)

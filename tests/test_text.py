@@ -1,3 +1,4 @@
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 from folioforge.functions import text as T
 from folioforge.functions import urls as U
 from folioforge.functions.porter import stem
-from folioforge.functions.tokens import tokenize
+from folioforge.functions.tokens import tokenize, tokens
 
 
 def one(spark, fn, *xs):
@@ -98,3 +99,22 @@ def test_tokens():
 def test_stem_never_fails(word):
     for t in tokenize(word):
         assert isinstance(stem(t), str)
+
+
+def test_stems_of_many_words():
+    """Kinds of letters as letter by letter, y by what is before it."""
+    from folioforge.functions import porter
+
+    rng = random.Random(4)
+    for _ in range(5000):
+        w = "".join(rng.choice("aeybcdst") for _ in range(rng.randint(1, 9)))
+        slow = []
+        for i, c in enumerate(w):
+            slow.append("c" if c not in "aeiou" and not (c == "y" and i > 0 and slow[i - 1] == "c") else "v")
+        assert porter._kinds(w) == "".join(slow)
+
+
+def test_tokens_with_and_without_marks(spark):
+    rows = ["Plain ASCII, 1 2", "Caf\u00e9 D\u00e9j\u00e0", "cafe\u0301 \u0301 x", "\u0301", "", None, "Stra\u00dfe \u1ec7 e\u0302\u0323"]
+    df = spark.createDataFrame([(r,) for r in rows], "t string")
+    assert [r.x for r in df.select(tokens("t").alias("x")).collect()] == [tokenize(r or "") for r in rows]

@@ -47,9 +47,10 @@ def newest(stored: DataFrame) -> DataFrame:
 
 def term_counts(documents: DataFrame) -> DataFrame:
     """(source, term, df, tf) of documents(source, markdown)."""
-    words = documents.select("source", F.explode(F.transform(F.array_distinct(tokens("markdown")), lambda t: t)).alias("term"), F.lit(1).alias("df"), F.lit(0).alias("tf"))
-    every = documents.select("source", F.explode(tokens("markdown")).alias("term"), F.lit(0).alias("df"), F.lit(1).alias("tf"))
-    return words.unionByName(every).groupBy("source", "term").agg(F.sum("df").cast("long").alias("df"), F.sum("tf").cast("long").alias("tf"))
+    found = documents.select("source", tokens("markdown").alias("t"))
+    entry = lambda df, tf: lambda t: F.struct(t.alias("term"), F.lit(df).alias("df"), F.lit(tf).alias("tf"))
+    each = found.select("source", F.inline(F.concat(F.transform(F.array_distinct("t"), entry(1, 0)), F.transform("t", entry(0, 1)))))
+    return each.groupBy("source", "term").agg(F.sum("df").cast("long").alias("df"), F.sum("tf").cast("long").alias("tf"))
 
 
 def taken(spark: SparkSession, arrived: DataFrame, out: str, batch: int, how: dict) -> dict[str, int]:

@@ -156,3 +156,11 @@ def test_link_audit_plan(spark):
 
 def test_link_audit_config(spark):
     assert config(spark, "jobs/link_audit.json", link_audit.CONFIG) == link_audit.CONFIG
+
+
+def test_texts_are_tokenised_once_for_both_counts(spark):
+    docs = spark.createDataFrame([("a", "x y x"), ("a", "x"), (None, "é z"), ("b", ""), ("b", None)], "source string, markdown string")
+    counts = refresh_index.term_counts(docs)
+    assert sorted(map(str, (tuple(r) for r in counts.collect()))) == sorted(map(str, [("a", "x", 2, 3), ("a", "y", 1, 1), (None, "e", 1, 1), (None, "z", 1, 1)]))
+    plan = counts._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan and plan.count("Generate") == 1

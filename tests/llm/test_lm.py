@@ -180,3 +180,7 @@ def test_pieces():
         cut = list(lm.pieces(text, size))
         assert b"".join(cut) == text and [w for p in cut for w in p.split()] == text.split()
     assert list(lm.pieces(b"")) == [b""]
+
+
+def test_production_uses_three_words():
+    assert lm.ORDER >= 3

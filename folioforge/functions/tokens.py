@@ -35,8 +35,8 @@ def folding() -> tuple[str, str]:
 
 def folded(x: Column) -> Column:
     a, b = folding()
-    low = F.lower(x)
-    return F.when(F.octet_length(low) == F.length(low), low).otherwise(F.translate(low, a, b))  # ASCII has nothing to fold
+    # ASCII has nothing to fold
+    return let(F.lower(x), lambda low: F.when(F.octet_length(low) == F.length(low), low).otherwise(F.translate(low, a, b)))
 
 
 def tokens(x: Column | str) -> Column:

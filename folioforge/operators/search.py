@@ -18,7 +18,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -70,21 +70,32 @@ def tokenized(chunks: DataFrame) -> DataFrame:
     """Chunks with chunk_id and tokens_, the tokens of title, heading path and body. Written in between, it saves
     ``build`` from tokenising the same text for postings, lengths and vocabulary."""
     texts = (F.col("title"), F.array_join("heading_path", SEPARATOR), F.col("body"))
-    return chunks.withColumns({"chunk_id": chunk_id(), "tokens_": F.array(*(tokens(x) for x in texts))})
+    return chunks.withColumns({"chunk_id": chunk_id(), "tokens_": F.array(*(tokens(x) for x in texts))}).withColumn("dl_", _sizes())
 
 
 def postings(chunks: DataFrame) -> DataFrame:
     """A row for each token of tokenised chunks; no shuffle."""
-    return chunks.select(*KEY, _dl().alias("dl"), F.posexplode("tokens_").alias("col", "t")).select(*KEY, "dl", "col", F.posexplode("t").alias("pos", "term"))
+    return chunks.select(*KEY, _dl(chunks).alias("dl"), F.posexplode("tokens_").alias("col", "t")).select(*KEY, "dl", "col", F.posexplode("t").alias("pos", "term"))
 
 
-def _dl() -> Column:
+def _some_postings(chunks: DataFrame, terms: list[str]) -> DataFrame:
+    """``postings`` of a few terms: other tokens go before they become rows."""
+    some = lambda t: F.filter(F.transform(t, lambda x, i: F.when(x.isin(terms), F.struct(i.alias("pos"), x.alias("term")))), lambda s: s.isNotNull())
+    return chunks.select(*KEY, _dl(chunks).alias("dl"), F.posexplode("tokens_").alias("col", "t")).select(*KEY, "dl", "col", F.inline(some(F.col("t"))))
+
+
+def _sizes() -> Column:
     return F.aggregate("tokens_", F.lit(0), lambda n, t: n + F.size(t)).cast("long")
 
 
+def _dl(chunks: DataFrame) -> Column:
+    """Tokens of a chunk, as ``tokenized`` counted them."""
+    return F.col("dl_") if "dl_" in chunks.columns else _sizes()
+
+
 def lengths(chunks: DataFrame) -> DataFrame:
     """Tokens of each chunk over the three columns."""
-    return chunks.select(*KEY, "path", "ord", _dl().alias("dl"))
+    return chunks.select(*KEY, "path", "ord", _dl(chunks).alias("dl"))
 
 
 def vocabulary(terms: DataFrame, stemmed: bool = True) -> DataFrame:
@@ -104,7 +115,7 @@ def build(chunks: DataFrame, stemmed: bool = True) -> Index:
     posts, sizes = postings(chunks), lengths(chunks)
     stats = sizes.groupBy("source").agg(F.count("*").alias("n_all"), F.sum("dl").alias("total"))
     pairs = chunks.select(*KEY, F.explode(F.array_distinct(F.flatten("tokens_"))).alias("term"))
-    return Index(chunks.drop("tokens_"), posts, sizes, vocabulary(posts, stemmed), stats, stemmed, posts.select("term").distinct(), pairs, tokenised=chunks)
+    return Index(chunks.drop("tokens_", "dl_"), posts, sizes, vocabulary(posts, stemmed), stats, stemmed, posts.select("term").distinct(), pairs, tokenised=chunks)
 
 
 def stem_counts(pairs: DataFrame, words: DataFrame) -> DataFrame:
@@ -181,6 +192,12 @@ def planned(queries: DataFrame, stemmed: bool = True) -> DataFrame:
     return units.groupBy("query", F.xxhash64("stems").alias("unit"), "stems").agg(F.count("*").cast("int").alias("times"))
 
 
+def _beginning(stem: str) -> str:
+    """What all terms with a stem begin with: it is a term's beginning, but for a last e or i, or the l of a last bl, which
+    stemming may put there."""
+    return stem[:-1] if stem.endswith(("e", "i", "bl")) else stem
+
+
 def _counts(posts: DataFrame, wanted: DataFrame) -> DataFrame:
     """``unit_counts`` for units in a table (term, unit, place, size), which may be many."""
     one = posts.join(wanted.where("size = 1").select("term", "unit"), "term").groupBy(*KEY, "dl", "unit").agg(F.count("*").alias("f"))
@@ -198,7 +215,8 @@ def _rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
 def unit_counts(index: Index, units: list[tuple]) -> DataFrame:
     """(source, chunk_id, dl, unit, f): how often each unit stands in each chunk, in any one column.
 
-    Terms of the units' stems come to the driver first; up to LITERALS of them select postings as literals. A token of
+    Terms of the units' stems come to the driver first; up to LITERALS of them select postings as literals. An index that
+    is not saved has its tokens in arrays: only those terms become rows, once, and are written. A token of
     a unit of several votes for the position where the unit would start; starts with all votes count.
     """
     spark = index.chunks.sparkSession
@@ -208,13 +226,22 @@ def unit_counts(index: Index, units: list[tuple]) -> DataFrame:
         terms = _rows(spark, found, "term string, stem string")
     else:
         known = index.vocabulary
-        if index.terms is not None and len(stems) <= LITERALS:  # a stem is a term's beginning but for its last letter
-            known = vocabulary(index.terms.where(F.col("term").rlike("^(?:" + "|".join(sorted({regex.escape(t[:-1]) for t in stems})) + ")")))
+        if len(stems) <= LITERALS and (index.terms is not None or index.tokenised is not None):
+            starts = sorted({_beginning(t) for t in stems})
+            # a few beginnings are compared as bytes, which costs far less a token than a pattern
+            begins = (lambda t: reduce(Column.__or__, [t.startswith(b) for b in starts])) if len(starts) <= 8 else (lambda t: t.rlike("^(?:" + "|".join(map(regex.escape, starts)) + ")"))
+            if index.tokenised is not None:
+                some = index.tokenised.select(F.explode(F.filter(F.flatten("tokens_"), begins)).alias("term"))
+            else:
+                some = index.terms.where(begins(F.col("term")))
+            known = vocabulary(some)
         terms = known.where(F.col("stem").isin(stems)) if len(stems) <= LITERALS else known.join(spark.createDataFrame([(t,) for t in stems], "stem string"), "stem")
         terms = terms.select("term", "stem").distinct()  # writers at one time may have added a term twice
         found = [tuple(r) for r in terms.limit(LITERALS + 1).collect()]
     if len(found) <= LITERALS:
-        posts, terms = index.postings.where(F.col("term").isin([t for t, _ in found])), _rows(spark, found, "term string, stem string")
+        few = [t for t, _ in found]
+        posts = settled(_some_postings(index.tokenised, few), "hits") if index.tokenised is not None else index.postings.where(F.col("term").isin(few))
+        terms = _rows(spark, found, "term string, stem string")
     else:
         posts = index.postings
     hit = posts.join(terms, "term")
@@ -262,7 +289,7 @@ def scored(index: Index, plans: dict, kind: str, scope: str = "source", sources:
         return None
     some = lambda df: df.where(F.col("source").isin(sources)) if sources else df
     if sources and scope == "source":  # all that counts lies in the partitions of these sources
-        index = replace(index, postings=some(index.postings), stats=some(index.stats), stems=some(index.stems) if index.stems is not None else None, terms=None, tokenised=None)
+        index = replace(index, postings=some(index.postings), stats=some(index.stats), stems=some(index.stems) if index.stems is not None else None, terms=None, tokenised=some(index.tokenised) if index.tokenised is not None else None)
     counts = unit_counts(index, units)
     asked = _rows(index.chunks.sparkSession, uses, f"query {kind}, unit int, times int")
     rows = some(weighed(counts, index, units, scope))

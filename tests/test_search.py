@@ -3,7 +3,7 @@ import sqlite3
 import pytest
 from pyspark.sql import functions as F
 
-from folioforge.operators import search
+from folioforge.operators import chunking, search
 
 DOCS = [
     ("react", "a", "Hooks", ["useState"], "useState is a hook. It returns state: a value and a setter for running updates."),
@@ -194,3 +194,21 @@ def test_tallies_in_small_slices(spark, chunks, monkeypatch):
     told = tallies.told(index.tokenised)
     assert rows(told.where("term is null").groupBy("source", "stem").agg(F.sum("df"))) == rows(search.stem_counts(index.pairs, index.vocabulary))
     assert rows(told.where("term is not null").select("term", "stem").distinct()) == rows(index.vocabulary)
+
+
+def test_few_terms_become_rows(spark):
+    """Of an index that is not saved only the tokens that a query asks for leave their arrays; terms that share a stem begin alike."""
+    words = "valency valencies sensibility sensible hoping hope hopes hopped pony ponies of off offer to too towed that thatched relational digitizer agree agreed fly flies".split()
+    for w in words:
+        assert w.startswith(search._beginning(search.porter.stem(w)))
+    assert [search._beginning(s) for s in ("of", "to", "hope", "poni", "sensibl")] == ["of", "to", "hop", "pon", "sensib"]
+    docs = spark.createDataFrame([("s", f"u{i}", f"p{i}", "", " ".join(words[i:] + words[: i % 3]) + " \u00a0") for i in range(len(words))], "source string, url string, path string, title string, markdown string")
+    chunks = search.tokenized(chunking.chunk(docs, min_body=1)).cache()
+    index = search.build(chunks)
+    rows = lambda df: sorted(map(tuple, df.select("source", "chunk_id", "dl", "col", "pos", "term").collect()))
+    assert rows(search._some_postings(chunks, ["of", "hopes"])) == rows(search.postings(chunks).where(F.col("term").isin("of", "hopes")))
+    units = [(0, 0, 1, "hope"), (1, 0, 1, "poni"), (2, 0, 2, "of"), (2, 1, 2, "off")]
+    counted = lambda x: sorted(map(tuple, search.unit_counts(x, units).select("source", "chunk_id", "dl", "unit", "f").collect()))
+    found = search.unit_counts(index, units)
+    assert "tokens_" not in found._jdf.queryExecution().optimizedPlan().toString()  # the hits are written; no use reads all tokens again
+    assert counted(index) == counted(search.replace(index, tokenised=None, terms=None)) != []

@@ -4,14 +4,16 @@ Rotations are learned on a bounded sample of each dimension so that signs of the
 rotated vectors make balanced codes. Codes are filed in multi-index tables, under a
 substring of ``WIDTH`` bits, more in a large label, and the label; vectors that meet in a bucket are
 compared by their original components, in double precision. The sample also says how
-many tables find ``RECALL`` of the pairs that only just link. Vectors of a label that
-are no more blocks of ``GROUP`` than tables are one bucket, so all their pairs are
-compared. A pair counts in the
+many tables find ``RECALL`` of the pairs that only just link. An exact check follows: the
+last bucket of a label holds all its vectors, so links are those of brute force whatever
+the size. Vectors of a label that are no more blocks of ``GROUP`` than tables have that
+bucket only. A pair counts in the
 first table where it meets only, so counts need no list of pairs: a bucket gives
 each vector's number of links and a spanning star of its links.
 
-Equal vectors are one class from the start. A bucket of over ``GROUP`` classes is cut
-into blocks, and each pair of blocks is a group of its own.
+Equal vectors are one class from the start. A bucket of over ``GROUP`` classes, in the
+check of over ``WHOLE`` times as many, is cut into blocks, and each pair of blocks is a
+group of its own.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ FIT_ROWS, STEPS = 20_000, 30
 TABLES, WIDTH = 10, 12
 #: Share of pairs at the least cosine that must meet in a table, and pairs that it is measured on.
 RECALL, TRIALS = 0.99, 4000
-GROUP = 1024
+GROUP, WHOLE = 1024, 8
 
 
 def learn_rotations(x: np.ndarray, bits: int, seed: int = 9, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray]:
@@ -143,7 +145,7 @@ def classes(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", least: float = 0.93, tables: int = TABLES, width: int = WIDTH) -> DataFrame:
-    """``(id, n_links, component_id, kept)``, one row for each row of ``vectors``.
+    """``(id, n_links, component_id, kept)``, one row for each row of ``vectors``, with all links of brute force.
 
     Vectors link under equal, non-null labels and dimensions, from cosine ``least`` on. A null label, a null, empty or
     zero vector and one with a null or non-finite component links with nothing: 0 links, its own component. Rows that
@@ -185,8 +187,10 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
             split = batch.column(3).to_numpy(zero_copy_only=False).astype(bool)
             for d, apart in sorted(set(zip(size.tolist(), split.tolist(), strict=True))):
                 at = np.flatnonzero((size == d) & (split == apart))
-                # all of a group in one bucket, as if in the first table
-                code = coded(unit(np.concatenate([flat[i] for i in at]), d)) if apart else np.full((len(at), 1), -1, np.int32)
+                # all of a group in one bucket, as if in a last table
+                code = np.full((len(at), 1), -1, np.int32)
+                if apart:
+                    code = np.concatenate([coded(unit(np.concatenate([flat[i] for i in at]), d)), code], axis=1)
                 n = code.shape[1]
                 take = pa.array(np.repeat(at, n))
                 yield pa.record_batch(
@@ -197,8 +201,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     kind = own.schema["label"].dataType.simpleString()
     # keys travel without vectors; only those that share a bucket get theirs
     dealt = own.join(F.broadcast(large), (F.col("label") == F.col("label_")) & (F.size("vec") == F.col("d_")), "left").select("cls", "label", "vec", F.coalesce("large", F.lit(False)).alias("large"))
-    filed = dealt.mapInArrow(file, f"cls long, label {kind}, t int, d int, sub int").select("cls", "t", F.xxhash64("label", "t", "d", "sub").alias("key"))
-    sizes = filed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("key_"), F.ceil(F.col("n") / GROUP).cast("int").alias("blocks"))
+    filed = dealt.mapInArrow(file, f"cls long, label {kind}, t int, d int, sub int").select("cls", "t", F.xxhash64("label", "t", "d", "sub").alias("key"), F.when(F.col("sub") < 0, GROUP * WHOLE).otherwise(GROUP).alias("most"))
+    sizes = filed.groupBy("key").agg(F.count("*").alias("n"), F.max("most").alias("most_")).where("n > 1").select(F.col("key").alias("key_"), F.ceil(F.col("n") / F.col("most_")).cast("int").alias("blocks"))
     sizes = settled(sizes, "sizes")  # written, so that the join can be split
     met = filed.join(sizes, F.col("key") == F.col("key_")).withColumn("blk", F.pmod(F.xxhash64("cls", F.lit(1)), "blocks").cast("int"))
     # blocks i <= j make group i * blocks + j; a block goes to each group it is part of
@@ -207,7 +211,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     met = met.join(own.select(F.col("cls").alias("of_"), "copies", "vec"), F.col("cls") == F.col("of_")).drop("of_")
 
     def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Groups come in order and whole, at most 2 * GROUP rows or so each; only one is held."""
+        """Groups come in order and whole, at most 2 * GROUP * WHOLE rows or so each; only one is held."""
         held: list[pa.RecordBatch] = []
 
         def groups(done: bool) -> Iterator[pa.Table]:

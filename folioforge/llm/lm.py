@@ -142,12 +142,45 @@ def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return found, at.astype(np.int32)
 
 
+def _joined(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Pairs as numbers that rise by context and word."""
+    top = int(word.max(initial=0)) + 1
+    if (int(context.max(initial=0)) + 1) * top < 1 << 63:
+        return context * top + word
+    (_, i), (words, j) = _distinct(context), _distinct(word)
+    return i.astype(np.int64) * len(words) + j
+
+
+def _pairs(context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(a place of each distinct pair, by context and word; each pair's place among them)."""
+    key = _joined(context, word)
+    order = np.argsort(key)
+    new = np.diff(key[order], prepend=-1) != 0
+    at = np.empty(len(key), np.int32)
+    at[order] = np.cumsum(new) - 1
+    return order[new], at
+
+
 def _words(data: bytes, n: int) -> list[bytes]:
     raw = _restored(data)
     edge = np.append(0, np.cumsum(np.frombuffer(raw, np.uint8, n, len(raw) - n).astype(np.int64))).tolist()
     return [raw[a:b] for a, b in zip(edge[:-1], edge[1:], strict=True)]
 
 
+def _array(data: bytes, n: int) -> pa.Array:
+    """The same words as an array that lies over their bytes."""
+    raw = _restored(data)
+    edge = np.append(0, np.cumsum(np.frombuffer(raw, np.uint8, n, len(raw) - n))).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(edge), pa.py_buffer(raw)])
+
+
+def _packed(words: pa.Array) -> bytes:
+    """Words in a row, then their lengths."""
+    edge = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1]
+    raw = words.buffers()[2]
+    return (raw.slice(edge[0], edge[-1] - edge[0]).to_pybytes() if raw and len(words) else b"") + np.diff(edge).astype(np.uint8).tobytes()
+
+
 def _cut(part: np.ndarray) -> list[tuple[int, int, int]]:
     """(part, from, to) of each run of equal parts."""
     edge = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]]) if len(part) else np.zeros(1, np.int64)
@@ -165,11 +198,10 @@ def ask_words(blocks: DataFrame) -> DataFrame:
         for batch in batches:
             for block, parts, counts, words in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 part, counts = _numbers(_restored(parts), np.int32), _numbers(_restored(counts), np.int32)
-                words = _words(words, len(part))
                 order = np.argsort(part, kind="stable")
+                words = _array(words, len(part)).take(pa.array(order))
                 for p, a, b in _cut(part[order]):
-                    mine = [words[i] for i in order[a:b].tolist()]
-                    yield _row(block, p, [_squeezed(b"".join(mine) + bytes(map(len, mine))), _squeezed(_planes(counts[order[a:b]]))], b - a)
+                    yield _row(block, p, [_squeezed(_packed(words.slice(a, b - a))), _squeezed(_planes(counts[order[a:b]]))], b - a)
         give_back()
 
     return blocks.select("block", "parts", "counts", "words").mapInArrow(run, PART)
@@ -182,15 +214,15 @@ def answer_words(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch])
     for batch in batches:
         for block, data, n in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
             if block < 0:
-                level = _words(data[0], n), _numbers(_restored(data[1]), np.int64)
+                level = _array(data[0], n), _numbers(_restored(data[1]), np.int64)
             else:
-                asked.append((block, pa.array(_words(data[0], n), pa.binary()), _numbers(_restored(data[1]), np.int32)))
+                asked.append((block, _array(data[0], n), _numbers(_restored(data[1]), np.int32)))
     if level is None:
         all_ = pa.table({"w": pa.chunked_array([w for _, w, _ in asked]), "n": np.concatenate([n for *_, n in asked]).astype(np.int64)}).group_by("w").aggregate([("n", "sum")])
         all_ = all_.filter(pc.greater(all_["n_sum"], 0)).sort_by([("n_sum", "descending"), ("w", "ascending")])
-        level = all_["w"].to_pylist(), all_["n_sum"].to_numpy()
-        yield _row(-1, part, [_squeezed(b"".join(level[0]) + bytes(map(len, level[0]))), _squeezed(_planes(level[1]))], len(level[0]), int(level[1].sum()))
-    known, counts = pa.array(level[0], pa.binary()), np.append(level[1], 0)
+        level = pa.concat_arrays([pa.array([], pa.binary()), *all_["w"].chunks]), all_["n_sum"].to_numpy()
+        yield _row(-1, part, [_squeezed(_packed(level[0])), _squeezed(_planes(level[1]))], len(level[0]), int(level[1].sum()))
+    known, counts = level[0], np.append(level[1], 0)
     for block, words, _ in asked:
         place = pc.fill_null(pc.index_in(words, value_set=known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
         yield _row(block, part, [_squeezed(_planes(place)), _squeezed(_planes(counts[place]))])
@@ -223,14 +255,16 @@ class Block:
         self.words = Grams(self.seq, *self._told(1, order, part[order], len(part)))
 
     def _told(self, level: int, order: np.ndarray, part: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers and counts, which end an answer; of the last level there are none."""
         ids, count = np.full(n, -1, np.int64), np.zeros(n, np.int64)
         told = self.answers.get(level, [])
         if [p for p, _ in told] != [p for p, *_ in _cut(part)]:
             raise RuntimeError("answers are missing")
         for (p, data), (_, a, b) in zip(told, _cut(part), strict=True):
-            place = _numbers(_restored(data[0]), np.int64)
-            ids[order[a:b]] = np.where(place < 0, -1, place * self.parts + p)
-            count[order[a:b]] = _numbers(_restored(data[1]), np.int64)
+            if len(data) > 1:
+                place = _numbers(_restored(data[-2]), np.int64)
+                ids[order[a:b]] = np.where(place < 0, -1, place * self.parts + p)
+                count[order[a:b]] = _numbers(_restored(data[-1]), np.int64)
         return ids, count
 
     def longer(self, before: Grams) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -247,7 +281,8 @@ class Block:
         spread = (-(-c // self.common)).astype(np.uint64)
         salt = np.where(spread > 1, _mixed(w.astype(np.uint64) * _ODD) % np.maximum(spread, np.uint64(1)), 0).astype(np.uint64)
         part = (_mixed(a.astype(np.uint64) * _ODD + salt) % np.uint64(self.parts)).astype(np.int64)
-        order = np.lexsort((w, a, part))
+        order = np.argsort(_joined(a, w))  # n-grams are distinct
+        order = order[np.argsort(part[order].astype(np.int16 if self.parts < 1 << 15 else np.int64), kind="stable")]
         return ask[order], part[order]
 
     def asks(self, level: int) -> Iterator[pa.RecordBatch]:
@@ -272,7 +307,7 @@ class Block:
         ids, count = self._told(level, ask, part, len(context))
         kept = np.zeros(len(context))
         for (_, data), (_, a, b) in zip(self.answers.get(level, []), _cut(part), strict=True):
-            kept[ask[a:b]] = elias_fano.probability(_numbers(_restored(data[2]), np.uint16))
+            kept[ask[a:b]] = elias_fano.probability(_numbers(_restored(data[0]), np.uint16))
         gram, shorter = np.full(len(self.seq), -1, np.int32), np.zeros(len(context), np.int32)
         gram[here] = at
         shorter[at] = before.at[here] if level > 2 else self.seq[here]
@@ -295,9 +330,9 @@ class Block:
         return pa.record_batch([self.own["ids"], pa.array(self.held), pa.array(self.own["rows"]), *map(pa.array, (*whole, *sums))], names=["id", "held", "row", "n_tokens", "n_known", "base_score", "score"])
 
 
-def answer_grams(mass: float):
+def answer_grams(mass: float, last: bool = False):
     """A level of one part, built from the counts that blocks sent or taken as it is, and each block's answers from it:
-    places, counts and probabilities."""
+    probabilities, and where a longer n-gram has them as contexts (not ``last``) places and counts."""
 
     def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, blocks, asked, data_of_level = key[0].as_py(), [], [], None
@@ -314,27 +349,23 @@ def answer_grams(mass: float):
         context, total, word, n = (np.concatenate([x[i] for x in asked]) for i in range(4))
         edge = np.cumsum([0, *(len(x[0]) for x in asked)]).tolist()
         asked.clear()
-        contexts, i = _distinct(context)
-        words, j = _distinct(word)
-        of = np.zeros(len(contexts), np.int64)
-        of[i] = total
-        del context, word, total
-        entries, at = _distinct(i.astype(np.int64) * len(words) + j)
-        del i, j
-        context, word = contexts[entries // len(words)], words[entries % len(words)]
+        entries, at = _pairs(context, word)
+        context, word, total = context[entries], word[entries], total[entries]
         if data_of_level is None:
             count = np.bincount(at, n, len(entries)).astype(np.int64)
             there = count > 0
-            data_of_level = elias_fano.level(context[there], word[there], count[there], count[there] / (of[entries[there] // len(words)] + mass))
+            data_of_level = elias_fano.level(context[there], word[there], count[there], count[there] / (total[there] + mass))
             yield _row(-1, part, [_squeezed(data_of_level)], int(there.sum()), int(count.sum()))
         level = elias_fano.Level(data_of_level)
         place = level.find(context, word)
         hit = place >= 0
         count, code = np.zeros(len(entries), np.int64), np.full(len(entries), elias_fano.ABSENT, np.uint16)
-        count[hit], code[hit] = level.count(place[hit]), level.codes[place[hit]]
+        code[hit] = level.codes[place[hit]]
+        if not last:
+            count[hit] = level.count(place[hit])
         for block, a, b in zip(blocks, edge[:-1], edge[1:], strict=True):
             mine = at[a:b]
-            yield _row(block, part, [_squeezed(_planes(x[mine])) for x in (place, count, code)])
+            yield _row(block, part, [_squeezed(_planes(x[mine])) for x in ((code,) if last else (code, place, count))])
         give_back()
 
     return run
@@ -390,7 +421,7 @@ def _levels(blocks: DataFrame, parts: int, order: int, mass: float, model: Model
         asks = ask_words(blocks) if k == 1 else _by_block(out, blocks, lambda own, told, k=k: Block(own, told, parts, common).asks(k), PART)
         if model:
             asks = asks.unionByName(model.levels[k - 1])
-        out.append(settled(asks.groupBy("part").applyInArrow(answer_words if k == 1 else answer_grams(mass), PART), f"level{k}"))
+        out.append(settled(asks.groupBy("part").applyInArrow(answer_words if k == 1 else answer_grams(mass, k == order), PART), f"level{k}"))
     return out
 
 

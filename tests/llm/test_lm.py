@@ -184,3 +184,19 @@ def test_pieces():
 
 def test_production_uses_three_words():
     assert lm.ORDER >= 3
+
+
+def test_last_level_answers_with_probabilities_only(spark):
+    docs = spark.createDataFrame([(i, "ab cd ef ab cd gh") for i in range(4)], "doc_id long, text string")
+    blocks = lm.settled(lm.tokenised(docs, F.lit(False), 3), "blocks")
+    levels = lm._levels(blocks, 3, 3, 5.0)
+    assert [{len(r.data) for r in x.where("block >= 0").collect()} for x in levels] == [{2}, {3}, {1}]
+
+
+@pytest.mark.parametrize("top", [50, 2**40])  # the larger do not fit into one number
+def test_pairs(top):
+    rng = np.random.default_rng(top)
+    context, word = (rng.integers(0, 40, 3000) * (top // 50) for _ in range(2))
+    first, at = lm._pairs(context, word)
+    want, place = np.unique(np.stack([context, word], 1), axis=0, return_inverse=True)
+    assert (np.stack([context[first], word[first]], 1) == want).all() and (at == place.ravel()).all()

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -37,6 +38,21 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     return shared.settled(df, name)
 
 
+def dealt(df: DataFrame, name: str, key: str, least: int) -> DataFrame:
+    """Like ``settled``, in buckets by a column (at least ``least`` and as many as Spark's shuffle partitions, as far as
+    Spark allows): joins and groups by that column read them where they lie and shuffle the other side only. The
+    table's name is gone at once, its files stay."""
+    spark = df.sparkSession
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
+    own = f"folioforge_{uuid.uuid4().hex}"
+    path = f"{shared.shared_dir(spark)}/{own.replace('_', '-')}/{name}"
+    buckets = min(max(least, int(spark.conf.get("spark.sql.shuffle.partitions"))), int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets")))
+    df.write.bucketBy(buckets, key).format("parquet").option("path", path).saveAsTable(own)
+    out = spark.table(own)
+    spark.sql(f"DROP TABLE {own}")
+    return out
+
+
 def one_in(id_col: str, parts: int) -> Column:
     """crc32 of the id as text, modulo ``parts``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % parts

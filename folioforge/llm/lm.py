@@ -1,11 +1,12 @@
 """N-gram language model in an Elias-Fano trie, dealt over the cluster.
 
-Documents are turned to blocks of word numbers once. For each order, a block sends its
-distinct n-grams with their counts to the parts of that level of the trie, dealt by a
-hash of the context (of context and word, where a context is very common). A part adds
-the counts up, writes its entries as rising sequences with quantised probabilities, and
-answers each block from that level by context-relative successor search. An entry's
-place in its part is its number, the context of the next order.
+Documents are turned to blocks of word numbers once, which stay where they are. For each
+order, a block sends its distinct n-grams with their counts to the parts of that level of
+the trie, dealt by the context (by context and word, where a context is very common). A
+part adds the counts up, writes its entries as rising sequences with quantised
+probabilities, and answers each block from that level by context-relative successor
+search. An entry's place in its part is its number, the context of the next order. An
+answer names counts; with the context's, a block has the same steps of probability.
 
 Smoothing is Dirichlet's: p(w | context) = (c(context w) + MASS p(w | shorter context)) /
 (c(context) + MASS), down to the base (c(w) + 1) / (N + V + 1). The trie keeps the first
@@ -30,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import elias_fano
-from ._base import give_back, id_type, one_in, settled, table
+from ._base import dealt, give_back, id_type, one_in, settled, table
 from .quality import _mixed, _numbers, _planes, _restored, _rising, _risen, _squeezed
 
 #: Words of the longest n-gram, and weight of the shorter context's probability.
@@ -41,6 +42,8 @@ PIECE, BLOCK, SHARE, PARTS = 1 << 20, 16 << 20, 16 << 20, 24
 LONG, END = 64, b" "
 #: A context that is more common is dealt by its words too, over so many parts that each has about this many tokens.
 COMMON = 1 << 21
+#: How levels are dealt to parts; a model that was saved with another one can't be asked.
+LAYOUT = 2
 _GAP = re.compile(rb"[\x20\x09-\x0D]")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -136,10 +139,34 @@ def _counted(sizes: np.ndarray, lead: np.ndarray, rows: np.ndarray) -> np.ndarra
     return np.repeat(rows, sizes) & (inside >= np.repeat(lead, sizes))
 
 
+def _order(x: np.ndarray) -> np.ndarray:
+    """Places of numbers, none below 0, from the least: one sort of number and place together where 63 bits hold both."""
+    bits = max(len(x) - 1, 1).bit_length()
+    if int(x.max(initial=0)) >> (63 - bits):
+        return np.argsort(x)
+    return np.sort((x.astype(np.int64) << bits) | np.arange(len(x))) & ((1 << bits) - 1)
+
+
 def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(distinct values, each value's place among them)."""
-    found, at = np.unique(x, return_inverse=True)
-    return found, at.astype(np.int32)
+    """(distinct values, each value's place among them) of numbers, none below 0."""
+    order = _order(x)
+    found = x[order]
+    new = np.diff(found, prepend=-1) != 0
+    at = np.empty(len(x), np.int32)
+    at[order] = np.cumsum(new) - 1
+    return found[new], at
+
+
+def _narrow(x: np.ndarray) -> bytes:
+    """Whole numbers, none below 0, in the bytes that the largest needs."""
+    most = int(x.max(initial=0))
+    return _squeezed(_planes(x.astype(np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.int32 if most < 1 << 31 else np.int64)))
+
+
+def _widened(data: bytes, n: int) -> np.ndarray:
+    """The ``n`` numbers that ``_narrow`` wrote."""
+    raw = _restored(data)
+    return _numbers(raw, {1: np.uint8, 2: np.uint16, 4: np.int32}.get(len(raw) // max(n, 1), np.int64)).astype(np.int64)
 
 
 def _joined(context: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -154,7 +181,7 @@ def _joined(context: np.ndarray, word: np.ndarray) -> np.ndarray:
 def _pairs(context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(a place of each distinct pair, by context and word; each pair's place among them)."""
     key = _joined(context, word)
-    order = np.argsort(key)
+    order = _order(key)
     new = np.diff(key[order], prepend=-1) != 0
     at = np.empty(len(key), np.int32)
     at[order] = np.cumsum(new) - 1
@@ -181,6 +208,39 @@ def _packed(words: pa.Array) -> bytes:
     return (raw.slice(edge[0], edge[-1] - edge[0]).to_pybytes() if raw and len(words) else b"") + np.diff(edge).astype(np.uint8).tobytes()
 
 
+def _turned(order: np.ndarray) -> np.ndarray:
+    """Each place's rank, from the places in order."""
+    out = np.empty(len(order), np.int32)
+    out[order] = np.arange(len(order), dtype=np.int32)
+    return out
+
+
+def _placed(place: np.ndarray) -> list[bytes]:
+    """Places that rise but for -1 where there is none: by their steps, and which are there."""
+    return [_narrow(np.diff(np.maximum.accumulate(np.append(0, place)))), _squeezed(np.packbits(place >= 0).tobytes())]
+
+
+def _places(data: list[bytes], n: int) -> np.ndarray:
+    there = np.unpackbits(np.frombuffer(_restored(data[1]), np.uint8), count=n).astype(bool)
+    return np.where(there, np.cumsum(_widened(data[0], n)), -1)
+
+
+def _close(ids: np.ndarray, part: int, parts: int, level: int) -> list[bytes]:
+    """Contexts' numbers in a part: as they are at the second level, then without what the part says of their places; the
+    second item is by how much their words moved them on to another part."""
+    if level == 2:
+        return [_rising(ids), b""]
+    place = ids // parts
+    return [_rising(place // parts * parts + ids % parts), _narrow((part - place) % parts)]
+
+
+def _far(data: list[bytes], n: int, part: int, parts: int, level: int) -> np.ndarray:
+    near = _risen(data[0], np.int64)
+    if level == 2:
+        return near
+    return (near // parts * parts + (part - _widened(data[1], n)) % parts) * parts + near % parts
+
+
 def _cut(part: np.ndarray) -> list[tuple[int, int, int]]:
     """(part, from, to) of each run of equal parts."""
     edge = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]]) if len(part) else np.zeros(1, np.int64)
@@ -225,7 +285,7 @@ def answer_words(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch])
     known, counts = level[0], np.append(level[1], 0)
     for block, words, _ in asked:
         place = pc.fill_null(pc.index_in(words, value_set=known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
-        yield _row(block, part, [_squeezed(_planes(place)), _squeezed(_planes(counts[place]))])
+        yield _row(block, part, [_narrow(place + 1), _narrow(counts[place])])
 
 
 @dataclass
@@ -252,19 +312,22 @@ class Block:
             self.answers.setdefault(level, []).append((part, data))
         part = _numbers(_restored(own["parts"]), np.int32)
         order = np.argsort(part, kind="stable")
-        self.words = Grams(self.seq, *self._told(1, order, part[order], len(part)))
+        ids, count = self._told(1, order, part[order], len(part))
+        by = _order(ids + 1)  # words get their order in the trie, so n-grams come in the order in which they are asked for
+        self.seq = _turned(by)[self.seq]
+        self.words = Grams(self.seq, ids[by], count[by])
 
     def _told(self, level: int, order: np.ndarray, part: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers and counts, which end an answer; of the last level there are none."""
+        """Numbers and counts; the last level tells no numbers."""
         ids, count = np.full(n, -1, np.int64), np.zeros(n, np.int64)
         told = self.answers.get(level, [])
         if [p for p, _ in told] != [p for p, *_ in _cut(part)]:
             raise RuntimeError("answers are missing")
         for (p, data), (_, a, b) in zip(told, _cut(part), strict=True):
+            count[order[a:b]] = _widened(data[-1], b - a)
             if len(data) > 1:
-                place = _numbers(_restored(data[-2]), np.int64)
+                place = _widened(data[0], b - a) - 1 if level == 1 else _places(data, b - a)
                 ids[order[a:b]] = np.where(place < 0, -1, place * self.parts + p)
-                count[order[a:b]] = _numbers(_restored(data[-1]), np.int64)
         return ids, count
 
     def longer(self, before: Grams) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -274,50 +337,60 @@ class Block:
         found, at = _distinct(before.at[here - 1].astype(np.int64) * width + self.seq[here])
         return here, at, found // width, found % width
 
-    def asked(self, before: Grams, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(n-grams that can be in the trie, by part, context and word; their parts)."""
+    def asked(self, level: int, before: Grams, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(n-grams that can be in the trie, by part, context and word; their parts). From the third level on a context's
+        place says its part, so that few numbers lie between the contexts of a part; a word's place says how common it is."""
         ask = np.flatnonzero((before.count[context] > 0) & (self.words.count[word] > 0))
-        a, w, c = before.ids[context[ask]], self.words.ids[word[ask]], before.count[context[ask]]
-        spread = (-(-c // self.common)).astype(np.uint64)
-        salt = np.where(spread > 1, _mixed(w.astype(np.uint64) * _ODD) % np.maximum(spread, np.uint64(1)), 0).astype(np.uint64)
-        part = (_mixed(a.astype(np.uint64) * _ODD + salt) % np.uint64(self.parts)).astype(np.int64)
-        order = np.argsort(_joined(a, w))  # n-grams are distinct
-        order = order[np.argsort(part[order].astype(np.int16 if self.parts < 1 << 15 else np.int64), kind="stable")]
+        a, c = before.ids[context[ask]], before.count[context[ask]]
+        salt = np.zeros(len(ask), np.uint64)
+        often = np.flatnonzero(c > self.common)
+        salt[often] = _mixed(self.words.ids[word[ask[often]]].astype(np.uint64) * _ODD) % (-(-c[often] // self.common)).astype(np.uint64)
+        if level == 2:
+            part = (_mixed(a.astype(np.uint64) * _ODD + salt) % np.uint64(self.parts)).astype(np.int64)
+        else:
+            part = a // self.parts % self.parts
+            part[often] = (part[often] + (salt[often] % np.uint64(self.parts)).astype(np.int64)) % self.parts
+        order = np.argsort(part.astype(np.int16 if self.parts < 1 << 15 else np.int64), kind="stable")
         return ask[order], part[order]
 
     def asks(self, level: int) -> Iterator[pa.RecordBatch]:
-        """What it sends to the parts of a level: contexts, their sizes and counts, words, n-grams' counts."""
+        """What it sends to the parts of a level: contexts, their sizes and the counts of those dealt by their words (a part
+        adds up the others'), words, n-grams' counts."""
         before = self.words
         for k in range(2, level):
             before = self.grams(k, before)[0]
         here, at, context, word = self.longer(before)
         counts = np.bincount(at[_counted(self.sizes, self.lead, ~self.held)[here]], minlength=len(context))
-        ask, part = self.asked(before, context, word)
+        ask, part = self.asked(level, before, context, word)
         for p, a, b in _cut(part):
             mine = ask[a:b]
             ids = before.ids[context[mine]]
             head = np.flatnonzero(np.diff(ids, prepend=-1))
-            data = [_rising(ids[head]), _squeezed(_planes(np.diff(np.append(head, len(ids))).astype(np.int32))), _squeezed(_planes(before.count[context[mine[head]]])), _squeezed(_planes(self.words.ids[word[mine]])), _squeezed(_planes(counts[mine].astype(np.int32)))]
+            total = before.count[context[mine[head]]]
+            data = [_narrow(np.array([len(head)])), *_close(ids[head], p, self.parts, level), _narrow(np.diff(np.append(head, len(ids)))), _narrow(np.where(total > self.common, total, 0)), _narrow(self.words.ids[word[mine]]), _narrow(counts[mine])]
             yield _row(self.own["block"], p, data, b - a)
 
-    def grams(self, level: int, before: Grams) -> tuple[Grams, np.ndarray, np.ndarray, np.ndarray]:
-        """(n-grams of a level, their contexts' counts, the kept part of their probabilities, the shorter n-gram of each)."""
+    def grams(self, level: int, before: Grams) -> tuple[Grams, np.ndarray, np.ndarray]:
+        """(n-grams of a level in their order in the trie, their contexts' counts, the shorter n-gram of each)."""
         here, at, context, word = self.longer(before)
-        ask, part = self.asked(before, context, word)
-        ids, count = self._told(level, ask, part, len(context))
-        kept = np.zeros(len(context))
-        for (_, data), (_, a, b) in zip(self.answers.get(level, []), _cut(part), strict=True):
-            kept[ask[a:b]] = elias_fano.probability(_numbers(_restored(data[0]), np.uint16))
+        ids, count = self._told(level, *self.asked(level, before, context, word), len(context))
+        context = before.count[context]
+        if ids.max(initial=-1) >= 0:  # not so of the last level
+            by = _order(ids + 1)
+            at, ids, count, context = _turned(by)[at], ids[by], count[by], context[by]
         gram, shorter = np.full(len(self.seq), -1, np.int32), np.zeros(len(context), np.int32)
         gram[here] = at
         shorter[at] = before.at[here] if level > 2 else self.seq[here]
-        return Grams(gram, ids, count), before.count[context], kept, shorter
+        return Grams(gram, ids, count), context, shorter
 
     def scores(self, order: int, tokens: int, distinct: int, mass: float) -> pa.RecordBatch:
         base = (self.words.count + 1) / (tokens + distinct + 1)
         p, before, lower = base[self.seq], self.words, base
         for k in range(2, order + 1):
-            before, context, kept, shorter = self.grams(k, before)
+            before, context, shorter = self.grams(k, before)
+            kept = np.zeros(len(context))
+            known = np.flatnonzero(before.count)
+            kept[known] = elias_fano.probability(elias_fano.quantised(before.count[known] / (context[known] + mass)))
             lower = kept + mass / (context + mass) * lower[shorter]
             there = before.at >= 0
             p[there] = lower[before.at[there]]
@@ -330,20 +403,21 @@ class Block:
         return pa.record_batch([self.own["ids"], pa.array(self.held), pa.array(self.own["rows"]), *map(pa.array, (*whole, *sums))], names=["id", "held", "row", "n_tokens", "n_known", "base_score", "score"])
 
 
-def answer_grams(mass: float, last: bool = False):
+def answer_grams(level: int, parts: int, mass: float, last: bool = False):
     """A level of one part, built from the counts that blocks sent or taken as it is, and each block's answers from it:
-    probabilities, and where a longer n-gram has them as contexts (not ``last``) places and counts."""
+    counts, and where a longer n-gram has them as contexts (not ``last``) places before them."""
 
     def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, blocks, asked, data_of_level = key[0].as_py(), [], [], None
         for batch in batches:
-            for block, data in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for block, data, rows in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 if block < 0:
                     data_of_level = _restored(data[0])
                     continue
-                size = _numbers(_restored(data[1]), np.int32)
+                heads = int(_widened(data[0], 1)[0])
+                size = _widened(data[3], heads)
                 blocks.append(block)
-                asked.append((np.repeat(_risen(data[0], np.int64), size), np.repeat(_numbers(_restored(data[2]), np.int64), size), _numbers(_restored(data[3]), np.int64), _numbers(_restored(data[4]), np.int32)))
+                asked.append((np.repeat(_far(data[1:3], heads, part, parts, level), size), np.repeat(_widened(data[4], heads), size), _widened(data[5], rows), _widened(data[6], rows).astype(np.int32)))
         if not asked:
             return
         context, total, word, n = (np.concatenate([x[i] for x in asked]) for i in range(4))
@@ -353,19 +427,20 @@ def answer_grams(mass: float, last: bool = False):
         context, word, total = context[entries], word[entries], total[entries]
         if data_of_level is None:
             count = np.bincount(at, n, len(entries)).astype(np.int64)
+            head = np.flatnonzero(np.diff(context, prepend=-1))
+            whole = np.repeat(np.add.reduceat(count, head), np.diff(np.append(head, len(count))))
+            total = np.where(total > 0, total, whole)
             there = count > 0
             data_of_level = elias_fano.level(context[there], word[there], count[there], count[there] / (total[there] + mass))
             yield _row(-1, part, [_squeezed(data_of_level)], int(there.sum()), int(count.sum()))
-        level = elias_fano.Level(data_of_level)
-        place = level.find(context, word)
+        trie = elias_fano.Level(data_of_level)
+        place = trie.find(context, word)
         hit = place >= 0
-        count, code = np.zeros(len(entries), np.int64), np.full(len(entries), elias_fano.ABSENT, np.uint16)
-        code[hit] = level.codes[place[hit]]
-        if not last:
-            count[hit] = level.count(place[hit])
+        count = np.zeros(len(entries), np.int64)
+        count[hit] = trie.count(place[hit])
         for block, a, b in zip(blocks, edge[:-1], edge[1:], strict=True):
             mine = at[a:b]
-            yield _row(block, part, [_squeezed(_planes(x[mine])) for x in ((code,) if last else (code, place, count))])
+            yield _row(block, part, [*([] if last else _placed(place[mine])), _narrow(count[mine])])
         give_back()
 
     return run
@@ -387,11 +462,13 @@ class Model:
         spark = self.levels[0].sparkSession
         for k, level in enumerate(self.levels, 1):
             level.write.mode("overwrite").parquet(f"{path}/level={k}")
-        spark.createDataFrame([(self.order, self.mass, self.parts, self.tokens, self.distinct, self.common)], "order int, mass double, parts long, tokens long, distinct long, common long").coalesce(1).write.mode("overwrite").parquet(f"{path}/about")
+        spark.createDataFrame([(self.order, self.mass, self.parts, self.tokens, self.distinct, self.common, LAYOUT)], "order int, mass double, parts long, tokens long, distinct long, common long, layout int").coalesce(1).write.mode("overwrite").parquet(f"{path}/about")
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> Model:
         about = spark.read.parquet(f"{path}/about").first()
+        if getattr(about, "layout", 1) != LAYOUT:
+            raise ValueError(f"the model in {path} was saved by another version; learn it again")
         return Model(*about[:5], [spark.read.schema(PART).parquet(f"{path}/level={k}") for k in range(1, about.order + 1)], about.common)
 
 
@@ -421,7 +498,7 @@ def _levels(blocks: DataFrame, parts: int, order: int, mass: float, model: Model
         asks = ask_words(blocks) if k == 1 else _by_block(out, blocks, lambda own, told, k=k: Block(own, told, parts, common).asks(k), PART)
         if model:
             asks = asks.unionByName(model.levels[k - 1])
-        out.append(settled(asks.groupBy("part").applyInArrow(answer_words if k == 1 else answer_grams(mass, k == order), PART), f"level{k}"))
+        out.append(settled(asks.groupBy("part").applyInArrow(answer_words if k == 1 else answer_grams(k, parts, mass, k == order), PART), f"level{k}"))
     return out
 
 
@@ -440,7 +517,7 @@ def learned(docs: DataFrame, held: Column, order: int = ORDER, mass: float = MAS
     """
     size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
     parts = max(PARTS, -(-size // SHARE))
-    blocks = settled(tokenised(docs, held, parts, order, id_col, text_col), "blocks")
+    blocks = dealt(tokenised(docs, held, parts, order, id_col, text_col), "blocks", "block", 2 * parts)
     levels = _levels(blocks, parts, order, mass, common=common)
     about = levels[0].where("block < 0").agg(F.sum("tokens"), F.sum("entries")).first()
     model = Model(order, mass, parts, about[0] or 0, about[1] or 0, [x.where("block < 0") for x in levels], common)
@@ -449,7 +526,7 @@ def learned(docs: DataFrame, held: Column, order: int = ORDER, mass: float = MAS
 
 def scored(model: Model, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The scores of other documents by a model: ``(id, held, n_tokens, n_known, base_score, score)``, held of all true."""
-    blocks = settled(tokenised(docs, F.lit(True), model.parts, model.order, id_col, text_col), "blocks")
+    blocks = dealt(tokenised(docs, F.lit(True), model.parts, model.order, id_col, text_col), "blocks", "block", 2 * model.parts)
     return _scores(blocks, _levels(blocks, model.parts, model.order, model.mass, model, model.common), model, id_type(docs, id_col))
 
 

@@ -200,3 +200,51 @@ def test_pairs(top):
     first, at = lm._pairs(context, word)
     want, place = np.unique(np.stack([context, word], 1), axis=0, return_inverse=True)
     assert (np.stack([context[first], word[first]], 1) == want).all() and (at == place.ravel()).all()
+
+
+def test_blocks_stay_where_they_are(spark):
+    """A level's answers go to the blocks; blocks are not shuffled again for each level."""
+    docs = spark.createDataFrame([(i, "ab cd ef ab cd gh") for i in range(40)], "doc_id long, text string").repartition(3)
+    before = [t.name for t in spark.catalog.listTables()]
+    _, found = lm.learned(docs, F.lit(False), 3, 5.0)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"Exchange hashpartitioning\(block", plan)) == 1
+    assert [t.name for t in spark.catalog.listTables()] == before
+
+
+def test_bytes_of_a_gram(spark):
+    """Of texts with few repeats: answers are places by their steps and counts, questions don't say what a part knows."""
+    rng = np.random.default_rng(4)
+    rows = [(i, " ".join(f"w{w}" for w in np.minimum(rng.zipf(1.3, 400), 5000))) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    blocks = lm.settled(lm.tokenised(docs, F.lit(False), 3), "blocks")
+    levels = lm._levels(blocks, 3, 3, 5.0)
+    asks = lm._by_block(levels[:2], blocks, lambda own, told: lm.Block(own, told, 3).asks(3), lm.PART).collect()
+    bits = lambda found, n: sum(len(x) for r in found for x in r.data) * 8 / n
+    n = sum(r.entries for r in asks)
+    got = bits(asks, n), bits(levels[1].where("block >= 0").collect(), n), bits(levels[2].where("block >= 0").collect(), n)
+    assert got[0] < 12.5 and got[1] < 6 and got[2] < 5, got  # 13.7, 9.8 and 9.2 when blocks were told codes and numbers as they are
+
+
+def test_numbers_in_the_bytes_they_need():
+    rng = np.random.default_rng(2)
+    for top in (1, 255, 256, 65_535, 65_536, 2**31 - 1, 2**31, 2**62):
+        x = np.append(rng.integers(0, top, 50, endpoint=True), top)
+        assert (lm._widened(lm._narrow(x), len(x)) == x).all()
+        found, at = lm._distinct(x)
+        assert (found == np.unique(x)).all() and (found[at] == x).all()
+    assert not len(lm._widened(lm._narrow(np.zeros(0, np.int64)), 0))
+    place = np.where(rng.random(100) < 0.3, -1, np.cumsum(rng.integers(1, 9, 100)) - 1)
+    assert (lm._places(lm._placed(place), 100) == place).all()
+    for level in (2, 3):  # also contexts that their words moved to this part
+        ids = np.unique(rng.integers(0, 10**6, 200))
+        assert (lm._far(lm._close(ids, 5, 7, level), len(ids), 5, 7, level) == ids).all()
+
+
+def test_model_of_another_layout_is_refused(spark, tmp_path):
+    model, _ = lm.learned(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), F.lit(False), 2, 4.0)
+    model.save(f"file://{tmp_path}/model")
+    about = spark.read.parquet(f"file://{tmp_path}/model/about").drop("layout").collect()
+    spark.createDataFrame(about).write.mode("overwrite").parquet(f"file://{tmp_path}/model/about")
+    with pytest.raises(ValueError, match="another version"):
+        lm.Model.load(spark, f"file://{tmp_path}/model")

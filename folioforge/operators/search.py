@@ -58,8 +58,9 @@ class Index:
     #: (source, chunk_id, term), each once, of an index that is not saved; (source, stem, df) of a saved one.
     pairs: DataFrame | None = None
     stems: DataFrame | None = None
-    #: The chunks with their tokens, of an index that is not saved.
+    #: The chunks with their tokens, of an index that is not saved; whether they came with them.
     tokenised: DataFrame | None = None
+    told: bool = False
 
 
 def chunk_id(*extra: Column | str) -> Column:
@@ -110,12 +111,17 @@ def vocabulary(terms: DataFrame, stemmed: bool = True) -> DataFrame:
 
 
 def build(chunks: DataFrame, stemmed: bool = True) -> Index:
-    """An index of chunks(source, url, path, title, heading_path, anchor, body, token_count, ord), lazily."""
-    chunks = chunks if "tokens_" in chunks.columns else tokenized(chunks)
+    """An index of chunks(source, url, path, title, heading_path, anchor, body, token_count, ord), lazily.
+
+    Saving one takes tokens that chunks came with (``tokenized``) as they are; others are made of the texts as saved, so
+    neither texts nor tokens need to be written before.
+    """
+    told = "tokens_" in chunks.columns
+    chunks = chunks if told else tokenized(chunks)
     posts, sizes = postings(chunks), lengths(chunks)
     stats = sizes.groupBy("source").agg(F.count("*").alias("n_all"), F.sum("dl").alias("total"))
     pairs = chunks.select(*KEY, F.explode(F.array_distinct(F.flatten("tokens_"))).alias("term"))
-    return Index(chunks.drop("tokens_", "dl_"), posts, sizes, vocabulary(posts, stemmed), stats, stemmed, posts.select("term").distinct(), pairs, tokenised=chunks)
+    return Index(chunks.drop("tokens_", "dl_"), posts, sizes, vocabulary(posts, stemmed), stats, stemmed, posts.select("term").distinct(), pairs, tokenised=chunks, told=told)
 
 
 def stem_counts(pairs: DataFrame, words: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.shared import settled
+from ..sources.shared import passing, setting, settled
 from . import search, tallies
 
 _SEGMENT = "segment string, source string"
@@ -37,6 +37,11 @@ SCHEMAS = {
 DEAD = "of string, source string, chunk_id long"
 #: Segments from which on the small ones are merged.
 MERGE = 8
+#: Sources up to which a task writes its postings as it makes them, a file for each source that it has; postings of more are
+#: dealt by ranges first. Rows of a page of such a file, which is what a lookup of a term reads.
+WRITERS, PAGE = 32, 2000
+#: What is written once and read seldom.
+ZSTD = {"compression": "zstd"}
 
 
 class Conflict(RuntimeError):
@@ -126,37 +131,72 @@ def load(spark: SparkSession, path: str, stemmed: bool = True) -> search.Index:
 
 
 def _write(index: search.Index, path: str, name: str, table: str) -> None:
-    """One table of a segment. Postings are dealt by ranges, so a source's commonest term is split over tasks and a task
-    writes files for the few sources of its range only. Chunks are sorted by their ids, so that few row groups of a file
-    are read for the best hits."""
+    """One table of a segment. Postings of few sources stay in the task that makes them, in sorted regions: nothing is
+    shuffled, and a source's commonest term is split as its chunks are. Those of many sources are dealt by ranges, so that
+    a task writes files for the few sources of its range only. Chunks are sorted by their ids, so that few row groups of a
+    file are read for the best hits."""
     df = {"chunks": index.chunks, "lengths": index.lengths, "postings": index.postings, "stats": index.stats, "stems": index.stems, "words": index.vocabulary}[table]
-    if table == "postings" and index.tokenised is not None:  # runs are dealt and sorted, which are far fewer than tokens
-        dealt = tallies.runs(index.tokenised).repartitionByRange("source", "term", "first").sortWithinPartitions("source", "term")
-        dealt.select("source", "term", F.inline("run")).select("chunk_id", "dl", "col", "pos", "term", "source").write.mode("overwrite").partitionBy("source").parquet(f"{path}/{table}/segment={name}")
+    if table == "postings" and index.tokenised is not None:
+        runs, spark = tallies.runs(index.tokenised), index.tokenised.sparkSession
+        few = index.lengths.select("source").distinct().limit(WRITERS + 1).count() <= WRITERS
+        if not few:  # runs are dealt and sorted, which are far fewer than tokens
+            runs = runs.repartitionByRange("source", "term", "first").sortWithinPartitions("source", "term")
+        rows = runs.select("source", "term", F.inline("run")).select("chunk_id", "dl", "col", "pos", "term", "source")
+        with setting(spark, "spark.sql.maxConcurrentOutputFileWriters", str(WRITERS if few else 0)):  # else Spark sorts by source
+            rows.write.mode("overwrite").options(**ZSTD, **{"parquet.page.row.count.limit": str(PAGE)}).partitionBy("source").parquet(f"{path}/{table}/segment={name}")
         return
     if table == "postings":
         df = df.repartitionByRange("source", "term", "chunk_id")
     df = df.sortWithinPartitions(*{"chunks": ["source", "chunk_id"], "lengths": ["source", "chunk_id"], "postings": ["source", "term", "chunk_id"], "stats": ["source"], "stems": ["source", "stem"], "words": ["stem"]}[table])
-    out = df.write.mode("overwrite")
+    out = df.write.mode("overwrite").options(**ZSTD)
     (out if table == "words" else out.partitionBy("source")).parquet(f"{path}/{table}/segment={name}")
 
 
-def _segment(index: search.Index, path: str, state: State, less: search.Index | None = None) -> tuple[str, State]:
-    """Write a segment and its new words, its stems' counts less those of ``less``; the state that has it too."""
+def _tokens(chunks: DataFrame) -> DataFrame:
+    """Tokens of saved chunks, those of a text joined by blanks, which take less than lists of them do."""
+    joined = F.transform("tokens_", lambda t: F.array_join(t, " "))
+    found = search.tokenized(chunks.withColumnRenamed("chunk_id", "id_"))
+    return found.select("source", F.col("id_").alias("chunk_id"), "path", "ord", "dl_", joined.alias("joined_"))
+
+
+def _counted(index: search.Index) -> DataFrame:
+    """Words (term, stem; source null) and counts of chunks by stem (source, stem, df; term null), each once."""
+    return tallies.told(index.tokenised, index.stemmed).groupBy("source", "term", "stem").agg(F.sum("df").alias("df"))
+
+
+def _segment(index: search.Index, path: str, state: State, less: search.Index | None = None, gone: DataFrame | None = None) -> tuple[str, State]:
+    """Write a segment and its new words, its stems' counts less those of ``less``, its stats with those of ``gone``; the
+    state that has it too. What is written on the way is deleted as soon as it is not needed."""
     spark, name = index.chunks.sparkSession, uuid.uuid4().hex
-    counted = lambda t: t.where("term is null").groupBy("source", "stem").agg(F.sum("df").alias("df"))
-    if index.tokenised is not None:
-        told = settled(tallies.told(index.tokenised, index.stemmed), "told")
-        words, stems = settled(told.where("term is not null").select("term", "stem").distinct(), "words"), counted(told)
-    else:
-        words, stems = settled(index.vocabulary, "words"), index.stems
     old = _read(spark, path, state, "words")
-    if less is not None:
-        stems = stems.unionByName(counted(tallies.told(less.tokenised, less.stemmed)).withColumn("df", -F.col("df"))).groupBy("source", "stem").agg(F.sum("df").alias("df")).where("df != 0")
-    index = replace(index, stems=stems, vocabulary=words.join(old.select("term"), "term", "left_anti") if state.tables.get("words") else words)
-    for table in SCHEMAS:
-        _write(index, path, name, table)
     tables = {t: [*state.tables.get(t, []), name] for t in SCHEMAS}
+
+    def write(index: search.Index, words: DataFrame, stems: DataFrame, *names: str) -> None:
+        if less is not None:
+            stems = stems.unionByName(_counted(less).where("term is null").select("source", "stem", (-F.col("df")).alias("df"))).groupBy("source", "stem").agg(F.sum("df").alias("df")).where("df != 0")
+        index = replace(index, stems=stems, vocabulary=words.join(old.select("term"), "term", "left_anti") if state.tables.get("words") else words)
+        for table in names:
+            _write(index, path, name, table)
+
+    def write_tokenised(index: search.Index, *names: str) -> None:
+        stats = index.lengths.groupBy("source").agg(F.count("*").alias("n_all"), F.sum("dl").alias("total"))
+        if gone is not None:
+            stats = stats.unionByName(gone).groupBy("source").agg(F.sum("n_all").alias("n_all"), F.sum("total").alias("total"))
+        index = replace(index, stats=stats)
+        with passing(_counted(index), "told", **ZSTD) as told:
+            write(index, told.where("term is not null").select("term", "stem"), told.where("term is null").select("source", "stem", "df"), "stems", "words")
+        for table in names:
+            _write(index, path, name, table)
+
+    if index.tokenised is None:
+        with passing(index.vocabulary, "words", **ZSTD) as words:
+            write(index, words, index.stems, *SCHEMAS)
+    elif index.told:
+        write_tokenised(index, "chunks", "lengths", "postings", "stats")
+    else:  # chunks are made once, and tokenised as they are saved
+        _write(index, path, name, "chunks")
+        with passing(_tokens(_read(spark, path, replace(state, tables=tables), "chunks", [name])), "tokens", **ZSTD) as tokens:
+            write_tokenised(replace(index, tokenised=tokens, lengths=search.lengths(tokens)), "lengths", "postings", "stats")
     new = replace(state, tables=tables, segments=dict(state.segments))
     new.segments[name] = _read(spark, path, new, "lengths", [name]).count()
     return name, new
@@ -209,10 +249,9 @@ def update(index: search.Index, gone: DataFrame, path: str) -> None:
     lengths = _live(_read(spark, path, state, "lengths"), path, state)
     dead = settled(lengths.join(gone.select("source", "path").distinct(), ["source", "path"], "left_semi").select("segment", "source", "chunk_id", "dl"), "dead")
     less = dead.groupBy("source").agg((-F.count("*")).alias("n_all"), (-F.sum("dl")).alias("total"))
-    stats = index.stats.unionByName(less).groupBy("source").agg(F.sum("n_all").alias("n_all"), F.sum("total").alias("total"))
     # texts of the chunks that go are few; their postings lie among all the others
     chunks = _read(spark, path, state, "chunks").join(dead.select("segment", "source", "chunk_id"), ["segment", "source", "chunk_id"], "left_semi").drop("segment")
-    _, new = _segment(replace(index, stats=stats), path, state, search.build(settled(search.tokenized(chunks), "less"), index.stemmed))
+    _, new = _segment(index, path, state, search.build(settled(search.tokenized(chunks), "less"), index.stemmed), less)
     if not dead.isEmpty():
         new = _buried(spark, path, new, dead.select(F.col("segment").alias("of"), "source", "chunk_id"))
     new = _commit(spark, path, new)

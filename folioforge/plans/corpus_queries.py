@@ -13,7 +13,7 @@ from ..functions import urls as U
 from ..functions.tokens import tokens
 from ..operators import catalog, chunking, discover, html, render, search, segments
 from ..sources import kinds
-from ..sources.shared import settled, shared_dir
+from ..sources.shared import in_tasks, settled, shared_dir
 from ..sources.store import Store
 from . import ingest
 from .base import AS_OF, conversations, corpus, entries, site_pages, table
@@ -48,7 +48,7 @@ def _store(spark, sf) -> Store:
 def saved(spark, sf) -> str:
     """Where a new index of documents is saved."""
     path = f"{shared_dir(spark)}/folioforge-index-{uuid.uuid4().hex}"
-    search.save(search.build(settled(search.tokenized(chunking.chunk(corpus(spark, sf))), "chunks")), path)
+    search.save(search.build(chunking.chunk(in_tasks(corpus(spark, sf)))), path)
     return path
 
 
@@ -68,10 +68,10 @@ def index_update(spark, sf):
     """A saved index of the older version, brought up to date by what changed: the best chunks of each source."""
     old, new = versions(spark, sf)
     path = f"{shared_dir(spark)}/folioforge-index-{uuid.uuid4().hex}"
-    search.save(search.build(settled(search.tokenized(chunking.chunk(old)), "chunks")), path)
+    search.save(search.build(chunking.chunk(in_tasks(old))), path)
     changes = settled(catalog.changes(_hashed(old), _hashed(new)), "changes")
     fresh = new.join(changes.where("change <> 'removed'"), ["source", "path"], "left_semi")
-    segments.update(search.build(settled(search.tokenized(chunking.chunk(fresh)), "chunks")), changes.where("change <> 'added'"), path)
+    segments.update(search.build(chunking.chunk(fresh)), changes.where("change <> 'added'"), path)
     hits = search.search(search.load(spark, path), "pathetic worthless (idiot)", with_snippet=False)
     return hits.select("source", "path", F.round("score", 6).alias("score"), F.col("rank").cast("int").alias("rank"))
 

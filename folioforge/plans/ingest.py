@@ -8,7 +8,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import catalog, chunking, render, search
+from ..operators import catalog, chunking, render
 from ..sources import kinds
 from ..sources.shared import settled
 from ..sources.store import Store
@@ -57,14 +57,14 @@ def ingest(store: Store, pages: DataFrame, escalate=None, kept: DataFrame | None
         docs = settled(docs.unionByName(kept.select([c for c in kept.columns if c in docs.columns]), allowMissingColumns=True), "merged")
     ok = docs.where("status = 'ok'")
     if how:
-        chunks = settled(search.tokenized(chunks_of(docs, **how)), "chunks")
+        chunks = settled(chunks_of(docs, **how), "chunks")
         store.replace_index(chunks)
         store.replace_documents(ok)
         return docs, chunks
     sources = docs.select("source").distinct()
     changes = settled(catalog.changes(_indexed(store.documents().join(sources, "source", "left_semi")), _indexed(ok)), "changes")
     new = docs.join(changes.where("change != 'removed'"), ["source", "path"], "left_semi")
-    store.update_index(settled(search.tokenized(chunks_of(new)), "chunks"), changes.where("change != 'added'"))
+    store.update_index(chunks_of(new), changes.where("change != 'added'"))
     store.replace_documents(ok)
     return docs, store.index().chunks.join(sources, "source", "left_semi")
 
@@ -91,6 +91,6 @@ def rebuilt(store: Store, sources: list[str] | None = None) -> DataFrame:
     """Chunks again from stored documents, and the index from them."""
     docs = store.documents()
     docs = docs.where(F.col("source").isin(sources)) if sources else docs
-    chunks = settled(search.tokenized(chunks_of(docs.withColumn("status", F.lit("ok")))), "chunks")
+    chunks = settled(chunks_of(docs.withColumn("status", F.lit("ok"))), "chunks")
     store.replace_index(chunks)
     return chunks

@@ -42,7 +42,7 @@ class IndexRetriever:
 
     def _save(self, chunks: DataFrame) -> None:
         # written first: the tables that it may be read from are replaced
-        self.store.replace_index(settled(search.tokenized(chunks), "chunks"))
+        self.store.replace_index(settled(chunks, "chunks"))
 
     def search(self, query: str, sources: list[str] | None = None, limit: int = search.LIMIT, offset: int = 0) -> DataFrame:
         return search.search(self.store.index(), query, sources, limit, offset)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,7 +27,7 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def settled(df: DataFrame, name: str) -> DataFrame:
+def settled(df: DataFrame, name: str, path: str | None = None, **options: str) -> DataFrame:
     """A result written and read back, so that lineage ends and a lost executor costs nothing.
 
     Where there are many more shuffle partitions than cores, up to four go to one file: on a file system that sets
@@ -33,13 +35,39 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     folder to delete; plans that read it may run again at any time.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/folioforge-{uuid.uuid4().hex}/{name}"
+    path = f"{path or _new(spark)}/{name}"
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     few = max(WAVES * spark.sparkContext.defaultParallelism, parts // 4)
-    (df.coalesce(few) if parts >= 2 * few else df).write.parquet(path)
+    (df.coalesce(few) if parts >= 2 * few else df).write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _new(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/folioforge-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def passing(df: DataFrame, name: str, **options: str) -> Iterator[DataFrame]:
+    """What ``settled`` gives, for as long as the block lasts; then its files go."""
+    spark = df.sparkSession
+    place = spark._jvm.org.apache.hadoop.fs.Path(_new(spark))
+    try:
+        yield settled(df, name, place.toString(), **options)
+    finally:
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextmanager
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """A setting of the session for what is planned inside; then it is what it was."""
+    old = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if old is None else spark.conf.set(name, old)
+
+
 def in_tasks(df: DataFrame) -> DataFrame:
     """A table as it is read, with its partitions joined if they are many and small; no shuffle, and nothing at all
     where partitions have the size that Spark gives them."""

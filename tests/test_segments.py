@@ -182,3 +182,31 @@ def test_a_save_takes_runs_and_sums(spark, path):
     rows = [("a", "p", "alpha beta alpha betas"), ("b", "q", "gamma delta alpha"), ("a", "r", "beta")]
     search.save(replace(search.build(chunks(spark, rows)), postings=None, pairs=None, vocabulary=None, terms=None), path)
     same_as_rebuilt(spark, path, rows, hits=False)
+
+
+def test_a_save_deals_no_postings_and_keeps_nothing_beside_it(spark, path, monkeypatch, tmp_path):
+    """Postings of few sources stay in the task that makes them, in sorted regions; tokens and sums on the way are deleted.
+    With more sources than WRITERS they are dealt as before, to the same rows."""
+    import os
+
+    from folioforge.operators import tallies
+    from folioforge.sources.shared import shared_dir
+
+    rng = random.Random(5)
+    rows = [(f"s{i % 3}", f"p{i}", text(rng) if i else "— " * 20) for i in range(40)]
+    there = lambda: set(os.listdir(shared_dir(spark).removeprefix("file://")))
+    before, frame = there(), type(spark.range(0))
+    with monkeypatch.context() as m:
+        m.setattr(tallies, "REGION", 50)
+        m.setattr(frame, "repartitionByRange", None)
+        search.save(search.build(chunks(spark, rows).coalesce(1)), path)
+    assert there() == before
+    same_as_rebuilt(spark, path, rows, hits=False)
+    for source in ("s0", "s1", "s2"):
+        seen = segments.load(spark, path).postings.where(F.col("source") == source).coalesce(1).collect()
+        falls = sum(a.term > b.term for a, b in zip(seen, seen[1:], strict=False))
+        assert 0 < falls < len(seen) / 10  # a region is sorted, not the file
+    monkeypatch.setattr(segments, "WRITERS", 2)
+    search.save(search.build(chunks(spark, rows)), f"{path}-dealt")
+    same_as_rebuilt(spark, f"{path}-dealt", rows, hits=False)
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0"

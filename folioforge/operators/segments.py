@@ -40,8 +40,8 @@ MERGE = 8
 #: Sources up to which a task writes its postings as it makes them, a file for each source that it has; postings of more are
 #: dealt by ranges first. Rows of a page of such a file, which is what a lookup of a term reads.
 WRITERS, PAGE = 32, 2000
-#: What is written once and read seldom.
-ZSTD = {"compression": "zstd"}
+#: What is written once and read seldom. Bytes of a batch that workers get: they hold a few copies of it.
+ZSTD, BATCH = {"compression": "zstd"}, 8 << 20
 
 
 class Conflict(RuntimeError):
@@ -137,12 +137,13 @@ def _write(index: search.Index, path: str, name: str, table: str) -> None:
     file are read for the best hits."""
     df = {"chunks": index.chunks, "lengths": index.lengths, "postings": index.postings, "stats": index.stats, "stems": index.stems, "words": index.vocabulary}[table]
     if table == "postings" and index.tokenised is not None:
-        runs, spark = tallies.runs(index.tokenised), index.tokenised.sparkSession
         few = index.lengths.select("source").distinct().limit(WRITERS + 1).count() <= WRITERS
-        if not few:  # runs are dealt and sorted, which are far fewer than tokens
-            runs = runs.repartitionByRange("source", "term", "first").sortWithinPartitions("source", "term")
-        rows = runs.select("source", "term", F.inline("run")).select("chunk_id", "dl", "col", "pos", "term", "source")
-        with setting(spark, "spark.sql.maxConcurrentOutputFileWriters", str(WRITERS if few else 0)):  # else Spark sorts by source
+        if few:
+            rows = tallies.rows(index.tokenised)
+        else:  # runs are dealt and sorted, which are far fewer than tokens
+            dealt = tallies.runs(index.tokenised).repartitionByRange("source", "term", "first").sortWithinPartitions("source", "term")
+            rows = dealt.select("source", "term", F.inline("run")).select("chunk_id", "dl", "col", "pos", "term", "source")
+        with setting(rows.sparkSession, "spark.sql.maxConcurrentOutputFileWriters", str(WRITERS if few else 0)):  # else Spark sorts by source
             rows.write.mode("overwrite").options(**ZSTD, **{"parquet.page.row.count.limit": str(PAGE)}).partitionBy("source").parquet(f"{path}/{table}/segment={name}")
         return
     if table == "postings":
@@ -183,10 +184,11 @@ def _segment(index: search.Index, path: str, state: State, less: search.Index |
         if gone is not None:
             stats = stats.unionByName(gone).groupBy("source").agg(F.sum("n_all").alias("n_all"), F.sum("total").alias("total"))
         index = replace(index, stats=stats)
-        with passing(_counted(index), "told", **ZSTD) as told:
+        with setting(spark, "spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH)), passing(_counted(index), "told", **ZSTD) as told:
             write(index, told.where("term is not null").select("term", "stem"), told.where("term is null").select("source", "stem", "df"), "stems", "words")
-        for table in names:
-            _write(index, path, name, table)
+        with setting(spark, "spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH)):
+            for table in names:
+                _write(index, path, name, table)
 
     if index.tokenised is None:
         with passing(index.vocabulary, "words", **ZSTD) as words:

@@ -225,8 +225,8 @@ def page_paths(spark, sf):
 
 def reindex_replace(spark, sf):
     """A saved index after src1 was replaced by its shorter chunks and src2 removed."""
-    path, chunks = saved(spark, sf), chunking.chunk(corpus(spark, sf))
-    search.save(search.build(settled(search.tokenized(chunks.where("source = 'src1' and octet_length(body) < 1500")), "chunks")), path)
+    path, chunks = saved(spark, sf), chunking.chunk(in_tasks(corpus(spark, sf)))
+    search.save(search.build(chunks.where("source = 'src1' and octet_length(body) < 1500")), path)
     segments.remove(spark, path, ["src2"])
     return search.load(spark, path).chunks.groupBy("source").agg(F.count("*").alias("chunks"))
 

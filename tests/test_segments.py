@@ -210,3 +210,17 @@ def test_a_save_deals_no_postings_and_keeps_nothing_beside_it(spark, path, monke
     search.save(search.build(chunks(spark, rows)), f"{path}-dealt")
     same_as_rebuilt(spark, f"{path}-dealt", rows, hits=False)
     assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0"
+
+
+def test_reindex_replace_keeps_no_tokens(spark):
+    """Two saves and a removal leave the index and what is dead in it."""
+    import os
+
+    from folioforge.plans.corpus_queries import reindex_replace
+    from folioforge.sources.shared import shared_dir
+
+    root = shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(root))
+    counts = {r.source: r.chunks for r in reindex_replace(spark, SF).collect()}
+    made = {x for d in set(os.listdir(root)) - before if "-index-" not in d for x in os.listdir(f"{root}/{d}")}
+    assert made <= {"dead", "kept"} and "src2" not in counts and counts["src1"] > 0
